@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions.money import number_text
 
-SPACE_EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
+SPACE_EDGES = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$"
 
 
 def trim_all(text: Column) -> Column:
