@@ -15,10 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
-from perkloom.functions import money, timefn
-
-NOTE = "array<struct<code:string,message:string>>"
-GATE = "array<struct<code:string,label:string,detail:string,state:string,actionable:boolean>>"
+from perkloom.functions import money
 
 
 @dataclass(frozen=True)
@@ -31,251 +28,271 @@ class Policy:
 
 DEFAULT_POLICY = Policy()
 
+AGE = "((unix_millis(now) - unix_millis(last_verified_at)) / 86400000.0D)"
+DAYS_LEFT = "((unix_millis(valid_until) - unix_millis(now)) / 86400000.0D)"
 
-def _c(name: str) -> Column:
-    return F.col(f"conditions.{name}")
 
+def _local(instant: str, policy: Policy) -> str:
+    return f"convert_timezone(current_timezone(), '{policy.zone}', CAST({instant} AS TIMESTAMP_NTZ))"
 
-def _yes(condition: Column) -> Column:
-    """Three-valued to two-valued: unknown is not a finding."""
-    return F.coalesce(condition, F.lit(False))
 
+def _minutes(text: str) -> str:
+    return f"(CAST(split_part({text}, ':', 1) AS INT) * 60 + CAST(split_part({text}, ':', 2) AS INT))"
 
-class Findings:
-    """Every check as a boolean column, shared by the verdict and the wording."""
 
-    def __init__(self, policy: Policy = DEFAULT_POLICY):
-        now, cart, channel = F.col("now"), F.col("cart_amount"), F.col("channel")
-        age = timefn.days_between(F.col("last_verified_at"), now)
-        left = timefn.days_between(now, F.col("valid_until"))
-        self.policy = policy
-        self.age = age
+def findings(policy: Policy = DEFAULT_POLICY) -> dict[str, str]:
+    """Every check as SQL that is true or false, never null.
 
-        self.not_owned = ~_yes(F.col("owned"))
-        self.muted = _yes(F.col("muted"))
-        self.low_confidence = (F.col("confidence_score") < policy.min_confidence) & ~_yes(
-            F.col("reviewed_by_human")
-        )
-        self.stale = F.coalesce(age > policy.stale_days, F.lit(True))
-        self.aging = ~self.stale & (age > policy.aging_days)
-        self.not_yet = _yes(F.col("valid_from") > now)
-        self.has_end = F.col("valid_until").isNotNull()
-        self.expired = _yes(F.col("valid_until") < now)
-        self.ends_soon = _yes(left <= V.ENDS_SOON_DAYS) & ~self.expired
-
-        self.has_days = _c("valid_days").isNotNull()
-        self.wrong_day = _yes(
-            ~F.array_contains(_c("valid_days"), timefn.local_weekday(now, policy.zone))
-        )
-        self.has_hours = _c("valid_hours").isNotNull()
-        self.wrong_hours = _yes(
-            ~timefn.within_hours(
-                timefn.local_minutes(now, policy.zone),
-                _c("valid_hours.from"),
-                _c("valid_hours.to"),
-            )
-        )
-        self.has_channel = _yes(_c("channel").isin("in_store", "online"))
-        self.channel_unknown = self.has_channel & channel.isNull()
-        self.wrong_channel = self.has_channel & _yes(channel != _c("channel"))
-        self.has_spend = _yes(_c("min_spend") > 0)
-        self.spend_unknown = self.has_spend & cart.isNull()
-        self.below_spend = self.has_spend & _yes(cart < _c("min_spend"))
-
-        self.capped = _c("max_discount").isNotNull()
-        self.voucher = _yes(_c("requires_voucher"))
-        self.excludes = _yes(F.size(_c("exclusions")) > 0)
-        self.no_stacking = _yes(_c("stacks_with_club") == F.lit(False))
-        self.stacking_unknown = _c("stacks_with_club").isNull()
-        self.usage = _yes(_c("usage_limit") != "")
-
-    @property
-    def blocked(self) -> Column:
-        return (
-            self.not_owned | self.muted | self.low_confidence | self.stale | self.not_yet
-            | self.expired | self.wrong_day | self.wrong_hours | self.wrong_channel
-            | self.below_spend
-        )
+    An unknown is not resolved in the benefit's favour: what cannot be checked
+    here becomes a requirement, and a missing verification date counts as stale.
+    """
+    here = _local("now", policy)
+    at = f"(hour({here}) * 60 + minute({here}))"
+    lo, hi = _minutes("conditions.valid_hours.from"), _minutes("conditions.valid_hours.to")
+    open_now = (
+        f"CASE WHEN {lo} = {hi} THEN TRUE WHEN {lo} < {hi} THEN {at} BETWEEN {lo} AND {hi} "
+        f"ELSE {at} >= {lo} OR {at} <= {hi} END"
+    )
+    one_channel = "COALESCE(conditions.channel IN ('in_store', 'online'), FALSE)"
+    spend = "COALESCE(conditions.min_spend > 0, FALSE)"
+    stale = f"COALESCE({AGE} > {policy.stale_days}, TRUE)"
+    expired = "COALESCE(valid_until < now, FALSE)"
+    return {
+        "not_owned": "NOT COALESCE(owned, FALSE)",
+        "muted": "COALESCE(muted, FALSE)",
+        "low_confidence": (
+            f"(confidence_score < {policy.min_confidence}D AND NOT COALESCE(reviewed_by_human, FALSE))"
+        ),
+        "stale": stale,
+        "aging": f"(NOT {stale} AND {AGE} > {policy.aging_days})",
+        "not_yet": "COALESCE(valid_from > now, FALSE)",
+        "has_end": "(valid_until IS NOT NULL)",
+        "expired": expired,
+        "ends_soon": f"(NOT {expired} AND COALESCE({DAYS_LEFT} <= {V.ENDS_SOON_DAYS}, FALSE))",
+        "has_days": "(conditions.valid_days IS NOT NULL)",
+        "wrong_day": (
+            "(conditions.valid_days IS NOT NULL AND "
+            f"NOT array_contains(conditions.valid_days, dayofweek({here})))"
+        ),
+        "has_hours": "(conditions.valid_hours IS NOT NULL)",
+        "wrong_hours": f"(conditions.valid_hours IS NOT NULL AND NOT ({open_now}))",
+        "has_channel": one_channel,
+        "channel_unknown": f"({one_channel} AND channel IS NULL)",
+        "wrong_channel": f"({one_channel} AND COALESCE(channel <> conditions.channel, FALSE))",
+        "has_spend": spend,
+        "spend_unknown": f"({spend} AND cart_amount IS NULL)",
+        "below_spend": f"({spend} AND COALESCE(cart_amount < conditions.min_spend, FALSE))",
+        "capped": "(conditions.max_discount IS NOT NULL)",
+        "voucher": "COALESCE(conditions.requires_voucher, FALSE)",
+        "excludes": "COALESCE(size(conditions.exclusions) > 0, FALSE)",
+        "no_stacking": "COALESCE(NOT conditions.stacks_with_club, FALSE)",
+        "stacking_unknown": "(conditions.stacks_with_club IS NULL)",
+        "usage": "COALESCE(conditions.usage_limit <> '', FALSE)",
+    }
 
-    @property
-    def required(self) -> Column:
-        return (
-            self.aging | self.ends_soon | self.channel_unknown | self.spend_unknown | self.capped
-            | self.voucher | self.excludes | self.no_stacking | self.stacking_unknown | self.usage
-        )
 
-    @property
-    def actions(self) -> Column:
-        """How many pending conditions the user can still settle."""
-        return self.spend_unknown.cast("int") + self.voucher.cast("int")
+BLOCKERS = [
+    "low_confidence", "not_owned", "muted", "stale", "not_yet", "expired", "wrong_channel",
+    "below_spend", "wrong_day", "wrong_hours",
+]
+REQUIREMENTS = [
+    "aging", "ends_soon", "channel_unknown", "spend_unknown", "capped", "voucher", "excludes",
+    "no_stacking", "stacking_unknown", "usage",
+]
+# What the user can still settle before paying.
+ACTIONS = ["spend_unknown", "voucher"]
+
+
+def _any(found: dict[str, str], names: list[str]) -> str:
+    return "(" + " OR ".join(found[n] for n in names) + ")"
+
+
+def _figures(found: dict[str, str]) -> dict[str, Column]:
+    type_, cart = F.col("type"), F.col("cart_amount")
+    return {
+        "n_actions": F.expr(" + ".join(f"CAST({found[n]} AS INT)" for n in ACTIONS)),
+        "saving": money.saving_estimate(
+            type_, F.col("value"), F.col("conditions.min_spend"),
+            F.col("conditions.max_discount"), cart,
+        ),
+        "is_estimate": money.saving_is_estimate(type_, cart),
+        "age_days": F.expr(f"COALESCE(CAST(floor({AGE}) AS BIGINT), -1L)"),
+    }
 
 
 def verdict(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds ``status, n_actions, readiness, saving, is_estimate, age_days``."""
-    f = Findings(policy)
-    type_, cart = F.col("type"), F.col("cart_amount")
+    found = findings(policy)
+    blocked, required = _any(found, BLOCKERS), _any(found, REQUIREMENTS)
+    actions = _any(found, ACTIONS)
     return pairs.withColumns(
         {
-            "status": F.when(f.blocked, "blocked").when(f.required, "conditional").otherwise(
-                "eligible"
-            ),
-            "n_actions": f.actions,
-            "readiness": F.when(f.blocked, 2).when(f.actions > 0, 1).otherwise(0),
-            "saving": money.saving_estimate(
-                type_, F.col("value"), _c("min_spend"), _c("max_discount"), cart
+            "status": F.expr(
+                f"CASE WHEN {blocked} THEN 'blocked' WHEN {required} THEN 'conditional' "
+                "ELSE 'eligible' END"
             ),
-            "is_estimate": money.saving_is_estimate(type_, cart),
-            "age_days": F.coalesce(F.floor(f.age).cast("bigint"), F.lit(-1).cast("bigint")),
+            "readiness": F.expr(f"CASE WHEN {blocked} THEN 2 WHEN {actions} THEN 1 ELSE 0 END"),
+            **_figures(found),
         }
     )
 
 
 def usable(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The verdict with blocked rows hidden, which is the default everywhere."""
-    return verdict(pairs, policy).where(F.col("status") != "blocked")
+    """The verdict with blocked rows hidden, which is the default everywhere.
 
+    The blockers run as one short-circuiting filter, so nothing else is computed
+    for the many rows they remove.
+    """
+    found = findings(policy)
+    return pairs.where(f"NOT {_any(found, BLOCKERS)}").withColumns(
+        {
+            "status": F.expr(
+                f"CASE WHEN {_any(found, REQUIREMENTS)} THEN 'conditional' ELSE 'eligible' END"
+            ),
+            "readiness": F.expr(f"CASE WHEN {_any(found, ACTIONS)} THEN 1 ELSE 0 END"),
+            **_figures(found),
+        }
+    )
 
-def _text(pattern: str, *args: Column) -> Column:
-    return F.format_string(pattern, *args)
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
 
-def days_label(days: Column) -> Column:
-    """Weekday list with runs of three or more written as a range."""
-    names = F.array(*[F.lit(n) for n in V.DAY_NAMES])
-    listed = F.array_sort(F.array_distinct(days))
-    starts = F.filter(listed, lambda d: ~F.array_contains(listed, d - 1))
 
-    def run(start: Column) -> Column:
-        end = F.array_min(
-            F.filter(listed, lambda d: (d >= start) & ~F.array_contains(listed, d + 1))
-        )
-        return F.when(
-            end - start >= 2, F.concat(F.get(names, start - 1), F.lit("-"), F.get(names, end - 1))
-        ).otherwise(
-            F.array_join(F.slice(names, start, end - start + 1), ", ")
-        )
+def _text(pattern: str, *args: str) -> str:
+    return f"format_string({', '.join([_quote(pattern), *args])})"
 
-    return F.array_join(F.transform(starts, run), ", ")
 
+def _shekels(amount: str) -> str:
+    whole = f"CAST(CAST({amount} AS DECIMAL(38,0)) AS STRING)"
+    return (
+        f"concat('₪', CASE WHEN {amount} = floor({amount}) THEN {whole} "
+        f"ELSE format_string('%.2f', {amount}) END)"
+    )
 
-def _note(condition: Column, code: str, message: Column) -> Column:
-    return F.when(
-        condition, F.struct(F.lit(code).alias("code"), message.alias("message"))
+
+def days_label(days: str = "conditions.valid_days") -> str:
+    """Weekday list with runs of three or more written as a range, as SQL."""
+    names = "array(" + ", ".join(_quote(n) for n in V.DAY_NAMES) + ")"
+    listed = f"array_sort(array_distinct({days}))"
+    starts = f"filter({listed}, d -> NOT array_contains({days}, d - 1))"
+    end = f"array_min(filter({days}, e -> e >= s AND NOT array_contains({days}, e + 1)))"
+    run = (
+        f"CASE WHEN {end} - s >= 2 THEN concat(get({names}, s - 1), '-', get({names}, {end} - 1)) "
+        f"ELSE array_join(slice({names}, s, {end} - s + 1), ', ') END"
     )
+    return f"array_join(transform({starts}, s -> {run}), ', ')"
 
 
-def _gate(condition, code, state, label, detail, actionable=False) -> Column:
-    return F.when(
-        condition,
-        F.struct(
-            F.lit(code).alias("code"),
-            label.alias("label"),
-            detail.alias("detail"),
-            F.lit(state).alias("state"),
-            F.lit(actionable).alias("actionable"),
-        ),
+def _note(condition: str, code: str, message: str) -> str:
+    return f"CASE WHEN {condition} THEN named_struct('code', '{code}', 'message', {message}) END"
+
+
+def _gate(condition, code, state, label, detail, actionable="FALSE") -> str:
+    return (
+        f"CASE WHEN {condition} THEN named_struct('code', '{code}', 'label', {label}, "
+        f"'detail', {detail}, 'state', '{state}', 'actionable', {actionable}) END"
     )
 
 
+def _found(items: list[str]) -> Column:
+    return F.expr(f"array_compact(array({', '.join(items)}))")
+
+
 def explain(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Adds ``blockers, requirements, gates, actions_required``."""
-    f = Findings(policy)
-    t = F.lit
-    until = F.date_format(timefn.local_time(F.col("valid_until"), policy.zone), "d.M.yyyy")
-    days = days_label(_c("valid_days"))
-    lo, hi = _c("valid_hours.from"), _c("valid_hours.to")
-    where = F.when(_c("channel") == "online", t(V.LABEL_ONLINE)).otherwise(t(V.LABEL_IN_STORE))
-    spend = money.shekels(_c("min_spend"))
-    missing = money.shekels(_c("min_spend") - F.col("cart_amount"))
-    cap = money.shekels(_c("max_discount"))
-    aged = F.floor(f.age).cast("int")
-    stale_text = t(V.MSG_STALE % policy.stale_days)
-    excluded = _text(V.MSG_EXCLUDES, F.array_join(_c("exclusions"), ", "))
+    f = findings(policy)
+    q = _quote
+    until = f"date_format({_local('valid_until', policy)}, 'd.M.yyyy')"
+    days = days_label()
+    lo, hi = "conditions.valid_hours.from", "conditions.valid_hours.to"
+    hours = f"concat({lo}, '-', {hi})"
+    where = (
+        f"CASE WHEN conditions.channel = 'online' THEN {q(V.LABEL_ONLINE)} "
+        f"ELSE {q(V.LABEL_IN_STORE)} END"
+    )
+    spend, cap = _shekels("conditions.min_spend"), _shekels("conditions.max_discount")
+    missing = _shekels("(conditions.min_spend - cart_amount)")
+    aged = _text(V.MSG_AGING, f"CAST(floor({AGE}) AS INT)")
+    stale = q(V.MSG_STALE % policy.stale_days)
+    excluded = _text(V.MSG_EXCLUDES, "array_join(conditions.exclusions, ', ')")
     channel_only = _text(V.MSG_CHANNEL_ONLY, where)
+    spend_over, spend_label = _text(V.MSG_SPEND_OVER, spend), f"concat({spend}, '+')"
 
     blockers = [
-        _note(f.not_owned, "program_not_owned", t(V.MSG_NOT_OWNED)),
-        _note(f.muted, "muted", t(V.MSG_MUTED)),
-        _note(f.low_confidence, "low_confidence", t(V.MSG_LOW_CONFIDENCE)),
-        _note(f.stale, "stale_data", stale_text),
-        _note(f.not_yet, "not_yet_valid", t(V.MSG_NOT_YET)),
-        _note(f.expired, "expired", t(V.MSG_EXPIRED)),
-        _note(f.wrong_day, "wrong_day", _text(V.MSG_DAYS_ONLY, days)),
-        _note(f.wrong_hours, "wrong_hours", _text(V.MSG_HOURS_ONLY, lo, hi)),
-        _note(f.wrong_channel, "wrong_channel", channel_only),
-        _note(f.below_spend, "below_min_spend", _text(V.MSG_SPEND_BLOCKED, spend, missing)),
+        _note(f["not_owned"], "program_not_owned", q(V.MSG_NOT_OWNED)),
+        _note(f["muted"], "muted", q(V.MSG_MUTED)),
+        _note(f["low_confidence"], "low_confidence", q(V.MSG_LOW_CONFIDENCE)),
+        _note(f["stale"], "stale_data", stale),
+        _note(f["not_yet"], "not_yet_valid", q(V.MSG_NOT_YET)),
+        _note(f["expired"], "expired", q(V.MSG_EXPIRED)),
+        _note(f["wrong_day"], "wrong_day", _text(V.MSG_DAYS_ONLY, days)),
+        _note(f["wrong_hours"], "wrong_hours", _text(V.MSG_HOURS_ONLY, lo, hi)),
+        _note(f["wrong_channel"], "wrong_channel", channel_only),
+        _note(f["below_spend"], "below_min_spend", _text(V.MSG_SPEND_BLOCKED, spend, missing)),
     ]
     requirements = [
-        _note(f.aging, "aging_data", _text(V.MSG_AGING, aged)),
-        _note(f.ends_soon, "ends_soon", _text(V.MSG_VALID_UNTIL, until)),
-        _note(f.channel_unknown, "channel_restricted", channel_only),
-        _note(f.spend_unknown, "min_spend_unknown", _text(V.MSG_SPEND_OVER, spend)),
-        _note(f.capped, "max_discount_cap", _text(V.MSG_CAP, cap)),
-        _note(f.voucher, "requires_voucher", t(V.MSG_VOUCHER)),
-        _note(f.excludes, "has_exclusions", excluded),
-        _note(f.no_stacking, "no_stacking", t(V.MSG_NO_STACKING)),
-        _note(f.stacking_unknown, "stacking_unknown", t(V.MSG_STACKING_UNKNOWN)),
-        _note(f.usage, "usage_limited", _c("usage_limit")),
+        _note(f["aging"], "aging_data", aged),
+        _note(f["ends_soon"], "ends_soon", _text(V.MSG_VALID_UNTIL, until)),
+        _note(f["channel_unknown"], "channel_restricted", channel_only),
+        _note(f["spend_unknown"], "min_spend_unknown", spend_over),
+        _note(f["capped"], "max_discount_cap", _text(V.MSG_CAP, cap)),
+        _note(f["voucher"], "requires_voucher", q(V.MSG_VOUCHER)),
+        _note(f["excludes"], "has_exclusions", excluded),
+        _note(f["no_stacking"], "no_stacking", q(V.MSG_NO_STACKING)),
+        _note(f["stacking_unknown"], "stacking_unknown", q(V.MSG_STACKING_UNKNOWN)),
+        _note(f["usage"], "usage_limited", "conditions.usage_limit"),
     ]
-    fresh = ~f.stale & ~f.aging
-    spend_label = F.concat(spend, t("+"))
-    gates = [
-        _gate(f.stale, "freshness", "blocked", t(V.LABEL_STALE), stale_text),
-        _gate(f.aging, "freshness", "pending", t(V.LABEL_AGING), _text(V.MSG_AGING, aged)),
-        _gate(fresh, "freshness", "met", t(V.LABEL_FRESH), t(V.MSG_FRESH)),
-        _gate(f.not_yet, "validity", "blocked", t(V.LABEL_NOT_YET), t(V.MSG_NOT_YET)),
-        _gate(f.expired, "validity", "blocked", t(V.LABEL_EXPIRED), _text(V.MSG_EXPIRED_ON, until)),
-        _gate(f.ends_soon, "validity", "pending", _text(V.LABEL_UNTIL, until),
-              _text(V.MSG_ENDS_SOON, until)),
-        _gate(f.has_end & ~f.expired & ~f.ends_soon, "validity", "met", t(V.LABEL_VALID),
-              _text(V.MSG_VALID_UNTIL, until)),
-        _gate(f.has_days & ~f.wrong_day, "day", "met", days, _text(V.MSG_DAYS_MET, days)),
-        _gate(f.wrong_day, "day", "blocked", days, _text(V.MSG_DAYS_BLOCKED, days)),
-        _gate(f.has_hours & ~f.wrong_hours, "hours", "met", F.concat(lo, t("-"), hi),
-              _text(V.MSG_HOURS_MET, lo, hi)),
-        _gate(f.wrong_hours, "hours", "blocked", F.concat(lo, t("-"), hi),
-              _text(V.MSG_HOURS_BLOCKED, lo, hi)),
-        _gate(f.wrong_channel, "channel", "blocked", where, channel_only),
-        _gate(f.channel_unknown, "channel", "pending", where, channel_only),
-        _gate(f.has_channel & ~f.wrong_channel & ~f.channel_unknown, "channel", "met", where,
-              _text(V.MSG_CHANNEL_MET, where)),
-        _gate(f.spend_unknown, "min_spend", "pending", spend_label,
-              _text(V.MSG_SPEND_OVER, spend), True),
-        _gate(f.below_spend, "min_spend", "blocked", spend_label,
-              _text(V.MSG_SPEND_MISSING, missing), True),
-        _gate(f.has_spend & ~f.spend_unknown & ~f.below_spend, "min_spend", "met", spend_label,
-              _text(V.MSG_SPEND_MET, spend)),
-        _gate(f.capped, "cap", "pending", _text(V.LABEL_CAP, cap), _text(V.MSG_CAP_DETAIL, cap)),
-        _gate(f.voucher, "voucher", "pending", t(V.LABEL_VOUCHER), t(V.MSG_VOUCHER_DETAIL), True),
-        _gate(f.excludes, "exclusions", "pending", t(V.LABEL_EXCLUDES), excluded),
-        _gate(f.no_stacking, "stacking", "pending", t(V.LABEL_NO_STACKING), t(V.MSG_NO_STACKING)),
-        _gate(f.stacking_unknown, "stacking", "pending", t(V.LABEL_STACKING_UNKNOWN),
-              t(V.MSG_STACKING_UNKNOWN_DETAIL)),
-        _gate(~f.no_stacking & ~f.stacking_unknown, "stacking", "met", t(V.LABEL_STACKING_MET),
-              t(V.MSG_STACKING_MET)),
-        _gate(f.usage, "usage", "pending", t(V.LABEL_USAGE), _c("usage_limit")),
-    ]
-    gates_in_state = {
-        state: F.filter(F.col("_gates"), lambda g, s=state: g.state == s)
-        for state in ("blocked", "pending", "met")
+    gates = {
+        "blocked": [
+            ("stale", "freshness", q(V.LABEL_STALE), stale),
+            ("not_yet", "validity", q(V.LABEL_NOT_YET), q(V.MSG_NOT_YET)),
+            ("expired", "validity", q(V.LABEL_EXPIRED), _text(V.MSG_EXPIRED_ON, until)),
+            ("wrong_day", "day", days, _text(V.MSG_DAYS_BLOCKED, days)),
+            ("wrong_hours", "hours", hours, _text(V.MSG_HOURS_BLOCKED, lo, hi)),
+            ("wrong_channel", "channel", where, channel_only),
+            ("below_spend", "min_spend", spend_label, _text(V.MSG_SPEND_MISSING, missing)),
+        ],
+        "pending": [
+            ("aging", "freshness", q(V.LABEL_AGING), aged),
+            ("ends_soon", "validity", _text(V.LABEL_UNTIL, until), _text(V.MSG_ENDS_SOON, until)),
+            ("channel_unknown", "channel", where, channel_only),
+            ("spend_unknown", "min_spend", spend_label, spend_over),
+            ("capped", "cap", _text(V.LABEL_CAP, cap), _text(V.MSG_CAP_DETAIL, cap)),
+            ("voucher", "voucher", q(V.LABEL_VOUCHER), q(V.MSG_VOUCHER_DETAIL)),
+            ("excludes", "exclusions", q(V.LABEL_EXCLUDES), excluded),
+            ("no_stacking", "stacking", q(V.LABEL_NO_STACKING), q(V.MSG_NO_STACKING)),
+            ("stacking_unknown", "stacking", q(V.LABEL_STACKING_UNKNOWN),
+             q(V.MSG_STACKING_UNKNOWN_DETAIL)),
+            ("usage", "usage", q(V.LABEL_USAGE), "conditions.usage_limit"),
+        ],
+        "met": [
+            (f"NOT {f['stale']} AND NOT {f['aging']}", "freshness", q(V.LABEL_FRESH), q(V.MSG_FRESH)),
+            (f"{f['has_end']} AND NOT {f['expired']} AND NOT {f['ends_soon']}", "validity",
+             q(V.LABEL_VALID), _text(V.MSG_VALID_UNTIL, until)),
+            (f"{f['has_days']} AND NOT {f['wrong_day']}", "day", days, _text(V.MSG_DAYS_MET, days)),
+            (f"{f['has_hours']} AND NOT {f['wrong_hours']}", "hours", hours,
+             _text(V.MSG_HOURS_MET, lo, hi)),
+            (f"{f['has_channel']} AND NOT {f['wrong_channel']} AND NOT {f['channel_unknown']}",
+             "channel", where, _text(V.MSG_CHANNEL_MET, where)),
+            (f"{f['has_spend']} AND NOT {f['spend_unknown']} AND NOT {f['below_spend']}",
+             "min_spend", spend_label, _text(V.MSG_SPEND_MET, spend)),
+            ("COALESCE(conditions.stacks_with_club, FALSE)", "stacking", q(V.LABEL_STACKING_MET),
+             q(V.MSG_STACKING_MET)),
+        ],
     }
-    return (
-        pairs.withColumns(
-            {
-                "blockers": F.array_compact(F.array(*blockers)).cast(NOTE),
-                "requirements": F.array_compact(F.array(*requirements)).cast(NOTE),
-                "_gates": F.array_compact(F.array(*gates)).cast(GATE),
-            }
-        )
-        .withColumn(
-            "gates",
-            F.concat(gates_in_state["blocked"], gates_in_state["pending"], gates_in_state["met"]),
-        )
-        .withColumn(
-            "actions_required",
-            F.filter(F.col("gates"), lambda g: (g.state == "pending") & g.actionable),
-        )
-        .drop("_gates")
+    # A topped-up basket and an issued voucher are errands; the rest is information.
+    errands = {"below_spend", "spend_unknown", "voucher"}
+    # Blocked first, then what is open, then the reassurance; stable inside each.
+    ordered = [
+        _gate(f.get(test, test), code, state, label, detail, "TRUE" if test in errands else "FALSE")
+        for state, rows in gates.items()
+        for test, code, label, detail in rows
+    ]
+    return pairs.withColumns(
+        {"blockers": _found(blockers), "requirements": _found(requirements), "gates": _found(ordered)}
+    ).withColumn(
+        "actions_required", F.expr("filter(gates, g -> g.state = 'pending' AND g.actionable)")
     )
 
 

@@ -9,7 +9,7 @@ from perkloom.functions import fixed_values as V
 from perkloom.functions import money
 from perkloom.operators import conditions
 from perkloom.operators.conditions import DEFAULT_POLICY, Policy
-from perkloom.operators.skew import skew_join
+from perkloom.operators.skew import hot_splits, skew_join
 
 
 def catalog_side(benefits: DataFrame) -> DataFrame:
@@ -24,9 +24,14 @@ def publishable(benefits: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFra
     )
 
 
-def with_programs(contexts: DataFrame, owned: DataFrame, **skew) -> DataFrame:
-    """One row per context and program its user holds."""
-    return skew_join(contexts, owned, ["user_id"], ["ctx_id"], ["program_id"], **skew)
+def with_programs(contexts: DataFrame, owned: DataFrame) -> DataFrame:
+    """One row per context and program its user holds.
+
+    A user holds at most as many programs as exist, so they travel as one short
+    array per user and the join is a lookup.
+    """
+    held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
+    return contexts.join(held, "user_id").withColumn("program_id", F.explode("_held")).drop("_held")
 
 
 def mark_muted(pairs: DataFrame, muted: DataFrame) -> DataFrame:
@@ -46,27 +51,29 @@ def candidates(
     owned: DataFrame,
     benefits: DataFrame,
     policy: Policy = DEFAULT_POLICY,
-    **skew,
+    **bounds,
 ) -> DataFrame:
     """Usable (context, benefit) pairs at the context's merchant.
 
     Ownership is part of the join key, so a pair the user could never redeem is
-    not produced at all; ``owned`` is therefore true on every row.
+    not produced at all; ``owned`` is therefore true on every row. A merchant may
+    be crowded with carts, with benefits or with both: its rows are split.
     """
-    held = with_programs(contexts, owned, **skew)
+    offers = publishable(benefits, policy)
     pairs = skew_join(
-        held,
-        catalog_side(publishable(benefits, policy)),
+        with_programs(contexts, owned),
+        catalog_side(offers),
         ["merchant_id", "program_id"],
         ["ctx_id"],
         ["benefit_id"],
-        **skew,
+        hot_splits(contexts, benefits, ["merchant_id"], **bounds),
     )
     marked = pairs.withColumns({"owned": F.lit(True), "muted": F.lit(False)})
     return conditions.usable(marked, policy)
 
 
-RANK_ORDER = ["readiness", F.col("saving").desc(), "age_days", "benefit_seq"]
+def rank_order() -> list:
+    return ["readiness", F.col("saving").desc(), "age_days", "benefit_seq"]
 
 
 def rank(evaluated: DataFrame, limit: int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -76,7 +83,7 @@ def rank(evaluated: DataFrame, limit: int | None = None, by: list[str] | None =
     With a limit Spark keeps only the best ``limit`` rows per context before the
     shuffle (WindowGroupLimit), so a crowded context does not travel whole.
     """
-    window = Window.partitionBy(*(by or ["ctx_id"])).orderBy(*RANK_ORDER)
+    window = Window.partitionBy(*(by or ["ctx_id"])).orderBy(*rank_order())
     ranked = evaluated.withColumn("position", F.row_number().over(window))
     return ranked if limit is None else ranked.where(F.col("position") <= limit)
 
@@ -88,10 +95,10 @@ def top_benefits(
     benefits: DataFrame,
     limit: int,
     policy: Policy = DEFAULT_POLICY,
-    **skew,
+    **bounds,
 ) -> DataFrame:
     """The best ``limit`` usable benefits of every context."""
-    pairs = candidates(contexts, owned, benefits, policy, **skew)
+    pairs = candidates(contexts, owned, benefits, policy, **bounds)
     return rank(drop_muted(pairs, muted), limit)
 
 

@@ -1,12 +1,16 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
+Adaptive execution already splits an oversized join partition at run time. The
+explicit form here is for the joins where *both* sides can be crowded on the same
+key, and works with adaptive execution off as well.
+
 A key is *hot* on a side when it holds more than 1/``PARTS`` of that side (and
-more than ``floor_rows``), so there are at most ``PARTS`` hot keys per side: the
-table that names them is bounded by construction and may be broadcast. Rows of
-a hot key are spread over the cells of an a x b grid: a left row goes to one grid
-row and every grid column, a right row to one grid column and every grid row.
-Each pair meets in exactly one cell, so the result is the plain inner join, while
-no cell holds more than about one part of either side.
+more than ``FLOOR_ROWS`` rows), so there are fewer than ``PARTS`` hot keys per
+side: the table that names them is bounded by construction and may be broadcast.
+Rows of a hot key are spread over the cells of an a x b grid: a left row goes to
+one grid row and every grid column, a right row to one grid column and every grid
+row. Each pair meets in exactly one cell, so the result is the plain inner join,
+while no cell holds much more than one part of either side.
 """
 
 from __future__ import annotations
@@ -19,28 +23,40 @@ FLOOR_ROWS = 1_000_000
 
 
 def hot_keys(
-    df: DataFrame, keys: list[str], out: str, parts: int = PARTS, floor_rows: int = FLOOR_ROWS
+    df: DataFrame, keys: list[str], ways: str, parts: int = PARTS, floor_rows: int = FLOOR_ROWS
 ) -> DataFrame:
-    """Hot keys of one side with the number of ways to split each.
+    """Hot keys of one side and the number of ways to split each.
 
-    One map-side-combined count; only the counts are shuffled.
+    A column-pruned scan and a map-side-combined count; only counts are shuffled.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
+    total = df.select(F.count(F.lit(1))).scalar()
     share = F.greatest(F.ceil(total / F.lit(parts)), F.lit(floor_rows))
-    return counts.where(F.col("_n") > share).select(
-        *keys, F.ceil(F.col("_n") / share).cast("int").alias(out)
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > share)
+        .select(*keys, F.ceil(F.col("_n") / share).cast("int").alias(ways))
     )
 
 
-def _salt(spread_by: list[str], ways: Column) -> Column:
-    return F.when(
-        ways > 1, F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), ways.cast("bigint")).cast("int")
-    ).otherwise(F.lit(0))
+def hot_splits(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+    """Grid size (``_a`` x ``_b``) per key that is hot on either side; fewer than
+    2 * ``PARTS`` rows. Give the base tables, not a derived join side: the counts
+    then cost one narrow scan each."""
+    one = F.lit(1)
+    a = hot_keys(left, keys, "_a", **bounds).withColumn("_b", one)
+    b = hot_keys(right, keys, "_b", **bounds).withColumn("_a", one)
+    return a.unionByName(b).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+
+
+def _salt(spread_by: list[str], ways: str) -> Column:
+    n = F.coalesce(F.col(ways), F.lit(1))
+    hashed = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), n.cast("bigint")).cast("int")
+    return F.when(n > 1, hashed).otherwise(F.lit(0))
 
 
-def _every(ways: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.coalesce(ways, F.lit(1)) - 1))
+def _every(ways: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(ways), F.lit(1)) - 1))
 
 
 def skew_join(
@@ -49,51 +65,26 @@ def skew_join(
     on: list[str],
     left_id: list[str],
     right_id: list[str],
-    parts: int = PARTS,
-    floor_rows: int = FLOOR_ROWS,
+    splits: DataFrame,
 ) -> DataFrame:
-    """Exact inner equi-join on ``on`` with hot keys split on both sides.
+    """Exact inner equi-join on ``on``, hot keys split on both sides.
 
-    ``left_id`` / ``right_id`` name columns that tell rows of a hot key apart;
-    the salt is a hash of them, so a re-run task places its rows the same way.
+    ``splits`` comes from ``hot_splits`` on some of the ``on`` columns. The salt
+    is a hash of the id columns, so a task that is run again places its rows the
+    same way.
     """
-    hot_left = hot_keys(left, on, "_a", parts, floor_rows)
-    hot_right = hot_keys(right, on, "_b", parts, floor_rows)
-    # At most 2 * parts rows: each side has fewer than ``parts`` keys above 1/parts.
-    hot = hot_left.join(hot_right, on, "full_outer").select(
-        *on, F.coalesce("_a", F.lit(1)).alias("_a"), F.coalesce("_b", F.lit(1)).alias("_b")
+    keys = [c for c in splits.columns if c not in ("_a", "_b")]
+    grid = F.broadcast(splits)
+    salted_left = (
+        left.join(grid, keys, "left")
+        .withColumn("_row", _salt(left_id, "_a"))
+        .withColumn("_col", _every("_b"))
+        .drop("_a", "_b")
     )
-    marked_left = left.join(F.broadcast(hot), on, "left")
-    marked_right = right.join(F.broadcast(hot), on, "left")
-    salted_left = marked_left.withColumn(
-        "_salt_a", _salt(left_id, F.coalesce(F.col("_a"), F.lit(1)))
-    ).withColumn("_salt_b", _every(F.col("_b")))
-    salted_right = marked_right.withColumn(
-        "_salt_b", _salt(right_id, F.coalesce(F.col("_b"), F.lit(1)))
-    ).withColumn("_salt_a", _every(F.col("_a")))
-    return salted_left.drop("_a", "_b").join(
-        salted_right.drop("_a", "_b"), [*on, "_salt_a", "_salt_b"]
-    ).drop("_salt_a", "_salt_b")
-
-
-def skew_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    left_id: list[str],
-    parts: int = PARTS,
-    floor_rows: int = FLOOR_ROWS,
-) -> DataFrame:
-    """Exact left join to a side with at most one row per key (a lookup table).
-
-    Only the left side can be hot; its hot keys are split and the one matching
-    row of each is repeated per split.
-    """
-    hot = F.broadcast(hot_keys(left, on, "_a", parts, floor_rows))
-    salted_left = left.join(hot, on, "left").withColumn(
-        "_salt_a", _salt(left_id, F.coalesce(F.col("_a"), F.lit(1)))
+    salted_right = (
+        right.join(grid, keys, "left")
+        .withColumn("_col", _salt(right_id, "_b"))
+        .withColumn("_row", _every("_a"))
+        .drop("_a", "_b")
     )
-    salted_right = right.join(hot, on, "left").withColumn("_salt_a", _every(F.col("_a")))
-    return salted_left.drop("_a").join(
-        salted_right.drop("_a"), [*on, "_salt_a"], "left"
-    ).drop("_salt_a")
+    return salted_left.join(salted_right, [*on, "_row", "_col"]).drop("_row", "_col")

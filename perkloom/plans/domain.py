@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache, cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,45 +27,50 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cache
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cache
     def raw(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, name, self.table)
 
-    @property
+    @cached_property
     def programs(self) -> DataFrame:
         return self.raw("fx_program")
 
-    @property
+    @cached_property
     def declared(self) -> DataFrame:
         return self.raw("fx_owned")
 
-    @property
+    @cached_property
     def owned(self) -> DataFrame:
         return ownership.owned_programs(self.declared, self.programs)
 
-    @property
+    @cached_property
     def merchants(self) -> DataFrame:
         return self.raw("fx_merchant").withColumn(
             "categories", F.array_compact(F.array("category"))
         )
 
-    @property
+    @cached_property
     def branches(self) -> DataFrame:
         return self.raw("fx_branch").withColumns(
             {"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double")}
         )
 
-    @property
+    @cached_property
     def venues(self) -> DataFrame:
         return self.raw("fx_venue").withColumns(
             {"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double"),
              "radius_m": F.col("radius_m").cast("int")}
         )
 
-    @property
+    @cached_property
     def venue_members(self) -> DataFrame:
         return self.raw("fx_venue_member")
 
-    @property
+    @cached_property
     def benefits(self) -> DataFrame:
         b = self.raw("fx_benefit")
         hours = F.when(
@@ -91,32 +98,32 @@ class Domain:
             "confidence_score", "reviewed_by_human",
         )
 
-    @property
+    @cached_property
     def contexts(self) -> DataFrame:
         return self.raw("fx_context").withColumn("now", at("now_s")).drop("now_s")
 
-    @property
+    @cached_property
     def muted(self) -> DataFrame:
         return self.raw("fx_muted")
 
-    @property
+    @cached_property
     def viewed(self) -> DataFrame:
         """(ctx_id, benefit_id): the benefits opened from a cart."""
         return self.raw("fx_viewed")
 
-    @property
+    @cached_property
     def interactions(self) -> DataFrame:
         return self.raw("fx_interaction").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    @property
+    @cached_property
     def fence_events(self) -> DataFrame:
         return self.raw("fx_fence_event").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    @property
+    @cached_property
     def positions(self) -> DataFrame:
         return self.raw("fx_position").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    @property
+    @cached_property
     def collected(self) -> DataFrame:
         c = self.raw("fx_collected")
         return c.select(
@@ -125,19 +132,19 @@ class Domain:
             at("verified_s").alias("verified_at"),
         )
 
-    @property
+    @cached_property
     def verdicts(self) -> DataFrame:
         return self.raw("fx_verdict").withColumn("checked_at", at("checked_s")).drop("checked_s")
 
-    @property
+    @cached_property
     def headlines(self) -> DataFrame:
         return self.raw("fx_headline")
 
-    @property
+    @cached_property
     def candidates(self) -> DataFrame:
         return self.raw("fx_candidate").withColumn("lists", F.array("list"))
 
-    @property
+    @cached_property
     def extracted(self) -> DataFrame:
         e = self.raw("fx_extracted")
         given = {"min_spend", "raw_text_summary"}
@@ -153,9 +160,6 @@ class Domain:
             conditions.alias("conditions"),
         )
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
 
 NOW_S = 1706781600
 UNIVERSAL = V.UNIVERSAL_MERCHANT

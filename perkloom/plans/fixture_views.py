@@ -7,6 +7,8 @@ only engine-specific piece is how the benefit keys are spread over regions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = [
@@ -77,7 +79,7 @@ SELECT k AS seq, 'b' || CAST(k AS STRING) AS id,
   CASE WHEN k % 10 = 0 THEN 'r' || CAST((k * 3) % 5 AS STRING)
     ELSE 'n' || CAST((k * 13) % 25 AS STRING) END AS program_id,
   CASE WHEN k % 997 = 0 THEN 'any_merchant'
-    ELSE 's' || CAST((k * 31) % ns AS STRING) END AS merchant_id,
+    ELSE 's' || CAST((k * 31 + CAST(floor(k / 100) AS BIGINT)) % ns AS STRING) END AS merchant_id,
   CASE (k * 7) % 5 WHEN 0 THEN 'percent' WHEN 1 THEN 'fixed' WHEN 2 THEN 'bogo'
     WHEN 3 THEN 'cashback' ELSE 'gift_card' END AS type,
   CAST(CASE (k * 7) % 5 WHEN 0 THEN 1.0 + k % 40 WHEN 3 THEN 1.0 + k % 12 WHEN 2 THEN 0.0
@@ -198,13 +200,9 @@ def view_sql(name: str, engine: str) -> str:
     return VIEWS[name].replace("%BENEFIT_KEYS%", BENEFIT_KEYS[engine]).strip()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, name: str, table: Callable[[str], DataFrame]) -> DataFrame:
     text = view_sql(name, "spark")
-    used = {t: read_table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    used = {t: table(t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 

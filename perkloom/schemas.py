@@ -2,73 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-CONDITIONS = T.StructType.fromDDL(
-    "min_spend double, max_discount double, valid_days array<int>, "
-    "valid_hours struct<`from`: string, `to`: string>, channel string, "
-    "stacks_with_club boolean, exclusions array<string>, raw_text_summary string, "
-    "usage_limit string, requires_voucher boolean"
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
 )
 
-BENEFIT = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("program_id", T.StringType(), False),
-        T.StructField("merchant_id", T.StringType(), False),
-        T.StructField("merchant_name", T.StringType(), False),
-        T.StructField("google_place_id", T.StringType()),
-        T.StructField("type", T.StringType(), False),
-        T.StructField("value", T.DoubleType(), False),
-        T.StructField("conditions", CONDITIONS, False),
-        T.StructField("valid_from", T.TimestampType()),
-        T.StructField("valid_until", T.TimestampType()),
-        T.StructField("source_url", T.StringType(), False),
-        T.StructField("last_verified_at", T.TimestampType()),
-        T.StructField("confidence_score", T.DoubleType(), False),
-        T.StructField("reviewed_by_human", T.BooleanType(), False),
-    ]
+STR, DBL, INT, BIG, FLAG, TS = (
+    StringType(), DoubleType(), IntegerType(), LongType(), BooleanType(), TimestampType(),
 )
+STRS = ArrayType(STR)
 
-PROGRAM = T.StructType.fromDDL(
-    "id string, name string, category string, catalog_url string, hint string, parent_id string"
-)
-MERCHANT = T.StructType.fromDDL(
-    "id string, name string, domains array<string>, venue_ids array<string>, "
-    "branches array<struct<lat: double, lng: double>>, categories array<string>"
-)
-VENUE = T.StructType.fromDDL(
-    "id string, name string, city string, lat double, lng double, radius_m int"
+
+def _struct(required: tuple[str, ...] = (), **fields: DataType) -> StructType:
+    return StructType([StructField(n, t, n not in required) for n, t in fields.items()])
+
+
+HOURS = StructType([StructField("from", STR), StructField("to", STR)])
+CONDITIONS = _struct(
+    min_spend=DBL, max_discount=DBL, valid_days=ArrayType(INT), valid_hours=HOURS, channel=STR,
+    stacks_with_club=FLAG, exclusions=STRS, raw_text_summary=STR, usage_limit=STR,
+    requires_voucher=FLAG,
 )
-PROFILE = T.StructType.fromDDL(
-    "user_id bigint, program_ids array<string>, muted_benefit_ids array<string>, "
-    "notifications_enabled boolean, onboarded_at timestamp"
+BENEFIT = _struct(
+    id=STR, program_id=STR, merchant_id=STR, merchant_name=STR, google_place_id=STR, type=STR,
+    value=DBL, conditions=CONDITIONS, valid_from=TS, valid_until=TS, source_url=STR,
+    last_verified_at=TS, confidence_score=DBL, reviewed_by_human=FLAG,
 )
-COLLECTED = T.StructType.fromDDL(
-    "site string, category string, offer_url string, merchant_name string, "
-    "listing_headline string, sections map<string,string>, terms_text string, "
-    "content_hash string, warning string, verified_at timestamp"
+PROGRAM = _struct(id=STR, name=STR, category=STR, catalog_url=STR, hint=STR, parent_id=STR)
+MERCHANT = _struct(
+    id=STR, name=STR, domains=STRS, venue_ids=STRS,
+    branches=ArrayType(_struct(lat=DBL, lng=DBL)), categories=STRS,
 )
-EXTRACTED = T.StructType.fromDDL(
-    "merchant_name string, type string, value double, source_url string, valid_from string, "
-    "valid_until string, confidence_score double, confidence_reason string"
-).add("conditions", CONDITIONS)
-EXTRACTION_RESULT = (
-    T.StructType().add("page_summary", T.StringType()).add("benefits", T.ArrayType(EXTRACTED))
+VENUE = _struct(id=STR, name=STR, city=STR, lat=DBL, lng=DBL, radius_m=INT)
+PROFILE = _struct(
+    user_id=BIG, program_ids=STRS, muted_benefit_ids=STRS, notifications_enabled=FLAG,
+    onboarded_at=TS,
 )
-CANDIDATE = T.StructType.fromDDL(
-    "easy_id string, name string, easy_category string, address string, city string, "
-    "lat double, lng double, lists array<string>"
+COLLECTED = _struct(
+    site=STR, category=STR, offer_url=STR, merchant_name=STR, listing_headline=STR,
+    sections=MapType(STR, STR), terms_text=STR, content_hash=STR, warning=STR, verified_at=TS,
 )
-REVIEW_ITEM = (
-    T.StructType()
-    .add("benefit", BENEFIT)
-    .add("reason", T.StringType())
-    .add("queued_at", T.TimestampType())
+EXTRACTED = _struct(
+    merchant_name=STR, type=STR, value=DBL, source_url=STR, valid_from=STR, valid_until=STR,
+    confidence_score=DBL, confidence_reason=STR, conditions=CONDITIONS,
 )
-INTERACTION = T.StructType.fromDDL(
-    "event_id bigint, user_id bigint, ts timestamp, kind string"
+EXTRACTION_RESULT = _struct(page_summary=STR, benefits=ArrayType(EXTRACTED))
+CANDIDATE = _struct(
+    easy_id=STR, name=STR, easy_category=STR, address=STR, city=STR, lat=DBL, lng=DBL, lists=STRS
 )
-FENCE_EVENT = T.StructType.fromDDL(
-    "event_id bigint, user_id bigint, ts timestamp, fence_id string, kind string, match_count bigint"
+REVIEW_ITEM = _struct(benefit=BENEFIT, reason=STR, queued_at=TS)
+INTERACTION = _struct(event_id=BIG, user_id=BIG, ts=TS, kind=STR)
+FENCE_EVENT = _struct(
+    event_id=BIG, user_id=BIG, ts=TS, fence_id=STR, kind=STR, match_count=BIG
 )
