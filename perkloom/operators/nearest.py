@@ -1,13 +1,13 @@
 """The k nearest fences of every position, exactly, without comparing all pairs.
 
-Sites are kept in a tree of cubes (``FANOUT`` times longer edges per level).
-Positions are grouped by their smallest cube, and each *occupied* cube walks down
-the tree once: at every level it keeps the site cubes that could still hold one of
-its k nearest fences. A cube is dropped when its nearest corner is farther than a
-distance within which k fences certainly lie. What remains at the bottom is a short
-list of sites per position cube, and only those are measured against positions.
-An isolated position simply walks with longer distances; a dense town with more,
-smaller cubes. Neither is ever compared with the whole catalog.
+Sites and positions are both kept in a tree of cubes (edges ``FANOUT`` times longer
+per level). The walk goes down both trees at once: a frontier row pairs a position
+cube with a site cube that may still hold one of its k nearest fences. A site cube
+is dropped when its nearest corner is farther than a distance within which k fences
+certainly lie, so each position cube keeps a few dozen site cubes whatever the size
+of the catalog. Upper levels have few cubes; only *occupied* smallest cubes reach
+the bottom, and there positions are measured against a short list of sites. An
+isolated position simply walks with longer distances.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from perkloom.functions import fixed_values as V
 from perkloom.functions import spherefn
 from perkloom.operators.skew import hot_splits, skew_join
 
-BASE_SIDE_M = 256.0
-FANOUT_BITS = 3
-# Edge of the top cube exceeds the planet's diameter: 256 m * 8**6 > 2 R.
-TOP = 6
+BASE_SIDE_M = 64.0
+FANOUT_BITS = 2
+# Edge of the top cube exceeds the planet's diameter: 64 m * 4**9 > 2 R.
+TOP = 9
 AXES = spherefn.AXES
 
 
@@ -30,7 +30,7 @@ def _base(df: DataFrame, prefix: str) -> DataFrame:
     """Adds the smallest-cube index per axis."""
     at = spherefn.axes(F.col("lat"), F.col("lng"))
     return df.withColumns(
-        {f"{prefix}{a}": spherefn.axis_cell(at[a], BASE_SIDE_M) for a in AXES}
+        {prefix + a: spherefn.axis_cell(at[a], BASE_SIDE_M) for a in AXES}
     )
 
 
@@ -42,19 +42,13 @@ def _cube(prefix: str, level: int) -> Column:
     return spherefn.pack(*(_up(prefix + a, level) for a in AXES))
 
 
-def _reach(level: int, outer: bool) -> Column:
-    """Nearest (or farthest) chord between a position cube and a site cube."""
-    half = BASE_SIDE_M / 2
-    site_side = BASE_SIDE_M * (1 << (FANOUT_BITS * level))
-    slack = half + site_side / 2
-    total = None
+def _chord(level: int, apart: int) -> Column:
+    """Nearest (``apart`` = -1) or farthest (+1) distance of two cubes of a level."""
+    side = F.lit(BASE_SIDE_M * (1 << (FANOUT_BITS * level)))
+    total = F.lit(0.0)
     for a in AXES:
-        gap = F.abs(
-            (F.col("p" + a) + F.lit(0.5)) * F.lit(BASE_SIDE_M)
-            - (F.col("s" + a) + F.lit(0.5)) * F.lit(site_side)
-        )
-        d = gap + F.lit(slack) if outer else F.greatest(F.lit(0.0), gap - F.lit(slack))
-        total = d * d if total is None else total + d * d
+        steps = F.greatest(F.lit(0), F.abs(F.col("p" + a) - F.col("s" + a)) + apart)
+        total = total + F.pow(steps * side, F.lit(2.0))
     return F.sqrt(total)
 
 
@@ -83,46 +77,61 @@ def fence_sites(venues: DataFrame, merchants: DataFrame, branches: DataFrame) ->
     return malls.unionByName(shops)
 
 
-def _level_cubes(sites: DataFrame, level: int) -> DataFrame:
+def _site_cubes(sites: DataFrame, level: int) -> DataFrame:
     """Occupied cubes of one level with their fence count and their parent."""
     at = [_up("b" + a, level).alias("s" + a) for a in AXES]
-    parent = _cube("b", level + 1).alias("parent")
-    return sites.groupBy(*at, parent).agg(F.sum("first").alias("fences"))
+    return sites.groupBy(*at, _cube("b", level + 1).alias("s_parent")).agg(
+        F.sum("first").alias("fences")
+    )
+
 
+def _position_cubes(cells: DataFrame, level: int) -> DataFrame:
+    at = [_up("b" + a, level).alias("p" + a) for a in AXES]
+    return cells.select(*at, _cube("b", level + 1).alias("p_parent")).distinct()
 
-def _narrow(frontier: DataFrame, level: int, k: int) -> DataFrame:
-    """Drop cubes that cannot hold one of the k nearest fences."""
-    own = Window.partitionBy("cell")
+
+def _narrow(pairs: DataFrame, level: int, k: int) -> DataFrame:
+    """Drop site cubes that cannot hold one of the k nearest fences."""
+    own = Window.partitionBy("p_cube")
     by_far = own.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    measured = frontier.withColumns(
-        {"near": _reach(level, outer=False), "far": _reach(level, outer=True)}
+    measured = pairs.withColumns(
+        {
+            "p_cube": spherefn.pack(*(F.col("p" + a) for a in AXES)),
+            "s_cube": spherefn.pack(*(F.col("s" + a) for a in AXES)),
+            "near": _chord(level, -1),
+            "far": _chord(level, +1),
+        }
     )
-    enough = measured.withColumn("_sum", F.sum("fences").over(by_far)).withColumn(
+    bounded = measured.withColumn("_sum", F.sum("fences").over(by_far)).withColumn(
         "_bound", F.min(F.when(F.col("_sum") >= k, F.col("far"))).over(own)
     )
     keep = F.col("_bound").isNull() | (F.col("near") <= F.col("_bound") + F.lit(spherefn.SLACK_M))
-    return enough.where(keep).drop("near", "far", "fences", "_sum", "_bound")
+    return bounded.where(keep).select(
+        F.col("p_cube").alias("p_parent"), F.col("s_cube").alias("s_parent")
+    )
 
 
-def candidate_sites(positions: DataFrame, sites: DataFrame, k: int) -> DataFrame:
-    """(cell, site...) that can matter to any position in the cube."""
-    placed = _base(sites, "b")
-    cells = (
-        _base(positions.where("lat IS NOT NULL AND lng IS NOT NULL"), "p")
-        .select("px", "py", "pz")
-        .distinct()
-        .withColumn("cell", _cube("p", 0))
-    )
-    frontier = cells.withColumn("parent", F.lit(0).cast("bigint"))
+def candidate_sites(cells: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(cell, site...) that can matter to any position in the cell.
+
+    ``cells``: distinct smallest cubes of the positions; ``placed``: the sites with
+    theirs.
+    """
+    frontier = None
     for level in range(TOP - 1, -1, -1):
-        met = frontier.join(_level_cubes(placed, level), "parent").drop("parent")
-        frontier = _narrow(met, level, k).withColumn(
-            "parent", spherefn.pack(F.col("sx"), F.col("sy"), F.col("sz"))
-        ).drop("sx", "sy", "sz")
-    leaf = placed.withColumn("parent", _cube("b", 0)).drop("bx", "by", "bz")
-    return frontier.select("cell", "parent").join(
-        leaf.withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"}), "parent"
-    ).drop("parent")
+        p, s = _position_cubes(cells, level), _site_cubes(placed, level)
+        if frontier is None:
+            # All of these lie in the one top cube, which has at most 4**3 children.
+            met = p.join(s, F.col("p_parent") == F.col("s_parent"))
+        else:
+            met = frontier.join(p, "p_parent").join(s, "s_parent")
+        frontier = _narrow(met, level, k)
+    leaf = placed.withColumn("s_parent", _cube("b", 0)).drop("bx", "by", "bz")
+    return (
+        frontier.withColumnRenamed("p_parent", "cell")
+        .join(leaf.withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"}), "s_parent")
+        .drop("s_parent")
+    )
 
 
 def nearest_fences(
@@ -136,14 +145,15 @@ def nearest_fences(
 ) -> DataFrame:
     """The ``limit`` nearest fences per position: one per venue and one per
     merchant, at its nearest branch. Ties: venues first, then catalog order."""
-    sites = fence_sites(venues, merchants, branches)
-    placed = _base(positions.where("lat IS NOT NULL AND lng IS NOT NULL"), "p").withColumn(
-        "cell", _cube("p", 0)
-    ).select(position_id, "lat", "lng", "cell")
-    short_list = candidate_sites(positions, sites, limit)
+    known = _base(positions.where("lat IS NOT NULL AND lng IS NOT NULL"), "b")
+    cells = known.select("bx", "by", "bz").distinct()
+    short_list = candidate_sites(
+        cells, _base(fence_sites(venues, merchants, branches), "b"), limit
+    )
+    placed = known.select(position_id, "lat", "lng", _cube("b", 0).alias("cell"))
+    crowded = hot_splits(placed, placed.limit(0), ["cell"], **bounds)
     pairs = skew_join(
-        placed, short_list, ["cell"], [position_id], ["fence_id", "branch_no"],
-        hot_splits(placed, short_list.limit(0), ["cell"], **bounds),
+        placed, short_list, ["cell"], [position_id], ["fence_id", "branch_no"], crowded
     ).withColumn(
         "distance_m",
         spherefn.haversine_m(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng")),
