@@ -151,7 +151,7 @@ def nearest_fences(
         cells, _base(fence_sites(venues, merchants, branches), "b"), limit
     )
     placed = known.select(position_id, "lat", "lng", _cube("b", 0).alias("cell"))
-    crowded = hot_splits(placed, placed.limit(0), ["cell"], **bounds)
+    crowded = hot_splits(placed, None, ["cell"], **bounds)
     pairs = skew_join(
         placed, short_list, ["cell"], [position_id], ["fence_id", "branch_no"], crowded
     ).withColumn(

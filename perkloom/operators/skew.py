@@ -39,14 +39,22 @@ def hot_keys(
     )
 
 
-def hot_splits(left: DataFrame, right: DataFrame, keys: list[str], **bounds) -> DataFrame:
+def hot_splits(
+    left: DataFrame | None, right: DataFrame | None, keys: list[str], **bounds
+) -> DataFrame:
     """Grid size (``_a`` x ``_b``) per key that is hot on either side; fewer than
-    2 * ``PARTS`` rows. Give the base tables, not a derived join side: the counts
-    then cost one narrow scan each."""
+    2 * ``PARTS`` rows. Give base tables, not derived join sides, so that the counts
+    cost one narrow scan each; a side given as None is left to adaptive execution."""
     one = F.lit(1)
-    a = hot_keys(left, keys, "_a", **bounds).withColumn("_b", one)
-    b = hot_keys(right, keys, "_b", **bounds).withColumn("_a", one)
-    return a.unionByName(b).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    sides = []
+    if left is not None:
+        sides.append(hot_keys(left, keys, "_a", **bounds).withColumn("_b", one))
+    if right is not None:
+        sides.append(hot_keys(right, keys, "_b", **bounds).withColumn("_a", one))
+    if len(sides) == 1:
+        return sides[0]
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
 
 
 def _salt(spread_by: list[str], ways: str) -> Column:

@@ -55,16 +55,11 @@ class Domain:
 
     @cached_property
     def branches(self) -> DataFrame:
-        return self.raw("fx_branch").withColumns(
-            {"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double")}
-        )
+        return self.raw("fx_branch")
 
     @cached_property
     def venues(self) -> DataFrame:
-        return self.raw("fx_venue").withColumns(
-            {"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double"),
-             "radius_m": F.col("radius_m").cast("int")}
-        )
+        return self.raw("fx_venue").withColumn("radius_m", F.col("radius_m").cast("int"))
 
     @cached_property
     def venue_members(self) -> DataFrame:

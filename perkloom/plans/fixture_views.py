@@ -50,24 +50,26 @@ SELECT s_suppkey AS seq, 's' || CAST(s_suppkey AS STRING) AS id, s_name AS name,
 FROM {supplier}""",
     "fx_branch": """
 SELECT 's' || CAST(s_suppkey AS STRING) AS merchant_id, 0 AS branch_no,
-  CASE WHEN s_suppkey % 5 = 0 THEN 29.6 + (s_suppkey % 10) * 0.37 + (s_suppkey % 40) * 0.0001
-    ELSE 29.5 + ((s_suppkey * 7919) % 38000) / 10000.0 END AS lat,
-  CASE WHEN s_suppkey % 5 = 0 THEN 34.4 + (s_suppkey % 10) * 0.14
-    ELSE 34.3 + ((s_suppkey * 6101) % 15000) / 10000.0 END AS lng
+  CAST(CASE WHEN s_suppkey % 5 = 0
+    THEN 29.6 + (s_suppkey % 10) * 0.37 + (s_suppkey % 40) * 0.0001
+    ELSE 29.5 + ((s_suppkey * 7919) % 38000) / 10000.0 END AS DOUBLE) AS lat,
+  CAST(CASE WHEN s_suppkey % 5 = 0 THEN 34.4 + (s_suppkey % 10) * 0.14
+    ELSE 34.3 + ((s_suppkey * 6101) % 15000) / 10000.0 END AS DOUBLE) AS lng
 FROM {supplier} WHERE s_suppkey % 17 <> 1
 UNION ALL
 SELECT 's' || CAST(s_suppkey AS STRING), 1,
-  29.5 + ((s_suppkey * 7919 + 104729) % 38000) / 10000.0,
-  34.3 + ((s_suppkey * 6101 + 7993) % 15000) / 10000.0
+  CAST(29.5 + ((s_suppkey * 7919 + 104729) % 38000) / 10000.0 AS DOUBLE),
+  CAST(34.3 + ((s_suppkey * 6101 + 7993) % 15000) / 10000.0 AS DOUBLE)
 FROM {supplier} WHERE s_suppkey % 3 >= 1 AND s_suppkey % 17 <> 1
 UNION ALL
 SELECT 's' || CAST(s_suppkey AS STRING), 2,
-  29.5 + ((s_suppkey * 7919 + 2 * 104729) % 38000) / 10000.0,
-  34.3 + ((s_suppkey * 6101 + 2 * 7993) % 15000) / 10000.0
+  CAST(29.5 + ((s_suppkey * 7919 + 2 * 104729) % 38000) / 10000.0 AS DOUBLE),
+  CAST(34.3 + ((s_suppkey * 6101 + 2 * 7993) % 15000) / 10000.0 AS DOUBLE)
 FROM {supplier} WHERE s_suppkey % 3 >= 2 AND s_suppkey % 17 <> 1""",
     "fx_venue": """
 SELECT 'v' || CAST(n_nationkey AS STRING) AS id, n_name AS name, n_nationkey AS seq,
-  29.6 + n_nationkey * 0.37 AS lat, 34.4 + n_nationkey * 0.14 AS lng,
+  CAST(29.6 + n_nationkey * 0.37 AS DOUBLE) AS lat,
+  CAST(34.4 + n_nationkey * 0.14 AS DOUBLE) AS lng,
   200 + (n_nationkey % 3) * 100 AS radius_m
 FROM {nation} WHERE n_nationkey < 10""",
     "fx_venue_member": """
