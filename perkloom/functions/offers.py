@@ -13,7 +13,7 @@ QUOTED = ('"[^"]*"', "״[^״]*״")
 
 def _wide(pattern: str) -> str:
     """White space in the vocabularies includes the no-break space."""
-    return pattern.replace(r"\s", r"[\s ]")
+    return pattern.replace(r"\s", r"[\s\u00a0]")
 
 
 def says(text: Column, pattern: str) -> Column:

@@ -104,7 +104,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)</(p|div|li|tr|h[1-6]|section|article|br)\s*>", "\n")
     out = decode_entities(F.regexp_replace(out, r"<[^>]+>", " "))
-    out = F.regexp_replace(out, "[ \t ]+", " ")
+    out = F.regexp_replace(out, r"[ \t\u00a0]+", " ")
     out = F.array_join(F.transform(F.split(out, "\n"), trim_all), "\n")
     return trim_all(F.regexp_replace(out, r"\n\s*\n\s*\n+", "\n\n"))
 

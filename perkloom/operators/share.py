@@ -21,16 +21,16 @@ def merchant_of_host(hosts: DataFrame, domains: DataFrame, **bounds) -> DataFram
     parts = hosts.select("host").distinct().withColumn(
         "_domain", F.explode(host_suffixes(F.col("host")))
     )
-    known = domains.select(
-        bare_domain(F.col("domain")).alias("_domain"), "merchant_id",
-        F.length("domain").alias("_length"), "seq",
+    # However many merchants state a domain, only the winner of it is joined.
+    owner = F.struct((-F.length("domain")).alias("short"), "seq", "merchant_id")
+    owners = domains.groupBy(bare_domain(F.col("domain")).alias("_domain")).agg(
+        F.min(owner).alias("_owner")
     )
     met = skew_join(
-        parts, known, ["_domain"], ["host"], ["merchant_id"],
+        parts, owners, ["_domain"], ["host"], ["_domain"],
         hot_splits(parts, None, ["_domain"], **bounds),
     )
-    best = F.struct((-F.col("_length")).alias("short"), "seq", "merchant_id")
-    return met.groupBy("host").agg(F.min(best).alias("_best")).select(
+    return met.groupBy("host").agg(F.min("_owner").alias("_best")).select(
         "host", F.col("_best.merchant_id").alias("merchant_id")
     )
 

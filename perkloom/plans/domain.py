@@ -155,6 +155,14 @@ class Domain:
             conditions.alias("conditions"),
         )
 
+    @cached_property
+    def domains(self) -> DataFrame:
+        return self.raw("fx_domain")
+
+    @cached_property
+    def shares(self) -> DataFrame:
+        return self.raw("fx_share").withColumn("now", at("now_s")).drop("now_s")
+
 
 NOW_S = 1706781600
 UNIVERSAL = V.UNIVERSAL_MERCHANT

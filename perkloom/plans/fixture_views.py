@@ -194,6 +194,34 @@ SELECT doc_id AS line_no, source AS program_id,
   'reason ' || CAST(doc_id % 4 AS STRING) AS confidence_reason,
   'https://offers.example/' || CAST(doc_id AS STRING) AS source_url,
   SUBSTRING(text, 1, 40) AS raw_text_summary
+FROM {documents}""",
+    "fx_domain": """
+SELECT seq, 's' || CAST(seq % (SELECT COUNT(*) FROM {supplier}) AS STRING) AS merchant_id,
+  CASE WHEN seq % 5 = 0 THEN host ELSE regexp_extract(host, '([^.]+[.][^.]+)$', 1) END AS domain
+FROM (SELECT page_id AS seq, regexp_extract(url, 'https?://([^/?#]+)', 1) AS host
+  FROM {pages}) q
+WHERE seq % 10 = 2 OR seq % 5 = 0""",
+    "fx_share": """
+SELECT page_id AS ctx_id, page_id % 150 AS user_id, 1706781600 + (page_id % 168) * 3600 AS now_s,
+  CASE page_id % 4 WHEN 0 THEN 'look: ' || url || ' !' WHEN 1 THEN upper(url)
+    WHEN 2 THEN url ELSE 'no link here' END AS text
+FROM {pages}""",
+    # Discount lists as named by their site, one per document source and case.
+    "fx_list_title": """
+SELECT doc_id AS seq, CASE doc_id % 8 WHEN 0 THEN 'Fly-Card' WHEN 1 THEN 'HAPPY-hour'
+    WHEN 2 THEN 'My-MAX' WHEN 3 THEN 'TAU' WHEN 4 THEN 'Yours-Club'
+    WHEN 5 THEN 'shopClub' || CAST(doc_id % 40 AS STRING)
+    WHEN 6 THEN 'Teachers-' || source ELSE 'Behatsdaa' END AS slug,
+  CASE doc_id % 8 WHEN 2 THEN 'My MAX' WHEN 6 THEN 'מורים ' || source
+    ELSE 'List ' || CAST(doc_id % 40 AS STRING) END AS title
+FROM {documents}""",
+    "fx_listing": """
+SELECT doc_id AS id, source AS list, 'biz ' || CAST(doc_id % 300 AS STRING) AS bizname,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN SUBSTRING(text, 1, 60)
+    WHEN 2 THEN CAST(doc_id % 60 AS STRING) || '% off' WHEN 3 THEN 'חנות • 1 + 1'
+    ELSE 'מתנה לחברים' END AS bestsubcat,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'street ' || CAST(doc_id % 90 AS STRING) END AS address
 FROM {documents}""",
 }
 
