@@ -55,7 +55,7 @@ def day_edge(text: Column, edge: str, zone: str = V.LOCAL_ZONE) -> Column:
     a clock change keeps its true length. Anything that is not a bare, real date
     gives null.
     """
-    date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
     if edge == "start":
         return _local_midnight(date, zone)
     return _local_midnight(F.date_add(date, 1), zone) - F.expr("INTERVAL 1 MILLISECOND")

@@ -386,12 +386,12 @@ _INCOMING = f"""inc AS (SELECT id, seq, value, FALSE AS flag, 0 AS chg, * EXCLUD
   FROM fx_benefit WHERE seq % 6 = 0
   UNION ALL SELECT 'n' || id, seq, value, seq % 100 = 0, 0, * EXCLUDE (id, seq, value)
   FROM fx_benefit WHERE seq % 50 = 0)"""
-_PROOF = f"""proven AS (SELECT offer_url, max(verified_s) AS at FROM col
+_PROOF = f"""proven AS (SELECT offer_url, max(verified_s) AS ord FROM col
   WHERE verified_s > {NOW_S} - 7 * 86400 GROUP BY ALL),
 verdict AS (SELECT DISTINCT offer_url, state FROM fx_verdict WHERE state IN ('live', 'gone')),
 applied AS (SELECT c.line_no, c.category, CASE WHEN v.state = 'gone' THEN 'removed'
-    WHEN v.state = 'live' THEN 'live' WHEN p.at IS NOT NULL THEN 'proven' ELSE 'unproven' END AS outcome,
-    CASE WHEN v.state = 'live' THEN {NOW_S} ELSE COALESCE(p.at, c.verified_s) END * 1000 AS verified_ms
+    WHEN v.state = 'live' THEN 'live' WHEN p.ord IS NOT NULL THEN 'proven' ELSE 'unproven' END AS outcome,
+    CASE WHEN v.state = 'live' THEN {NOW_S} ELSE COALESCE(p.ord, c.verified_s) END * 1000 AS verified_ms
   FROM col c LEFT JOIN proven p USING (offer_url) LEFT JOIN verdict v USING (offer_url))"""
 _QUALITY = duckdb_cte(
     ["fx_benefit", "fx_program", "fx_merchant", "fx_venue", "fx_venue_member", "fx_branch", "fx_domain"]
@@ -420,8 +420,8 @@ QUALIFY row_number() OVER (PARTITION BY offer_url ORDER BY line_no DESC) = 1""",
     ),
     "list_records": _with(
         _COLLECTED, duckdb_cte(["fx_program"]),
-        select="""SELECT line_no, category AS list, p.id AS program_id
-FROM col JOIN fx_program p ON p.id LIKE 'r%' AND category = 'src' || substr(p.id, 2)""",
+        select="""SELECT line_no, c.category AS list, p.id AS program_id
+FROM col c JOIN fx_program p ON p.id LIKE 'r%' AND c.category = 'src' || substr(p.id, 2)""",
     ),
     "listing_records": _with(
         duckdb_cte(["fx_listing"]),
@@ -472,35 +472,35 @@ gated AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.flag AND
     WHEN confidence_score >= 0.85 THEN 'publish' ELSE 'review' END AS outcome FROM rows r
   WHERE NOT (type IN ('percent', 'cashback') AND value > 100) AND confidence_score <= 1
     AND raw_text_summary <> ''),
-both_ AS (SELECT id, -1 AS at, flag, terms, confidence_score FROM stored
+both_ AS (SELECT id, -1 AS ord, flag, terms, confidence_score FROM stored
   UNION ALL SELECT id, line_no, FALSE, terms, confidence_score FROM gated WHERE outcome <> 'review'),
-catalog AS (SELECT id, min_by(flag, at) AND min(terms) = max(terms) AS reviewed_by_human,
-  max_by(confidence_score, at) AS confidence_score FROM both_ GROUP BY id),
-q AS (SELECT id, -1 AS at, FALSE AS flag, confidence_score FROM rows WHERE line_no % 9 = 0
+catalog AS (SELECT id, min_by(flag, ord) AND min(terms) = max(terms) AS reviewed_by_human,
+  max_by(confidence_score, ord) AS confidence_score FROM both_ GROUP BY id),
+q AS (SELECT id, -1 AS ord, FALSE AS flag, confidence_score FROM rows WHERE line_no % 9 = 0
     AND id NOT IN (SELECT id FROM gated WHERE outcome <> 'approved')
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no DESC) = 1
   UNION ALL SELECT id, line_no, FALSE, confidence_score FROM gated WHERE outcome = 'review')""",
         select="""SELECT id, 'catalog' AS place, reviewed_by_human, round(confidence_score, 4) AS confidence_score
 FROM catalog
-UNION ALL SELECT id, 'queue', FALSE, round(max_by(confidence_score, at), 4) FROM q
+UNION ALL SELECT id, 'queue', FALSE, round(max_by(confidence_score, ord), 4) FROM q
 WHERE id NOT IN (SELECT id FROM catalog) GROUP BY id""",
     ),
     "merge_catalog": _with(
         _B, _INCOMING,
-        f"""u AS (SELECT id, -1 AS at, value, reviewed_by_human AS flag, last_verified_s AS v, 0 AS chg
+        f"""u AS (SELECT id, -1 AS ord, value, reviewed_by_human AS flag, last_verified_s AS v, 0 AS chg
   FROM fx_benefit UNION ALL SELECT id, seq, value, flag, {NOW_S}, chg FROM inc)""",
-        select="""SELECT id, max_by(value, at) AS value, min_by(flag, at) AND max(chg) = 0 AS reviewed_by_human,
-  CASE WHEN count(*) = 1 THEN any_value(v) ELSE arg_max(v, at) END * 1000 AS verified_ms
+        select="""SELECT id, max_by(value, ord) AS value, min_by(flag, ord) AND max(chg) = 0 AS reviewed_by_human,
+  CASE WHEN count(*) = 1 THEN any_value(v) ELSE arg_max(v, ord) END * 1000 AS verified_ms
 FROM u GROUP BY id""",
     ),
     "merge_queue": _with(
         _B, _INCOMING,
         """published AS (SELECT id FROM fx_benefit WHERE seq % 5 = 0
   UNION SELECT id FROM inc WHERE confidence_score >= 0.85),
-q AS (SELECT id, 'old' AS reason, value, -1 AS at FROM fx_benefit
+q AS (SELECT id, 'old' AS reason, value, -1 AS ord FROM fx_benefit
     WHERE seq % 4 = 0 AND id NOT IN (SELECT id FROM inc)
   UNION ALL SELECT id, 'new', value, seq FROM inc WHERE confidence_score < 0.85)""",
-        select="""SELECT id, max_by(reason, at) AS reason, max_by(value, at) AS value FROM q
+        select="""SELECT id, max_by(reason, ord) AS reason, max_by(value, ord) AS value FROM q
 WHERE id NOT IN (SELECT id FROM published) GROUP BY id""",
     ),
     "run_report": """SELECT source AS program_id, count(*) FILTER (doc_id % 5 = 0) AS scraped,
