@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from perkloom.functions import fixed_values as V
 from perkloom.functions.text import trim_all
@@ -45,7 +46,7 @@ def _decode_one(body, label: str):
     return bytes(body).decode(name, errors="replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series([_decode_one(b, c) for b, c in zip(body, label)])
 
@@ -127,7 +128,7 @@ def _leaves(node, out: dict) -> None:
                 _leaves(item, out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _string_leaves(blocks: pd.Series) -> pd.Series:
     def read(texts):
         out: dict[str, None] = {}
