@@ -55,61 +55,23 @@ def deal_segment(text: Column) -> Column:
     )
 
 
-def read_headline(headline: Column) -> dict[str, Column]:
-    """``type, value, confidence_score, confidence_reason, valid_until, channel,
-    requires_voucher, summary``; ``type`` is null when no value can be read.
-
-    Unstated conditions stay null. Figures inside quotes belong to a product name.
-    """
-    text = trim_all(F.coalesce(headline, F.lit("")))
-    deal = F.when(text != "", deal_segment(text))
-    plain = deal
+def plain_text(deal: Column) -> Column:
+    """The deal without quoted spans: figures there belong to a product name."""
     for quoted in QUOTED:
-        plain = F.regexp_replace(plain, quoted, " ")
-    percent_text = F.regexp_extract(plain, _wide(V.PERCENT_FIGURE), 1)
-    percent = F.when(percent_text != "", percent_text.cast("double"))
+        deal = F.regexp_replace(deal, quoted, " ")
+    return deal
+
+
+def percent_figure(plain: Column) -> Column:
+    return F.nullif(F.regexp_extract(plain, _wide(V.PERCENT_FIGURE), 1), F.lit(""))
+
+
+def shekel_figure(plain: Column) -> Column:
     sums = [F.regexp_extract(plain, _wide(V.SHEKEL_FIGURE), i) for i in (1, 2)]
-    shekel = F.coalesce(*[F.when(s != "", s.cast("double")) for s in sums])
-    several = F.regexp_count(text, F.lit(_wide(V.SHEKEL_EACH))) > 1
-    ambiguous = several | text.contains(V.FROM_WORDS)
-
-    bogo = deal.isNotNull() & says(text, V.BOGO_WORDS)
-    implausible = (percent <= 0) | (percent > 100)
-    up_to = says(plain, V.UP_TO_WORDS)
-    cashback = says(deal, V.CASHBACK_WORDS)
-    voucher = says(text, V.VOUCHER_WORDS)
-
-    def ladder(on_bogo, on_implausible, on_up_to, on_percent, on_ambiguous, on_shekel) -> Column:
-        return (
-            F.when(deal.isNull(), F.lit(None))
-            .when(bogo, on_bogo)
-            .when(implausible, on_implausible)
-            .when(percent.isNotNull() & up_to, on_up_to)
-            .when(percent.isNotNull(), on_percent)
-            .when(shekel.isNotNull() & ambiguous, on_ambiguous)
-            .when(shekel.isNotNull(), on_shekel)
-        )
-
-    rate = F.when(cashback, "cashback").otherwise("percent")
-    flat = F.when(voucher, "gift_card").otherwise("fixed")
-    c = F.lit
-    return {
-        "type": ladder(c("bogo"), c("percent"), rate, rate, flat, flat),
-        "value": ladder(c(0.0), c(0.0), percent, percent, shekel, shekel),
-        "confidence_score": ladder(
-            c(V.CONF_BOGO), c(V.CONF_IMPLAUSIBLE), c(V.CONF_UP_TO), c(V.CONF_PERCENT),
-            c(V.CONF_AMBIGUOUS), c(V.CONF_SHEKEL),
-        ),
-        "confidence_reason": ladder(
-            c(V.REASON_BOGO),
-            F.format_string(V.REASON_IMPLAUSIBLE, percent_text),
-            F.format_string(V.REASON_UP_TO, percent_text),
-            F.when(cashback, c(V.REASON_CASHBACK)).otherwise(c(V.REASON_PERCENT)),
-            c(V.REASON_AMBIGUOUS),
-            c(V.REASON_SHEKEL),
-        ),
-        "valid_until": stated_end(text),
-        "channel": F.when(says(text, V.ONLINE_WORDS), "online"),
-        "requires_voucher": F.when(voucher, True),
-        "summary": text,
-    }
+    return F.coalesce(*[F.nullif(s, F.lit("")) for s in sums]).cast("double")
+
+
+def several_sums(text: Column) -> Column:
+    """More than one sum, or "from": the saving is not any of the figures."""
+    each = F.regexp_count(text, F.lit(_wide(V.SHEKEL_EACH)))
+    return (each > 1) | text.contains(V.FROM_WORDS)

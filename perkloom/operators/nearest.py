@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions import spherefn
 from perkloom.operators.skew import hot_splits, skew_join
+from perkloom.session import ensure_checkpoint_dir
 
 BASE_SIDE_M = 64.0
 FANOUT_BITS = 2
@@ -90,24 +91,28 @@ def _position_cubes(cells: DataFrame, level: int) -> DataFrame:
     return cells.select(*at, _cube("b", level + 1).alias("p_parent")).distinct()
 
 
-def _narrow(pairs: DataFrame, level: int, k: int) -> DataFrame:
-    """Drop site cubes that cannot hold one of the k nearest fences."""
+def _narrow(met: DataFrame, level: int, k: int) -> DataFrame:
+    """Drop site cubes that cannot hold one of the k nearest fences.
+
+    The bound of the parent cube holds for its children, so most pairs go before
+    the window.
+    """
+    close = met.select(
+        spherefn.pack(*(F.col("p" + a) for a in AXES)).alias("p_cube"),
+        spherefn.pack(*(F.col("s" + a) for a in AXES)).alias("s_cube"),
+        _chord(level, -1).alias("near"),
+        _chord(level, +1).alias("far"),
+        "fences",
+        "bound",
+    ).where("near <= bound")
     own = Window.partitionBy("p_cube")
     by_far = own.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    measured = pairs.withColumns(
-        {
-            "p_cube": spherefn.pack(*(F.col("p" + a) for a in AXES)),
-            "s_cube": spherefn.pack(*(F.col("s" + a) for a in AXES)),
-            "near": _chord(level, -1),
-            "far": _chord(level, +1),
-        }
-    )
-    bounded = measured.withColumn("_sum", F.sum("fences").over(by_far)).withColumn(
-        "_bound", F.min(F.when(F.col("_sum") >= k, F.col("far"))).over(own)
-    )
-    keep = F.col("_bound").isNull() | (F.col("near") <= F.col("_bound") + F.lit(spherefn.SLACK_M))
-    return bounded.where(keep).select(
-        F.col("p_cube").alias("p_parent"), F.col("s_cube").alias("s_parent")
+    summed = close.withColumn("_sum", F.sum("fences").over(by_far))
+    certain = F.min(F.when(F.col("_sum") >= k, F.col("far") + spherefn.SLACK_M)).over(own)
+    return (
+        summed.withColumn("bound", F.least("bound", certain))
+        .where("near <= bound")
+        .select(F.col("p_cube").alias("p_parent"), F.col("s_cube").alias("s_parent"), "bound")
     )
 
 
@@ -115,20 +120,27 @@ def candidate_sites(cells: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """(cell, site...) that can matter to any position in the cell.
 
     ``cells``: distinct smallest cubes of the positions; ``placed``: the sites with
-    theirs.
+    theirs. Each level's frontier is written out: it is small beside the positions,
+    and the plan of a level does not drag all levels above it along.
     """
+    ensure_checkpoint_dir(cells.sparkSession)
+    cells, placed = cells.checkpoint(), placed.checkpoint()
     frontier = None
     for level in range(TOP - 1, -1, -1):
         p, s = _position_cubes(cells, level), _site_cubes(placed, level)
         if frontier is None:
             # All of these lie in the one top cube, which has at most 4**3 children.
-            met = p.join(s, F.col("p_parent") == F.col("s_parent"))
+            met = p.join(s, F.col("p_parent") == F.col("s_parent")).withColumn(
+                "bound", F.lit(float("inf"))
+            )
         else:
             met = frontier.join(p, "p_parent").join(s, "s_parent")
-        frontier = _narrow(met, level, k)
+        frontier = _narrow(met, level, k).checkpoint()
     leaf = placed.withColumn("s_parent", _cube("b", 0)).drop("bx", "by", "bz")
+    # The rows are few but stand for many distances: keep them in all partitions.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        frontier.withColumnRenamed("p_parent", "cell")
+        frontier.repartition(parts, "p_parent").select(F.col("p_parent").alias("cell"), "s_parent")
         .join(leaf.withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"}), "s_parent")
         .drop("s_parent")
     )

@@ -19,9 +19,11 @@ def decode_pages(raw: DataFrame) -> DataFrame:
 def refine(pages: DataFrame) -> DataFrame:
     """Adds ``text``, the quality figures and ``problem`` (null = accepted)."""
     structured, body = fn.json_ld_text(F.col("html")), fn.html_to_text(F.col("html"))
-    with_text = pages.withColumns({"_ld": structured, "_body": body}).withColumn(
-        "text", fn.page_text(F.col("_ld"), F.col("_body"))
-    ).drop("_ld", "_body")
+    read = pages.withColumns({"_ld": structured, "_body": body})
+    # Unpacked from a one-element array: a filter on what follows from the text then
+    # stays above it instead of reading the page twice.
+    text = F.explode(F.array(fn.page_text(F.col("_ld"), F.col("_body"))))
+    with_text = read.withColumn("text", text).drop("_ld", "_body")
     return with_text.withColumns(fn.quality(F.col("html"), F.col("text"))).withColumn(
         "problem", fn.diagnosis()
     )

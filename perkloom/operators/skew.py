@@ -4,13 +4,14 @@ Adaptive execution already splits an oversized join partition at run time. The
 explicit form here is for the joins where *both* sides can be crowded on the same
 key, and works with adaptive execution off as well.
 
-A key is *hot* on a side when it holds more than 1/``PARTS`` of that side (and
-more than ``FLOOR_ROWS`` rows), so there are fewer than ``PARTS`` hot keys per
-side: the table that names them is bounded by construction and may be broadcast.
-Rows of a hot key are spread over the cells of an a x b grid: a left row goes to
-one grid row and every grid column, a right row to one grid column and every grid
-row. Each pair meets in exactly one cell, so the result is the plain inner join,
-while no cell holds much more than one part of either side.
+A key is *hot* on a side when it holds more than ``PIECE_ROWS`` rows there, and is
+cut into pieces of about that size. A table of n rows has fewer than n /
+``PIECE_ROWS`` such keys, so the table that names them is bounded by construction (a
+trillion rows: a million short entries) and may be broadcast. Rows of a hot key are
+spread over the cells of an a x b grid: a left row goes to one grid row and every
+grid column, a right row to one grid column and every grid row. Each pair meets in
+exactly one cell, so the result is the plain inner join, while no cell holds much
+more than one piece of either side.
 """
 
 from __future__ import annotations
@@ -18,33 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 1000
-FLOOR_ROWS = 1_000_000
+PIECE_ROWS = 1_000_000
 
 
 def hot_keys(
-    df: DataFrame, keys: list[str], ways: str, parts: int = PARTS, floor_rows: int = FLOOR_ROWS
+    df: DataFrame, keys: list[str], ways: str, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
-    """Hot keys of one side and the number of ways to split each.
+    """Hot keys of one side and the number of pieces of each.
 
     A column-pruned scan and a map-side-combined count; only counts are shuffled.
     """
-    total = df.select(F.count(F.lit(1))).scalar()
-    share = F.greatest(F.ceil(total / F.lit(parts)), F.lit(floor_rows))
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > share)
-        .select(*keys, F.ceil(F.col("_n") / share).cast("int").alias(ways))
+        .where(F.col("_n") > piece_rows)
+        .select(*keys, F.ceil(F.col("_n") / piece_rows).cast("int").alias(ways))
     )
 
 
 def hot_splits(
     left: DataFrame | None, right: DataFrame | None, keys: list[str], **bounds
 ) -> DataFrame:
-    """Grid size (``_a`` x ``_b``) per key that is hot on either side; fewer than
-    2 * ``PARTS`` rows. Give base tables, not derived join sides, so that the counts
-    cost one narrow scan each; a side given as None is left to adaptive execution."""
+    """Grid size (``_a`` x ``_b``) per key that is hot on either side.
+
+    Give base tables, not derived join sides, so that the counts cost one narrow
+    scan each; a side given as None is left to adaptive execution.
+    """
     one = F.lit(1)
     sides = []
     if left is not None:

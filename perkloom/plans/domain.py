@@ -21,6 +21,21 @@ def csv_list(column: str, element: str = "string") -> Column:
     return F.split(F.col(column), ",").cast(f"array<{element}>")
 
 
+# Tables that carry per-row work, and a column that tells their rows apart.
+SPREAD_BY = {
+    "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey",
+    "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id",
+}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table too small to fill them: a single small file is one
+    partition however much work its rows take. A table with a partition per core,
+    which is any large one, is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Domain:
     """Lazy access to the domain tables of one data folder."""
 
@@ -29,7 +44,8 @@ class Domain:
 
     @cache
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
 
     @cache
     def raw(self, name: str) -> DataFrame:

@@ -33,6 +33,10 @@ def local(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Tables of a few megabytes still deserve every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # On small tables planning is most of a run; inferred filters do not repay theirs.
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config(STATE_STORE_KEY, ROCKSDB)
     )
     for key, value in RUNTIME_CONF.items():

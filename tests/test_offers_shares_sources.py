@@ -75,7 +75,7 @@ DOMAINS = [
 ]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"parts": 10, "floor_rows": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"piece_rows": 1}])
 def test_share_resolution(spark, bounds):
     texts = {
         "https://m.ksp.co.il/item/9": "late", "https://shop.azrieli.com/cart": "azrieli_shop",

@@ -48,7 +48,7 @@ def test_merchants_near(spark):
     assert near(100.0) == ["chain"]
 
 
-@pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"parts": 10, "floor_rows": 3})])
+@pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"piece_rows": 3})])
 def test_within_equals_brute_force_anywhere_on_the_globe(spark, seed, bounds):
     rnd = random.Random(seed)
 
@@ -81,7 +81,7 @@ def _brute_fences(position, malls, shops, k):
     return [f[3] for f in sorted(found)[:k]]
 
 
-@pytest.mark.parametrize("seed, k, bounds", [(3, 5, {}), (4, 20, {"parts": 5, "floor_rows": 2})])
+@pytest.mark.parametrize("seed, k, bounds", [(3, 5, {}), (4, 20, {"piece_rows": 2})])
 def test_nearest_fences_equal_brute_force(spark, seed, k, bounds):
     rnd = random.Random(seed)
     # A dense town, a sparse country and someone far out at sea.

@@ -161,7 +161,7 @@ def test_candidates_are_the_same_with_every_merchant_split(spark):
         [(u, p) for u in range(7) for p in "pq"[: 1 + u % 2]], "user_id bigint, program_id string"
     )
     plain = rank.candidates(contexts, owned, b).select("ctx_id", "benefit_id")
-    split = rank.candidates(contexts, owned, b, parts=20, floor_rows=2).select("ctx_id", "benefit_id")
+    split = rank.candidates(contexts, owned, b, piece_rows=2).select("ctx_id", "benefit_id")
     assert plain.count() == split.count() > 1000
     assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
 
