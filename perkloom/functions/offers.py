@@ -26,9 +26,9 @@ def stated_end(text: Column) -> Column:
     year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
     stamp = F.concat(
         F.lpad(year, 4, "0"), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"),
-        F.lpad(part(1), 2, "0"), F.lit(f" {V.UNTIL_TIME}"),
+        F.lpad(part(1), 2, "0"), F.lit(f" {V.UNTIL_TIME}Z"),
     )
-    return F.when(part(1) != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
+    return F.when(part(1) != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ssX")))
 
 
 def deal_segment(text: Column) -> Column:

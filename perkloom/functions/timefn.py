@@ -15,6 +15,17 @@ def local_time(instant: Column, zone: str = V.LOCAL_ZONE) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
 
 
+def utc_instant(clock: Column) -> Column:
+    """A TIMESTAMP_NTZ that means UTC, as an instant, whatever the session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), clock).cast("timestamp")
+
+
+def utc_text(instant: Column) -> Column:
+    """ISO 8601 with milliseconds and ``Z``."""
+    clock = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def local_weekday(instant: Column, zone: str = V.LOCAL_ZONE) -> Column:
     """1 = Sunday .. 7 = Saturday."""
     return F.dayofweek(local_time(instant, zone))

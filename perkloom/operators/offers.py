@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions import offers as fn
 from perkloom.functions.text import trim_all
+from perkloom.functions.timefn import utc_text
 from perkloom.schemas import CONDITIONS
 
 
@@ -101,7 +102,7 @@ def extracted_offers(read: DataFrame) -> DataFrame:
             for f in CONDITIONS.fields
         ]
     )
-    until = F.date_format("valid_until", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    until = utc_text(F.col("valid_until"))
     return (
         read.where("type IS NOT NULL")
         .withColumns(

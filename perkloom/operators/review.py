@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
+from perkloom.functions.timefn import utc_text
 from perkloom.operators.ingest import merge_benefits
 
 
@@ -157,7 +158,7 @@ def review_sheet(queue: DataFrame) -> DataFrame:
         "value",
         F.col("confidence_score").alias("confidence"),
         F.col("reason").alias("why"),
-        blank(F.date_format("valid_until", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("valid_until"),
+        blank(utc_text(F.col("valid_until"))).alias("valid_until"),
         blank(F.col("conditions.min_spend")).alias("min_spend"),
         blank(F.col("conditions.channel")).alias("channel"),
         blank(F.col("conditions.requires_voucher")).alias("requires_voucher"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
+from perkloom.functions.timefn import utc_instant
 from perkloom.operators import ownership
 from perkloom.plans.fixture_views import view
 from perkloom.schemas import CONDITIONS
@@ -124,15 +125,15 @@ class Domain:
 
     @cached_property
     def interactions(self) -> DataFrame:
-        return self.raw("fx_interaction").withColumn("ts", F.col("ts").cast("timestamp"))
+        return self.raw("fx_interaction").withColumn("ts", utc_instant(F.col("ts")))
 
     @cached_property
     def fence_events(self) -> DataFrame:
-        return self.raw("fx_fence_event").withColumn("ts", F.col("ts").cast("timestamp"))
+        return self.raw("fx_fence_event").withColumn("ts", utc_instant(F.col("ts")))
 
     @cached_property
     def positions(self) -> DataFrame:
-        return self.raw("fx_position").withColumn("ts", F.col("ts").cast("timestamp"))
+        return self.raw("fx_position").withColumn("ts", utc_instant(F.col("ts")))
 
     @cached_property
     def collected(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from perkloom.functions.timefn import utc_instant
 from perkloom.plans import benefit_queries, place_queries
 from perkloom.plans.domain import Domain
 from perkloom.plans.fixture_views import duckdb_cte
@@ -17,7 +18,7 @@ def _events(spark, sf_dir):
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("ts", utc_instant(F.col("ts")))
     )
 
 
