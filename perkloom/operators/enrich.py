@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions.text import list_program_id, name_key
 from perkloom.operators import geo
+from perkloom.operators.numbering import row_numbers
 from perkloom.operators.spacing import keep_spaced
 
 
@@ -134,13 +135,13 @@ def _free_ids(found: DataFrame, merchants: DataFrame) -> DataFrame:
         .cast("int")
         .alias("x"),
     ).groupBy("base").agg(F.collect_set("x").alias("taken"))
-    order = F.expr("row_number() OVER (PARTITION BY base ORDER BY seq)") - 1
     used = F.coalesce("taken", F.array().cast("array<int>"))
     free = F.filter(
         F.sequence(F.lit(0), F.col("_n") + F.size(used)), lambda i: ~F.array_contains(used, i)
     )
     return (
-        found.withColumn("_n", order)
+        row_numbers(found, ["base"], ["seq"], "_n")
+        .withColumn("_n", (F.col("_n") - 1).cast("int"))
         .join(taken, "base", "left")
         .withColumn("id", F.concat("base", F.repeat(F.lit("_x"), F.get(free, F.col("_n")))))
         .drop("taken", "_n", "base")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
 from perkloom.functions import text, timefn
+from perkloom.operators.skew import skew_lookup
 
 
 def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -16,17 +17,24 @@ def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def spread_by(df: DataFrame, preferred: str) -> list[str]:
+    """Columns that tell rows of one key apart."""
+    if preferred in df.columns:
+        return [preferred]
+    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+
+
 # --- identity -----------------------------------------------------------------
-def resolve_merchants(rows: DataFrame, merchants: DataFrame) -> DataFrame:
+def resolve_merchants(rows: DataFrame, merchants: DataFrame, **bounds) -> DataFrame:
     """``merchant_id`` by normalised name (the first merchant of a name wins), or
     ``unmapped_<slug>``."""
     by_name = merchants.groupBy(text.name_key(F.col("name")).alias("_key")).agg(
         F.min_by(F.col("id"), F.col("seq")).alias("_known")
     )
     unmapped = F.concat(F.lit(V.UNMAPPED_PREFIX), text.slug(F.col("merchant_name")))
+    keyed = rows.withColumn("_key", text.name_key(F.col("merchant_name")))
     return (
-        rows.withColumn("_key", text.name_key(F.col("merchant_name")))
-        .join(by_name, "_key", "left")
+        skew_lookup(keyed, by_name, ["_key"], spread_by(rows, "line_no"), **bounds)
         .withColumn("merchant_id", F.coalesce("_known", unmapped))
         .drop("_key", "_known")
     )
@@ -111,12 +119,13 @@ def next_to_extract(fresh: DataFrame, limit: int = V.EXTRACT_LIMIT, order: str =
     return fresh.orderBy(order).limit(limit)
 
 
-def expand_cached(records: DataFrame, cache: DataFrame) -> DataFrame:
+def expand_cached(records: DataFrame, cache: DataFrame, **bounds) -> DataFrame:
     """One row per record and offer of its text. ``cache``: (content_hash, result)."""
     latest = cache.groupBy("content_hash").agg(F.any_value("result").alias("result"))
+    texts = records.select("line_no", "offer_url", "content_hash")
     return (
-        records.select("line_no", "offer_url", "content_hash")
-        .join(latest, "content_hash")
+        # Copies of one text share one hash, and one text may be most of the records.
+        skew_lookup(texts, latest, ["content_hash"], ["line_no"], "inner", **bounds)
         .select("line_no", "offer_url", F.posexplode("result").alias("item_no", "item"))
         .select("line_no", "offer_url", "item_no", "item.*")
     )

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
-from perkloom.operators.ingest import last_per
+from perkloom.operators.ingest import last_per, spread_by
 from perkloom.operators.numbering import row_numbers
+from perkloom.operators.skew import skew_lookup
 
 
 def _age_limit(now: Column, days: int) -> Column:
     return now - F.make_dt_interval(F.lit(days))
 
 
-def keep_verification(records: DataFrame, previous: DataFrame) -> DataFrame:
+def keep_verification(records: DataFrame, previous: DataFrame, **bounds) -> DataFrame:
     """Carry ``verified_at`` to a re-crawled record only when both its address and
     its text are unchanged (the last proven line of the previous file counts)."""
     proven = last_per(
@@ -24,8 +25,9 @@ def keep_verification(records: DataFrame, previous: DataFrame) -> DataFrame:
         ["offer_url", "content_hash"],
         "line_no",
     ).drop("line_no")
+    keys = ["offer_url", "content_hash"]
     return (
-        records.join(proven, ["offer_url", "content_hash"], "left")
+        skew_lookup(records, proven, keys, spread_by(records, "line_no"), **bounds)
         .withColumn("verified_at", F.coalesce("_at", "verified_at"))
         .drop("_at")
     )
@@ -64,7 +66,7 @@ def links_to_check(
 
 
 def apply_verdicts(
-    records: DataFrame, verdicts: DataFrame, now: Column, days: int = V.LINK_MAX_AGE_DAYS
+    records: DataFrame, verdicts: DataFrame, now: Column, days: int = V.LINK_MAX_AGE_DAYS, **bounds
 ) -> DataFrame:
     """Records after a pass, with ``outcome``: a gone link removes its records, a
     live one stamps them with the time it was checked, otherwise proof is borrowed
@@ -74,7 +76,7 @@ def apply_verdicts(
     )
     state, proven = F.col("state"), F.col("proven_at")
     return (
-        records.join(facts, "offer_url", "left")
+        skew_lookup(records, facts, ["offer_url"], spread_by(records, "line_no"), **bounds)
         .withColumn(
             "outcome",
             F.when(state == "gone", "removed")

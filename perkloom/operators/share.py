@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from perkloom.functions.share import bare_domain, host_suffixes, shared_host
 from perkloom.operators import rank
 from perkloom.operators.conditions import DEFAULT_POLICY, Policy
-from perkloom.operators.skew import hot_splits, skew_join
+from perkloom.operators.ingest import spread_by
+from perkloom.operators.skew import hot_splits, skew_join, skew_lookup
 
 
 def merchant_of_host(hosts: DataFrame, domains: DataFrame, **bounds) -> DataFrame:
@@ -41,7 +42,8 @@ def resolve_shares(shares: DataFrame, domains: DataFrame, **bounds) -> DataFrame
     Every distinct host is resolved once, however often it is shared.
     """
     with_host = shares.withColumn("host", shared_host(F.col("text")))
-    return with_host.join(merchant_of_host(with_host.where("host IS NOT NULL"), domains, **bounds), "host", "left")
+    owners = merchant_of_host(with_host.where("host IS NOT NULL"), domains, **bounds)
+    return skew_lookup(with_host, owners, ["host"], spread_by(shares, "ctx_id"), **bounds)
 
 
 def share_outcomes(

@@ -96,3 +96,29 @@ def skew_join(
         .drop("_a", "_b")
     )
     return salted_left.join(salted_right, [*on, "_row", "_col"]).drop("_row", "_col")
+
+
+# Rows without a key match nothing; they only need to be apart from each other.
+NULL_WAYS = 1024
+
+
+def skew_lookup(
+    left: DataFrame, right: DataFrame, on: list[str], left_id: list[str], how: str = "left", **bounds
+) -> DataFrame:
+    """Join to a table with at most one row per key (``how``: left or inner).
+
+    Hot keys of the left side are cut into pieces and the one matching row of each
+    is repeated per piece; rows without a key are spread as well.
+    """
+    grid = F.broadcast(hot_keys(left.dropna(subset=on), on, "_a", **bounds))
+    no_key = F.lit(False)
+    for key in on:
+        no_key = no_key | F.col(key).isNull()
+    apart = F.pmod(F.xxhash64(*[F.col(c) for c in left_id]), F.lit(NULL_WAYS)).cast("int")
+    salted_left = (
+        left.join(grid, on, "left")
+        .withColumn("_row", F.when(no_key, apart).otherwise(_salt(left_id, "_a")))
+        .drop("_a")
+    )
+    salted_right = right.join(grid, on, "left").withColumn("_row", _every("_a")).drop("_a")
+    return salted_left.join(salted_right, [*on, "_row"], how).drop("_row")

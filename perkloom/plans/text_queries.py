@@ -77,6 +77,12 @@ def page_diagnosis(spark, sf_dir):
     return _refined(spark, sf_dir).select("page_id", "problem")
 
 
+def page_accepted(spark, sf_dir):
+    """Pages worth reading on, at a small bound so that cutting shows."""
+    out = pages.accepted(_refined(spark, sf_dir), 2_000)
+    return out.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
 def page_decoded(spark, sf_dir):
     """Pages stored as bytes in three charsets, read back."""
     d = Domain(spark, sf_dir)
@@ -156,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         share_host, share_merchant, share_outcome, headline_offers, headline_skipped,
-        headline_report, page_text, page_quality, page_diagnosis, page_decoded, json_ld,
+        headline_report, page_text, page_quality, page_diagnosis, page_accepted, page_decoded, json_ld,
         entity_text, offer_page_text, mint_programs, program_class,
     )
 }
@@ -311,6 +317,20 @@ FROM read WHERE type IS NOT NULL GROUP BY ALL""",
   WHEN terms < 3 THEN 'no offer vocabulary in ' || CAST(tc AS VARCHAR)
     || ' chars — wrong page for this program' END AS problem FROM m""",
     ),
+    "page_accepted": _with(
+        _PAGES,
+        """c AS (SELECT page_id, CASE WHEN tc > 2000 THEN substr(text, 1, 2000) || chr(10) || '[...truncated]'
+    ELSE text END AS t FROM m
+  WHERE tc >= 800 AND NOT (hc > 200000 AND tc / hc < 0.01 AND tc < 5000) AND terms >= 3)""",
+        select="SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INT) AS chars FROM c",
+    ),
+    "json_ld": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html,
+    '(?s)<title>(.*?)</title>', 1), '["\\&]', ' ', 'g')) AS name, trim(substr(url, 9, 12)) AS seller
+  FROM pages)
+SELECT page_id, concat_ws(' · ', CASE WHEN length(name) BETWEEN 3 AND 399
+    AND NOT regexp_matches(name, '^(https?:|/|#|\{)') THEN name END,
+  CASE WHEN length(seller) >= 3 AND seller <> name AND NOT regexp_matches(seller, '^(https?:|/|#|\{)')
+    THEN seller END) AS text FROM t""",
     "page_decoded": """SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'windows-1252' ELSE 'utf-8' END AS charset,
   md5(CASE WHEN page_id % 3 = 2 THEN '<meta charset="windows-1252">'
     || regexp_replace(html, '[^\\x00-\\x7f]', 'e', 'g') ELSE html END) AS html_md5
