@@ -137,13 +137,14 @@ def candidate_sites(cells: DataFrame, placed: DataFrame, k: int) -> DataFrame:
             met = frontier.join(p, "p_parent").join(s, "s_parent")
         frontier = _narrow(met, level, k).checkpoint()
     leaf = placed.withColumn("s_parent", _cube("b", 0)).drop("bx", "by", "bz")
-    # The rows are few but stand for many distances: keep them in all partitions.
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        frontier.repartition(parts, "p_parent").select(F.col("p_parent").alias("cell"), "s_parent")
+    found = (
+        frontier.select(F.col("p_parent").alias("cell"), "s_parent")
         .join(leaf.withColumnsRenamed({"lat": "s_lat", "lng": "s_lng"}), "s_parent")
         .drop("s_parent")
     )
+    # The rows are few but stand for many distances: keep them in all partitions.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "cell")
 
 
 def nearest_fences(
