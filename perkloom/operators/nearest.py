@@ -24,6 +24,7 @@ BASE_SIDE_M = 64.0
 FANOUT_BITS = 2
 # Edge of the top cube exceeds the planet's diameter: 64 m * 4**9 > 2 R.
 TOP = 9
+VENUE_SLOTS = 32
 AXES = spherefn.AXES
 
 
@@ -198,12 +199,17 @@ def fences_to_monitor(
     picked = nearest_fences(
         last_known, venues, merchants, branches, position_id, limit, **bounds
     ).select(position_id, "fence_id", "radius_m")
+    # Without a position every venue is armed. Venues are dealt into slots and each
+    # such row visits every slot, so the list is never gathered in one place.
+    slot = F.pmod(F.xxhash64("id"), F.lit(VENUE_SLOTS)).cast("int")
     malls = venues.select(
-        F.collect_list(
-            F.struct(F.col("id").alias("fence_id"), F.col("radius_m").cast("int").alias("radius_m"))
-        )
-    ).scalar()
-    unknown = last_known.where("lat IS NULL OR lng IS NULL").select(
-        position_id, F.inline(malls)
+        slot.alias("_slot"), F.col("id").alias("fence_id"),
+        F.col("radius_m").cast("int").alias("radius_m"),
+    )
+    unknown = (
+        last_known.where("lat IS NULL OR lng IS NULL")
+        .select(position_id, F.explode(F.sequence(F.lit(0), F.lit(VENUE_SLOTS - 1))).alias("_slot"))
+        .join(malls, "_slot")
+        .drop("_slot")
     )
     return picked.unionByName(unknown)

@@ -28,7 +28,8 @@ def with_programs(contexts: DataFrame, owned: DataFrame) -> DataFrame:
     """One row per context and program its user holds.
 
     A user holds at most as many programs as exist, so they travel as one short
-    array per user and the join is a lookup.
+    array per user and the join is a lookup; adaptive execution splits the contexts
+    of a user who has very many.
     """
     held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
     return contexts.join(held, "user_id").withColumn("program_id", F.explode("_held")).drop("_held")
