@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from perkloom.llm import exact_dedup, mixing, winnowing
+from perkloom.llm import bpe, exact_dedup, mixing, simhash, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op2_simhash": simhash.op2_simhash,
+    "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
