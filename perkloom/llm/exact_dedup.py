@@ -40,47 +40,57 @@ def chunk_hash(chunk: Column, bits: int = 64) -> Column:
     return h if bits == 64 else F.shiftrightunsigned(h, 64 - bits)
 
 
-def chunk_store(texts: DataFrame, bits: int = 64, **size: int) -> DataFrame:
+def chunk_store(rows: DataFrame, bits: int = 64) -> DataFrame:
     """Every distinct chunk once: ``hash``, ``chunk``. Equal chunks of one task meet before
     the shuffle, so a passage that all documents share travels once per task."""
-    each = texts.select(F.explode(chunks(F.col("_norm"), **size)).alias("chunk"))
+    each = rows.select(F.explode("chunks").alias("chunk"))
     return each.select(chunk_hash(F.col("chunk"), bits).alias("hash"), "chunk").distinct()
 
 
 def verified_ranks(store: DataFrame) -> DataFrame:
     """Chunks that share their hash with a different chunk: ``hash``, ``chunk``, ``rank``
-    (from 0, by content). Empty unless hashes collide."""
-    shared = store.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    (from 0, by content). Empty unless hashes collide; only then are chunks moved again."""
+    shared = stored(
+        store.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "shared"
+    )
+    if shared.isEmpty():
+        return shared.select("hash", F.lit("").alias("chunk"), F.lit(0).alias("rank"))
     by_content = store.join(shared, "hash").groupBy("hash").agg(
         F.array_sort(F.collect_list("chunk")).alias("_all")  # as long as the collision is wide
     )
-    return by_content.select("hash", F.posexplode("_all").alias("rank", "chunk"))
+    return stored(by_content.select("hash", F.posexplode("_all").alias("rank", "chunk")), "colliding")
 
 
 def recipes(docs: DataFrame, bits: int = 64, **size: int) -> DataFrame:
     """One row per document: ``doc_id``, ``n`` (code points of the original text),
-    ``text_sha256``, ``recipe`` (ordered verified chunk identifiers)."""
-    texts = docs.select(
-        F.col("doc_id"), F.length(whole_text()).cast("bigint").alias("n"),
-        normalised(whole_text()).alias("_norm"),
+    ``text_sha256``, ``recipe`` (ordered verified chunk identifiers).
+
+    Texts are cut once; the written table is read for its chunks by one step and for its
+    narrow columns by the others."""
+    rows = stored(
+        docs.select(
+            "doc_id", F.length(whole_text()).cast("bigint").alias("n"),
+            normalised(whole_text()).alias("_norm"),
+        ).select(
+            "doc_id", "n", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
+            chunks(F.col("_norm"), **size).alias("chunks"),
+        ).withColumn("recipe", F.transform("chunks", lambda c: F.struct(
+            chunk_hash(c, bits).alias("hash"), F.lit(0).alias("rank")))),
+        "cut",
     )
-    colliding = stored(verified_ranks(chunk_store(texts, bits, **size)), "colliding")
-    plain = texts.select(
-        "doc_id", "n", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
-        chunks(F.col("_norm"), **size).alias("_chunks"),
-    ).withColumn("recipe", F.transform("_chunks", lambda c: F.struct(
-        chunk_hash(c, bits).alias("hash"), F.lit(0).alias("rank"))))
+    colliding = verified_ranks(chunk_store(rows, bits))
+    narrow = rows.drop("chunks")
     if colliding.isEmpty():  # every identifier is verified as it stands
-        return stored(plain.drop("_chunks"), "recipes")
-    rows = stored(plain.withColumn("_row", F.struct(
-        "doc_id", "n", "text_sha256", F.xxhash64("recipe"), F.monotonically_increasing_id())), "rows")
+        return narrow
+    # Documents are told apart by place, as ids may repeat or lack.
+    named = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "named")
     ranked = (
-        rows.select("_row", F.posexplode("_chunks").alias("pos", "chunk"))
+        named.select("_row", F.posexplode("chunks").alias("pos", "chunk"))
         .withColumn("hash", chunk_hash(F.col("chunk"), bits))
         .join(colliding, ["hash", "chunk"])
         .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("_ranks"))
     )
-    fixed = rows.drop("_chunks").join(ranked, "_row", "left").withColumn(
+    fixed = named.drop("chunks").join(ranked, "_row", "left").withColumn(
         "recipe",
         F.expr("transform(recipe, (r, i) -> named_struct('hash', r.hash, 'rank', coalesce(_ranks[i], 0)))"),
     )
