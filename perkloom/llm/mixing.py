@@ -99,19 +99,25 @@ def permuted(index: str, size: str, key: str) -> str:
 
 
 def takes(draws: DataFrame, seed: int = SEED) -> DataFrame:
-    """How often each block is taken: (sid, block, times)."""
+    """How often each block is taken: (sid, block, times), a written table."""
+    draws = stored(draws, "draws")
+    # A few rows turn into many slots each: dealt out by their number, not by their size.
+    tasks = max(draws.sparkSession.sparkContext.defaultParallelism, draws.count() // 64)
     slots = (
-        prefix_sum(stored(draws, "draws"), "sid", ["shard"], "draws", "_first")
+        prefix_sum(draws, "sid", ["shard"], "draws", "_first")
         .where("draws > 0")
+        .repartition(tasks, "sid", "shard")
         .withColumn("_slot", F.explode(F.expr("sequence(_first, _first + draws - 1)")))
         # A draw beyond the allowed passes over a source finds no block.
         .where(F.col("_slot") < F.col("blocks") * MAX_REPEATS)
         .withColumn("_pass", F.expr("_slot div blocks"))
         .withColumn("_index", F.expr("_slot % blocks"))
     )
-    return slots.withColumn(
+    taken = slots.withColumn(
         "block", F.expr(permuted("_index", "blocks", f"{seed}, sid, _pass"))
     ).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Written, so that joins go by its size and not by that of the draws.
+    return stored(taken, "takes")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
