@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from perkloom.llm import bpe, exact_dedup, mixing, simhash, winnowing
+from perkloom.llm import bpe, exact_dedup, mixing, pii, simhash, token_counts, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op2_simhash": simhash.op2_simhash,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_pii": pii.op4_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
