@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from perkloom.llm import bpe, exact_dedup, mixing, pii, simhash, token_counts, winnowing
+from perkloom.llm import bpe, exact_dedup, mixing, pii, quality, simhash, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {"op10_exact_dedup": exact_dedup.ORACLE}
