@@ -1,16 +1,77 @@
-"""Cleaning a corpus, stage by stage."""
+"""Cleaning a corpus, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns documents for the next, with the columns of
+``documents``; the last returns token digests. Rows are matched by doc_id, which should be
+unique; rows without one are kept apart by their text. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from perkloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from perkloom.llm.common import documents, stored, whole_text
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    packed = docs.withColumn("_document", F.struct(*docs.columns))
+    scored = toxicity.toxicity(packed, labels, carry=("_document",))
+    return scored.where("predicted = 0").select("_document.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal without white space, the one to keep stays."""
+    decided = exact_dedup.exact_dedup(docs, keep_chunks=False)
+    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    # By id alone unless ids repeat or lack; then the text decides as well, and once.
+    named = docs.withColumn(
+        "_text", F.sha2(exact_dedup.normalised(whole_text()).cast("binary"), 256)
+    )
+    same = named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text"] == kept["_sha"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id")
+    ).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each one written and read again by the next."""
-    from perkloom.llm.common import documents, stored
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: words taken over words held, the fraction
+    decided by a hash of the id. Documents that the mix does not take go."""
+    chance = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    copies = mixing.mix(docs).where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("_n")
+    ).where("_n > 0")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing", mixed),
+    ("encoding", encoded),
+]
+ORACLE_SQL = None  # the toxicity model is not expressible
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each one written and read again by the next."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -84,7 +84,7 @@ class Codec:
         self.names = np.array([f"{i},".encode() for i in range(size)])
         self.names = self.names.view(np.uint8).reshape(size, -1)
         self.special_texts = [self.tokenizer.id_to_token(i) for i in self.special]
-        self.ranks = _ranks(ranks_path) if ranks_path else None
+        self.ranks = ranks(ranks_path) if ranks_path else None
 
     def ids(self, text: str) -> list[int]:
         if self.ranks and not any(s in text for s in self.special_texts):
@@ -190,16 +190,18 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def _ranks(path: str):
+@cache
+def ranks(path: str):
+    """The same vocabulary as byte sequences in order of merging; one per worker process."""
     import base64
 
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}
     )
 
 

@@ -61,65 +61,63 @@ def verified_ranks(store: DataFrame) -> DataFrame:
     return stored(by_content.select("hash", F.posexplode("_all").alias("rank", "chunk")), "colliding")
 
 
-def recipes(docs: DataFrame, bits: int = 64, **size: int) -> DataFrame:
-    """One row per document: ``doc_id``, ``n`` (code points of the original text),
-    ``text_sha256``, ``recipe`` (ordered verified chunk identifiers).
-
-    Texts are cut once; the written table is read for its chunks by one step and for its
-    narrow columns by the others."""
-    rows = stored(
-        docs.select(
-            "doc_id", F.length(whole_text()).cast("bigint").alias("n"),
-            normalised(whole_text()).alias("_norm"),
-        ).select(
-            "doc_id", "n", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
-            chunks(F.col("_norm"), **size).alias("chunks"),
-        ).withColumn("recipe", F.transform("chunks", lambda c: F.struct(
-            chunk_hash(c, bits).alias("hash"), F.lit(0).alias("rank")))),
-        "cut",
-    )
-    colliding = verified_ranks(chunk_store(rows, bits))
-    narrow = rows.drop("chunks")
+def recipes(docs: DataFrame, bits: int = 64, keep_chunks: bool = True, **size: int) -> DataFrame:
+    """One row per document: ``row`` (its number in the written table), ``doc_id``, ``n`` (code
+    points of the original text), ``text_sha256``, ``recipe`` (ordered verified chunk identifiers).
+
+    With ``keep_chunks`` texts are cut once: the written table is read for its chunks by one step
+    and for its narrow columns by the others. Without, they are cut again and less is written."""
+    cut = docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        F.length(whole_text()).cast("bigint").alias("n"), normalised(whole_text()).alias("_norm"),
+    ).select(
+        "row", "doc_id", "n", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
+        chunks(F.col("_norm"), **size).alias("chunks"),
+    ).withColumn("recipe", F.transform("chunks", lambda c: F.struct(
+        chunk_hash(c, bits).alias("hash"), F.lit(0).alias("rank"))))
+    if keep_chunks:
+        cut = stored(cut, "cut")
+        narrow = cut.drop("chunks")
+    else:
+        narrow = stored(cut.drop("chunks"), "cut")
+    colliding = verified_ranks(chunk_store(cut, bits))
     if colliding.isEmpty():  # every identifier is verified as it stands
         return narrow
-    # Documents are told apart by place, as ids may repeat or lack.
-    named = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "named")
+    named = cut if keep_chunks else stored(cut, "chunks")
     ranked = (
-        named.select("_row", F.posexplode("chunks").alias("pos", "chunk"))
+        named.select("row", F.posexplode("chunks").alias("pos", "chunk"))
         .withColumn("hash", chunk_hash(F.col("chunk"), bits))
         .join(colliding, ["hash", "chunk"])
-        .groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("_ranks"))
+        .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rank"))).alias("_ranks"))
     )
-    fixed = named.drop("chunks").join(ranked, "_row", "left").withColumn(
+    fixed = named.drop("chunks").join(ranked, "row", "left").withColumn(
         "recipe",
         F.expr("transform(recipe, (r, i) -> named_struct('hash', r.hash, 'rank', coalesce(_ranks[i], 0)))"),
     )
-    return stored(fixed.drop("_row", "_ranks"), "recipes")
+    return stored(fixed.drop("_ranks"), "recipes")
 
 
-def exact_dedup(docs: DataFrame, bits: int = 64, **size: int) -> DataFrame:
+def exact_dedup(docs: DataFrame, bits: int = 64, keep_chunks: bool = True, **size: int) -> DataFrame:
     """Which documents stay when texts are compared without white space.
 
     Returns one row per input row: ``doc_id``, ``keep_id`` (most code points in the original
     text, then smallest doc_id), ``group_size``, ``kept``, ``text_sha256``. Null texts are
     empty, and empty texts equal each other. Rows without doc_id come after all others when
-    the row to keep is chosen. Of several rows with the same doc_id and length as the kept
-    one, all are marked kept: nothing tells them apart. Other columns are ignored; an empty
-    table gives an empty result."""
-    rows = recipes(docs, bits, **size)
-    # Lengths are compared first, so one pair of numbers per recipe leaves each task.
+    the row to keep is chosen; of rows alike in length and doc_id the first read is kept, so
+    one row of each group is. Other columns are ignored; an empty table gives an empty result."""
+    rows = recipes(docs, bits, keep_chunks, **size)
+    # Lengths are compared first; one candidate per recipe leaves each task.
     best = rows.groupBy("recipe").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-        .alias("_best"),
+        F.min(F.struct(
+            (-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"
+        )).alias("_best"),
         F.count(F.lit(1)).alias("group_size"),
     )
     keep = best.select(
-        "recipe", F.col("_best.doc_id").alias("keep_id"), (-F.col("_best.n")).alias("_keep_n"), "group_size"
+        "recipe", F.col("_best.doc_id").alias("keep_id"), F.col("_best.row").alias("_keep"), "group_size"
     )
     return rows.join(keep, "recipe").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("_keep_n"))).alias("kept"),
-        "text_sha256",
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("_keep")).alias("kept"), "text_sha256"
     )
 
 

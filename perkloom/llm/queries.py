@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from perkloom.llm import bpe, exact_dedup, mixing, pii, quality, simhash, token_counts, toxicity, winnowing
+from perkloom.llm import bpe, exact_dedup, lm_scoring, mixing, pii, quality, simhash, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_pii": pii.op4_pii,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_bpe": bpe.op6_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from perkloom.llm.bpe import RANKS, ranks, vocabulary_path
 from perkloom.llm.common import documents, stored, whole_text
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50_256
 BLOCK_TOKENS = 65_536
 SECTION_BLOCKS = 1024
@@ -31,30 +30,9 @@ SECTION_BLOCKS = 1024
 LONG_SPACE = re.compile("[\t-\r \x85\xa0  -     　]{1000,}")
 
 
-@cache
-def _tokenizer(path: str):
-    """One per worker process."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(
-        "corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-
-
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def token_ids(text: str, path: str) -> list[int]:
     """Ids of a text; names of special tokens in it are ordinary text."""
-    tokenizer, ids, at = _tokenizer(path), [], 0
+    tokenizer, ids, at = ranks(path), [], 0
     for run in LONG_SPACE.finditer(text):
         # A run is one piece but for its last character, which may belong to what follows.
         end = run.end() if run.end() == len(text) else run.end() - 1
@@ -68,7 +46,7 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_tokens: int = B
     """Flat token files of all documents, one per task, as blocks: ``file``, ``block``,
     ``tokens`` (unsigned 16-bit, little-endian) and ``ended``, the names in file order of the
     documents that end in the block (files do not carry names; where they end is not kept)."""
-    path = path or vocabulary_path()
+    path = path or vocabulary_path(RANKS)
     name_type = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

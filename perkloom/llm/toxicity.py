@@ -154,8 +154,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Scores of all documents: ``doc_id``, ``held_out``, ``score`` and ``predicted``.
+def toxicity(
+    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Scores of all documents: ``doc_id``, ``held_out``, ``score`` and ``predicted``, and the
+    columns named in ``carry``.
 
     Learns from labelled documents outside the held-out fold only, from about ``per_class`` of
     each class at most. Without training labels of both classes every score is the share of toxic
@@ -163,7 +166,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     are in fold 0. One row per input row; extra columns are ignored; an empty table gives an
     empty result."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", whole_text().alias("text"), (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
+    texts = docs.select(
+        *carry, "doc_id", whole_text().alias("text"),
+        (crc_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+    )
     sample, there = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_class)
     models = spark.sparkContext.broadcast(Models(expression_counts(sample.where(F.col("u") < COUNTED))))
     fit = evidence(sample.where(F.col("u") >= COUNTED), models, "y").toPandas()
@@ -180,9 +186,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         logit = F.lit(float(intercept))
         for n, sign in enumerate(SIGNS):
             logit = logit + (F.col(sign) - float(mean[n])) / float(scale[n]) * float(w[n])
-        scored = evidence(texts, models, "doc_id", "held_out").withColumn("score", 1 / (1 + F.exp(-logit)))
+        scored = evidence(texts, models, *carry, "doc_id", "held_out").withColumn("score", 1 / (1 + F.exp(-logit)))
     return scored.select(
-        "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        *carry, "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
