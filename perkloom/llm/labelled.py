@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.llm.common import crc_fold, stored
+from perkloom.llm.simhash import shingle_hashes
 
 
-def family(text: str):
+@F.pandas_udf("bigint")
+def family(texts: pd.Series) -> pd.Series:
     """The smallest hash of three words in a row; of all words if there are fewer."""
-    words = F.split(F.lower(F.trim(F.col(text))), r"\s+")
-    return F.array_min(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")),
-    ))
+    found = (shingle_hashes(t, 3) for t in texts)
+    return pd.Series([int(h.view(np.int64).min()) if len(h) else 0 for h in found], dtype="int64")
 
 
 def labelled_sample(
