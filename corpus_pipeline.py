@@ -35,8 +35,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates the document with the smallest id stays: fingerprints
+    within three bits, or four fifths of five-word shingles in common."""
+    groups = simhash.near_or_like(docs, similarity=0.8)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_id")
     ).distinct()

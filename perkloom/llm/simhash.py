@@ -5,6 +5,10 @@ no pair within the radius is missed. A tile holds fingerprints that agree in how
 are set in each of their four 16-bit lanes: two fingerprints differ in at least as many bits
 as their lane counts do, so a pair of tiles whose counts differ beyond the radius is skipped
 before anything is moved. Copies share a fingerprint and are compared once.
+
+On request documents are also linked at a given likeness of their sets of five words in a row.
+Likeness asks for sets of like size, so tiles are by size; what exclusive-or and bit counts leave
+is settled by sketches of 128 minima that travel with the tiles.
 """
 
 from __future__ import annotations
@@ -26,28 +30,38 @@ LANES = 4
 LANE_BITS = 16
 HASH_SEED = 42
 COUNTED_AT_ONCE = 65_536
+# For links by likeness.
+LIKE_SHINGLE = 5
+LIKE_RADIUS = 18  # bits; texts that are four fifths alike differ in ten or so
+LIKE_TILE = 2048
+SKETCH = 128  # minima, one of each range of hashes
 
 
-def simhash(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit fingerprint: lower-cased A-Z, words between ASCII white space, shingles with
-    repeats; a bit is set if it is in over half of the shingles' hashes. No words: 0."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles: lower-cased A-Z, words between ASCII white space, repeats included;
+    all words if there are fewer; none without words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     size = min(shingle, len(words))
     starts, ends = (ends - lengths)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), COUNTED_AT_ONCE):
-        part = zip(starts[at : at + COUNTED_AT_ONCE], ends[at : at + COUNTED_AT_ONCE], strict=True)
-        hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in part], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = (2 * votes > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits).view(">u8")[0])
+    digest = xxhash.xxh64_intdigest
+    found = (digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends, strict=True))
+    return np.fromiter(found, np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit fingerprint: a bit is set if it is in over half of the hashes; of none, 0."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), COUNTED_AT_ONCE):
+        part = hashes[at : at + COUNTED_AT_ONCE].astype(">u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits((2 * votes > len(hashes)).astype(np.uint8)).view(">u8")[0])
 
 
 def simhashes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -55,9 +69,8 @@ def simhashes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-        )
+        found = (simhash(shingle_hashes(t, shingle)) for t in texts)
+        return pd.Series(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
     return docs.select("doc_id", fp(whole_text()).alias("fp"))
 
@@ -156,14 +169,141 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     fps = stored(simhashes(docs, shingle), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = components(links(distinct, radius, tile))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    return fps.join(_named(distinct, found, "fp"), "fp").select("doc_id", _hex("fp"), "component_id")
+
+
+def _named(nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """(node, component_id) of nodes with ``first_id``, from their roots."""
+    rooted = nodes.join(found.withColumnRenamed("node", node), node, "left").select(
+        node, "first_id", F.coalesce("root", node).alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return rooted.join(smallest, "root").select(node, "component_id")
+
+
+def _hex(fp: str):
+    return F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint")
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """16 bits of the smallest hash in each of ``SKETCH`` ranges (0: none), and how many different
+    hashes there are."""
+    different = np.unique(hashes)
+    edges = (np.arange(SKETCH, dtype=np.uint64) << np.uint64(57))
+    first = np.searchsorted(different, edges)
+    found = np.zeros(SKETCH, np.uint16)
+    there = first < np.append(first[1:], len(different))
+    found[there] = np.maximum(different[first[there]].astype(np.uint16), 1)
+    return found, len(different)
+
+
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, like_fp, n, sketch): fingerprints of both sorts and the sketch of a text."""
+
+    @F.pandas_udf("struct<fp:bigint,like_fp:bigint,n:bigint,sketch:array<bigint>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            long = shingle_hashes(text, LIKE_SHINGLE)
+            minima, n = sketch(long)
+            fps = np.array([simhash(shingle_hashes(text, shingle)), simhash(long)], np.uint64).view(np.int64)
+            rows.append([*fps.tolist(), n, minima.view(np.int64)])
+        return pd.DataFrame(rows, columns=["fp", "like_fp", "n", "sketch"])
+
+    return docs.select("doc_id", read(whole_text()).alias("s")).select("doc_id", "s.*")
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the ranges that either text has hashes in, in which their minima agree."""
+    some = (a > 0) | (b > 0)
+    return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
+
+
+def _like_stars(a, b, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``_stars`` for (node, fp, n, sketch) of two tiles."""
+    node, fp, n, minima = (np.concatenate(x) for x in zip(a, b, strict=True))
+    size, label = len(a[0]), np.arange(len(node))
+    rows = max(1, 1_000_000 // max(1, len(b[0])))
+    for at in range(0, size, rows):
+        upto = min(size, at + rows)
+        near = np.bitwise_count(fp[at:upto, None] ^ fp[None, size:]) <= LIKE_RADIUS
+        i, j = np.nonzero(near)
+        i, j = i + at, j + size
+        fit = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (node[i] != node[j])
+        i, j = i[fit], j[fit]
+        for part in range(0, len(i), 16_384):
+            x, y = i[part : part + 16_384], j[part : part + 16_384]
+            apart = label[x] != label[y]  # what is linked already needs no look
+            x, y = x[apart], y[apart]
+            like = _likeness(minima[x], minima[y]) >= similarity
+            if like.any():
+                label = _joined(label, x[like], y[like])
+    moved = node[label] != node
+    return node[moved], node[label][moved]
+
+
+def like_links(nodes: DataFrame, similarity: float, tile: int = LIKE_TILE) -> DataFrame:
+    """Edges (u, v) between nodes (``node``, ``like_fp``, ``n``, ``sketch``) that are at least
+    ``similarity`` alike. Sizes fall into steps of that ratio, and only tiles of the same
+    or the next step can hold like texts."""
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
+    sized = nodes.select("node", "like_fp", "n", "sketch", step.alias("step"))
+    # A row per step of a size, of which a long has two hundred: broadcast.
+    tiles_of = F.broadcast(
+        sized.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    )
+    row = F.struct("node", "like_fp", "n", "sketch")
+    tiles = stored(
+        sized.join(tiles_of, "step")
+        .groupBy("step", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+        .agg(F.collect_list(row).alias("rows"))  # about ``tile`` of them
+        .select("step", "tile", "rows.node", "rows.like_fp", "rows.n", F.flatten("rows.sketch").alias("sketch")),
+        "like-tiles",
+    )
+    # Every tile meets those of its step and of the next, each with a task of its own.
+    columns = ["node", "like_fp", "n", "sketch"]
+    left = tiles.select(
+        F.col("step").alias("own"), F.col("tile").alias("own_tile"), *[F.col(c).alias(f"{c}_a") for c in columns],
+        F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"),
+    )
+    left = left.join(tiles_of, "step").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = left.where("own != step or own_tile <= tile").join(tiles, ["step", "tile"])
+
+    @F.pandas_udf("array<struct<u:bigint,v:bigint>>")
+    def near(na: pd.Series, fa: pd.Series, ca: pd.Series, sa: pd.Series,
+             nb: pd.Series, fb: pd.Series, cb: pd.Series, sb: pd.Series) -> pd.Series:
+        def arrays(node, fp, n, minima):
+            fp, minima = np.ascontiguousarray(fp, np.int64), np.ascontiguousarray(minima, np.int64)
+            return node, fp.view(np.uint64), n, minima.view(np.uint16).reshape(-1, SKETCH)
+
+        found = []
+        for a, b in zip(zip(na, fa, ca, sa, strict=True), zip(nb, fb, cb, sb, strict=True), strict=True):
+            u, v = _like_stars(arrays(*a), arrays(*b), similarity)
+            found.append([{"u": p, "v": q} for p, q in zip(u.tolist(), v.tolist(), strict=True)])
+        return pd.Series(found)
+
+    both = [f"{c}_a" for c in columns] + columns
+    return pairs.select(F.explode(near(*both)).alias("e")).select("e.u", "e.v")
+
+
+def near_or_like(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``near_duplicates`` with links by likeness added: (doc_id, fingerprint, component_id)."""
+    seen = stored(sketches(docs), "sketches")
+    same = ["fp", "like_fp", "n", "sketch"]
+    nodes = stored(
+        seen.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes",
+    )
+    leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    by_bits = (
+        links(leads, RADIUS).join(leads.select(F.col("fp").alias("u"), F.col("lead").alias("lead_u")), "u")
+        .join(leads.select(F.col("fp").alias("v"), F.col("lead").alias("lead_v")), "v")
+        .select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
     )
+    by_fp = nodes.join(leads, "fp").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    found = components(by_bits.unionByName(by_fp).unionByName(like_links(nodes, similarity)))
+    named = nodes.join(_named(nodes.select("node", "first_id"), found, "node"), "node").select(*same, "component_id")
+    return seen.join(named, same).select("doc_id", _hex("fp"), "component_id")
 
 
 def op2_simhash(spark, sf_dir):
