@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from perkloom.llm.common import crc_fold, stored
 from perkloom.llm.simhash import shingle_hashes
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def family(texts: pd.Series) -> pd.Series:
     """The smallest hash of three words in a row; of all words if there are fewer."""
     found = (shingle_hashes(t, 3) for t in texts)
