@@ -24,13 +24,21 @@ POSITIONS = 4_294_967_296
 
 
 def _pairs(column: str, step: int, combine: str) -> Column:
-    """Each element with the one ``step`` further on; one element at least stays."""
+    """Each element with the one ``step`` further on."""
     return F.expr(
-        f"zip_with(slice({column}, 1, greatest(size({column}) - {step}, least(size({column}), 1))), "
+        f"zip_with(slice({column}, 1, greatest(size({column}) - {step}, 0)), "
         f"slice({column}, {step + 1}, size({column})), {combine})"
     )
 
 
+def _padded(column: str, least: int, value: str) -> Column:
+    """At least ``least`` elements, unless there are none."""
+    return F.expr(
+        f"if(size({column}) between 1 and {least - 1}, "
+        f"concat({column}, array_repeat({value}, {least} - size({column}))), {column})"
+    )
+
+
 def kept_hashes(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Adds ``out``: the kept (hash, position) of ``text`` as hash * 2^32 + (2^32 - 1 - position),
     in the order of the windows. A text of fewer than k units is one hash of all of them; one
@@ -39,14 +47,16 @@ def kept_hashes(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> D
         f"transform(regexp_extract_all({text}, '{UNIT.replace(chr(92), chr(92) * 2)}', 0), "
         f"u -> pmod(xxhash64(u), {PRIME}L))"
     ))
+    df = df.withColumn(out, _padded(out, k, "0L"))
     step = 1
-    while step < k:  # short texts: what is missing counts as zero
+    while step < k:
         shift = pow(BASE, step, PRIME)
-        df = df.withColumn(out, _pairs(out, step, f"(a, b) -> (a * {shift}L + coalesce(b, 0L)) % {PRIME}L"))
+        df = df.withColumn(out, _pairs(out, step, f"(a, b) -> (a * {shift}L + b) % {PRIME}L"))
         step *= 2
     df = df.withColumn(out, F.expr(
         f"transform({out}, (h, i) -> h * {POSITIONS}L + ({POSITIONS - 1}L - i))"
     ))
+    df = df.withColumn(out, _padded(out, w, "cast(null as bigint)"))
     step = 1
     while step < w:
         df = df.withColumn(out, _pairs(out, step, "(a, b) -> least(a, b)"))
