@@ -136,6 +136,8 @@ class Codec:
         far = np.nonzero(b.starts & (b.at >= reach + MARGIN))[0]
         end = int(b.at[far[0]]) if len(far) else len(b.data)
         start = int(a.at[left])
+        if max(seam - start, end) > 4 * max(reach, MARGIN) and reach < max(seam, len(b.data)):
+            return None  # pieces are long here; look again with a wider reach
         w = self.encode((a.data[start:] + b.data[:end]).decode())
         # Pieces that start at the same place on both sides, and are not near the window's end.
         limit = len(b.data) if end == len(b.data) else end - MARGIN
