@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkloom.llm.common import crc_fold, documents, whole_text
+from perkloom.llm.common import crc_fold, documents, stored, whole_text
 from perkloom.llm.labelled import labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -43,6 +43,11 @@ def tokens(text: str) -> list[str]:
 
 def shape(token: str) -> str:
     """Classes of characters, runs as one, the first few: Xx for a capitalised word."""
+    if token.isalpha():  # most are plain words
+        if token.islower():
+            return "(x)"
+        if token.istitle() and token[1:]:
+            return "(Xx)"
     kinds = []
     for c in token[:64]:
         kind = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else "#"
@@ -63,10 +68,8 @@ def frequent_tokens(docs: DataFrame, one_in: int = FREQUENT) -> list[str]:
             yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
 
     counted = docs.select(whole_text().alias("text")).mapInPandas(count, "token string, n bigint")
-    totals = counted.groupBy("token").agg(F.sum("n").alias("n"))
-    everything = counted.agg(F.sum("n").alias("all"))
-    # One row joins as a condition on a sum, not as a table of its own.
-    least = (everything.first()["all"] or 0) / one_in
+    totals = stored(counted.groupBy("token").agg(F.sum("n").alias("n")), "tokens")
+    least = (totals.agg(F.sum("n")).first()[0] or 0) / one_in
     found = totals.where(F.col("n") >= max(1.0, least)).orderBy(F.col("n").desc(), "token")
     return [r["token"] for r in found.collect()]
 
@@ -78,20 +81,17 @@ class Vocabulary:
         shapes = _shapes()
         self.number = {t: i for i, t in enumerate([*frequent, *shapes, REPEAT])}
         self.size = len(self.number)
-        self.shape_of: dict[str, int] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"shape_of": {}}
 
     def numbers(self, text: str) -> np.ndarray:
-        found, get, last, same = [], self.number.get, None, self.number[REPEAT]
-        for t in tokens(text):
-            n = get(t)
-            if n is None:
-                n = get(shape(t))
-            found.append(same if t == last else n)
-            last = t
-        return np.array(found, np.int32)
+        found = tokens(text)
+        numbers = np.array([self._number(t) for t in found], np.int32)
+        repeats = [i for i, (a, b) in enumerate(zip(found, found[1:], strict=False), 1) if a == b]
+        numbers[repeats] = self.number[REPEAT]
+        return numbers
+
+    def _number(self, token: str) -> int:
+        n = self.number.get(token)
+        return self.number[shape(token)] if n is None else n
 
     def index_vectors(self) -> np.ndarray:
         import xxhash
