@@ -6,9 +6,10 @@ are set in each of their four 16-bit lanes: two fingerprints differ in at least
 as their lane counts do, so a pair of tiles whose counts differ beyond the radius is skipped
 before anything is moved. Copies share a fingerprint and are compared once.
 
-On request documents are also linked at a given likeness of their sets of five words in a row.
-Likeness asks for sets of like size, so tiles are by size; what exclusive-or and bit counts leave
-is settled by sketches of 128 minima that travel with the tiles.
+On request documents are also linked at a given likeness of their sets of five words in a row,
+as told by two fingerprints together, of three and of five words, whose errors are apart.
+Likeness asks for sets of like size, so these tiles are by size, and only sizes within the
+likeness of each other are compared.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ LANES = 4
 LANE_BITS = 16
 HASH_SEED = 42
 COUNTED_AT_ONCE = 65_536
-# For links by likeness.
+# For links by likeness: texts with four fifths of their five-word shingles in common differ in
+# twenty of the 128 bits or fewer, nineteen times in twenty; unrelated ones in sixty-four or so.
+LIKENESS = 0.8
 LIKE_SHINGLE = 5
-LIKE_RADIUS = 18  # bits; texts that are four fifths alike differ in ten or so
-LIKE_TILE = 2048
-SKETCH = 128  # minima, one of each range of hashes
+LIKE_RADIUS = 20
+LIKE_TILE = 8192
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -185,83 +187,57 @@ def _hex(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint")
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
-    """16 bits of the smallest hash in each of ``SKETCH`` ranges (0: none), and how many different
-    hashes there are."""
-    different = np.unique(hashes)
-    edges = (np.arange(SKETCH, dtype=np.uint64) << np.uint64(57))
-    first = np.searchsorted(different, edges)
-    found = np.zeros(SKETCH, np.uint16)
-    there = first < np.append(first[1:], len(different))
-    found[there] = np.maximum(different[first[there]].astype(np.uint16), 1)
-    return found, len(different)
+def both_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, like_fp, n): fingerprints of both sorts, and how many different shingles."""
 
-
-def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, like_fp, n, sketch): fingerprints of both sorts and the sketch of a text."""
-
-    @F.pandas_udf("struct<fp:bigint,like_fp:bigint,n:bigint,sketch:array<bigint>>")
+    @F.pandas_udf("struct<fp:bigint,like_fp:bigint,n:bigint>")
     def read(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             long = shingle_hashes(text, LIKE_SHINGLE)
-            minima, n = sketch(long)
-            fps = np.array([simhash(shingle_hashes(text, shingle)), simhash(long)], np.uint64).view(np.int64)
-            rows.append([*fps.tolist(), n, minima.view(np.int64)])
-        return pd.DataFrame(rows, columns=["fp", "like_fp", "n", "sketch"])
+            fps = np.array([simhash(shingle_hashes(text, shingle)), simhash(long)], np.uint64)
+            rows.append([*fps.view(np.int64).tolist(), len(np.unique(long))])
+        return pd.DataFrame(rows, columns=["fp", "like_fp", "n"], dtype=np.int64)
 
     return docs.select("doc_id", read(whole_text()).alias("s")).select("doc_id", "s.*")
 
 
-def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of the ranges that either text has hashes in, in which their minima agree."""
-    some = (a > 0) | (b > 0)
-    return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
-
-
-def _like_stars(a, b, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``_stars`` for (node, fp, n, sketch) of two tiles."""
-    node, fp, n, minima = (np.concatenate(x) for x in zip(a, b, strict=True))
+def _like_stars(a, b, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``_stars`` for (node, fp, like_fp, n) of two tiles."""
+    node, fp, like, n = (np.concatenate(x) for x in zip(a, b, strict=True))
     size, label = len(a[0]), np.arange(len(node))
     rows = max(1, 1_000_000 // max(1, len(b[0])))
     for at in range(0, size, rows):
         upto = min(size, at + rows)
-        near = np.bitwise_count(fp[at:upto, None] ^ fp[None, size:]) <= LIKE_RADIUS
-        i, j = np.nonzero(near)
+        bits = np.bitwise_count(fp[at:upto, None] ^ fp[None, size:])
+        bits += np.bitwise_count(like[at:upto, None] ^ like[None, size:])
+        i, j = np.nonzero(bits <= radius)
         i, j = i + at, j + size
-        fit = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (node[i] != node[j])
-        i, j = i[fit], j[fit]
-        for part in range(0, len(i), 16_384):
-            x, y = i[part : part + 16_384], j[part : part + 16_384]
-            apart = label[x] != label[y]  # what is linked already needs no look
-            x, y = x[apart], y[apart]
-            like = _likeness(minima[x], minima[y]) >= similarity
-            if like.any():
-                label = _joined(label, x[like], y[like])
+        fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+        if fit.any():
+            label = _joined(label, i[fit], j[fit])
     moved = node[label] != node
     return node[moved], node[label][moved]
 
 
-def like_links(nodes: DataFrame, similarity: float, tile: int = LIKE_TILE) -> DataFrame:
-    """Edges (u, v) between nodes (``node``, ``like_fp``, ``n``, ``sketch``) that are at least
-    ``similarity`` alike. Sizes fall into steps of that ratio, and only tiles of the same
-    or the next step can hold like texts."""
+def like_links(nodes: DataFrame, similarity: float = LIKENESS, radius: int = LIKE_RADIUS, tile: int = LIKE_TILE) -> DataFrame:
+    """Edges (u, v) that connect the nodes (``node``, ``fp``, ``like_fp``, ``n``) within ``radius``
+    bits of both fingerprints and ``similarity`` of each other's size. Sizes fall into steps of
+    that ratio, and only tiles of the same or the next step can hold like texts."""
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
-    sized = nodes.select("node", "like_fp", "n", "sketch", step.alias("step"))
-    # A row per step of a size, of which a long has two hundred: broadcast.
+    columns = ["node", "fp", "like_fp", "n"]
+    sized = nodes.select(*columns, step.alias("step"))
+    # A row per step of a size, of which a long has some two hundred: broadcast.
     tiles_of = F.broadcast(
         sized.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     )
-    row = F.struct("node", "like_fp", "n", "sketch")
     tiles = stored(
         sized.join(tiles_of, "step")
         .groupBy("step", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-        .agg(F.collect_list(row).alias("rows"))  # about ``tile`` of them
-        .select("step", "tile", "rows.node", "rows.like_fp", "rows.n", F.flatten("rows.sketch").alias("sketch")),
+        .agg(F.collect_list(F.struct(*columns)).alias("rows"))  # about ``tile`` of them
+        .select("step", "tile", *[f"rows.{c}" for c in columns]),
         "like-tiles",
     )
-    # Every tile meets those of its step and of the next, each with a task of its own.
-    columns = ["node", "like_fp", "n", "sketch"]
     left = tiles.select(
         F.col("step").alias("own"), F.col("tile").alias("own_tile"), *[F.col(c).alias(f"{c}_a") for c in columns],
         F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"),
@@ -270,15 +246,15 @@ def like_links(nodes: DataFrame, similarity: float, tile: int = LIKE_TILE) -> Da
     pairs = left.where("own != step or own_tile <= tile").join(tiles, ["step", "tile"])
 
     @F.pandas_udf("array<struct<u:bigint,v:bigint>>")
-    def near(na: pd.Series, fa: pd.Series, ca: pd.Series, sa: pd.Series,
-             nb: pd.Series, fb: pd.Series, cb: pd.Series, sb: pd.Series) -> pd.Series:
-        def arrays(node, fp, n, minima):
-            fp, minima = np.ascontiguousarray(fp, np.int64), np.ascontiguousarray(minima, np.int64)
-            return node, fp.view(np.uint64), n, minima.view(np.uint16).reshape(-1, SKETCH)
+    def near(na: pd.Series, fa: pd.Series, la: pd.Series, ca: pd.Series,
+             nb: pd.Series, fb: pd.Series, lb: pd.Series, cb: pd.Series) -> pd.Series:
+        def arrays(node, fp, like, n):
+            fp, like = (np.ascontiguousarray(x, np.int64).view(np.uint64) for x in (fp, like))
+            return node, fp, like, n
 
         found = []
-        for a, b in zip(zip(na, fa, ca, sa, strict=True), zip(nb, fb, cb, sb, strict=True), strict=True):
-            u, v = _like_stars(arrays(*a), arrays(*b), similarity)
+        for a, b in zip(zip(na, fa, la, ca, strict=True), zip(nb, fb, lb, cb, strict=True), strict=True):
+            u, v = _like_stars(arrays(*a), arrays(*b), similarity, radius)
             found.append([{"u": p, "v": q} for p, q in zip(u.tolist(), v.tolist(), strict=True)])
         return pd.Series(found)
 
@@ -286,10 +262,10 @@ def like_links(nodes: DataFrame, similarity: float, tile: int = LIKE_TILE) -> Da
     return pairs.select(F.explode(near(*both)).alias("e")).select("e.u", "e.v")
 
 
-def near_or_like(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_or_like(docs: DataFrame, similarity: float = LIKENESS) -> DataFrame:
     """``near_duplicates`` with links by likeness added: (doc_id, fingerprint, component_id)."""
-    seen = stored(sketches(docs), "sketches")
-    same = ["fp", "like_fp", "n", "sketch"]
+    seen = stored(both_fingerprints(docs), "fingerprints")
+    same = ["fp", "like_fp", "n"]
     nodes = stored(
         seen.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
