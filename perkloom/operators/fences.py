@@ -134,8 +134,8 @@ def notification_text(
 def notifications(ranked: DataFrame, programs: DataFrame, by: list[str]) -> DataFrame:
     """Message per place visit from ranked usable benefits.
 
-    ``ranked`` holds ``by`` columns, ``place_name``, ``position``. Only the two
-    best rows of a visit are formatted; the rest is a count.
+    ``ranked`` holds ``by`` columns, ``place_name``, ``position``. A message is about the
+    ``NOTIFY_TOP`` best offers of a visit: the two best are written out, the others counted.
     """
     names = programs.select(F.col("id").alias("program_id"), F.col("name").alias("_club"))
     line = F.format_string(
@@ -150,7 +150,8 @@ def notifications(ranked: DataFrame, programs: DataFrame, by: list[str]) -> Data
         return F.max(F.when(F.col("position") == position, F.col("_line")))
 
     grouped = with_line.groupBy(*by, "place_name").agg(
-        best(1).alias("_one"), best(2).alias("_two"), F.count(F.lit(1)).cast("int").alias("_n")
+        best(1).alias("_one"), best(2).alias("_two"),
+        F.count_if(F.col("position") <= V.NOTIFY_TOP).cast("int").alias("_n"),
     )
     lines = F.array_compact(F.array("_one", "_two"))
     title, body = notification_text(F.col("place_name"), lines, F.col("_n"))

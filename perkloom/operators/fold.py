@@ -6,10 +6,11 @@ even when one key holds most of the rows: a long key is cut into consecutive
 pieces, and a partition is walked as a stream with constant memory.
 
 A piece in the middle of a key needs the state its predecessor ended with. Every
-piece is first walked from a fresh start; only pieces that lie wholly inside one
-key and received another state are walked again, in parallel, until no end state
-changes. Histories forget quickly, so this takes very few rounds; it is exact
-however many it takes. The driver sees one small row per piece.
+piece is first walked from a fresh start. Then, in rounds, the first piece of each key
+that started from another state than its predecessor ended with is walked again; all
+pieces before it are final, so no piece is walked a third time and the work is linear.
+Where a history forgets, the pieces after it hold at once. The driver sees one small row
+per piece.
 """
 
 from __future__ import annotations
@@ -24,25 +25,26 @@ from pyspark.sql.types import StructField, StructType
 
 from perkloom.session import ensure_checkpoint_dir
 
+PIECE_ROWS = 500_000
+
 # step(rows of one key in order, state or None) -> (one value per row, state)
 Step = Callable[[pd.DataFrame, list | None], tuple[list, list | None]]
 
 
-def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[str, pd.DataFrame]]:
+def _runs(batch: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
     """Consecutive rows of the same key within one Arrow batch."""
-    changed = (batch[keys] != batch[keys].shift()).any(axis=1)
-    for _, run in batch.groupby(changed.cumsum(), sort=False):
-        yield json.dumps([str(v) for v in run[keys].iloc[0]]), run
+    for _, run in batch.groupby((batch["_key"] != batch["_key"].shift()).cumsum(), sort=False):
+        yield run["_key"].iloc[0], run
 
 
-def _walk(batches, keys, step, incoming):
+def _walk(batches, step, incoming):
     """Yield (chunk, key, rows, outputs, state) along one partition."""
     state, at = None, None
     for batch in batches:
         if not len(batch):
             continue
         chunk = int(batch["_chunk"].iloc[0])
-        for key, rows in _runs(batch, keys):
+        for key, rows in _runs(batch):
             if at is None:
                 state = incoming.get(chunk)
             elif key != at:
@@ -63,11 +65,15 @@ def ordered_fold(
     """``df`` plus one column computed by ``step`` along each key's history."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = pieces or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIECE_ROWS)
+    )
     # Written to the shared checkpoint folder: the pieces must be the same rows in
-    # every pass, also after an executor was lost.
+    # every pass, also after an executor was lost. The key is written out here, where a
+    # null cannot change how the other keys look.
     chunks = (
-        df.repartitionByRange(n, *keys, *order)
+        df.withColumn("_key", F.to_json(F.struct(*keys)))
+        .repartitionByRange(n, *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_chunk", F.spark_partition_id())
         .checkpoint()
@@ -77,7 +83,7 @@ def ordered_fold(
         def scan(batches):
             first = last = None
             chunk, state = None, None
-            for chunk, key, _, _, state in _walk(batches, keys, step, incoming):
+            for chunk, key, _, _, state in _walk(batches, step, incoming):
                 first, last = first or key, key
                 if only is not None and chunk not in only:
                     return
@@ -95,21 +101,24 @@ def ordered_fold(
     ids = sorted(known)
     incoming: dict[int, list | None] = {}
     while True:
-        wanted = {}
+        stale, unsure = {}, None
         for before, here in zip(ids, ids[1:]):
-            if known[before][1] == known[here][0] and known[before][2] is not None:
-                wanted[here] = known[before][2]
-        stale = {
-            c for c in ids
-            if known[c][0] == known[c][1] and wanted.get(c) != incoming.get(c)
-        }
-        incoming = wanted
+            first, last, _ = known[here]
+            if known[before][1] != first:
+                continue
+            state = known[before][2]
+            if first == last and first != unsure and state != incoming.get(here):
+                stale[here] = state
+                unsure = first  # what follows in this key waits
+            elif first != last:
+                incoming[here] = state  # only its first rows depend on it
         if not stale:
             break
-        known.update(ends(incoming, stale))
+        incoming.update(stale)
+        known.update(ends(incoming, set(stale)))
 
     def decide(batches):
-        for _, _, rows, out, _ in _walk(batches, keys, step, incoming):
-            yield rows.drop(columns="_chunk").assign(**{output.name: out})
+        for _, _, rows, out, _ in _walk(batches, step, incoming):
+            yield rows.drop(columns=["_chunk", "_key"]).assign(**{output.name: out})
 
     return chunks.mapInPandas(decide, StructType([*df.schema.fields, output]))

@@ -6,30 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
+from perkloom.session import written
 
-MAX_DEPTH = 32
 
-
-def program_ancestors(programs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def program_ancestors(programs: DataFrame) -> DataFrame:
     """(program_id, ancestor_id), every program being its own ancestor.
 
-    The walk is over programs only, never over users. The depth guard ends it on
-    a parent cycle in hand-edited data.
-    """
-    return programs.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(program_id, ancestor_id, depth) AS (
-          SELECT id, id, 0 FROM {{programs}}
-          UNION ALL
-          SELECT up.program_id, p.parent_id, up.depth + 1
-          FROM up JOIN {{programs}} p ON p.id = up.ancestor_id
-          WHERE p.parent_id IS NOT NULL AND p.parent_id <> up.program_id
-            AND up.depth < {int(max_depth)}
-        )
-        SELECT DISTINCT program_id, ancestor_id FROM up
-        """,
-        programs=programs,
+    Pairs are joined with themselves, which doubles the levels covered, until no new pair
+    appears: a chain of any length takes the logarithm of it in rounds, and a parent cycle in
+    hand-edited data adds no pair twice. Works on programs only, never on users."""
+    ids = F.col("id")
+    up = written(
+        programs.where("parent_id IS NOT NULL AND parent_id <> id")
+        .select(ids.alias("program_id"), F.col("parent_id").alias("ancestor_id")).distinct(),
+        "ancestors",
     )
+    size, before = up.count(), 0
+    while size != before:
+        above = up.select(F.col("program_id").alias("ancestor_id"), F.col("ancestor_id").alias("_above"))
+        further = up.join(above, "ancestor_id").select("program_id", F.col("_above").alias("ancestor_id"))
+        up = written(up.unionByName(further).where("program_id <> ancestor_id").distinct(), "ancestors")
+        size, before = up.count(), size
+    return programs.select(ids.alias("program_id"), ids.alias("ancestor_id")).unionByName(up).distinct()
 
 
 def owned_programs(declared: DataFrame, programs: DataFrame) -> DataFrame:

@@ -1,104 +1,121 @@
 """Greedy spacing: in order, drop a point closer than a distance to a kept one.
 
 The rule is order-dependent, so a point's fate rests on earlier points only. Exact
-copies go first, in one aggregation. Groups of checked, moderate size are then
-settled in one row each; larger groups are settled in parallel rounds:
+copies go first, in one aggregation. The plane is then tiled. Each (key, tile) is walked
+in order by one task, as a stream that holds only kept and undecided points:
 
-* a point that comes before every open point in the cubes its disc reaches has no
-  earlier rival left, so it is kept;
-* open points within the distance of a kept one are dropped.
+* a point near an earlier kept one is dropped;
+* a point with an undecided earlier neighbour waits;
+* any other is kept.
 
-Only the first open point of each cube is compared, and each kept point only with
-its own neighbourhood, so a crowded spot does not produce pairs.
+Points within the distance of a tile's edge are also shown to the tiles beyond it. What
+waits there is settled in further rounds, over the tiles that still have open points only.
+The earliest open point is settled in every round, and a chain of points that each decide the
+next needs a round per tile it crosses, not per point. There is one way for all sizes; a
+chain that is one key spreads over its tiles.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perkloom.functions import spherefn
-from perkloom.functions.fixed_values import DUPLICATE_BRANCH_M
-from perkloom.session import ensure_checkpoint_dir
+from perkloom.functions.fixed_values import DUPLICATE_BRANCH_M, EARTH_RADIUS_M
+from perkloom.session import written
 
-ROW_GROUP_MAX = 2_000
+TILE_M = 50_000.0
+KEPT, OPEN, DROPPED = 1, 0, -1
 
 
-def _settle_in_row(points: DataFrame, key: str, min_m: float) -> DataFrame:
-    listed = points.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lat", "lng"))).alias("points")
-    )
-    none = F.slice("points", 1, 0)
-    kept = F.aggregate(
-        "points",
-        none,
-        lambda acc, p: F.when(
-            F.exists(
-                acc,
-                lambda q: spherefn.haversine_m(q["lat"], q["lng"], p["lat"], p["lng"]) < F.lit(min_m),
-            ),
-            acc,
-        ).otherwise(F.array_append(acc, p)),
-    )
-    return listed.select(key, F.inline(kept))
+def _distance_m(a: tuple[float, float], b: tuple[float, float]) -> float:
+    x = math.sin(math.radians(b[0] - a[0]) / 2)
+    y = math.sin(math.radians(b[1] - a[1]) / 2)
+    h = x * x + y * y * math.cos(math.radians(a[0])) * math.cos(math.radians(b[0]))
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
 
 
-def _settle_in_rounds(points: DataFrame, key: str, min_m: float) -> DataFrame:
-    ensure_checkpoint_dir(points.sparkSession)
-    side = 2 * min_m
-    lat, lng = F.col("lat"), F.col("lng")
-    reach = F.explode(spherefn.cells_within(lat, lng, F.lit(float(min_m)), side))
-    open_points = points.withColumn("cell", spherefn.cell_of(lat, lng, side)).checkpoint()
-    kept = None
-    while not open_points.isEmpty():
-        heads = open_points.groupBy(key, "cell").agg(
-            F.min(F.struct("seq", "lat", "lng")).alias("h")
-        )
-        first_around = heads.select(key, "cell", F.col("h.seq").alias("rival"))
-        winners = (
-            heads.select(key, "h.*")
-            .withColumn("cell", reach)
-            .join(first_around, [key, "cell"])
-            .groupBy(key, "seq", "lat", "lng")
-            .agg(F.min("rival").alias("rival"))
-            .where("seq <= rival")
-            .drop("rival")
-            .checkpoint()
-        )
-        covered = (
-            winners.select(
-                key, lat.alias("k_lat"), lng.alias("k_lng"), reach.alias("cell")
-            )
-            .join(open_points, [key, "cell"])
-            .where(
-                spherefn.haversine_m(F.col("k_lat"), F.col("k_lng"), lat, lng) < F.lit(min_m)
-            )
-            .select(key, "seq")
-            .distinct()
+class _Walk:
+    """Kept and undecided points of one tile, by cube of the distance's size."""
+
+    def __init__(self, min_m: float):
+        self.min_m, self.cubes = min_m, {}
+
+    def _cube(self, point):
+        lat, lng = math.radians(point[0]), math.radians(point[1])
+        side = self.min_m + spherefn.SLACK_M
+        return (
+            math.floor(EARTH_RADIUS_M * math.cos(lat) * math.cos(lng) / side),
+            math.floor(EARTH_RADIUS_M * math.cos(lat) * math.sin(lng) / side),
+            math.floor(EARTH_RADIUS_M * math.sin(lat) / side),
         )
-        open_points = open_points.join(covered, [key, "seq"], "left_anti").checkpoint()
-        kept = winners if kept is None else kept.unionByName(winners)
-    return kept if kept is not None else points.select(key, "seq", "lat", "lng").limit(0)
+
+    def settle(self, point, state: int | None) -> int:
+        """State of the next point; ``state`` is given for points of other tiles and for those
+        settled before."""
+        x, y, z = self._cube(point)
+        if state is None:
+            state = KEPT
+            for cube in ((x + i, y + j, z + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)):
+                for other, how in self.cubes.get(cube, ()):
+                    if _distance_m(other, point) < self.min_m:
+                        state = min(state, DROPPED if how == KEPT else OPEN)
+                if state == DROPPED:
+                    break
+        if state != DROPPED:
+            self.cubes.setdefault((x, y, z), []).append((point, state))
+        return state
+
+
+def _round(laid: DataFrame, key: str, min_m: float) -> DataFrame:
+    """Walk the tiles; the states of each tile's own points."""
+    names = [f.name for f in laid.schema.fields if f.name not in ("tile", "own")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tile = None, None
+        for batch in batches:
+            states = []
+            for where, lat, lng, state, own in zip(
+                zip(batch["_key"], batch["tile"]), batch["lat"], batch["lng"], batch["state"], batch["own"]
+            ):
+                if where != at:
+                    at, tile = where, _Walk(min_m)
+                known = None if own and state == OPEN else state
+                states.append(tile.settle((lat, lng), known))
+            yield batch.assign(state=states)[batch["own"]][[*names]]
+
+    placed = laid.withColumn("_key", F.to_json(F.struct(key)))
+    in_order = placed.repartition("_key", "tile").sortWithinPartitions("_key", "tile", "seq", "lat", "lng")
+    schema = laid.select(*names).schema
+    return in_order.mapInPandas(walk, schema)
 
 
 def keep_spaced(
-    points: DataFrame,
-    key: str,
-    min_m: float = DUPLICATE_BRANCH_M,
-    row_group_max: int = ROW_GROUP_MAX,
+    points: DataFrame, key: str, min_m: float = DUPLICATE_BRANCH_M, tile_m: float = TILE_M
 ) -> DataFrame:
     """(key, seq, lat, lng) of the points kept; ``seq`` orders them."""
-    unique = (
+    lat, lng = F.col("lat"), F.col("lng")
+    home = spherefn.cell_of(lat, lng, tile_m)
+    state = (
         points.where("lat IS NOT NULL AND lng IS NOT NULL")
-        .groupBy(key, "lat", "lng")
-        .agg(F.min("seq").alias("seq"))
-    )
-    sizes = unique.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > row_group_max).select(key)
-    small = _settle_in_row(unique.join(large, key, "left_anti"), key, min_m)
-    if large.isEmpty():
-        return small
-    crowded = unique.join(large, key, "left_semi")
-    return small.unionByName(
-        _settle_in_rounds(crowded, key, min_m).select(key, "seq", "lat", "lng")
+        .groupBy(key, "lat", "lng").agg(F.min("seq").alias("seq"))
+        .select(key, "seq", "lat", "lng", F.lit(OPEN).alias("state"))
     )
+    todo, settled = state, None
+    while True:
+        reach = spherefn.cells_within(lat, lng, F.lit(float(min_m)), tile_m)
+        laid = todo.withColumn("tile", F.explode(reach)).withColumn("own", F.col("tile") == home)
+        if settled is not None:
+            waiting = todo.where(F.col("state") == OPEN).select(key, home.alias("tile")).distinct()
+            laid = laid.join(waiting, [key, "tile"], "left_semi")
+            settled = todo.withColumn("tile", home).join(waiting, [key, "tile"], "left_anti").drop("tile")
+        walked = _round(laid, key, min_m)
+        if settled is not None:
+            walked = walked.unionByName(settled)
+        todo = settled = written(walked.where(F.col("state") != DROPPED), "spacing")
+        if todo.where(F.col("state") == OPEN).isEmpty():
+            return todo.select(key, "seq", "lat", "lng")

@@ -77,6 +77,12 @@ def owned_closure(spark, sf_dir):
     return Domain(spark, sf_dir).owned
 
 
+def owned_deep_closure(spark, sf_dir):
+    """Chains of fifty programs, every fourth of which ends in a cycle."""
+    d = Domain(spark, sf_dir)
+    return ownership.owned_programs(d.raw("fx_deep_owned"), d.raw("fx_deep_program"))
+
+
 def offered_programs(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return ownership.offered_programs(d.programs, d.benefits).select(
@@ -186,6 +192,7 @@ QUERIES = {
     "condition_lines": condition_lines,
     "saving_estimate": saving_estimate,
     "owned_closure": owned_closure,
+    "owned_deep_closure": owned_deep_closure,
     "offered_programs": offered_programs,
     "profile_from_toggles": profile_from_toggles,
     "ready_split": ready_split,
@@ -336,7 +343,7 @@ kr AS (SELECT *, CAST(notifications_opened + redeemed AS DOUBLE) / nullif(notifi
 
 
 def _with(ctes: str, *more: str, select: str) -> str:
-    return "WITH " + ",\n".join([ctes, *more]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([ctes, *more]) + "\n" + select
 
 
 def _saving_on(kind: str, amount: str) -> str:
@@ -420,6 +427,14 @@ n AS (SELECT ctx_id, benefit_id, nb, unnest(cl) AS code, generate_subscripts(cl,
     "owned_closure": _with(
         duckdb_cte(["fx_program", "fx_owned"]), _OWNED, select="SELECT user_id, program_id FROM owned"
     ),
+    "owned_deep_closure": _with(
+        duckdb_cte(["fx_deep_program", "fx_deep_owned"]),
+        """up AS (SELECT id AS program_id, id AS ancestor_id FROM fx_deep_program
+  UNION SELECT up.program_id, p.parent_id FROM up JOIN fx_deep_program p ON p.id = up.ancestor_id
+  WHERE p.parent_id IS NOT NULL)""",
+        select="""SELECT DISTINCT user_id, coalesce(ancestor_id, program_id) AS program_id
+FROM fx_deep_owned LEFT JOIN up USING (program_id)""",
+    ),
     "offered_programs": _with(
         duckdb_cte(["fx_program", "fx_benefit"]),
         select="""SELECT CAST(list_position(['credit_card', 'employer_club', 'retail_club'], category)

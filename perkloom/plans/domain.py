@@ -12,6 +12,7 @@ from perkloom.functions.timefn import utc_instant
 from perkloom.operators import ownership
 from perkloom.plans.fixture_views import view
 from perkloom.schemas import CONDITIONS
+from perkloom.session import SPREAD_KEY
 
 
 def at(seconds: str) -> Column:
@@ -30,11 +31,12 @@ SPREAD_BY = {
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table too small to fill them: a single small file is one
-    partition however much work its rows take. A table with a partition per core,
-    which is any large one, is left as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Use every core on tables that are one small file each, in sessions that ask for it
+    (local ones: benchmark and tests); elsewhere tables stay as they are read."""
+    spark = df.sparkSession
+    if spark.conf.get(SPREAD_KEY, "false") != "true":
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
 class Domain:

@@ -43,6 +43,16 @@ SELECT c_custkey AS user_id, 'n' || CAST(c_nationkey AS STRING) AS program_id
 FROM {customer}
 UNION SELECT c_custkey, 'n' || CAST((c_custkey * 7) % 25 AS STRING)
 FROM {customer} WHERE c_custkey % 3 <> 0""",
+    # Chains of fifty programs; the last of a chain has no parent or closes a cycle.
+    "fx_deep_program": """
+SELECT 'p' || CAST(p_partkey AS STRING) AS id,
+  CASE WHEN p_partkey % 50 <> 49 THEN 'p' || CAST(p_partkey + 1 AS STRING)
+    WHEN p_partkey % 200 = 199 THEN 'p' || CAST(p_partkey - 10 AS STRING) END AS parent_id
+FROM {part}""",
+    "fx_deep_owned": """
+SELECT c_custkey AS user_id,
+  'p' || CAST(c_custkey % (SELECT COUNT(*) FROM {part}) AS STRING) AS program_id
+FROM {customer}""",
     "fx_merchant": """
 SELECT s_suppkey AS seq, 's' || CAST(s_suppkey AS STRING) AS id, s_name AS name,
   CASE s_suppkey % 4 WHEN 0 THEN 'grocery' WHEN 1 THEN 'dining' WHEN 2 THEN 'fuel'

@@ -40,7 +40,7 @@ def venues_containing(spark, sf_dir):
 
 def merchants_near(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    return geo.merchants_near(d.positions, d.branches, 1_500.0, "pos_id").select(
+    return geo.merchants_near(d.positions, d.branches, d.merchants, 1_500.0, "pos_id").select(
         "pos_id", "merchant_id", _m(), "position"
     )
 
@@ -300,7 +300,8 @@ ORACLE = {
     "merchants_near": _with(
         _GEO, _PB,
         select=f"""SELECT pos_id, merchant_id, {_D},
-  row_number() OVER (PARTITION BY pos_id ORDER BY d, merchant_id) AS position FROM pb WHERE d <= 1500""",
+  row_number() OVER (PARTITION BY pos_id ORDER BY d, m.seq) AS position
+FROM pb JOIN fx_merchant m ON m.id = pb.merchant_id WHERE d <= 1500""",
     ),
     "benefits_near": _with(
         _GEO, _BENEFIT, _PB,
@@ -401,7 +402,7 @@ w AS (SELECT *, CAST(floor((now - entered) / 86400000.0) AS BIGINT) AS days FROM
   FROM ranked r LEFT JOIN fx_program p ON p.id = r.program_id)""",
         select="""SELECT ctx_id, 'אתה בmall of ' || any_value(merchant_id) || '?' AS title,
   concat_ws(' • ', max(line) FILTER (position = 1), max(line) FILTER (position = 2))
-    || CASE WHEN count(*) > 2 THEN ' ועוד ' || CAST(count(*) - 2 AS VARCHAR) ELSE '' END AS body
+    || CASE WHEN count(*) > 2 THEN ' ועוד ' || CAST(least(count(*), 5) - 2 AS VARCHAR) ELSE '' END AS body
 FROM lines GROUP BY ctx_id""",
     ),
     "branch_dedupe": _with(

@@ -1,14 +1,11 @@
-"""Session settings the jobs are written for.
-
-``tuned`` only fills in what a cluster operator left unset, so a job submitted
-with its own executor and partition settings keeps them.
-"""
+"""Session settings the jobs are written for, and written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning carries most of the physical tuning: partition counts are
 # coalesced from a generous start, skewed join partitions are split, and a join
@@ -21,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Tables of a single small file are dealt over the cores only where a session asks for it.
+SPREAD_KEY = "spark.perkloom.spreadInputs"
 STATE_STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,6 +37,7 @@ def local(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
         # On small tables planning is most of a run; inferred filters do not repay theirs.
         .config("spark.sql.constraintPropagation.enabled", "false")
         .config(STATE_STORE_KEY, ROCKSDB)
+        .config(SPREAD_KEY, "true")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -64,3 +64,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="perkloom-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
+
+
+_written: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back: what several steps use
+    is computed once, and survives lost executors."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_track(path: str) -> None:
+    """Have ``release`` remove this folder as well."""
+    _written.append(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the folders written so far; call it when their results are consumed."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 from perkloom.operators.ingest import last_per
-from perkloom.session import ensure_checkpoint_dir
+from perkloom.session import ensure_checkpoint_dir, keep_track
 
 
 def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -20,7 +20,11 @@ def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) ->
     spark = stream.sparkSession
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
+    keep_track(root)
+    batches = []
+
     def write(batch: DataFrame, number: int) -> None:
+        batches.append(number)
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     query = (
@@ -31,6 +35,8 @@ def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) ->
         .start()
     )
     query.awaitTermination()
+    if not batches:  # nothing has come
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{root}/out")
     if keys is None:
         return rows.drop("batch")

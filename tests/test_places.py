@@ -40,14 +40,22 @@ def test_merchants_near(spark):
         [("haifa", 0, 32.7866, 35.0209), ("up", 0, 32.0789, 34.7748), ("chain", 0, 32.7866, 35.0209),
          ("chain", 1, *HERE)],
     )
+    catalog = spark.createDataFrame([("haifa", 1), ("up", 2), ("chain", 3)], "id string, seq int")
     at = points(spark, [("me", *HERE)])
     near = lambda r: [
-        x.merchant_id for x in geo.merchants_near(at, b, r, "pos_id").orderBy("position").collect()
+        x.merchant_id for x in geo.merchants_near(at, b, catalog, r, "pos_id").orderBy("position").collect()
     ]
     assert near(500.0) == ["chain", "up"]
     assert near(100.0) == ["chain"]
 
 
+def test_equally_near_merchants_follow_the_catalog(spark):
+    b = branches(spark, [(m, 0, *HERE) for m in ("a_second", "z_first", "unlisted")])
+    catalog = spark.createDataFrame([("z_first", 1), ("a_second", 2)], "id string, seq int")
+    near = geo.merchants_near(points(spark, [("me", *HERE)]), b, catalog, 100.0, "pos_id")
+    assert [r.merchant_id for r in near.orderBy("position").collect()] == ["z_first", "a_second", "unlisted"]
+
+
 @pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"piece_rows": 3})])
 def test_within_equals_brute_force_anywhere_on_the_globe(spark, seed, bounds):
     rnd = random.Random(seed)
@@ -142,8 +150,8 @@ def _greedy(rows, min_m=50.0):
     return {(key, k[0]) for key, ks in kept.items() for k in ks}
 
 
-@pytest.mark.parametrize("in_row_up_to", [0, 40, 10_000])
-def test_spacing_equals_the_sequential_rule(spark, in_row_up_to):
+@pytest.mark.parametrize("tile_m", [120.0, 1_000.0, 50_000.0])
+def test_spacing_equals_the_sequential_rule(spark, tile_m):
     rnd = random.Random(9)
     rows = []
     for seq in range(700):
@@ -153,10 +161,28 @@ def test_spacing_equals_the_sequential_rule(spark, in_row_up_to):
     # A street walked in order: every point's fate hangs on the one before.
     rows += [("street", 1000 + i, HERE[0] + i * 3e-4, HERE[1]) for i in range(12)]
     df = spark.createDataFrame(rows, "key string, seq bigint, lat double, lng double")
-    got = spacing.keep_spaced(df, "key", row_group_max=in_row_up_to)
+    got = spacing.keep_spaced(df, "key", tile_m=tile_m)
     assert {(r.key, r.seq) for r in got.collect()} == _greedy(rows)
 
 
+@pytest.mark.parametrize("step_m, tile_m", [(30.0, 50_000.0), (60.0, 50_000.0), (30.0, 20_000.0)])
+def test_a_long_street_takes_a_round_per_tile(spark, monkeypatch, step_m, tile_m):
+    """3 000 points in order, each deciding the next."""
+    rows = [("street", i, HERE[0] + i * step_m / 111_195.0, HERE[1]) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, lat double, lng double")
+    rounds = []
+    monkeypatch.setattr(spacing, "written", lambda d, n, w=spacing.written: (rounds.append(n), w(d, n))[1])
+    got = spacing.keep_spaced(df, "key", tile_m=tile_m)
+    every = 1 if step_m >= 50 else 2
+    assert {r.seq for r in got.collect()} == set(range(0, 3_000, every))
+    assert len(rounds) <= 8
+
+
+def test_spacing_of_nothing_and_of_unplaced_points(spark):
+    df = spark.createDataFrame([("a", 1, None, 3.0)], "key string, seq bigint, lat double, lng double")
+    assert spacing.keep_spaced(df, "key").count() == 0
+
+
 def test_category_and_program_rules(spark):
     cat = lambda t: spark.range(1).select(enrich.category_of(F.lit(t).cast("string"))).first()[0]
     assert cat("רשת מזון ומסעדות") == "grocery"

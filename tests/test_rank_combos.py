@@ -190,3 +190,19 @@ def test_notification_text(spark):
     r = fences.notifications(ranked, programs, ["ctx_id"]).first()
     assert r.title == "אתה בעזריאלי?"
     assert r.body == "3% הנחה בסופר-פארם (חבר) • 2% הנחה בסופר-פארם (חבר) ועוד 1"
+
+
+
+def test_a_long_chain_of_programs_and_cycles(spark):
+    chain = [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("p40", None)]
+    loop = [("a", "b"), ("b", "c"), ("c", "b"), ("self", "self"), ("gone", "nowhere")]
+    programs = spark.createDataFrame(chain + loop, "id string, parent_id string")
+    declared = spark.createDataFrame(
+        [(1, "p0"), (2, "a"), (3, "self"), (4, "unknown"), (5, "gone")], "user_id int, program_id string"
+    )
+    held = {}
+    for r in ownership.owned_programs(declared, programs).collect():
+        held.setdefault(r.user_id, set()).add(r.program_id)
+    assert held == {
+        1: {f"p{i}" for i in range(41)}, 2: {"a", "b", "c"}, 3: {"self"}, 4: {"unknown"}, 5: {"gone", "nowhere"},
+    }

@@ -124,3 +124,43 @@ def test_only_able_users_at_known_places(spark):
     )
     left = visits.eligible_events(events, places, profiles)
     assert {r.user_id for r in left.collect()} == {0}
+
+
+def test_null_keys_do_not_touch_the_others(spark):
+    """A user who never moves, after rows without a user, read in small batches."""
+    rows = [(i, None, START + timedelta(minutes=i), 32.0, 34.8) for i in range(3)]
+    rows += [(i, 1, START + timedelta(minutes=i), 32.0, 34.8) for i in range(3, 43)]
+    df = spark.createDataFrame(rows, "pos_id bigint, user_id bigint, ts timestamp, lat double, lng double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {r.pos_id: (r.user_id, r.refresh) for r in fences.fence_refreshes(df, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {i for i, (_, refresh) in got.items() if refresh} == {0, 3}
+    assert {user for user, _ in got.values()} == {None, 1}
+
+
+def test_a_steady_mover_is_walked_at_most_twice(spark, monkeypatch):
+    """Every accepted origin depends on the one before, through all pieces."""
+    rows = [(i, 1, START + timedelta(minutes=i), 32.0 + i * 0.019, 34.8) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "pos_id bigint, user_id bigint, ts timestamp, lat double, lng double")
+    walked = spark.sparkContext.accumulator(0)
+
+    def counted(rows, state):
+        walked.add(len(rows))
+        return refresh_step(rows, state)
+
+    monkeypatch.setattr(fences, "refresh_step", counted)
+    got = {r.pos_id: r.refresh for r in fences.fence_refreshes(df, 16).collect()}
+    out, _ = refresh_step(df.toPandas().sort_values("ts"), None)
+    assert got == dict(enumerate(out))
+    # once from a fresh start, at most once more, and once for the answer
+    assert walked.value <= 3 * len(rows) + 16 * 2_000
+
+
+def test_a_stream_without_input_is_an_empty_table(spark, tmp_path):
+    schema = _frame(spark, _events(1, 1, 1)).schema
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    got = drain(stream.select("event_id", "user_id"), "append")
+    assert got.columns == ["event_id", "user_id"] and got.count() == 0
