@@ -24,9 +24,9 @@ LATIN = ("iso-8859-1", "latin1", "iso8859-1", "us-ascii", "ascii", "windows-1252
 
 
 # --- charset ------------------------------------------------------------------
-def charset(content_type: Column, body: Column) -> Column:
-    """Header, else the meta tag in the head, else utf-8."""
-    head = F.decode(F.substring(body, 1, V.HEAD_BYTES), "ISO-8859-1")
+def charset(content_type: Column, body: Column, head_bytes: int | None = None) -> Column:
+    """Header, else the meta tag (in the first ``head_bytes``, if given), else utf-8."""
+    head = F.decode(body if head_bytes is None else F.substring(body, 1, head_bytes), "ISO-8859-1")
     in_header = F.regexp_extract(content_type, V.CHARSET_IN_HEADER, 1)
     in_meta = F.regexp_extract(head, V.CHARSET_IN_META, 1)
     stated = F.coalesce(
@@ -142,8 +142,8 @@ def _string_leaves(blocks: pd.Series) -> pd.Series:
     return blocks.map(read)
 
 
-def json_ld_text(html: Column, limit: int = V.JSON_LD_TOTAL) -> Column:
-    """Unique readable strings of the page's structured data."""
+def json_ld_text(html: Column, limit: int | None = None) -> Column:
+    """Unique readable strings of the page's structured data, cut at ``limit`` if given."""
     blocks = F.transform(
         F.regexp_extract_all(html, F.lit(V.JSON_LD_BLOCK), F.lit(1)),
         lambda b: decode_entities(trim_all(b)),
@@ -151,6 +151,8 @@ def json_ld_text(html: Column, limit: int = V.JSON_LD_TOTAL) -> Column:
     # Most pages have no such block; they never reach Python with any payload.
     joined = F.array_join(_string_leaves(F.when(F.size(blocks) > 0, blocks)), " · ")
     text = F.coalesce(joined, F.lit(""))
+    if limit is None:
+        return text
     return F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("…"))
     ).otherwise(text)
@@ -190,8 +192,10 @@ def page_text(structured: Column, body: Column) -> Column:
     return F.when(structured != "", F.concat(structured, F.lit("\n\n"), body)).otherwise(body)
 
 
-def bounded(text: Column, limit: int = V.PAGE_TEXT_CAP) -> Column:
-    """The text handed on, cut with a visible mark beyond the limit."""
+def bounded(text: Column, limit: int | None = None) -> Column:
+    """The text handed on, cut with a visible mark beyond the limit if one is given."""
+    if limit is None:
+        return text
     return F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(V.PAGE_TEXT_MARK))
     ).otherwise(text)

@@ -9,16 +9,18 @@ from perkloom.functions import fixed_values as V
 from perkloom.functions import pages as fn
 
 
-def decode_pages(raw: DataFrame) -> DataFrame:
+def decode_pages(raw: DataFrame, head_bytes: int | None = None) -> DataFrame:
     """``body`` (binary) and ``content_type`` to ``charset`` and ``html``."""
-    return raw.withColumn("charset", fn.charset(F.col("content_type"), F.col("body"))).withColumn(
+    stated = fn.charset(F.col("content_type"), F.col("body"), head_bytes)
+    return raw.withColumn("charset", stated).withColumn(
         "html", fn.decode_bytes(F.col("body"), F.col("charset"))
     )
 
 
-def refine(pages: DataFrame) -> DataFrame:
+def refine(pages: DataFrame, structured_limit: int | None = None) -> DataFrame:
     """Adds ``text``, the quality figures and ``problem`` (null = accepted)."""
-    structured, body = fn.json_ld_text(F.col("html")), fn.html_to_text(F.col("html"))
+    structured = fn.json_ld_text(F.col("html"), structured_limit)
+    body = fn.html_to_text(F.col("html"))
     read = pages.withColumns({"_ld": structured, "_body": body})
     # Unpacked from a one-element array: a filter on what follows from the text then
     # stays above it instead of reading the page twice.
@@ -29,7 +31,8 @@ def refine(pages: DataFrame) -> DataFrame:
     )
 
 
-def accepted(refined: DataFrame, limit: int = V.PAGE_TEXT_CAP) -> DataFrame:
+def accepted(refined: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages worth reading on; their text whole unless a limit is given."""
     return refined.where("problem IS NULL").withColumn("text", fn.bounded(F.col("text"), limit))
 
 

@@ -141,8 +141,13 @@ def crawl_batches(listed: DataFrame, fetched: DataFrame, size: int = V.CRAWL_BAT
 def merge_merchants(sightings: DataFrame) -> DataFrame:
     """One row per business id: every list it was seen on, all else from the latest."""
     fields = [c for c in sightings.columns if c not in ("easy_id", "lists", "seq")]
-    merged = sightings.groupBy("easy_id").agg(
-        F.max_by(F.struct(*fields), F.col("seq")).alias("row"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("lists")))).alias("lists"),
+    latest = sightings.groupBy("easy_id").agg(F.max_by(F.struct(*fields), F.col("seq")).alias("row"))
+    # Each list once per business before anything is gathered.
+    seen = (
+        sightings.select("easy_id", F.explode("lists").alias("list")).distinct()
+        .groupBy("easy_id").agg(F.array_sort(F.collect_list("list")).alias("lists"))
+    )
+    none = F.array().cast("array<string>")
+    return latest.join(seen, "easy_id", "left").select(
+        "easy_id", "row.*", F.coalesce("lists", none).alias("lists")
     )
-    return merged.select("easy_id", "row.*", "lists")

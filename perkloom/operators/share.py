@@ -10,6 +10,7 @@ from perkloom.operators import rank
 from perkloom.operators.conditions import DEFAULT_POLICY, Policy
 from perkloom.operators.ingest import spread_by
 from perkloom.operators.skew import hot_splits, skew_join, skew_lookup
+from perkloom.session import written
 
 
 def merchant_of_host(hosts: DataFrame, domains: DataFrame, **bounds) -> DataFrame:
@@ -60,7 +61,8 @@ def share_outcomes(
 
     ``shares``: ctx_id, user_id, now, text.
     """
-    resolved = resolve_shares(shares, domains, **bounds)
+    # Every share is needed twice, and finding its merchant is most of the work.
+    resolved = written(resolve_shares(shares, domains, **bounds), "resolved")
     contexts = resolved.where("merchant_id IS NOT NULL").select(
         "ctx_id", "user_id", "now", "merchant_id",
         F.lit("online").alias("channel"), F.lit(None).cast("double").alias("cart_amount"),

@@ -7,7 +7,8 @@ key, and works with adaptive execution off as well.
 A key is *hot* on a side when it holds more than ``PIECE_ROWS`` rows there, and is
 cut into pieces of about that size. A table of n rows has fewer than n /
 ``PIECE_ROWS`` such keys, so the table that names them is bounded by construction (a
-trillion rows: a million short entries) and may be broadcast. Rows of a hot key are
+trillion rows: a million short entries); adaptive execution broadcasts it where it is small.
+Rows of a hot key are
 spread over the cells of an a x b grid: a left row goes to one grid row and every
 grid column, a right row to one grid column and every grid row. Each pair meets in
 exactly one cell, so the result is the plain inner join, while no cell holds much
@@ -82,7 +83,7 @@ def skew_join(
     same way.
     """
     keys = [c for c in splits.columns if c not in ("_a", "_b")]
-    grid = F.broadcast(splits)
+    grid = splits
     salted_left = (
         left.join(grid, keys, "left")
         .withColumn("_row", _salt(left_id, "_a"))
@@ -110,7 +111,7 @@ def skew_lookup(
     Hot keys of the left side are cut into pieces and the one matching row of each
     is repeated per piece; rows without a key are spread as well.
     """
-    grid = F.broadcast(hot_keys(left.dropna(subset=on), on, "_a", **bounds))
+    grid = hot_keys(left.dropna(subset=on), on, "_a", **bounds)
     no_key = F.lit(False)
     for key in on:
         no_key = no_key | F.col(key).isNull()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from perkloom.functions import fixed_values as V
 from perkloom.operators import ingest
+from perkloom.session import written
 
 
 @dataclass(frozen=True)
@@ -32,10 +33,13 @@ def ingest_offers(
     their date; everything else is published or queued by confidence.
     """
     valid, quarantine = ingest.split_valid(extracted)
-    rows = ingest.to_benefits(valid, merchants, now)
+    # Used by several outputs each: written where a stage ends, not planned again.
+    rows = written(ingest.to_benefits(valid, merchants, now), "rows")
+    stored = written(stored, "stored")
     approved, to_gate = ingest.split_approved(rows, stored)
+    to_gate = written(to_gate, "to-gate")
     sure, unsure = ingest.gate(to_gate, threshold)
-    benefits = ingest.merge_benefits(stored, approved.unionByName(sure), order)
+    benefits = written(ingest.merge_benefits(stored, approved.unionByName(sure), order), "benefits")
     reviewed = unsure.withColumnRenamed("confidence_reason", "reason")
     return Run(
         benefits=benefits,

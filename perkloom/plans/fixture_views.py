@@ -203,7 +203,7 @@ SELECT doc_id AS line_no, source AS program_id,
   CAST(0.6 + (doc_id % 40) / 100.0 AS DOUBLE) AS confidence_score,
   'reason ' || CAST(doc_id % 4 AS STRING) AS confidence_reason,
   'https://offers.example/' || CAST(doc_id AS STRING) AS source_url,
-  SUBSTRING(text, 1, 40) AS raw_text_summary
+  text AS raw_text_summary
 FROM {documents}""",
     "fx_domain": """
 SELECT seq, 's' || CAST(seq % (SELECT COUNT(*) FROM {supplier}) AS STRING) AS merchant_id,
@@ -228,7 +228,7 @@ FROM {documents}""",
     "fx_listing": """
 SELECT doc_id AS id, source AS list, 'biz ' || CAST(doc_id % 300 AS STRING) AS bizname,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category,
-  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN SUBSTRING(text, 1, 60)
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN text
     WHEN 2 THEN CAST(doc_id % 60 AS STRING) || '% off' WHEN 3 THEN 'חנות • 1 + 1'
     ELSE 'מתנה לחברים' END AS bestsubcat,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'street ' || CAST(doc_id % 90 AS STRING) END AS address

@@ -10,6 +10,7 @@ from perkloom.operators import ingest, proof, quality, review
 from perkloom.plans.catalog_run import ingest_offers
 from perkloom.plans.domain import NOW_S, Domain
 from perkloom.plans.fixture_views import duckdb_cte
+from perkloom.session import written
 from perkloom.sources import collected as sources
 
 LATER = 10_000_000
@@ -69,8 +70,9 @@ def expand_cached(spark, sf_dir):
     offers = d.extracted.select(
         "line_no", F.struct("merchant_name", "type", "value").alias("offer")
     ).join(d.collected.select("line_no", "content_hash"), "line_no")
+    # What was read from the copies of a text, each offer once.
     cache = offers.groupBy("content_hash").agg(
-        F.array(F.min(F.struct("line_no", "offer")).getField("offer")).alias("result")
+        F.array_sort(F.collect_set("offer")).alias("result")
     )
     return ingest.expand_cached(d.collected, cache).select(
         "line_no", "item_no", "merchant_name", "type", "value"
@@ -97,9 +99,9 @@ def merchant_resolution(spark, sf_dir):
     )
 
 
-def _stored(d: Domain) -> DataFrame:
+def _stored(d: Domain, rows: DataFrame | None = None) -> DataFrame:
     """What an earlier run left: every fourth line, half of it approved by a human."""
-    earlier = _rows(d).where("line_no % 4 = 0").withColumn(
+    earlier = (_rows(d) if rows is None else rows).where("line_no % 4 = 0").withColumn(
         "reviewed_by_human", F.col("line_no") % 8 == 0
     )
     return ingest.last_per(earlier, ["id"], "line_no")
@@ -107,7 +109,8 @@ def _stored(d: Domain) -> DataFrame:
 
 def confidence_gate(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    approved, to_gate = ingest.split_approved(_rows(d), _stored(d))
+    rows = written(_rows(d), "rows")
+    approved, to_gate = ingest.split_approved(rows, _stored(d, rows))
     publish, unsure = ingest.gate(to_gate)
     mark = lambda df, name: df.select("line_no", "id", F.lit(name).alias("outcome"))
     return (
@@ -117,8 +120,9 @@ def confidence_gate(spark, sf_dir):
 
 def catalog_run(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    stored = _stored(d).drop("line_no", "confidence_reason")
-    queue = ingest.last_per(_rows(d).where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
+    rows = written(_rows(d), "rows")
+    stored = _stored(d, rows).drop("line_no", "confidence_reason")
+    queue = ingest.last_per(rows.where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
     run = ingest_offers(
         d.extracted, d.merchants, stored,
         queue.withColumnRenamed("confidence_reason", "reason"), _now(),
@@ -443,9 +447,12 @@ WHERE content_hash NOT IN (SELECT content_hash FROM cache) ORDER BY line_no LIMI
     ),
     "expand_cached": _with(
         _COLLECTED, duckdb_cte(["fx_extracted"]),
-        select="""SELECT c.line_no, 0 AS item_no, merchant_name, type, value FROM col c
-JOIN (SELECT content_hash, min(line_no) AS src FROM col GROUP BY ALL) f USING (content_hash)
-JOIN fx_extracted e ON e.line_no = f.src""",
+        """offers AS (SELECT DISTINCT content_hash, merchant_name, type, value
+  FROM col JOIN fx_extracted USING (line_no)),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY content_hash
+    ORDER BY merchant_name, type, value) - 1 AS INT) AS item_no FROM offers)""",
+        select="""SELECT c.line_no, item_no, merchant_name, type, value FROM col c
+JOIN numbered USING (content_hash)""",
     ),
     "quarantine": _with(
         duckdb_cte(["fx_extracted"]),

@@ -78,8 +78,8 @@ def page_diagnosis(spark, sf_dir):
 
 
 def page_accepted(spark, sf_dir):
-    """Pages worth reading on, at a small bound so that cutting shows."""
-    out = pages.accepted(_refined(spark, sf_dir), 2_000)
+    """Pages worth reading on, whole."""
+    out = pages.accepted(_refined(spark, sf_dir))
     return out.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
@@ -108,7 +108,7 @@ def json_ld(spark, sf_dir):
     )
     block = F.concat(
         F.lit('<script type="application/ld+json">{"@type":"Offer","name":"'), title,
-        F.lit('","url":"'), F.col("url"), F.lit('","seller":[{"name":"'), F.substring("url", 9, 12),
+        F.lit('","url":"'), F.col("url"), F.lit('","seller":[{"name":"'), F.concat(F.lit("site "), F.col("url")),
         F.lit('"}]}</script>'),
     )
     html = F.concat(block, F.col("html"))
@@ -136,7 +136,7 @@ def offer_page_text(spark, sf_dir):
                 F.col("line_no") % 2 == 0,
                 F.create_map(
                     F.lit("about"), F.col("category"),
-                    F.lit("חשוב לדעת"), F.substring("terms_text", 1, 30),
+                    F.lit("חשוב לדעת"), F.col("terms_text"),
                 ),
             ),
         }
@@ -319,13 +319,12 @@ FROM read WHERE type IS NOT NULL GROUP BY ALL""",
     ),
     "page_accepted": _with(
         _PAGES,
-        """c AS (SELECT page_id, CASE WHEN tc > 2000 THEN substr(text, 1, 2000) || chr(10) || '[...truncated]'
-    ELSE text END AS t FROM m
+        """c AS (SELECT page_id, text AS t FROM m
   WHERE tc >= 800 AND NOT (hc > 200000 AND tc / hc < 0.01 AND tc < 5000) AND terms >= 3)""",
         select="SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INT) AS chars FROM c",
     ),
     "json_ld": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html,
-    '(?s)<title>(.*?)</title>', 1), '["\\&]', ' ', 'g')) AS name, trim(substr(url, 9, 12)) AS seller
+    '(?s)<title>(.*?)</title>', 1), '["\\&]', ' ', 'g')) AS name, 'site ' || url AS seller
   FROM pages)
 SELECT page_id, concat_ws(' · ', CASE WHEN length(name) BETWEEN 3 AND 399
     AND NOT regexp_matches(name, '^(https?:|/|#|\{)') THEN name END,
@@ -341,7 +340,7 @@ FROM pages""",
         """t AS (SELECT line_no, concat_ws(chr(10) || chr(10),
     CASE WHEN line_no % 3 <> 0 THEN 'בית העסק: ' || category END,
     CASE WHEN line_no % 4 = 1 THEN 'כותרת ההטבה: ' || offer_url END,
-    CASE WHEN line_no % 2 = 0 THEN 'חשוב לדעת:' || chr(10) || substr(terms_text, 1, 30) END,
+    CASE WHEN line_no % 2 = 0 THEN 'חשוב לדעת:' || chr(10) || terms_text END,
     CASE WHEN line_no % 2 = 0 THEN 'about:' || chr(10) || category END,
     'טקסט מלא של העמוד:' || chr(10) || terms_text) AS page_text FROM fx_collected)""",
         select="SELECT line_no, md5(page_text) AS text_md5, CAST(length(page_text) AS INT) AS chars FROM t",

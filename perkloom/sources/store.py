@@ -60,16 +60,22 @@ def read_table(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{version}")
 
 
-def write_lists(records: DataFrame, crawls: DataFrame, root: str) -> None:
-    """Replace the lists that were crawled completely and found something.
+FILE_ROWS = 1_000_000
+
+
+def write_lists(records: DataFrame, crawls: DataFrame, root: str, file_rows: int = FILE_ROWS) -> None:
+    """Replace the lists that were crawled completely and found something, in files of about
+    ``file_rows``.
 
     ``crawls``: (list, complete). A crawl cut short is not a smaller list, so its
     partition, like that of an empty list, is left alone.
     """
     whole = crawls.where("complete").select("list")
+    ways = records.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_ways"))
     (
-        records.join(whole, "list", "left_semi")
-        .repartition("list", F.pmod(F.xxhash64("offer_url"), F.lit(32)))
+        records.join(whole, "list", "left_semi").join(ways, "list")
+        .withColumn("_way", F.pmod(F.xxhash64("offer_url"), F.col("_ways")))
+        .repartition("list", "_way").drop("_ways", "_way")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("list")
