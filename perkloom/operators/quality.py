@@ -96,6 +96,68 @@ def row_rules(benefits: DataFrame, programs: DataFrame, venues: DataFrame) -> Da
     return benefit.unionByName(program).unionByName(venue)
 
 
+def _blank(*columns: str) -> dict[str, tuple[str, str]]:
+    return {f"{c}_missing": (f"COALESCE({c}, '') = ''", "'missing'") for c in columns}
+
+
+def load_rules(
+    benefits: DataFrame, programs: DataFrame, merchants: DataFrame, venues: DataFrame
+) -> DataFrame:
+    """What makes a catalog unreadable, as opposed to doubtful (``row_rules``): required texts,
+    closed vocabularies and the bounds of the data model."""
+    c = "conditions."
+    url = r"RLIKE '^[A-Za-z][A-Za-z0-9+.-]*:'"
+    branches = "exists(branches, b -> b.lat IS NULL OR b.lng IS NULL)"
+    allowed = ", ".join(repr(v) for v in V.MERCHANT_CATEGORIES)
+    parts = [
+        _rows(benefits, "benefits", _blank("id", "program_id", "merchant_id", "merchant_name") | {
+            "type": (_not_in("type", V.BENEFIT_TYPES), "type"),
+            "value": ("value IS NULL OR isnan(value) OR value < 0", "value"),
+            "source_url": (f"NOT COALESCE(source_url {url}, FALSE)", "source_url"),
+            "last_verified_at": ("last_verified_at IS NULL", "'missing'"),
+            "confidence": ("NOT COALESCE(confidence_score BETWEEN 0 AND 1, FALSE)", "confidence_score"),
+            "min_spend": (f"{c}min_spend < 0", f"{c}min_spend"),
+            "max_discount": (f"{c}max_discount <= 0", f"{c}max_discount"),
+            "valid_days": (
+                f"size({c}valid_days) NOT BETWEEN 1 AND 7 OR exists({c}valid_days, d -> d NOT BETWEEN 1 AND 7)",
+                f"array_join({c}valid_days, ',')",
+            ),
+            "valid_hours": (
+                f"{c}valid_hours IS NOT NULL AND NOT COALESCE({c}valid_hours.from RLIKE "
+                f"'{V.TIME_OF_DAY}' AND {c}valid_hours.to RLIKE '{V.TIME_OF_DAY}', FALSE)",
+                f"concat({c}valid_hours.from, '-', {c}valid_hours.to)",
+            ),
+            "channel": (f"{c}channel NOT IN ('in_store', 'online', 'both')", f"{c}channel"),
+            "summary": (f"COALESCE({c}raw_text_summary, '') = ''", "'missing'"),
+        }),
+        _rows(programs, "programs", _blank("id", "name") | {
+            "category": (_not_in("category", V.PROGRAM_CATEGORIES), "category"),
+            "catalog_url": (f"NOT catalog_url {url}", "catalog_url"),
+            "parent_id": ("parent_id = ''", "'empty'"),
+        }),
+        _rows(merchants, "merchants", _blank("id", "name") | {
+            "categories": (f"exists(categories, x -> x IS NULL OR x NOT IN ({allowed}))", "array_join(categories, ',')"),
+            "branches": (branches, "'incomplete'"),
+        }),
+        _rows(venues, "venues", _blank("id", "name", "city") | {
+            "lat": ("NOT COALESCE(lat BETWEEN -90 AND 90, FALSE)", "lat"),
+            "lng": ("NOT COALESCE(lng BETWEEN -180 AND 180, FALSE)", "lng"),
+            "radius": ("NOT COALESCE(radius_m > 0, FALSE)", "radius_m"),
+        }),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def date_rules(raw_benefits: DataFrame) -> DataFrame:
+    """Instants that cannot be read, told from their wording: a cast would have lost it."""
+    unread = lambda c: (f"{c} IS NOT NULL AND try_to_timestamp({c}) IS NULL", c)
+    return _rows(raw_benefits, "benefits", {
+        "last_verified_at": ("try_to_timestamp(last_verified_at) IS NULL", "COALESCE(last_verified_at, 'missing')"),
+        "valid_from": unread("valid_from"),
+        "valid_until": unread("valid_until"),
+    })
+
+
 def references(
     benefits: DataFrame, programs: DataFrame, merchants: DataFrame, venues: DataFrame,
     members: DataFrame,

@@ -117,6 +117,15 @@ SELECT k AS seq, 'b' || CAST(k AS STRING) AS id,
   CAST(0.70 + ((k * 61) % 30) / 100.0 AS DOUBLE) AS confidence_score,
   ((k * 67) % 9) = 0 AS reviewed_by_human
 FROM (SELECT k, (SELECT COUNT(*) FROM {supplier}) AS ns FROM (%BENEFIT_KEYS%) q0) q""",
+    # Instants in the wording of a catalog file.
+    "fx_benefit_dates": """
+SELECT 'b' || CAST(p_partkey AS STRING) AS id,
+  CASE WHEN p_partkey % 50 = 7 THEN 'soon' WHEN p_partkey % 3 = 0 THEN '2024-02-01T10:00:00Z' END
+    AS valid_from,
+  CASE WHEN p_partkey % 50 = 9 THEN '2024-02-31' WHEN p_partkey % 4 = 0 THEN '2024-03-31T21:59:00.000Z' END
+    AS valid_until,
+  CASE WHEN p_partkey % 50 <> 11 THEN '2024-01-15T08:30:00Z' END AS last_verified_at
+FROM {part}""",
     "fx_context": """
 SELECT o_orderkey AS ctx_id, o_custkey AS user_id,
   's' || CAST((o_orderkey * 17) % (SELECT COUNT(*) FROM {supplier}) AS STRING) AS merchant_id,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
-from perkloom.operators import enrich, kpi, offers, pages, share
+from perkloom.operators import enrich, kpi, offers, pages, quality, share
 from perkloom.operators.skew import skew_lookup
 from perkloom.plans import registry
 from perkloom.schemas import BENEFIT, COLLECTED
@@ -202,13 +202,38 @@ def test_strict_catalog(spark, tmp_path):
     assert catalog.members_of(tables["merchants"]).first().venue_id == "v"
 
 
-@pytest.mark.parametrize("fault", [{"type": "odd"}, {"surprise": 1}, {"value": -1}])
-def test_a_malformed_catalog_fails_the_load(spark, tmp_path, fault):
+@pytest.mark.parametrize("fault, said", [
+    ({"type": "odd"}, "benefits.type: 1"), ({"surprise": 1}, "surprise"), ({"value": -1}, "benefits.value: 1"),
+    ({"conditions": {"raw_text_summary": "t", "whim": 2}}, "conditions.whim"),
+    ({"conditions": {"raw_text_summary": "t", "valid_hours": {"from": "09:00", "to": "10:00", "tz": "x"}}}, "valid_hours.tz"),
+    ({"id": "", "merchant_name": ""}, "2 faults"),
+])
+def test_a_malformed_catalog_fails_the_load(spark, tmp_path, fault, said):
     _catalog(tmp_path, **fault)
-    with pytest.raises(catalog.CatalogError):
+    with pytest.raises(catalog.CatalogError, match=said):
         catalog.read_catalog(spark, str(tmp_path))
 
 
+def test_a_catalog_abroad_loads_and_is_only_doubtful(spark, tmp_path):
+    """Bounds of the country, of percentages and of addresses are not the reader's."""
+    _catalog(tmp_path, value=140, source_url="ftp://x")
+    venues = [{"id": "v", "name": "V", "city": "C", "lat": 48.0, "lng": 2.0, "radius_m": 5000}]
+    (tmp_path / "venues.json").write_text(json.dumps(venues))
+    tables = catalog.read_catalog(spark, str(tmp_path))
+    doubts = quality.row_rules(tables["benefits"], tables["programs"], tables["venues"])
+    assert {r["rule"] for r in doubts.collect()} == {"percent_over_100", "source_url", "lat", "lng", "radius"}
+
+
+def test_every_fault_of_a_catalog_is_kept(spark, tmp_path):
+    _catalog(tmp_path)
+    rows = [{"id": f"m{i}", "name": "", "categories": ["nonsense"]} for i in range(40)]
+    (tmp_path / "merchants.json").write_text(json.dumps(rows))
+    with pytest.raises(catalog.CatalogError, match="80 faults") as error:
+        catalog.read_catalog(spark, str(tmp_path))
+    folder = str(error.value).rsplit("all of them in ", 1)[1]
+    assert spark.read.parquet(folder).count() == 80
+
+
 def test_store_versions(spark, tmp_path):
     root = f"{tmp_path}/benefits"
     assert store.read_table(spark, root, BENEFIT).isEmpty()
