@@ -11,7 +11,9 @@ from pyspark.sql.types import BooleanType, StringType, StructField
 
 from perkloom.functions import fixed_values as V
 from perkloom.functions import money, timefn
+from perkloom.operators import rank
 from perkloom.operators.fold import ordered_fold
+from perkloom.session import written
 
 NOTIFY = "notify"
 
@@ -156,3 +158,44 @@ def notifications(ranked: DataFrame, programs: DataFrame, by: list[str]) -> Data
     lines = F.array_compact(F.array("_one", "_two"))
     title, body = notification_text(F.col("place_name"), lines, F.col("_n"))
     return grouped.select(*by, title.alias("title"), body.alias("body"))
+
+
+def enter_matches(
+    events: DataFrame, places: DataFrame, owned: DataFrame, muted: DataFrame, benefits: DataFrame
+) -> DataFrame:
+    """Usable benefits at the place a user enters, as they stand at that moment, whatever the
+    channel: ``event_id``, ``fence_id`` and the columns ranking and messages need.
+
+    ``places``: (fence_id, merchant_id). A written table, as it is counted and ranked."""
+    contexts = events.where("kind = 'enter'").join(places.distinct(), "fence_id").select(
+        F.col("event_id").alias("ctx_id"), "user_id", "fence_id", F.col("ts").alias("now"), "merchant_id",
+        F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("cart_amount"),
+    )
+    usable = rank.drop_muted(rank.candidates(contexts, owned, benefits), muted)
+    return written(
+        usable.select(
+            F.col("ctx_id").alias("event_id"), "fence_id", "readiness", "saving", "age_days",
+            "benefit_seq", "benefit_id", "type", "value", "merchant_name", "program_id",
+        ),
+        "enter-matches",
+    )
+
+
+def with_match_counts(events: DataFrame, matches: DataFrame) -> DataFrame:
+    """Events with ``match_count``: the benefits of the place that are usable now."""
+    counts = matches.groupBy("event_id").agg(F.count(F.lit(1)).alias("match_count"))
+    return events.join(counts, "event_id", "left").withColumn(
+        "match_count", F.coalesce("match_count", F.lit(0).cast("bigint"))
+    )
+
+
+def enter_messages(decisions: DataFrame, matches: DataFrame, venues: DataFrame, programs: DataFrame) -> DataFrame:
+    """Message of every notified enter event, from its ``NOTIFY_TOP`` best benefits.
+
+    ``decisions``: event_id, decision; ``venues``: id, name."""
+    notified = decisions.where(F.col("decision") == NOTIFY).select("event_id")
+    top = rank.rank(matches.join(notified, "event_id", "left_semi"), V.NOTIFY_TOP, ["event_id"])
+    named = top.join(
+        venues.select(F.col("id").alias("fence_id"), F.col("name").alias("place_name")), "fence_id"
+    )
+    return notifications(named, programs, ["event_id"])

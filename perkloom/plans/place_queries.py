@@ -114,6 +114,26 @@ def notify_fold(spark, sf_dir):
     )
 
 
+def _entering(d: Domain):
+    """Fence events with the number of benefits usable at the place, and those benefits."""
+    places = geo.venue_merchants(d.venues, d.venue_members, d.branches).withColumnRenamed("venue_id", "fence_id")
+    events = d.fence_events.drop("match_count")
+    matches = fences.enter_matches(events, places, d.owned, d.muted, d.benefits)
+    return fences.with_match_counts(events, matches), matches
+
+
+def enter_decisions(spark, sf_dir):
+    """Enter events decided by what the place offers the user at that time."""
+    events, _ = _entering(Domain(spark, sf_dir))
+    return fences.visit_decisions(events).select("event_id", "user_id", "fence_id", "match_count", "decision")
+
+
+def enter_messages(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    events, matches = _entering(d)
+    return fences.enter_messages(fences.visit_decisions(events), matches, d.venues, d.programs)
+
+
 def dwell_clock(spark, sf_dir):
     """Minutes inside at each event, were the user's previous event an entry."""
     d = Domain(spark, sf_dir)
@@ -198,6 +218,8 @@ QUERIES = {
     "fence_place": fence_place,
     "fence_refresh": fence_refresh,
     "notify_fold": notify_fold,
+    "enter_decisions": enter_decisions,
+    "enter_messages": enter_messages,
     "dwell_clock": dwell_clock,
     "venue_notification": venue_notification,
     "branch_dedupe": branch_dedupe,
@@ -285,6 +307,51 @@ _BENEFIT = duckdb_cte(["fx_benefit"])
 _CART = duckdb_cte(["fx_program", "fx_owned", "fx_benefit", "fx_context", "fx_muted"])
 _PLACES = duckdb_cte(["fx_venue", "fx_branch", "fx_venue_member"])
 
+_WALK = """num AS (SELECT *, epoch_ms(ts) AS at_ms,
+    timezone('Asia/Jerusalem', timezone('UTC', ts)) AS here,
+    row_number() OVER (PARTITION BY user_id, fence_id ORDER BY ts, event_id) AS rn FROM fx_fence_event),
+timed AS (SELECT *, hour(here) >= 22 OR hour(here) < 8 AS quiet FROM num),
+walk AS (
+  SELECT user_id, fence_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id,
+    CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS decision,
+    CAST(NULL AS BIGINT) AS entered, CAST(NULL AS BIGINT) AS notified
+  FROM num WHERE rn = 1
+  UNION ALL
+  SELECT user_id, fence_id, rn, event_id, kind, decision,
+    CASE WHEN kind = 'enter' THEN inside END,
+    CASE WHEN decision = 'notify' THEN at_ms ELSE notified END
+  FROM (SELECT *, CASE WHEN kind = 'exit' THEN NULL WHEN match_count <= 0 THEN 'nothing_to_show'
+        WHEN at_ms - inside < 180000 THEN 'dwell_too_short'
+        WHEN at_ms - notified < 43200000 THEN 'cooldown'
+        WHEN quiet THEN 'quiet_hours' ELSE 'notify' END AS decision
+    FROM (SELECT n.user_id, n.fence_id, n.rn, n.event_id, n.kind, n.match_count, n.at_ms, n.quiet,
+        w.notified, COALESCE(w.entered, n.at_ms) AS inside
+      FROM walk w JOIN timed n ON n.user_id = w.user_id AND n.fence_id = w.fence_id
+        AND n.rn = w.rn + 1) q1) q2)"""
+_LINES = """lines AS (SELECT r.*, CASE type
+      WHEN 'percent' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || '% הנחה'
+      WHEN 'cashback' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || '% זיכוי'
+      WHEN 'fixed' THEN '₪' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' הנחה'
+      WHEN 'gift_card' THEN '₪' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' מתנה'
+      ELSE '1+1' END || ' ב' || r.merchant_id || ' (' || COALESCE(p.name, r.program_id) || ')' AS line
+  FROM ranked r LEFT JOIN fx_program p ON p.id = r.program_id)"""
+_ENTERING = (
+    _CART, duckdb_cte(["fx_venue", "fx_branch", "fx_venue_member", "fx_fence_event"]), bq._OWNED, _VM,
+    f"""p0 AS (SELECT {bq._PAIR_COLUMNS}, c.fence_id, TRUE AS is_owned, m.benefit_id IS NOT NULL AS is_muted
+  FROM (SELECT event_id AS ctx_id, user_id, fence_id, epoch(ts) AS now_s, vm.merchant_id,
+      CAST(NULL AS VARCHAR) AS channel, CAST(NULL AS DOUBLE) AS cart_amount
+    FROM fx_fence_event e JOIN vm ON vm.venue_id = e.fence_id WHERE kind = 'enter') c
+  JOIN owned o ON o.user_id = c.user_id
+  JOIN fx_benefit b ON b.program_id = o.program_id AND b.merchant_id = c.merchant_id
+  LEFT JOIN (SELECT DISTINCT user_id, benefit_id FROM fx_muted) m
+    ON m.user_id = c.user_id AND m.benefit_id = b.id)""",
+    bq.EVAL, bq.RANKED,
+    """entering AS (SELECT e.* EXCLUDE (match_count), coalesce(n, 0) AS match_count
+  FROM fx_fence_event e LEFT JOIN (SELECT ctx_id, count(*) AS n FROM ranked GROUP BY ALL) r
+    ON r.ctx_id = e.event_id)""",
+    _WALK.replace("FROM fx_fence_event)", "FROM entering)"),
+)
+
 ORACLE = {
     "haversine_pairs": _with(
         _GEO,
@@ -357,30 +424,23 @@ JOIN vm ON vm.venue_id = v.id JOIN fx_benefit b ON b.merchant_id = vm.merchant_i
         select="SELECT pos_id, user_id, refresh FROM walk",
     ),
     "notify_fold": _with(
-        duckdb_cte(["fx_fence_event"]),
-        """num AS (SELECT *, epoch_ms(ts) AS at_ms,
-    timezone('Asia/Jerusalem', timezone('UTC', ts)) AS here,
-    row_number() OVER (PARTITION BY user_id, fence_id ORDER BY ts, event_id) AS rn FROM fx_fence_event),
-timed AS (SELECT *, hour(here) >= 22 OR hour(here) < 8 AS quiet FROM num),
-walk AS (
-  SELECT user_id, fence_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id,
-    CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS decision,
-    CAST(NULL AS BIGINT) AS entered, CAST(NULL AS BIGINT) AS notified
-  FROM num WHERE rn = 1
-  UNION ALL
-  SELECT user_id, fence_id, rn, event_id, kind, decision,
-    CASE WHEN kind = 'enter' THEN inside END,
-    CASE WHEN decision = 'notify' THEN at_ms ELSE notified END
-  FROM (SELECT *, CASE WHEN kind = 'exit' THEN NULL WHEN match_count <= 0 THEN 'nothing_to_show'
-        WHEN at_ms - inside < 180000 THEN 'dwell_too_short'
-        WHEN at_ms - notified < 43200000 THEN 'cooldown'
-        WHEN quiet THEN 'quiet_hours' ELSE 'notify' END AS decision
-    FROM (SELECT n.user_id, n.fence_id, n.rn, n.event_id, n.kind, n.match_count, n.at_ms, n.quiet,
-        w.notified, COALESCE(w.entered, n.at_ms) AS inside
-      FROM walk w JOIN timed n ON n.user_id = w.user_id AND n.fence_id = w.fence_id
-        AND n.rn = w.rn + 1) q1) q2)""",
+        duckdb_cte(["fx_fence_event"]), _WALK,
         select="SELECT event_id, user_id, fence_id, decision FROM walk WHERE kind = 'enter'",
     ),
+    "enter_decisions": _with(
+        *_ENTERING,
+        select="""SELECT w.event_id, w.user_id, w.fence_id, e.match_count, decision
+FROM walk w JOIN entering e USING (event_id) WHERE w.kind = 'enter'""",
+    ),
+    "enter_messages": _with(
+        *_ENTERING, _LINES,
+        """told AS (SELECT l.* FROM lines l JOIN walk w ON w.event_id = l.ctx_id
+  WHERE w.decision = 'notify' AND position <= 5)""",
+        select="""SELECT ctx_id AS event_id, 'אתה ב' || any_value(v.name) || '?' AS title,
+  concat_ws(' • ', max(line) FILTER (position = 1), max(line) FILTER (position = 2))
+    || CASE WHEN count(*) > 2 THEN ' ועוד ' || CAST(count(*) - 2 AS VARCHAR) ELSE '' END AS body
+FROM told JOIN fx_venue v ON v.id = told.fence_id GROUP BY ctx_id""",
+    ),
     "dwell_clock": _with(
         duckdb_cte(["fx_interaction"]),
         """v AS (SELECT user_id, epoch_ms(min(ts)) AS entered, epoch_ms(max(ts)) AS now
@@ -393,13 +453,7 @@ w AS (SELECT *, CAST(floor((now - entered) / 86400000.0) AS BIGINT) AS days FROM
     ),
     "venue_notification": _with(
         _CART, bq._OWNED, bq.at_merchant(False), bq.EVAL, bq.RANKED,
-        """lines AS (SELECT r.ctx_id, r.merchant_id, position, CASE type
-      WHEN 'percent' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || '% הנחה'
-      WHEN 'cashback' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || '% זיכוי'
-      WHEN 'fixed' THEN '₪' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' הנחה'
-      WHEN 'gift_card' THEN '₪' || CAST(CAST(value AS BIGINT) AS VARCHAR) || ' מתנה'
-      ELSE '1+1' END || ' ב' || r.merchant_id || ' (' || COALESCE(p.name, r.program_id) || ')' AS line
-  FROM ranked r LEFT JOIN fx_program p ON p.id = r.program_id)""",
+        _LINES,
         select="""SELECT ctx_id, 'אתה בmall of ' || any_value(merchant_id) || '?' AS title,
   concat_ws(' • ', max(line) FILTER (position = 1), max(line) FILTER (position = 2))
     || CASE WHEN count(*) > 2 THEN ' ועוד ' || CAST(least(count(*), 5) - 2 AS VARCHAR) ELSE '' END AS body

@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from perkloom.operators.fences import NOTIFY, visit_step, with_clock
 from perkloom.session import ROCKSDB, STATE_STORE_KEY
 
+# A visit without any event for this long is over, and every cooldown has passed.
+STATE_TTL_MS = 7 * 24 * 3600 * 1000
 STATE = StructType([StructField("entered", LongType()), StructField("notified", LongType())])
 OUTPUT = StructType(
     [
@@ -36,7 +38,7 @@ def _whole(value) -> int | None:
 
 class VisitProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visit = handle.getValueState("visit", STATE)
+        self.visit = handle.getValueState("visit", STATE, STATE_TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch's rows of one key arrive unordered.
@@ -67,7 +69,7 @@ def visit_decisions(events: DataFrame) -> DataFrame:
         statefulProcessor=VisitProcessor(),
         outputStructType=OUTPUT,
         outputMode="Update",
-        timeMode="None",
+        timeMode="ProcessingTime",
     )
 
 
