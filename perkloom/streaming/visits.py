@@ -18,8 +18,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from perkloom.operators.fences import NOTIFY, visit_step, with_clock
 from perkloom.session import ROCKSDB, STATE_STORE_KEY
 
-# A visit without any event for this long is over, and every cooldown has passed.
-STATE_TTL_MS = 7 * 24 * 3600 * 1000
 STATE = StructType([StructField("entered", LongType()), StructField("notified", LongType())])
 OUTPUT = StructType(
     [
@@ -37,8 +35,11 @@ def _whole(value) -> int | None:
 
 
 class VisitProcessor(StatefulProcessor):
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visit = handle.getValueState("visit", STATE, STATE_TTL_MS)
+        self.visit = handle.getValueState("visit", STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch's rows of one key arrive unordered.
@@ -54,9 +55,13 @@ class VisitProcessor(StatefulProcessor):
         pass
 
 
-def visit_decisions(events: DataFrame) -> DataFrame:
+def visit_decisions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming (or batch) enter events with their ``decision``.
 
+    ``ttl_ms``: forget a visit that long after its last event, for streams that run on (some days
+    are more than any stay and cooldown). Expiry goes by the clock of the machine and keeps a
+    stream asking for batches, so one that only drains what is there does without.
+
     ``events``: event_id, user_id, fence_id, kind, ts, match_count, already limited
     to known places and to users with notifications on and a program declared.
     """
@@ -66,10 +71,10 @@ def visit_decisions(events: DataFrame) -> DataFrame:
         "event_id", "user_id", "fence_id", "kind", "at_ms", "quiet", "match_count"
     )
     return clocked.groupBy("user_id", "fence_id").transformWithStateInPandas(
-        statefulProcessor=VisitProcessor(),
+        statefulProcessor=VisitProcessor(ttl_ms),
         outputStructType=OUTPUT,
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
 
 
