@@ -179,7 +179,8 @@ def _named(nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
     rooted = nodes.join(found.withColumnRenamed("node", node), node, "left").select(
         node, "first_id", F.coalesce("root", node).alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join deals both sides anew and can split the nodes of a large group.
+    smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     return rooted.join(smallest, "root").select(node, "component_id")
 
 
