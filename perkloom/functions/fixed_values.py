@@ -313,3 +313,20 @@ SHELL_HTML, SHELL_RATIO, SHELL_TEXT = 200_000, 0.01, 5_000
 TERMS_FLOOR = 3
 PAGE_TEXT_CAP = 60_000
 PAGE_TEXT_MARK = "\n[...truncated]"
+DROPPED_ELEMENTS = ["script", "style", "noscript"]
+DROPPED_ELEMENT = r"(?is)<{tag}\b[^>]*>.*?</{tag}>"
+COMMENT = r"(?s)<!--.*?-->"
+BLOCK_END = r"(?i)</(p|div|li|tr|h[1-6]|section|article|br)\s*>"
+ANY_TAG = r"<[^>]+>"
+SPACE_RUN = r"[ \t\u00a0]+"
+BLANK_LINES = r"\n\s*\n\s*\n+"
+SAY_TOO_SHORT = "only %d chars of text — likely JS-rendered or an error page"
+SAY_SHELL = "%d chars of HTML but only %d of text — a client-rendered shell"
+SAY_NO_TERMS = "no offer vocabulary in %d chars — wrong page for this program"
+
+# --- links, names and quoted spans ------------------------------------------
+FIRST_LINK = r"""(?i)(https?://[^\s"'<>]+)"""
+QUOTED_SPANS = ['"[^"]*"', "״[^״]*״"]
+NOT_IN_SLUG = r"[^\p{L}\p{N}]+"
+CAMEL_BREAK = "([a-z0-9])([A-Z])"
+NOT_IN_PROGRAM_ID = "[^A-Za-z0-9]+"

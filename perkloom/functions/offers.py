@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions.text import trim_all
 
-QUOTED = ('"[^"]*"', "״[^״]*״")
-
 
 def _wide(pattern: str) -> str:
     """White space in the vocabularies includes the no-break space."""
@@ -57,7 +55,7 @@ def deal_segment(text: Column) -> Column:
 
 def plain_text(deal: Column) -> Column:
     """The deal without quoted spans: figures there belong to a product name."""
-    for quoted in QUOTED:
+    for quoted in V.QUOTED_SPANS:
         deal = F.regexp_replace(deal, quoted, " ")
     return deal
 

@@ -100,14 +100,14 @@ def decode_entities(text: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Readable text with block boundaries kept as line breaks."""
     out = html
-    for tag in ("script", "style", "noscript"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)</(p|div|li|tr|h[1-6]|section|article|br)\s*>", "\n")
-    out = decode_entities(F.regexp_replace(out, r"<[^>]+>", " "))
-    out = F.regexp_replace(out, r"[ \t\u00a0]+", " ")
+    for tag in V.DROPPED_ELEMENTS:
+        out = F.regexp_replace(out, V.DROPPED_ELEMENT.replace("{tag}", tag), " ")
+    out = F.regexp_replace(out, V.COMMENT, " ")
+    out = F.regexp_replace(out, V.BLOCK_END, "\n")
+    out = decode_entities(F.regexp_replace(out, V.ANY_TAG, " "))
+    out = F.regexp_replace(out, V.SPACE_RUN, " ")
     out = F.array_join(F.transform(F.split(out, "\n"), trim_all), "\n")
-    return trim_all(F.regexp_replace(out, r"\n\s*\n\s*\n+", "\n\n"))
+    return trim_all(F.regexp_replace(out, V.BLANK_LINES, "\n\n"))
 
 
 # --- JSON-LD --------------------------------------------------------------------
@@ -175,15 +175,15 @@ def diagnosis() -> Column:
     return (
         F.when(
             text < V.TEXT_FLOOR,
-            F.format_string("only %d chars of text — likely JS-rendered or an error page", text),
+            F.format_string(V.SAY_TOO_SHORT, text),
         )
         .when(
             (html > V.SHELL_HTML) & (F.col("text_ratio") < V.SHELL_RATIO) & (text < V.SHELL_TEXT),
-            F.format_string("%d chars of HTML but only %d of text — a client-rendered shell", html, text),
+            F.format_string(V.SAY_SHELL, html, text),
         )
         .when(
             F.col("offer_terms") < V.TERMS_FLOOR,
-            F.format_string("no offer vocabulary in %d chars — wrong page for this program", text),
+            F.format_string(V.SAY_NO_TERMS, text),
         )
     )
 

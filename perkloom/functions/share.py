@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from perkloom.functions import fixed_values as V
 from perkloom.functions.text import trim_all
 
-_URL = r"""(?i)(https?://[^\s"'<>]+)"""
-
 
 def bare_domain(domain: Column) -> Column:
     return F.regexp_replace(F.lower(domain), r"^www\.", "")
@@ -16,7 +15,7 @@ def bare_domain(domain: Column) -> Column:
 
 def shared_host(text: Column) -> Column:
     """Host of the first link in the text, or of the whole text read as one."""
-    first = F.regexp_extract(text, _URL, 1)
+    first = F.regexp_extract(text, V.FIRST_LINK, 1)
     candidate = F.when(first != "", first).otherwise(trim_all(text))
     with_scheme = F.when(candidate.contains("://"), candidate).otherwise(
         F.concat(F.lit("https://"), candidate)

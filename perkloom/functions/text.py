@@ -23,14 +23,14 @@ def name_key(name: Column) -> Column:
 
 def slug(name: Column) -> Column:
     """Lower-case letters and digits of any script, joined by single underscores."""
-    joined = F.regexp_replace(F.lower(trim_all(name)), r"[^\p{L}\p{N}]+", "_")
+    joined = F.regexp_replace(F.lower(trim_all(name)), V.NOT_IN_SLUG, "_")
     return F.regexp_replace(joined, "^_|_$", "")
 
 
 def list_program_id(list_slug: Column) -> Column:
     """Program id of a list: camel case and punctuation become underscores."""
-    split = F.regexp_replace(list_slug, "([a-z0-9])([A-Z])", "$1_$2")
-    joined = F.regexp_replace(split, "[^A-Za-z0-9]+", "_")
+    split = F.regexp_replace(list_slug, V.CAMEL_BREAK, "$1_$2")
+    joined = F.regexp_replace(split, V.NOT_IN_PROGRAM_ID, "_")
     return F.lower(F.regexp_replace(joined, "^_|_$", ""))
 
 

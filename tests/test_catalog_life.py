@@ -19,7 +19,7 @@ OFFER = StructType(
 
 def offer(line_no, conditions=None, **over):
     row = {
-        "line_no": line_no, "program_id": "hever", "merchant_name": "סופר פארם", "type": "percent",
+        "line_no": line_no, "program_id": "riders", "merchant_name": "Tea Leaf", "type": "percent",
         "value": 10.0, "source_url": None, "valid_from": None, "valid_until": None,
         "confidence_score": 0.93, "confidence_reason": "ברור",
         "conditions": {**EMPTY, "raw_text_summary": "תנאים", **(conditions or {})},
@@ -33,7 +33,7 @@ def offers(spark, *rows):
 
 def merchants(spark):
     return spark.createDataFrame(
-        [("super_pharm", "סופר-פארם", 1), ("ksp", "KSP", 2), ("ksp2", "ksp", 3)],
+        [("tea_leaf", "Tea-Leaf", 1), ("cups", "CUPS", 2), ("cups2", "cups", 3)],
         "id string, name string, seq int",
     )
 
@@ -41,16 +41,16 @@ def merchants(spark):
 def test_offers_become_benefits(spark):
     rows = ingest.to_benefits(
         offers(
-            spark, offer(1, valid_until="2026-12-31"), offer(2, merchant_name=" K-SP"),
+            spark, offer(1, valid_until="2026-12-31"), offer(2, merchant_name=" C-UPS"),
             offer(3, merchant_name="חנות חדשה"), offer(4, value=15.0), offer(5),
         ).withColumn("run_url", F.lit("https://run")),
         merchants(spark), F.lit(NOW),
     ).withColumn("end_ms", F.unix_millis("valid_until")).orderBy("line_no").collect()
     assert [r.merchant_id for r in rows] == [
-        "super_pharm", "ksp", "unmapped_חנות_חדשה", "super_pharm", "super_pharm",
+        "tea_leaf", "cups", "unmapped_חנות_חדשה", "tea_leaf", "tea_leaf",
     ]
     assert rows[0].id == rows[4].id != rows[3].id
-    assert rows[0].id.startswith("hever_super_pharm_") and len(rows[0].id) == len("hever_super_pharm_") + 12
+    assert rows[0].id.startswith("riders_tea_leaf_") and len(rows[0].id) == len("riders_tea_leaf_") + 12
     assert rows[0].source_url == "https://run" and not rows[0].reviewed_by_human
     assert rows[0].end_ms == round(utc("2026-12-31T21:59:59.999Z").timestamp() * 1000)
 
@@ -144,7 +144,7 @@ def test_rule_needs_a_criterion_and_decisions(spark):
     catalog_, left = review.apply_decisions(stored, queue, decisions)
     assert {(r.id, r.reviewed_by_human) for r in catalog_.collect()} == {("b9", False), ("b1", True)}
     assert {r.id for r in left.collect()} == {"b2", "b5", "b6", "b7"}
-    counts, first = review.preview(queue, review.Rule(min_value=5, program="hever"))
+    counts, first = review.preview(queue, review.Rule(min_value=5, program="riders"))
     assert tuple(counts.first()) == (7, 7) and first.first().id == "b1"
 
 
@@ -229,21 +229,21 @@ def test_violations_find_each_planted_fault(spark):
         benefit(6, merchant_id="unmapped_x"), benefit(7, last_verified_at=None),
         benefit(8, {"valid_days": [9]}), benefit(9, type="odd"),
     )
-    programs = spark.createDataFrame([("hever", "credit_card"), ("p", "club")], "id string, category string")
+    programs = spark.createDataFrame([("riders", "credit_card"), ("p", "club")], "id string, category string")
     merchants_ = spark.createDataFrame(
-        [("super_pharm",), ("lost",), ("any_merchant",)], "id string"
+        [("tea_leaf",), ("lost",), ("any_merchant",)], "id string"
     )
     venues = spark.createDataFrame([("v", 35.0, 34.9, 20)], "id string, lat double, lng double, radius_m int")
-    members = spark.createDataFrame([("super_pharm", "nowhere")], "merchant_id string, venue_id string")
-    branches = spark.createDataFrame([("super_pharm", 52.0, 13.0)], "merchant_id string, lat double, lng double")
-    domains = spark.createDataFrame([("super_pharm", "https://a.il/x")], "merchant_id string, domain string")
+    members = spark.createDataFrame([("tea_leaf", "nowhere")], "merchant_id string, venue_id string")
+    branches = spark.createDataFrame([("tea_leaf", 52.0, 13.0)], "merchant_id string, lat double, lng double")
+    domains = spark.createDataFrame([("tea_leaf", "https://a.il/x")], "merchant_id string, domain string")
     got = quality.violations(benefits, programs, merchants_, venues, members, branches, domains)
     assert {(r.table, r.id, r.rule) for r in got.collect()} == {
         ("benefits", "b1", "duplicate_id"), ("benefits", "b2", "percent_over_100"),
         ("benefits", "b3", "source_url"), ("benefits", "b4", "unknown_program"),
         ("benefits", "b5", "unknown_merchant"), ("benefits", "b7", "last_verified_at"),
         ("benefits", "b8", "valid_days"), ("benefits", "b9", "type"), ("programs", "p", "category"),
-        ("venues", "v", "lat"), ("venues", "v", "radius"), ("merchants", "super_pharm", "unknown_venue"),
-        ("merchants", "super_pharm", "domain"), ("merchants", "super_pharm", "branch_outside"),
+        ("venues", "v", "lat"), ("venues", "v", "radius"), ("merchants", "tea_leaf", "unknown_venue"),
+        ("merchants", "tea_leaf", "domain"), ("merchants", "tea_leaf", "branch_outside"),
         ("merchants", "lost", "unreachable"),
     }

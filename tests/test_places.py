@@ -10,7 +10,7 @@ from perkloom.functions import spherefn
 from perkloom.operators import enrich, geo, nearest, spacing
 from perkloom.operators.fences import _meters
 
-HERE = (32.0757, 34.7748)
+HERE = (30.5, 34.9)
 
 
 def points(spark, rows, id_="pos_id"):
@@ -21,13 +21,13 @@ def venues(spark, rows):
     return spark.createDataFrame(rows, "id string, name string, seq int, lat double, lng double, radius_m int")
 
 
-MALLS = [("azrieli", "א", 1, 32.0741, 34.7922, 250), ("dizengoff", "ד", 2, 32.0757, 34.7748, 200)]
+MALLS = [("north_mall", "א", 1, 30.5, 34.92, 250), ("south_mall", "ד", 2, 30.5, 34.9, 200)]
 
 
 def test_only_the_venue_one_stands_in(spark):
-    at = points(spark, [("a", 32.0742, 34.7923), ("b", 31.7683, 35.2137), ("c", None, None)])
+    at = points(spark, [("a", 30.5001, 34.9201), ("b", 31.4, 35.4), ("c", None, None)])
     got = geo.venues_containing(at, venues(spark, MALLS), "pos_id").collect()
-    assert [(r.pos_id, r.venue_id, r.position) for r in got] == [("a", "azrieli", 1)]
+    assert [(r.pos_id, r.venue_id, r.position) for r in got] == [("a", "north_mall", 1)]
 
 
 def branches(spark, rows):
@@ -37,10 +37,10 @@ def branches(spark, rows):
 def test_merchants_near(spark):
     b = branches(
         spark,
-        [("haifa", 0, 32.7866, 35.0209), ("up", 0, 32.0789, 34.7748), ("chain", 0, 32.7866, 35.0209),
+        [("far", 0, 31.2, 35.1), ("up", 0, 30.503, 34.9), ("chain", 0, 31.2, 35.1),
          ("chain", 1, *HERE)],
     )
-    catalog = spark.createDataFrame([("haifa", 1), ("up", 2), ("chain", 3)], "id string, seq int")
+    catalog = spark.createDataFrame([("far", 1), ("up", 2), ("chain", 3)], "id string, seq int")
     at = points(spark, [("me", *HERE)])
     near = lambda r: [
         x.merchant_id for x in geo.merchants_near(at, b, catalog, r, "pos_id").orderBy("position").collect()
@@ -125,19 +125,19 @@ def test_fewer_places_than_slots_and_no_position(spark):
     at = points(spark, [("here", *HERE), ("lost", None, None)])
     got = nearest.fences_to_monitor(at, venues(spark, MALLS), merchants, b, "pos_id").collect()
     assert {(r.pos_id, r.fence_id) for r in got} == {
-        ("here", "shop:m0"), ("here", "dizengoff"), ("here", "azrieli"),
-        ("lost", "azrieli"), ("lost", "dizengoff"),
+        ("here", "shop:m0"), ("here", "south_mall"), ("here", "north_mall"),
+        ("lost", "north_mall"), ("lost", "south_mall"),
     }
 
 
 def test_fence_places(spark):
     merchants = spark.createDataFrame([("m0", "shop"), ("m1", "other")], "id string, name string")
-    members = spark.createDataFrame([("azrieli", "m1")], "venue_id string, merchant_id string")
-    b = branches(spark, [("m0", 0, 32.0741, 34.7922)])
-    ids = spark.createDataFrame([("shop:m0",), ("azrieli",), ("shop:gone",), ("gone",)], "fence_id string")
+    members = spark.createDataFrame([("north_mall", "m1")], "venue_id string, merchant_id string")
+    b = branches(spark, [("m0", 0, 30.5, 34.92)])
+    ids = spark.createDataFrame([("shop:m0",), ("north_mall",), ("shop:gone",), ("gone",)], "fence_id string")
     got = geo.fence_places(ids, merchants, venues(spark, MALLS), members, b).collect()
     assert {(r.fence_id, r.merchant_id) for r in got} == {
-        ("shop:m0", "m0"), ("azrieli", "m0"), ("azrieli", "m1"),
+        ("shop:m0", "m0"), ("north_mall", "m0"), ("north_mall", "m1"),
     }
 
 
@@ -208,7 +208,7 @@ def test_minted_ids_never_clash(spark):
         "seq bigint, merchant_id string, merchant_name string",
     )
     candidates = spark.createDataFrame(
-        [(i, "7", f"Shop{i}", "תחנת דלק", "st", 32.0741, 34.7922) for i in range(3)],
+        [(i, "7", f"Shop{i}", "תחנת דלק", "st", 30.5, 34.92) for i in range(3)],
         "seq bigint, easy_id string, name string, easy_category string, address string, lat double, lng double",
     )
     minted, inside = enrich.mint_merchants(approved, merchants, candidates, venues(spark, MALLS))

@@ -61,7 +61,7 @@ def offer(seq, program, **over):
 
 def test_worse_of_two_orders(spark):
     got = _combos(
-        spark, [offer(1, "max", value=30.0), offer(2, "hever", type="gift_card", value=150.0)], 500.0
+        spark, [offer(1, "max", value=30.0), offer(2, "riders", type="gift_card", value=150.0)], 500.0
     )
     assert len(got) == 1 and got[0].combo_saving == pytest.approx(255)
     assert got[0].confirmed and got[0].caveats == []
@@ -168,11 +168,11 @@ def test_candidates_are_the_same_with_every_merchant_split(spark):
 
 def test_describe_and_guard(spark):
     ranked = rank.rank(conditions.usable(pairs(spark, [benefit(1, STACKS), benefit(2, {"min_spend": 50.0})])))
-    merchants = spark.createDataFrame([("super_pharm", ["pharmacy"])], "id string, categories array<string>")
+    merchants = spark.createDataFrame([("tea_leaf", ["pharmacy"])], "id string, categories array<string>")
     programs = spark.createDataFrame([("other", "x")], "id string, name string")
     rows = {r.benefit_id: r for r in rank.describe(ranked, merchants, programs).collect()}
     assert rows["b1"].offer == "10%" and rows["b1"].categories == ["pharmacy"] and rows["b1"].ready_now
-    assert rows["b1"].club == "hever" and rows["b1"].estimated_saving_ils == 25
+    assert rows["b1"].club == "riders" and rows["b1"].estimated_saving_ils == 25
     assert "₪50+: בקנייה מעל ₪50 [pending]" in rows["b2"].conditions
     answers = spark.createDataFrame(
         [(1, "b1", "b1"), (1, "made-up", "b2"), (1, "b2", None)],
@@ -185,11 +185,11 @@ def test_describe_and_guard(spark):
 def test_notification_text(spark):
     ranked = rank.rank(
         conditions.usable(pairs(spark, [benefit(i, STACKS, value=float(i)) for i in (1, 2, 3)]))
-    ).withColumn("place_name", F.lit("עזריאלי"))
-    programs = spark.createDataFrame([("hever", "חבר")], "id string, name string")
+    ).withColumn("place_name", F.lit("צפון"))
+    programs = spark.createDataFrame([("riders", "חבר")], "id string, name string")
     r = fences.notifications(ranked, programs, ["ctx_id"]).first()
-    assert r.title == "אתה בעזריאלי?"
-    assert r.body == "3% הנחה בסופר-פארם (חבר) • 2% הנחה בסופר-פארם (חבר) ועוד 1"
+    assert r.title == "אתה בצפון?"
+    assert r.body == "3% הנחה בTea Leaf (חבר) • 2% הנחה בTea Leaf (חבר) ועוד 1"
 
 
 
