@@ -171,7 +171,7 @@ def enter_matches(
         F.col("event_id").alias("ctx_id"), "user_id", "fence_id", F.col("ts").alias("now"), "merchant_id",
         F.lit(None).cast("string").alias("channel"), F.lit(None).cast("double").alias("cart_amount"),
     )
-    usable = rank.drop_muted(rank.candidates(contexts, owned, benefits), muted)
+    usable = rank.candidates(contexts, owned, benefits, muted=muted)
     return written(
         usable.select(
             F.col("ctx_id").alias("event_id"), "fence_id", "readiness", "saving", "age_days",

@@ -24,14 +24,18 @@ def publishable(benefits: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFra
     )
 
 
-def with_programs(contexts: DataFrame, owned: DataFrame) -> DataFrame:
-    """One row per context and program its user holds.
+def with_programs(contexts: DataFrame, owned: DataFrame, muted: DataFrame | None = None) -> DataFrame:
+    """One row per context and program its user holds; with ``muted``, also the user's muted
+    benefits as ``_muted``.
 
     A user holds at most as many programs as exist, so they travel as one short
     array per user and the join is a lookup; adaptive execution splits the contexts
     of a user who has very many.
     """
     held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
+    if muted is not None:
+        silent = muted.groupBy("user_id").agg(F.collect_set("benefit_id").alias("_muted"))
+        held = held.join(silent, "user_id", "left")
     return contexts.join(held, "user_id").withColumn("program_id", F.explode("_held")).drop("_held")
 
 
@@ -52,23 +56,28 @@ def candidates(
     owned: DataFrame,
     benefits: DataFrame,
     policy: Policy = DEFAULT_POLICY,
+    muted: DataFrame | None = None,
     **bounds,
 ) -> DataFrame:
-    """Usable (context, benefit) pairs at the context's merchant.
+    """Usable (context, benefit) pairs at the context's merchant, less the ``muted`` ones.
 
     Ownership is part of the join key, so a pair the user could never redeem is
-    not produced at all; ``owned`` is therefore true on every row. A merchant may
+    not produced at all; ``owned`` is therefore true on every row. What a user has muted
+    comes along with the programs, so pairs are not shuffled for it. A merchant may
     be crowded with carts, with benefits or with both: its rows are split.
     """
     offers = publishable(benefits, policy)
     pairs = skew_join(
-        with_programs(contexts, owned),
+        with_programs(contexts, owned, muted),
         catalog_side(offers),
         ["merchant_id", "program_id"],
         ["ctx_id"],
         ["benefit_id"],
         hot_splits(contexts, benefits, ["merchant_id"], **bounds),
     )
+    if muted is not None:
+        silent = F.coalesce(F.array_contains("_muted", F.col("benefit_id")), F.lit(False))
+        pairs = pairs.where(~silent).drop("_muted")
     marked = pairs.withColumns({"owned": F.lit(True), "muted": F.lit(False)})
     return conditions.usable(marked, policy)
 
@@ -99,8 +108,7 @@ def top_benefits(
     **bounds,
 ) -> DataFrame:
     """The best ``limit`` usable benefits of every context."""
-    pairs = candidates(contexts, owned, benefits, policy, **bounds)
-    return rank(drop_muted(pairs, muted), limit)
+    return rank(candidates(contexts, owned, benefits, policy, muted, **bounds), limit)
 
 
 def split_ready(evaluated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -67,7 +67,7 @@ def share_outcomes(
         "ctx_id", "user_id", "now", "merchant_id",
         F.lit("online").alias("channel"), F.lit(None).cast("double").alias("cart_amount"),
     )
-    usable = rank.drop_muted(rank.candidates(contexts, owned, benefits, policy, **bounds), muted)
+    usable = rank.candidates(contexts, owned, benefits, policy, muted, **bounds)
     best = F.struct(
         "readiness", (-F.col("saving")).alias("minus"), "age_days", "benefit_seq", "benefit_id"
     )

@@ -116,7 +116,7 @@ def top_benefits_per_cart(spark, sf_dir):
 def ready_split(spark, sf_dir):
     d = Domain(spark, sf_dir)
     ready, conditional = rank.split_ready(
-        rank.drop_muted(rank.candidates(d.contexts, d.owned, d.benefits), d.muted)
+        rank.candidates(d.contexts, d.owned, d.benefits, muted=d.muted)
     )
     count = lambda df, name: df.groupBy("ctx_id").agg(
         F.lit(name).alias("kind"), F.count(F.lit(1)).alias("n")

@@ -64,7 +64,7 @@ def benefits_at_venue(spark, sf_dir):
 
 def venue_counts(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    usable = rank.drop_muted(rank.candidates(d.contexts, d.owned, d.benefits), d.muted)
+    usable = rank.candidates(d.contexts, d.owned, d.benefits, muted=d.muted)
     return geo.venue_counts(usable, _at_venues(d), ["user_id"])
 
 
@@ -149,7 +149,7 @@ def dwell_clock(spark, sf_dir):
 
 def venue_notification(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    top = rank.rank(rank.drop_muted(rank.candidates(d.contexts, d.owned, d.benefits), d.muted))
+    top = rank.rank(rank.candidates(d.contexts, d.owned, d.benefits, muted=d.muted))
     named = top.withColumn("place_name", F.concat(F.lit("mall of "), F.col("merchant_id")))
     return fences.notifications(named, d.programs, ["ctx_id"])
 
