@@ -78,10 +78,10 @@ SELECT 's' || CAST(s_suppkey AS STRING), 2,
 FROM {supplier} WHERE s_suppkey % 3 >= 2 AND s_suppkey % 17 <> 1""",
     "fx_venue": """
 SELECT 'v' || CAST(n_nationkey AS STRING) AS id, n_name AS name, n_nationkey AS seq,
-  CAST(29.6 + n_nationkey * 0.37 AS DOUBLE) AS lat,
-  CAST(34.4 + n_nationkey * 0.14 AS DOUBLE) AS lng,
+  CAST(29.6 + (n_nationkey % 10) * 0.37 + CAST(floor(n_nationkey / 10) AS BIGINT) * 0.002 AS DOUBLE) AS lat,
+  CAST(34.4 + (n_nationkey % 10) * 0.14 + CAST(floor(n_nationkey / 10) AS BIGINT) * 0.001 AS DOUBLE) AS lng,
   200 + (n_nationkey % 3) * 100 AS radius_m
-FROM {nation} WHERE n_nationkey < 10""",
+FROM {nation}""",
     "fx_venue_member": """
 SELECT 's' || CAST(s_suppkey AS STRING) AS merchant_id,
   'v' || CAST(s_suppkey % 10 AS STRING) AS venue_id
