@@ -38,6 +38,22 @@ def hot_keys(
     )
 
 
+def hot_counts(counts: DataFrame, keys: list[str], ways: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Like ``hot_keys``, from rows that already carry a count ``_n`` of the key's rows."""
+    return (
+        counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+        .where(F.col("_n") > piece_rows)
+        .select(*keys, F.ceil(F.col("_n") / piece_rows).cast("int").alias(ways))
+    )
+
+
+def either_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Grid size per key from the hot keys of both sides (``_a`` and ``_b`` ways)."""
+    one = F.lit(1)
+    both = left.withColumn("_b", one).unionByName(right.withColumn("_a", one))
+    return both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+
+
 def hot_splits(
     left: DataFrame | None, right: DataFrame | None, keys: list[str], **bounds
 ) -> DataFrame:
@@ -54,8 +70,7 @@ def hot_splits(
         sides.append(hot_keys(right, keys, "_b", **bounds).withColumn("_a", one))
     if len(sides) == 1:
         return sides[0]
-    both = sides[0].unionByName(sides[1])
-    return both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return either_hot(sides[0].drop("_b"), sides[1].drop("_a"), keys)
 
 
 def _salt(spread_by: list[str], ways: str) -> Column:
