@@ -87,8 +87,11 @@ def publish(generated: DataFrame, queue: DataFrame, shipped: DataFrame) -> DataF
 
     A queued id is blocked and, if shipped before, withdrawn; other generated rows
     replace the shipped ones. One aggregation over the tagged union, so no table is
-    joined and a repeated id costs one row per task.
+    joined and a repeated id costs one row per task. Nothing generated is an error: it would
+    pass a failed run for a catalog that did not change.
     """
+    if generated.isEmpty():
+        raise ValueError("nothing was generated; the shipped catalog is left alone")
     row = F.struct(*generated.columns)
     none = F.lit(None).cast(generated.schema)
 
@@ -127,7 +130,7 @@ def shipped_after(published: DataFrame) -> DataFrame:
 
 def publish_report(published: DataFrame) -> DataFrame:
     """One row: generated, in review, blocked, added, updated, unchanged, withdrawn,
-    catalog size before and after. Nothing generated is an error of the run."""
+    catalog size before and after."""
     has_new, has_old = F.col("new").isNotNull(), F.col("old").isNotNull()
     n = lambda test, name: F.count_if(test).alias(name)
     action = F.col("action")

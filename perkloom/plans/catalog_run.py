@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
 from perkloom.operators import ingest
@@ -16,6 +17,7 @@ class Run:
     benefits: DataFrame
     queue: DataFrame
     quarantine: DataFrame
+    outcomes: DataFrame  # what ``ingest.run_report`` counts
 
 
 def ingest_offers(
@@ -40,9 +42,18 @@ def ingest_offers(
     to_gate = written(to_gate, "to-gate")
     sure, unsure = ingest.gate(to_gate, threshold)
     benefits = written(ingest.merge_benefits(stored, approved.unionByName(sure), order), "benefits")
+    named = lambda df, kind: df.select(
+        "program_id", F.lit(kind).alias("kind"),
+        F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
+    )
+    outcomes = (
+        named(rows, "extracted").unionByName(named(approved, "published")).unionByName(named(sure, "published"))
+        .unionByName(named(unsure, "queued")).unionByName(named(quarantine, "failed"))
+    )
     reviewed = unsure.withColumnRenamed("confidence_reason", "reason")
     return Run(
         benefits=benefits,
         queue=ingest.merge_queue(queue, reviewed, to_gate, benefits, order),
         quarantine=quarantine,
+        outcomes=outcomes,
     )

@@ -118,15 +118,23 @@ def confidence_gate(spark, sf_dir):
     )
 
 
-def catalog_run(spark, sf_dir):
-    d = Domain(spark, sf_dir)
+def _ingest(d: Domain):
     rows = written(_rows(d), "rows")
     stored = _stored(d, rows).drop("line_no", "confidence_reason")
     queue = ingest.last_per(rows.where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
-    run = ingest_offers(
+    return ingest_offers(
         d.extracted, d.merchants, stored,
         queue.withColumnRenamed("confidence_reason", "reason"), _now(),
     )
+
+
+def ingest_report(spark, sf_dir):
+    """What a run did with the offers of each program."""
+    return ingest.run_report(_ingest(Domain(spark, sf_dir)).outcomes).drop("scraped", "input_tokens", "output_tokens")
+
+
+def catalog_run(spark, sf_dir):
+    run = _ingest(Domain(spark, sf_dir))
     done = run.benefits.select(
         "id", F.lit("catalog").alias("place"), "reviewed_by_human", "confidence_score"
     )
@@ -349,7 +357,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         collected_dedupe, list_records, listing_records, cache_split, extract_limit, expand_cached,
-        quarantine, benefit_ids, merchant_resolution, confidence_gate, catalog_run, merge_catalog,
+        quarantine, benefit_ids, merchant_resolution, confidence_gate, catalog_run, ingest_report, merge_catalog,
         merge_queue, run_report, review_rule, review_preview, review_sample, review_decisions,
         review_export, publish_catalog, publish_report, keep_verification, apply_verdicts,
         pass_verdict, link_coverage, check_frontier, crawl_batches, merge_merchants, violations,
@@ -470,6 +478,21 @@ FROM fx_extracted WHERE (type IN ('percent', 'cashback') AND value > 100) OR con
   CAST(valid_until_text AS TIMESTAMP) + INTERVAL 1 DAY)) - 1 AS valid_until_ms, source_url FROM rows""",
     ),
     "confidence_gate": _with(_ROWS, _GATED, select="SELECT line_no, id, outcome FROM gated"),
+    "ingest_report": _with(
+        _ROWS,
+        """stored AS (SELECT *, line_no % 8 = 0 AS flag FROM rows WHERE line_no % 4 = 0
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no DESC) = 1),
+gated AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.flag AND s.id = r.id
+      AND s.terms = r.terms) THEN 'approved'
+    WHEN confidence_score >= 0.85 THEN 'publish' ELSE 'review' END AS outcome FROM rows r
+  WHERE NOT (type IN ('percent', 'cashback') AND value > 100) AND confidence_score <= 1
+    AND raw_text_summary <> ''),
+kinds AS (SELECT r.program_id, CASE WHEN g.line_no IS NULL THEN 'failed' WHEN outcome = 'review' THEN 'queued'
+    ELSE 'published' END AS kind FROM rows r LEFT JOIN gated g USING (line_no))""",
+        select="""SELECT program_id, count(*) FILTER (kind <> 'failed') AS extracted,
+  count(*) FILTER (kind = 'published') AS published, count(*) FILTER (kind = 'queued') AS queued,
+  count(*) FILTER (kind = 'failed') AS failed FROM kinds GROUP BY ROLLUP (program_id)""",
+    ),
     "catalog_run": _with(
         _ROWS,
         """stored AS (SELECT *, line_no % 8 = 0 AS flag FROM rows WHERE line_no % 4 = 0
