@@ -114,9 +114,15 @@ def notify_fold(spark, sf_dir):
     )
 
 
+def places_of(d: Domain):
+    """(fence_id, merchant_id) of the venues."""
+    inside = geo.venue_merchants(d.venues, d.venue_members, d.branches)
+    return inside.withColumnRenamed("venue_id", "fence_id")
+
+
 def _entering(d: Domain):
     """Fence events with the number of benefits usable at the place, and those benefits."""
-    places = geo.venue_merchants(d.venues, d.venue_members, d.branches).withColumnRenamed("venue_id", "fence_id")
+    places = places_of(d)
     events = d.fence_events.drop("match_count")
     matches = fences.enter_matches(events, places, d.owned, d.muted, d.benefits)
     return fences.with_match_counts(events, matches), matches

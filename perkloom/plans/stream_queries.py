@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perkloom.functions.timefn import utc_instant
+from perkloom.operators import fences
 from perkloom.plans import benefit_queries, place_queries
 from perkloom.plans.domain import Domain
 from perkloom.plans.fixture_views import duckdb_cte
 from perkloom.streaming import kpi, visits
-from perkloom.streaming.run import drain
+from perkloom.streaming.run import drain, staged
 
 
 def _events(spark, sf_dir):
@@ -36,6 +37,19 @@ def notify_stream(spark, sf_dir):
     return decided.select("event_id", "user_id", "fence_id", "decision")
 
 
+def enter_stream(spark, sf_dir):
+    """Enter events of a stream, decided by what the place offers the user at that time."""
+    d = Domain(spark, sf_dir)
+    places = place_queries.places_of(d)
+
+    def with_counts(batch):
+        matches = fences.enter_matches(batch, places, d.owned, d.muted, d.benefits)
+        return fences.with_match_counts(batch, matches)
+
+    events = staged(_fence_events(spark, sf_dir).drop("match_count"), with_counts)
+    return drain(visits.visit_decisions(events), "update").select("event_id", "user_id", "fence_id", "decision")
+
+
 def notification_log(spark, sf_dir):
     """Notifications sent to customers at known venues, as log events."""
     d = Domain(spark, sf_dir)
@@ -65,11 +79,12 @@ def kpi_stream(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (notify_stream, notification_log, kpi_stream)}
+QUERIES = {f.__name__: f for f in (notify_stream, enter_stream, notification_log, kpi_stream)}
 
 _WALK = place_queries.ORACLE["notify_fold"]
 ORACLE = {
     "notify_stream": _WALK,
+    "enter_stream": place_queries.ORACLE["enter_decisions"].replace("e.match_count, decision", "decision"),
     "notification_log": _WALK.replace(
         "WITH RECURSIVE ",
         "WITH RECURSIVE " + duckdb_cte(["fx_program", "fx_owned"]) + ",\n" + benefit_queries._OWNED + ",\n",

@@ -3,13 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType
 
 from perkloom.operators.ingest import last_per
 from perkloom.session import ensure_checkpoint_dir, keep_track
 
 
+def staged(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream of what ``prepare`` makes of each micro-batch.
+
+    What a batch query can say and a stream cannot, such as joins that first count their keys,
+    runs on the micro-batch; its rows are written to a folder of the batch's number and read on
+    from there as a stream. A batch that is run again replaces its own rows."""
+    spark = stream.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    keep_track(root)
+    schemas = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        ready = prepare(batch)
+        schemas.append(ready.schema)
+        ready.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    if not schemas:  # nothing has come; the columns are those of an empty batch
+        empty = prepare(spark.createDataFrame([], stream.schema))
+        schemas.append(empty.schema)
+        empty.write.parquet(f"{root}/out/batch=0")
+    return spark.readStream.schema(schemas[0].add("batch", IntegerType())).parquet(f"{root}/out").drop("batch")
+
+
 def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) -> DataFrame:
     """Process all that is available and return it as a table.
 
