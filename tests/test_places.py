@@ -49,6 +49,16 @@ def test_merchants_near(spark):
     assert near(100.0) == ["chain"]
 
 
+def test_benefits_of_the_shops_around(spark):
+    b = branches(spark, [("here", 0, *HERE), ("here", 1, *HERE), ("far", 0, 31.2, 35.1)])
+    benefits = spark.createDataFrame(
+        [("b1", "here"), ("b2", "here"), ("b3", "far"), ("b4", "gone")], "id string, merchant_id string"
+    )
+    at = points(spark, [("me", *HERE), ("nowhere", 10.0, 10.0)])
+    got = geo.benefits_near(at, b, benefits, "pos_id").collect()
+    assert sorted((r.pos_id, r.benefit_id) for r in got) == [("me", "b1"), ("me", "b2")]
+
+
 def test_equally_near_merchants_follow_the_catalog(spark):
     b = branches(spark, [(m, 0, *HERE) for m in ("a_second", "z_first", "unlisted")])
     catalog = spark.createDataFrame([("z_first", 1), ("a_second", 2)], "id string, seq int")
