@@ -6,10 +6,11 @@ are set in each of their four 16-bit lanes: two fingerprints differ in at least
 as their lane counts do, so a pair of tiles whose counts differ beyond the radius is skipped
 before anything is moved. Copies share a fingerprint and are compared once.
 
-On request documents are also linked at a given likeness of their sets of five words in a row,
-as told by two fingerprints together, of three and of five words, whose errors are apart.
-Likeness asks for sets of like size, so these tiles are by size, and only sizes within the
-likeness of each other are compared.
+On request documents are also linked at a given likeness of their sets of five words in a row.
+Two fingerprints of the set only make candidates; each candidate is settled by the sets themselves,
+read again from the texts by joins. Likeness asks for sets of like size, so these tiles are by
+size, and only sizes within the likeness of each other are compared. Nearer candidates are settled
+first, each to one of its group; then all further ones that are not of one component yet.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ LANES = 4
 LANE_BITS = 16
 HASH_SEED = 42
 COUNTED_AT_ONCE = 65_536
-# For links by likeness: texts with four fifths of their five-word shingles in common differ in
-# twenty of the 128 bits or fewer, nineteen times in twenty; unrelated ones in sixty-four or so.
+# For links by likeness: sets with four fifths in common differ in some 19 of the 128 bits, give or
+# take 4; unrelated ones in 64, give or take 6. Candidates within the first radius are settled first.
 LIKENESS = 0.8
 LIKE_SHINGLE = 5
 LIKE_RADIUS = 20
+CANDIDATE_RADIUS = 36
+SECOND_HASH = 0x9E3779B97F4A7C15
 LIKE_TILE = 8192
 
 
@@ -188,45 +191,73 @@ def _hex(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint")
 
 
-def both_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, like_fp, n): fingerprints of both sorts, and how many different shingles."""
+def shingle_set(text: str) -> np.ndarray:
+    """Different hashes of five words in a row, sorted."""
+    return np.unique(shingle_hashes(text, LIKE_SHINGLE))
 
-    @F.pandas_udf("struct<fp:bigint,like_fp:bigint,n:bigint>")
+
+def set_fingerprints(found: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints of a set of hashes, whose errors are apart."""
+    mixed = (found ^ (found >> np.uint64(29))) * np.uint64(SECOND_HASH)
+    return simhash(found), simhash(mixed ^ (mixed >> np.uint64(32)))
+
+
+def all_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, fp, like_fp, other_fp, n, digest): the fingerprint, those of the set of
+    five words in a row, the size of the set and a digest of it."""
+    import xxhash
+
+    @F.pandas_udf("struct<fp:bigint,like_fp:bigint,other_fp:bigint,n:bigint,digest:bigint>")
     def read(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            long = shingle_hashes(text, LIKE_SHINGLE)
-            fps = np.array([simhash(shingle_hashes(text, shingle)), simhash(long)], np.uint64)
-            rows.append([*fps.view(np.int64).tolist(), len(np.unique(long))])
-        return pd.DataFrame(rows, columns=["fp", "like_fp", "n"], dtype=np.int64)
+            long = shingle_set(text)
+            fps = np.array([
+                simhash(shingle_hashes(text, shingle)), *set_fingerprints(long),
+                len(long), xxhash.xxh64_intdigest(long.tobytes(), HASH_SEED),
+            ], np.uint64)
+            rows.append(fps.view(np.int64).tolist())
+        return pd.DataFrame(rows, columns=["fp", "like_fp", "other_fp", "n", "digest"], dtype=np.int64)
 
-    return docs.select("doc_id", read(whole_text()).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", _text_key(), read(whole_text()).alias("s")).select("doc_id", "text_key", "s.*")
 
 
-def _like_stars(a, b, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``_stars`` for (node, fp, like_fp, n) of two tiles."""
-    node, fp, like, n = (np.concatenate(x) for x in zip(a, b, strict=True))
-    size, label = len(a[0]), np.arange(len(node))
-    rows = max(1, 1_000_000 // max(1, len(b[0])))
-    for at in range(0, size, rows):
-        upto = min(size, at + rows)
-        bits = np.bitwise_count(fp[at:upto, None] ^ fp[None, size:])
-        bits += np.bitwise_count(like[at:upto, None] ^ like[None, size:])
+def _text_key():
+    return F.xxhash64(whole_text()).alias("text_key")
+
+
+def _near(a, b, similarity: float, radius: int):
+    """Places (i, j) of rows of tile a and tile b, in parts: sets of like size within the radius."""
+    (_, like_a, other_a, n_a, root_a), (_, like_b, other_b, n_b, root_b) = a, b
+    rows = max(1, 1_000_000 // max(1, len(like_b)))
+    for at in range(0, len(like_a), rows):
+        part = slice(at, at + rows)
+        bits = np.bitwise_count(like_a[part, None] ^ like_b[None, :])
+        bits += np.bitwise_count(other_a[part, None] ^ other_b[None, :])
         i, j = np.nonzero(bits <= radius)
-        i, j = i + at, j + size
-        fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-        if fit.any():
-            label = _joined(label, i[fit], j[fit])
+        i = i + at
+        fit = (np.minimum(n_a[i], n_b[j]) / np.maximum(np.maximum(n_a[i], n_b[j]), 1) >= similarity) & (root_a[i] != root_b[j])
+        yield i[fit], j[fit]
+
+
+def _like_stars(a, b, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``_stars`` for (node, like_fp, other_fp, n, root) of two tiles."""
+    node = np.concatenate([a[0], b[0]])
+    label = np.arange(len(node))
+    for i, j in _near(a, b, similarity, radius):
+        if len(i):
+            label = _joined(label, i, j + len(a[0]))
     moved = node[label] != node
     return node[moved], node[label][moved]
 
 
-def like_links(nodes: DataFrame, similarity: float = LIKENESS, radius: int = LIKE_RADIUS, tile: int = LIKE_TILE) -> DataFrame:
-    """Edges (u, v) that connect the nodes (``node``, ``fp``, ``like_fp``, ``n``) within ``radius``
-    bits of both fingerprints and ``similarity`` of each other's size. Sizes fall into steps of
-    that ratio, and only tiles of the same or the next step can hold like texts."""
+def like_candidates(nodes: DataFrame, similarity: float, radius: int, stars: bool, tile: int = LIKE_TILE) -> DataFrame:
+    """Pairs (u, v) of nodes (``node``, ``like_fp``, ``other_fp``, ``n``, ``root``) of different
+    roots, within ``radius`` bits and ``similarity`` of each other's size: all of them, or with
+    ``stars`` as many as connect what they connect. Sizes fall into steps of that ratio, and only
+    tiles of the same or the next step can hold like sets."""
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
-    columns = ["node", "fp", "like_fp", "n"]
+    columns = ["node", "like_fp", "other_fp", "n", "root"]
     sized = nodes.select(*columns, step.alias("step"))
     # A row per step of a size, of which a long has some two hundred: broadcast.
     tiles_of = F.broadcast(
@@ -246,29 +277,56 @@ def like_links(nodes: DataFrame, similarity: float = LIKENESS, radius: int = LIK
     left = left.join(tiles_of, "step").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = left.where("own != step or own_tile <= tile").join(tiles, ["step", "tile"])
 
-    @F.pandas_udf("array<struct<u:bigint,v:bigint>>")
-    def near(na: pd.Series, fa: pd.Series, la: pd.Series, ca: pd.Series,
-             nb: pd.Series, fb: pd.Series, lb: pd.Series, cb: pd.Series) -> pd.Series:
-        def arrays(node, fp, like, n):
-            fp, like = (np.ascontiguousarray(x, np.int64).view(np.uint64) for x in (fp, like))
-            return node, fp, like, n
-
-        found = []
-        for a, b in zip(zip(na, fa, la, ca, strict=True), zip(nb, fb, lb, cb, strict=True), strict=True):
-            u, v = _like_stars(arrays(*a), arrays(*b), similarity, radius)
-            found.append([{"u": p, "v": q} for p, q in zip(u.tolist(), v.tolist(), strict=True)])
-        return pd.Series(found)
+    def near(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                row = [np.ascontiguousarray(x, np.int64) for x in row]
+                a, b = (
+                    (r[0], r[1].view(np.uint64), r[2].view(np.uint64), r[3], r[4])
+                    for r in (row[: len(columns)], row[len(columns) :])
+                )
+                if stars:
+                    u, v = _like_stars(a, b, similarity, radius)
+                    yield pd.DataFrame({"u": u, "v": v})
+                    continue
+                for i, j in _near(a, b, similarity, radius):  # passed on as found
+                    u, v = np.maximum(a[0][i], b[0][j]), np.minimum(a[0][i], b[0][j])
+                    yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
     both = [f"{c}_a" for c in columns] + columns
-    return pairs.select(F.explode(near(*both)).alias("e")).select("e.u", "e.v")
+    return pairs.select(*both).mapInPandas(near, "u bigint, v bigint")
+
+
+def settled(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of five words in a row are as alike as asked. Sets are
+    read from the texts of the nodes that are in a pair, by ``text_key``."""
+    pairs = stored(pairs.distinct(), "candidates")
+
+    @F.pandas_udf("array<bigint>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    keyed = needed.join(nodes.select("node", "text_key"), "node")
+    texts = docs.select(_text_key(), whole_text().alias("text")).join(keyed, "text_key").dropDuplicates(["node"])
+    sets = stored(texts.select("node", read("text").alias("hashes")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v"
+    )
+    shared = F.size(F.array_intersect("a", "b"))
+    either = F.size("a") + F.size("b")
+    return stored(
+        both.select("u", "v", shared.alias("shared"), either.alias("sizes"))
+        .where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("u", "v"), "settled",
+    )
 
 
 def near_or_like(docs: DataFrame, similarity: float = LIKENESS) -> DataFrame:
     """``near_duplicates`` with links by likeness added: (doc_id, fingerprint, component_id)."""
-    seen = stored(both_fingerprints(docs), "fingerprints")
-    same = ["fp", "like_fp", "n"]
+    seen = stored(all_fingerprints(docs), "fingerprints")
+    same = ["fp", "like_fp", "other_fp", "n", "digest"]
     nodes = stored(
-        seen.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+        seen.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
@@ -278,7 +336,15 @@ def near_or_like(docs: DataFrame, similarity: float = LIKENESS) -> DataFrame:
         .select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
     )
     by_fp = nodes.join(leads, "fp").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    found = components(by_bits.unionByName(by_fp).unionByName(like_links(nodes, similarity)))
+    edges = stored(by_bits.unionByName(by_fp), "by-bits")
+    for radius, stars in ((LIKE_RADIUS, True), (CANDIDATE_RADIUS, False)):
+        found = components(edges)
+        rooted = stored(
+            nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted"
+        )
+        pairs = like_candidates(rooted, similarity, radius, stars)
+        edges = edges.unionByName(settled(pairs, nodes, docs, similarity))
+    found = components(edges)
     named = nodes.join(_named(nodes.select("node", "first_id"), found, "node"), "node").select(*same, "component_id")
     return seen.join(named, same).select("doc_id", _hex("fp"), "component_id")
 
