@@ -117,7 +117,7 @@ _SKIP = re.compile(V.JSON_LD_SKIP)
 def _leaves(node, out: dict) -> None:
     if isinstance(node, str):
         value = node.strip()
-        if V.JSON_LD_MIN <= len(value) <= V.JSON_LD_MAX and not _SKIP.match(value):
+        if V.JSON_LD_MIN <= len(value) and not _SKIP.match(value):
             out[value] = None
     elif isinstance(node, list):
         for item in node:
@@ -142,14 +142,18 @@ def _string_leaves(blocks: pd.Series) -> pd.Series:
     return blocks.map(read)
 
 
-def json_ld_text(html: Column, limit: int | None = None) -> Column:
-    """Unique readable strings of the page's structured data, cut at ``limit`` if given."""
+def json_ld_text(html: Column, limit: int | None = None, longest: int | None = None) -> Column:
+    """Unique readable strings of the page's structured data, cut at ``limit`` if given; without
+    those of over ``longest`` characters, if given."""
     blocks = F.transform(
         F.regexp_extract_all(html, F.lit(V.JSON_LD_BLOCK), F.lit(1)),
         lambda b: decode_entities(trim_all(b)),
     )
     # Most pages have no such block; they never reach Python with any payload.
-    joined = F.array_join(_string_leaves(F.when(F.size(blocks) > 0, blocks)), " · ")
+    leaves = _string_leaves(F.when(F.size(blocks) > 0, blocks))
+    if longest is not None:
+        leaves = F.filter(leaves, lambda s: F.length(s) <= longest)
+    joined = F.array_join(leaves, " · ")
     text = F.coalesce(joined, F.lit(""))
     if limit is None:
         return text

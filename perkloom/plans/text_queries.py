@@ -112,7 +112,7 @@ def json_ld(spark, sf_dir):
         F.lit('"}]}</script>'),
     )
     html = F.concat(block, F.col("html"))
-    return d.table("pages").select("page_id", page_fn.json_ld_text(html).alias("text"))
+    return d.table("pages").select("page_id", page_fn.json_ld_text(html, longest=V.JSON_LD_MAX).alias("text"))
 
 
 def entity_text(spark, sf_dir):
