@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from perkloom.llm import bpe, exact_dedup, lm_scoring, mixing, pii, quality, simhash, token_counts, toxicity, winnowing
+from perkloom.llm import (
+    bpe, exact_dedup, lm_scoring, mixing, pii, quality, simhash, token_counts, toxicity, whitening, winnowing,
+)
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLE = {"op10_exact_dedup": exact_dedup.ORACLE}
