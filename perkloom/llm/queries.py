@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from perkloom.llm import (
-    bpe, exact_dedup, lm_scoring, mixing, pii, quality, simhash, token_counts, toxicity, whitening, winnowing,
+    bpe, exact_dedup, lm_scoring, mixing, phrases, pii, quality, simhash, token_counts, toxicity, whitening, winnowing,
 )
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_whitening": whitening.op11_whitening,
+    "op12_phrases": phrases.op12_phrases,
 }
-ORACLE = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op10_exact_dedup": exact_dedup.ORACLE, "op12_phrases": phrases.ORACLE}
