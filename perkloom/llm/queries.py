@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from perkloom.llm import (
-    bpe, exact_dedup, lm_scoring, mixing, phrases, pii, quality, simhash, token_counts, toxicity, whitening, winnowing,
+    bpe, exact_dedup, lm_scoring, mixing, phrases, pii, quality, secret_scan, simhash, token_counts,
+    toxicity, whitening, winnowing,
 )
 
 QUERIES = {
@@ -19,5 +20,6 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_phrases": phrases.op12_phrases,
+    "op13_secrets": secret_scan.op13_secrets,
 }
 ORACLE = {"op10_exact_dedup": exact_dedup.ORACLE, "op12_phrases": phrases.ORACLE}
