@@ -32,10 +32,10 @@ SHARDS = 6
 SCALE = 2_000_000
 BITS = 27  # of the bit map's places: 16 MB
 SALT = 0x9E3779B97F
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 OPEN_BLOCKS, OPEN_LANGS = 4, 1024  # that a task holds at once
 SLICE = 1 << 21  # bytes cut into words at once
-TALLIED = 1_000_000  # entries a task holds before it passes them on
+TALLIED, TALLIED_TEXTS = 500_000, 100_000  # entries a task holds before it passes them on
 
 LOWER = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9
@@ -311,7 +311,7 @@ def counts(cut: DataFrame, found: np.ndarray, bits: int = BITS) -> DataFrame:
                 numbers = [block.ids[places + j].tolist() for j in range(k)]
                 for c, *phrase in zip(held.tolist(), *numbers, strict=True):
                     tally[lang, k, b" ".join([block.words[i] for i in phrase])] += c
-                if len(tally) >= TALLIED:
+                if len(tally) >= TALLIED_TEXTS:
                     yield passed_on()
         if tally:
             yield passed_on()
