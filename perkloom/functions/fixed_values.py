@@ -325,7 +325,7 @@ SAY_SHELL = "%d chars of HTML but only %d of text — a client-rendered shell"
 SAY_NO_TERMS = "no offer vocabulary in %d chars — wrong page for this program"
 
 # --- links, names and quoted spans ------------------------------------------
-FIRST_LINK = r"""(?i)(https?://[^\s"'<>]+)"""
+FIRST_LINK = r"""(?i)(https?://[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"'<>]+)"""
 QUOTED_SPANS = ['"[^"]*"', "״[^״]*״"]
 NOT_IN_SLUG = r"[^\p{L}\p{N}]+"
 CAMEL_BREAK = "([a-z0-9])([A-Z])"

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
+from perkloom.functions.hosts import browser_host, let
 from perkloom.functions.text import trim_all
 
 
@@ -14,14 +15,19 @@ def bare_domain(domain: Column) -> Column:
 
 
 def shared_host(text: Column) -> Column:
-    """Host of the first link in the text, or of the whole text read as one."""
-    first = F.regexp_extract(text, V.FIRST_LINK, 1)
-    candidate = F.when(first != "", first).otherwise(trim_all(text))
-    with_scheme = F.when(candidate.contains("://"), candidate).otherwise(
-        F.concat(F.lit("https://"), candidate)
-    )
-    host = F.try_parse_url(with_scheme, F.lit("HOST"))
-    return F.when(host != "", bare_domain(host))
+    """Host of the first link in the text, or of the whole text read as one, as a browser reads it.
+
+    Links may hold any signs a browser puts up with; signs that a browser counts to the host,
+    such as a full stop after it, stay."""
+
+    def candidate(said: Column) -> Column:
+        first = F.regexp_extract(said, V.FIRST_LINK, 1)
+        return F.when(first != "", first).otherwise(trim_all(said))
+
+    with_scheme = let(text, lambda said: let(
+        candidate(said), lambda link: F.when(link.contains("://"), link).otherwise(F.concat(F.lit("https://"), link))
+    ))
+    return F.nullif(bare_domain(browser_host(with_scheme)), F.lit(""))
 
 
 def host_suffixes(host: Column) -> Column:

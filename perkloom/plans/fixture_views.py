@@ -220,11 +220,23 @@ SELECT seq, 's' || CAST(seq % (SELECT COUNT(*) FROM {supplier}) AS STRING) AS me
 FROM (SELECT page_id AS seq, regexp_extract(url, 'https?://([^/?#]+)', 1) AS host
   FROM {pages}) q
 WHERE seq % 10 = 2 OR seq % 5 = 0""",
+    # Links as people share them: one in four is not a plain one.
     "fx_share": """
 SELECT page_id AS ctx_id, page_id % 150 AS user_id, 1706781600 + (page_id % 168) * 3600 AS now_s,
-  CASE page_id % 4 WHEN 0 THEN 'look: ' || url || ' !' WHEN 1 THEN upper(url)
-    WHEN 2 THEN url ELSE 'no link here' END AS text
-FROM {pages}""",
+  CASE page_id % 4 WHEN 0 THEN 'look: ' || url || ' !' WHEN 1 THEN upper(url) WHEN 2 THEN url
+    ELSE CASE page_id % 11
+      WHEN 0 THEN 'half: https://' || host || '/100%-off?x={{1}}|2 now'
+      WHEN 1 THEN 'https://user:p@ss@' || host || ':8443/sale[1]'
+      WHEN 2 THEN ' ' || host || '/sale 50% off'
+      WHEN 3 THEN 'https://' || host || chr(92) || 'x'
+      WHEN 4 THEN 'https://' || replace(host, '.', '%2E') || '/%D7%90'
+      WHEN 5 THEN 'https://' || host || ':99999/'
+      WHEN 6 THEN 'https://חנות.' || host || '/x'
+      WHEN 7 THEN 'https://1.2.' || CAST(page_id AS STRING) || '/x'
+      WHEN 8 THEN 'https:' || chr(92) || '/' || host || ' and https://www.' || upper(host) || '?a@b'
+      WHEN 9 THEN 'https://my_shop.' || host || '#/x'
+      ELSE 'no link here' END END AS text
+FROM (SELECT page_id, url, regexp_extract(url, 'https?://([^/?#]+)', 1) AS host FROM {pages}) p""",
     # Discount lists as named by their site, one per document source and case.
     "fx_list_title": """
 SELECT doc_id AS seq, CASE doc_id % 8 WHEN 0 THEN 'Fly-Card' WHEN 1 THEN 'HAPPY-hour'

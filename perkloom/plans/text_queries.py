@@ -174,8 +174,16 @@ def _with(*ctes: str, select: str) -> str:
 
 
 _SHARES = duckdb_cte(["fx_share", "fx_domain"]) + r""",
-hosts AS (SELECT *, nullif(regexp_replace(lower(regexp_extract(text,
-    '(?i)https?://([^/?#\s"''<>]+)', 1)), '^www\.', ''), '') AS host FROM fx_share),
+links AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)https?://[^\s"''<>]')
+    THEN regexp_extract(text, '(?i)https?://[^\s"''<>]+') ELSE 'https://' || trim(text) END AS link FROM fx_share),
+places AS (SELECT *, url_decode(regexp_replace(regexp_extract(link, '^[^:]+:[/\\]*([^/\\?#]*)', 1), '^.*@', '')) AS place
+  FROM links),
+cut AS (SELECT *, lower(regexp_replace(place, ':[0-9]*$', '')) AS name,
+  COALESCE(TRY_CAST(regexp_extract(place, ':([0-9]+)$', 1) AS BIGINT), 0) AS port FROM places),
+hosts AS (SELECT ctx_id, user_id, now_s, text, CASE WHEN port > 65535 OR name = '' OR contains(name, ' ') THEN NULL
+    WHEN regexp_matches(name, '^1\.2\.[0-9]+$') THEN '1.2.' || CAST(CAST(name[5:] AS BIGINT) // 256 AS VARCHAR)
+      || '.' || CAST(CAST(name[5:] AS BIGINT) % 256 AS VARCHAR)
+    ELSE regexp_replace(replace(name, 'חנות.', 'xn--9dbd1a4b.'), '^www\.', '') END AS host FROM cut),
 owners AS (SELECT regexp_replace(lower(domain), '^www\.', '') AS bare,
   min_by(merchant_id, struct_pack(a := -length(domain), b := seq)) AS merchant_id,
   max(length(domain)) AS len, min_by(seq, struct_pack(a := -length(domain), b := seq)) AS seq
