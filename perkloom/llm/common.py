@@ -24,13 +24,13 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
     """Cut the lineage: write a table to the shared checkpoint folder and read it back.
 
     Later steps survive the loss of every executor that computed it, and columnar
     files keep what is read twice small."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,8 +4,9 @@ The corpus is dealt over a few shards, each of which Spark spreads over many tas
 the whole language holds ``support`` times is held by some shard in proportion to its words, so
 every shard is mined completely at a support lowered to its share: words first, then pairs of
 locally frequent words, then the phrases of three and four words made of locally frequent pairs.
-What any shard found frequent is a candidate, and all candidates are counted once more, by their
-words, over the whole corpus: those counts are exact.
+What any shard found frequent is a candidate, unless its counts show that it cannot reach the support:
+a shard that did not find it frequent holds it less often than its share. All candidates are counted
+once more, by their words, over the whole corpus: those counts are exact.
 
 Locally frequent phrases reach the tasks as a bit map of their hashes, of a fixed size. A hash that
 two phrases share can only make a further candidate, never lose one. Texts are cut into words once:
@@ -31,7 +32,6 @@ COVERED = 80  # per cent of a candidate's places that a longer one must hold to
 SHARDS = 6
 SCALE = 2_000_000
 BITS = 27  # of the bit map's places: 16 MB
-SALT = 0x9E3779B97F
 BLOCK_WORDS = 500_000
 OPEN_BLOCKS, OPEN_LANGS = 4, 1024  # that a task holds at once
 SLICE = 1 << 21  # bytes cut into words at once
@@ -163,24 +163,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _salt(shard: int, bits: int) -> int:
-    return shard * SALT % 2**bits
-
-
 class _Bits:
     """A bit map of hashes, a place for each value of their last bits."""
 
     def __init__(self, bits: int, packed: np.ndarray):
         self.mask, self.packed = np.uint64(2**bits - 1), packed
 
-    def has(self, hashes: np.ndarray, salt: int = 0) -> np.ndarray:
-        place = (hashes & self.mask) ^ np.uint64(salt)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & self.mask
         return (self.packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def bit_map(places: DataFrame, bits: int) -> np.ndarray:
     """The bits set at ``place``: at most 2^bits / 8 bytes reach the driver, whatever the input."""
     numbered = places.select(F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("at"))
+    numbered = numbered.distinct().repartition("bucket")  # places travel, not maps that are mostly empty
     found = np.zeros((-(-(2**bits) // 32_768) + 1) * 4096, np.uint8)
     for r in numbered.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map")).collect():
         first = (r["bucket"] - 1) * 4096
@@ -188,12 +185,9 @@ def bit_map(places: DataFrame, bits: int) -> np.ndarray:
     return found
 
 
-def _place(bits: int, salted: bool) -> Column:
-    place = F.col("h").bitwiseAND(F.lit(2**bits - 1).cast("bigint"))
-    if salted:  # places of different shards lie apart
-        place = place.bitwiseXOR(F.col("shard").cast("bigint") * F.lit(SALT) % F.lit(2**bits))
+def _place(bits: int) -> Column:
     # The first bucket of a bit map starts at 1.
-    return (place + 1).alias("place")
+    return (F.col("h").bitwiseAND(F.lit(2**bits - 1).cast("bigint")) + 1).alias("place")
 
 
 class _Tally:
@@ -232,61 +226,65 @@ def _rows(batches):
             yield r["lang"], r["shard"], _Block(r["lang"], r["head"], r["words"], r["ids"])
 
 
-def _frequent(cut: DataFrame, count, support: int) -> DataFrame:
-    """(lang, shard, h) of the hashes that ``count`` yields and that are locally frequent."""
+def _candidates(cut: DataFrame, count, support: int) -> DataFrame:
+    """(lang, h) of the hashes, out of those that ``count`` yields, that are locally frequent in some
+    shard and may be frequent in all. The local support of a shard is its share of the language's."""
 
     def run(batches):
         tally = _Tally()
         for lang, shard, block in _rows(batches):
-            for found in count(block, shard):
+            for found in count(block):
                 yield from tally.add((lang, shard), *found)
         yield from tally.batches()
 
     sizes = cut.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
     totals = sizes.groupBy("lang").agg(F.sum("own").alias("all"))
-    shares = sizes.join(totals, "lang")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    # The most places a phrase has in a shard that does not find it frequent.
+    shares = sizes.join(totals, "lang").withColumn("up", F.greatest(wide("own") * F.lit(support) - 1, F.lit(0))).select(
+        "lang", "shard", F.expr("up div greatest(all, 1)").alias("most")
+    )
+    rest = shares.groupBy("lang").agg(F.sum("most").alias("elsewhere"))
     counted = cut.select("lang", "shard", "head", "words", "ids").mapInArrow(
         run, "lang string, shard int, h bigint, c bigint"
     ).groupBy("lang", "shard", "h").agg(F.sum("c").alias("c"))
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    enough = wide("c") * wide("all") >= wide("own") * F.lit(support)
-    return counted.join(shares, ["lang", "shard"]).where(enough).select("lang", "shard", "h")
+    local = counted.join(shares, ["lang", "shard"]).where("c > most")
+    union = local.groupBy("lang", "h").agg(F.sum(F.col("c") - F.col("most")).alias("more"))
+    return union.join(rest, "lang").where(F.col("more") + F.col("elsewhere") >= support).select("lang", "h")
 
 
 def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS) -> np.ndarray:
-    """A bit map of the phrases, of one word to four, that are locally frequent in some shard."""
+    """A bit map of the phrases, of one word to four, that are candidates."""
     sc = cut.sparkSession.sparkContext
 
-    def words(block, shard):
+    def words(block):
         held = np.bincount(block.ids[block.head :], minlength=len(block.words))
         held[0] = 0
         there = np.flatnonzero(held)
         yield _mixed(block.word_hash[there] ^ block.seed), held[there]
 
-    one = stored(_frequent(cut, words, support), "frequent-words")
-    known_words = sc.broadcast(bit_map(one.select(_place(bits, True)), bits))
+    one = stored(_candidates(cut, words, support), "frequent-words")
+    known_words = sc.broadcast(bit_map(one.select(_place(bits)), bits))
 
-    def pairs(block, shard):
-        known = _Bits(bits, known_words.value)
+    def pairs(block):
         one, two = block.hashes(2)
-        fits = (block.ids > 0) & known.has(one, _salt(shard, bits))
+        fits = (block.ids > 0) & _Bits(bits, known_words.value).has(one)
         yield (two[block.counted(fits[:-1] & fits[1:], 2)],)
 
-    two = stored(_frequent(cut, pairs, support), "frequent-pairs")
-    known_pairs = sc.broadcast(bit_map(two.select(_place(bits, True)), bits))
+    two = stored(_candidates(cut, pairs, support), "frequent-pairs")
+    known_pairs = sc.broadcast(bit_map(two.select(_place(bits)), bits))
 
-    def longer(block, shard):
-        known = _Bits(bits, known_pairs.value)
+    def longer(block):
         hashes, word = block.hashes(LONGEST), block.ids > 0
-        fits = word[:-1] & word[1:] & known.has(hashes[1], _salt(shard, bits))
+        fits = word[:-1] & word[1:] & _Bits(bits, known_pairs.value).has(hashes[1])
         for k in range(3, LONGEST + 1):
-            fits = fits[:-1] & fits[1:]  # all pairs inside are locally frequent
+            fits = fits[:-1] & fits[1:]  # all pairs inside are candidates
             yield (hashes[k - 1][block.counted(fits, k)],)
 
-    more = stored(_frequent(cut, longer, support), "frequent-longer")
+    more = stored(_candidates(cut, longer, support), "frequent-longer")
     known_words.unpersist()
     known_pairs.unpersist()
-    return bit_map(one.unionByName(two).unionByName(more).select(_place(bits, False)), bits)
+    return bit_map(one.unionByName(two).unionByName(more).select(_place(bits)), bits)
 
 
 def counts(cut: DataFrame, found: np.ndarray, bits: int = BITS) -> DataFrame:
@@ -350,7 +348,8 @@ def collocations(
     holds ``COVERED`` per cent of them. Ties are ranked by a, then by the phrase's bytes. Null and
     empty texts hold no words; a text of any length is read whole, in slices; repeated rows count
     each time; other columns are ignored; an empty table gives an empty result."""
-    cut = stored(blocks(docs, shards, block_words), "blocks", "zstd")
+    # Few blocks to a file, as a task holds all those of its files at once.
+    cut = stored(blocks(docs, shards, block_words), "blocks", "zstd", maxRecordsPerFile=8)
     found = candidates(cut, support, bits)
     all_counts = stored(counts(cut, found, bits).where(F.col("f") >= support), "phrases")
     return ranked(all_counts, cut.groupBy("lang").agg(F.sum("n").alias("n")), per_lang)
