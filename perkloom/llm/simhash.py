@@ -7,10 +7,11 @@ as their lane counts do, so a pair of tiles whose counts differ beyond the radiu
 before anything is moved. Copies share a fingerprint and are compared once.
 
 On request documents are also linked at a given likeness of their sets of five words in a row.
-Two fingerprints of the set only make candidates; each candidate is settled by the sets themselves,
-read again from the texts by joins. Likeness asks for sets of like size, so these tiles are by
-size, and only sizes within the likeness of each other are compared. Nearer candidates are settled
-first, each to one of its group; then all further ones that are not of one component yet.
+Two fingerprints of the set only make candidates; each candidate is settled by the sets themselves.
+Likeness asks for sets of like size, so these tiles are by size, and only sizes within the likeness of
+each other are compared. A pair of tiles reports which of its documents have candidates, never the
+pairs; the sets of those are brought to it once, and it reports edges that span what holds. Tiles are
+cut by the bytes of their sets, so a pair of tiles fits one task however long or alike the texts are.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ LANE_BITS = 16
 HASH_SEED = 42
 COUNTED_AT_ONCE = 65_536
 # For links by likeness: sets with four fifths in common differ in some 19 of the 128 bits, give or
-# take 4; unrelated ones in 64, give or take 6. Candidates within the first radius are settled first.
+# take 4; unrelated ones in 64, give or take 6.
 LIKENESS = 0.8
 LIKE_SHINGLE = 5
-LIKE_RADIUS = 20
 CANDIDATE_RADIUS = 36
 SECOND_HASH = 0x9E3779B97F4A7C15
-LIKE_TILE = 8192
+LIKE_TILE = 4096
+LIKE_TILE_BYTES = 8_000_000
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -219,50 +220,31 @@ def all_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             rows.append(fps.view(np.int64).tolist())
         return pd.DataFrame(rows, columns=["fp", "like_fp", "other_fp", "n", "digest"], dtype=np.int64)
 
-    return docs.select("doc_id", _text_key(), read(whole_text()).alias("s")).select("doc_id", "text_key", "s.*")
+    return docs.select("doc_id", text_key(), read(whole_text()).alias("s")).select("doc_id", "text_key", "s.*")
 
 
-def _text_key():
+def text_key():
     return F.xxhash64(whole_text()).alias("text_key")
 
 
-def _near(a, b, similarity: float, radius: int):
-    """Places (i, j) of rows of tile a and tile b, in parts: sets of like size within the radius."""
-    (_, like_a, other_a, n_a, root_a), (_, like_b, other_b, n_b, root_b) = a, b
-    rows = max(1, 1_000_000 // max(1, len(like_b)))
-    for at in range(0, len(like_a), rows):
-        part = slice(at, at + rows)
-        bits = np.bitwise_count(like_a[part, None] ^ like_b[None, :])
-        bits += np.bitwise_count(other_a[part, None] ^ other_b[None, :])
-        i, j = np.nonzero(bits <= radius)
-        i = i + at
-        fit = (np.minimum(n_a[i], n_b[j]) / np.maximum(np.maximum(n_a[i], n_b[j]), 1) >= similarity) & (root_a[i] != root_b[j])
-        yield i[fit], j[fit]
-
-
-def _like_stars(a, b, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``_stars`` for (node, like_fp, other_fp, n, root) of two tiles."""
-    node = np.concatenate([a[0], b[0]])
-    label = np.arange(len(node))
-    for i, j in _near(a, b, similarity, radius):
-        if len(i):
-            label = _joined(label, i, j + len(a[0]))
-    moved = node[label] != node
-    return node[moved], node[label][moved]
+def _alike(like_a, other_a, n_a, like_b, other_b, n_b, similarity: float, radius: int) -> np.ndarray:
+    """Which of the fingerprints b are candidates of each of a: sets of like size within the radius."""
+    bits = np.bitwise_count(like_a[:, None] ^ like_b) + np.bitwise_count(other_a[:, None] ^ other_b)
+    small, large = np.minimum(n_a[:, None], n_b), np.maximum(n_a[:, None], n_b)
+    return (bits <= radius) & (small >= similarity * large) & (large > 0)
 
 
-def like_candidates(nodes: DataFrame, similarity: float, radius: int, stars: bool, tile: int = LIKE_TILE) -> DataFrame:
-    """Pairs (u, v) of nodes (``node``, ``like_fp``, ``other_fp``, ``n``, ``root``) of different
-    roots, within ``radius`` bits and ``similarity`` of each other's size: all of them, or with
-    ``stars`` as many as connect what they connect. Sizes fall into steps of that ratio, and only
-    tiles of the same or the next step can hold like sets."""
+def like_tiles(nodes: DataFrame, similarity: float, tile: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles of nodes (``node``, ``like_fp``, ``other_fp``, ``n``), and how many each step of size has.
+    Sizes fall into steps of the ratio ``similarity``: only tiles of the same or the next step can hold
+    like sets."""
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
-    columns = ["node", "like_fp", "other_fp", "n", "root"]
-    sized = nodes.select(*columns, step.alias("step"))
+    sized = nodes.select("node", "like_fp", "other_fp", "n", step.alias("step"))
     # A row per step of a size, of which a long has some two hundred: broadcast.
-    tiles_of = F.broadcast(
-        sized.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    )
+    tiles_of = F.broadcast(sized.groupBy("step").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") * 8 / tile_bytes)).cast("int").alias("tiles")
+    ))
+    columns = ["node", "like_fp", "other_fp", "n"]
     tiles = stored(
         sized.join(tiles_of, "step")
         .groupBy("step", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
@@ -270,6 +252,16 @@ def like_candidates(nodes: DataFrame, similarity: float, radius: int, stars: boo
         .select("step", "tile", *[f"rows.{c}" for c in columns]),
         "like-tiles",
     )
+    return tiles, tiles_of
+
+
+PAIR = ["own", "own_tile", "step", "tile"]
+
+
+def with_candidates(tiles: DataFrame, tiles_of: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(PAIR, second, node): the nodes of each pair of tiles that have a candidate in it, and whether
+    they are of its second tile."""
+    columns = ["node", "like_fp", "other_fp", "n"]
     left = tiles.select(
         F.col("step").alias("own"), F.col("tile").alias("own_tile"), *[F.col(c).alias(f"{c}_a") for c in columns],
         F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"),
@@ -279,55 +271,120 @@ def like_candidates(nodes: DataFrame, similarity: float, radius: int, stars: boo
 
     def near(batches):
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                row = [np.ascontiguousarray(x, np.int64) for x in row]
-                a, b = (
-                    (r[0], r[1].view(np.uint64), r[2].view(np.uint64), r[3], r[4])
-                    for r in (row[: len(columns)], row[len(columns) :])
-                )
-                if stars:
-                    u, v = _like_stars(a, b, similarity, radius)
-                    yield pd.DataFrame({"u": u, "v": v})
-                    continue
-                for i, j in _near(a, b, similarity, radius):  # passed on as found
-                    u, v = np.maximum(a[0][i], b[0][j]), np.minimum(a[0][i], b[0][j])
-                    yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+            for *pair, na, la, oa, sa, nb, lb, ob, sb in pdf.itertuples(index=False, name=None):
+                na, la, oa, sa, nb, lb, ob, sb = (np.ascontiguousarray(x, np.int64) for x in (na, la, oa, sa, nb, lb, ob, sb))
+                la, oa, lb, ob = (x.view(np.uint64) for x in (la, oa, lb, ob))
+                one, two = np.zeros(len(na), bool), np.zeros(len(nb), bool)
+                rows, same = max(1, 1_000_000 // len(nb)), pair[:2] == pair[2:]
+                for at in range(0, len(na), rows):
+                    part = slice(at, at + rows)
+                    fits = _alike(la[part], oa[part], sa[part], lb, ob, sb, similarity, radius)
+                    if same:
+                        fits[np.arange(len(fits)), np.arange(at, at + len(fits))] = False
+                    one[part] |= fits.any(1)
+                    two |= fits.any(0)
+                for second, nodes in ((False, na[one]), (True, nb[two & (not same)])):
+                    yield pd.DataFrame({**dict(zip(PAIR, pair, strict=True)), "second": second, "node": nodes})
 
     both = [f"{c}_a" for c in columns] + columns
-    return pairs.select(*both).mapInPandas(near, "u bigint, v bigint")
-
+    return pairs.select(*PAIR, *both).mapInPandas(
+        near, "own int, own_tile int, step int, tile int, second boolean, node bigint"
+    )
 
-def settled(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of five words in a row are as alike as asked. Sets are
-    read from the texts of the nodes that are in a pair, by ``text_key``."""
-    pairs = stored(pairs.distinct(), "candidates")
 
-    @F.pandas_udf("array<bigint>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+def spanning(
+    second: np.ndarray, like: np.ndarray, other: np.ndarray, n: np.ndarray, group: np.ndarray, sets: list[np.ndarray],
+    similarity: float, radius: int, same: bool,
+) -> tuple[list[int], list[int]]:
+    """Places (i, j) of edges that connect what the like pairs of a pair of tiles connect. ``group``: rows of
+    equal number are linked already. Every candidate pair that is not of one group yet is settled by
+    its sets; those of one row with all others at once."""
+    ends = np.cumsum([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids = np.split(ids, ends[:-1])
+    known = np.zeros(1 + max((int(x.max(initial=0)) for x in ids), default=0), bool)
+    label = np.unique(group, return_inverse=True)[1]
+    found = [], []
+    for i in np.flatnonzero(~second).tolist():
+        fits = _alike(like[i : i + 1], other[i : i + 1], n[i : i + 1], like, other, n, similarity, radius)[0]
+        fits &= label != label[i]
+        fits[: i + 1] &= not same
+        js = np.flatnonzero(fits & (second | same))
+        if not len(js):
+            continue
+        known[ids[i]] = True
+        starts = np.cumsum(n[js]) - n[js]
+        shared = np.add.reduceat(known[np.concatenate([ids[j] for j in js.tolist()])].astype(np.int64), starts)
+        known[ids[i]] = False
+        js = js[shared >= similarity * (n[i] + n[js] - shared)]
+        _, first = np.unique(label[js], return_index=True)  # one edge to each group
+        found[0].extend([i] * len(first))
+        found[1].extend(js[first].tolist())
+        label[np.isin(label, label[js])] = label[i]
+    return found
+
+
+def like_links(
+    nodes: DataFrame, docs: DataFrame, similarity: float = LIKENESS, radius: int = CANDIDATE_RADIUS,
+    tile: int = LIKE_TILE, tile_bytes: int = LIKE_TILE_BYTES,
+) -> DataFrame:
+    """Edges (u, v) that connect the nodes whose sets of five words in a row are as alike as asked.
+
+    ``nodes``: node, like_fp, other_fp, n, digest, group (linked already if equal), and the row whose
+    text stands for the node: first_id, text_key."""
+    import xxhash
 
-    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    keyed = needed.join(nodes.select("node", "text_key"), "node")
-    texts = docs.select(_text_key(), whole_text().alias("text")).join(keyed, "text_key").dropDuplicates(["node"])
-    sets = stored(texts.select("node", read("text").alias("hashes")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v"
+    tiles, tiles_of = like_tiles(nodes, similarity, tile, tile_bytes)
+    near = stored(with_candidates(tiles, tiles_of, similarity, radius), "with-candidates")
+    needed = stored(
+        nodes.join(near.select("node").distinct(), "node", "left_semi")
+        .select("node", "like_fp", "other_fp", "n", "digest", "group", "first_id", "text_key"), "needed",
     )
-    shared = F.size(F.array_intersect("a", "b"))
-    either = F.size("a") + F.size("b")
-    return stored(
-        both.select("u", "v", shared.alias("shared"), either.alias("sizes"))
-        .where(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("u", "v"), "settled",
+
+    @F.pandas_udf("struct<hashes:array<bigint>,digest:bigint>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        digests = np.array([xxhash.xxh64_intdigest(x.tobytes(), HASH_SEED) for x in sets], np.uint64)
+        return pd.DataFrame({"hashes": [x.view(np.int64) for x in sets], "digest": digests.view(np.int64)})
+
+    texts = docs.select(F.col("doc_id").alias("first_id"), text_key(), whole_text().alias("text"))
+    # One text for each node, by the row that stands for it; the digest tells texts of one key apart.
+    keyed = texts.join(
+        needed, (texts["text_key"] == needed["text_key"]) & texts["first_id"].eqNullSafe(needed["first_id"])
+    ).select("node", "like_fp", "other_fp", "n", "digest", "group", read("text").alias("read"))
+    sets = stored(
+        keyed.where("read.digest = digest").dropDuplicates(["node"])
+        .select("node", "like_fp", "other_fp", "n", "group", "read.hashes"), "sets",
     )
 
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        pdf = pdf.sort_values("node")
+        columns = [pdf[c].to_numpy(np.int64) for c in ("node", "like_fp", "other_fp", "n", "group")]
+        node, like, other, n, group = columns
+        i, j = spanning(
+            pdf["second"].to_numpy(bool), like.view(np.uint64), other.view(np.uint64), n, group,
+            [np.asarray(x, np.int64) for x in pdf["hashes"]], similarity, radius,
+            (pdf["own"].iloc[0], pdf["own_tile"].iloc[0]) == (pdf["step"].iloc[0], pdf["tile"].iloc[0]),
+        )
+        return pd.DataFrame({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j])})
+
+    return near.join(sets, "node").groupBy(*PAIR).applyInPandas(settle, "u bigint, v bigint")
 
-def near_or_like(docs: DataFrame, similarity: float = LIKENESS) -> DataFrame:
-    """``near_duplicates`` with links by likeness added: (doc_id, fingerprint, component_id)."""
+
+def near_or_like(docs: DataFrame, similarity: float = LIKENESS, **options) -> DataFrame:
+    """``near_duplicates`` with links by likeness added: one row per input row with ``doc_id``, ``text_key``
+    (hash of the text), ``fingerprint``, ``component_id``, and ``keep_id``, ``keep_key``: doc_id and
+    text_key of the row that stands for its group, the smallest id, rows without one last.
+
+    Null texts are empty. Rows without words are linked by their fingerprint alone. Extra columns are
+    ignored and an empty table gives an empty result."""
     seen = stored(all_fingerprints(docs), "fingerprints")
     same = ["fp", "like_fp", "other_fp", "n", "digest"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     nodes = stored(
-        seen.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"))
-        .withColumn("node", F.monotonically_increasing_id()), "nodes",
+        seen.groupBy(*same).agg(first).withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
     by_bits = (
@@ -335,18 +392,18 @@ def near_or_like(docs: DataFrame, similarity: float = LIKENESS) -> DataFrame:
         .join(leads.select(F.col("fp").alias("v"), F.col("lead").alias("lead_v")), "v")
         .select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
     )
-    by_fp = nodes.join(leads, "fp").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    edges = stored(by_bits.unionByName(by_fp), "by-bits")
-    for radius, stars in ((LIKE_RADIUS, True), (CANDIDATE_RADIUS, False)):
-        found = components(edges)
-        rooted = stored(
-            nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted"
-        )
-        pairs = like_candidates(rooted, similarity, radius, stars)
-        edges = edges.unionByName(settled(pairs, nodes, docs, similarity))
-    found = components(edges)
-    named = nodes.join(_named(nodes.select("node", "first_id"), found, "node"), "node").select(*same, "component_id")
-    return seen.join(named, same).select("doc_id", _hex("fp"), "component_id")
+    grouped = stored(nodes.join(leads, "fp").withColumnRenamed("lead", "group"), "grouped")
+    by_fp = grouped.select(F.col("node").alias("u"), F.col("group").alias("v"))
+    named = grouped.select("*", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"))
+    by_likeness = like_links(named, docs, similarity, **options)
+    found = components(by_bits.unionByName(by_fp).unionByName(by_likeness))
+    rooted = stored(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    heads = stored(rooted.groupBy("root").agg(F.min("first").alias("keep")), "heads")
+    kept = rooted.join(heads, "root").select(*same, "keep")
+    return seen.join(kept, same).select(
+        "doc_id", "text_key", _hex("fp"), F.col("keep.doc_id").alias("component_id"),
+        F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"),
+    )
 
 
 def op2_simhash(spark, sf_dir):
