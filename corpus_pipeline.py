@@ -1,8 +1,9 @@
 """Cleaning a corpus, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns documents for the next, with the columns of
-``documents``; the last returns token digests. Rows are matched by doc_id, which should be
-unique; rows without one are kept apart by their text. An empty table passes all stages.
+``documents``; the last returns token digests. Rows are told apart by doc_id and text, so ids may
+repeat or lack: of rows alike in both, deduplication keeps one, and mixing takes all rows of an id
+at one rate. An empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -26,33 +27,39 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of documents that are equal without white space, the one to keep stays."""
     decided = exact_dedup.exact_dedup(docs, keep_chunks=False)
     kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    # By id alone unless ids repeat or lack; then the text decides as well, and once.
-    named = docs.withColumn(
-        "_text", F.sha2(exact_dedup.normalised(whole_text()).cast("binary"), 256)
-    )
+    named = docs.withColumn("_text", F.sha2(exact_dedup.normalised(whole_text()).cast("binary"), 256))
     same = named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text"] == kept["_sha"])
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    return _one_of_each(named.join(kept, same, "left_semi"), "_text", docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays: fingerprints
-    within three bits, or four fifths of five-word shingles in common."""
+    """Of each group of near-duplicates the document with the smallest id stays (one without an id
+    if none has one): fingerprints within three bits, or four fifths of five-word shingles in common."""
     groups = simhash.near_or_like(docs, similarity=0.8)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    first = groups.where(stays).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    named = docs.withColumn("_text", F.xxhash64(whole_text()))
+    same = named["doc_id"].eqNullSafe(first["_id"]) & (named["_text"] == first["_key"])
+    return _one_of_each(named.join(first, same, "left_semi"), "_text", docs.columns)
+
+
+def _one_of_each(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """One row for each id and text, the same one whenever it is asked for."""
+    picked = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")
+    return rows.groupBy("doc_id", text).agg(picked).select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: words taken over words held, the fraction
-    decided by a hash of the id. Documents that the mix does not take go."""
-    chance = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies = mixing.mix(docs).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("_n")
+    decided by a hash of id and text. Documents that the mix does not take go."""
+    rates = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(
+        (F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_rate")
+    ).where("_rate > 0")
+    chance = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    counted = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_id"])).withColumn(
+        "_n", F.floor(F.col("_rate") + chance).cast("int")
     ).where("_n > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
