@@ -15,8 +15,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline
 from llm_helpers import rows_by_id
+from test_likeness import groups_of
 
-from perkloom.llm import bpe, common, mixing, simhash, toxicity
+from perkloom.llm import bpe, common, mixing, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,20 +64,8 @@ def test_one_of_equal_texts_stays(stages):
 
 def test_one_of_near_copies_stays(stages):
     docs, out = stages["near dedup"]
-    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    fp = [simhash.simhash(simhash.shingle_hashes(t, 3)) for _, t in rows]
-    five = [simhash.shingle_hashes(t, 5) for _, t in rows]
-    like, size = [simhash.simhash(h) for h in five], [len(set(h.tolist())) for h in five]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            bits = (fp[i] ^ fp[j]).bit_count()
-            both = bits + (like[i] ^ like[j]).bit_count()
-            alike = both <= simhash.LIKE_RADIUS and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
-            if (bits <= simhash.RADIUS or alike) and label[i] != label[j]:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    assert ids(out) == Counter(rows[g][0] for g in set(label))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert ids(out) == Counter(set(groups_of(rows).values()))
 
 
 def test_documents_stay_as_often_as_they_are_taken(stages):
@@ -111,6 +100,43 @@ def test_run_is_the_stages_one_after_another(spark, stages):
     assert got == Counter(map(tuple, stages["encoding"][1].collect()))
 
 
+def rows_of(df):
+    return Counter((r["doc_id"], r["text"], r["lang"]) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Ids that repeat, with equal and with other texts, and rows without one."""
+    a, b, c = (" ".join(f"{x}{i % 90}" for i in range(400)) for x in "abc")
+    rows = [
+        (1, a, "en"), (1, a, "de"), (1, b, "en"), (1, a.replace(" ", "\t"), "en"), (2, a, "en"), (None, c, "en"),
+        (None, c, "en"), (None, c + " end", "en"), (None, b, "en"), (3, None, "en"), (3, "", "en"), (None, None, "fr"),
+    ]
+    return spark.createDataFrame(
+        [(d, t, x, "s", None) for d, t, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).repartition(3)
+
+
+def test_repeated_and_missing_ids_in_dedup(spark, repeated):
+    a, b, c = (" ".join(f"{x}{i % 90}" for i in range(400)) for x in "abc")
+    exact = corpus_pipeline.without_copies(spark, repeated, SF_DIR)
+    kept = rows_of(exact)
+    assert sum(kept.values()) == 5  # a, b, c, c with an end, nothing
+    assert {(d, t) for d, t, _ in kept} <= {(1, a), (1, a.replace(" ", "\t")), (1, b), (None, c), (None, c + " end"), (3, None), (3, "")}
+    assert rows_of(corpus_pipeline.without_copies(spark, repeated.repartition(5), SF_DIR)) == kept
+    near = rows_of(corpus_pipeline.without_near_copies(spark, repeated, SF_DIR))
+    assert sorted((str(d), (t or "")[:2]) for d, t, _ in near) == [("1", "a0"), ("1", "b0"), ("3", ""), ("None", "c0")]
+    assert rows_of(corpus_pipeline.without_near_copies(spark, repeated.repartition(5), SF_DIR)) == near
+
+
+def test_repeated_and_missing_ids_in_mixing(spark, repeated):
+    out = rows_of(corpus_pipeline.mixed(spark, repeated, SF_DIR))
+    there = rows_of(repeated)
+    assert set(out) <= set(there)
+    # One source: every word is taken once, so every document stays as often as it is there.
+    assert out == Counter({r: n for r, n in there.items() if r[1]} | {r: out[r] for r in there if not r[1] and out[r]})
+
+
 def test_stages_on_hard_rows(spark, hard, empty):
     for docs in (hard, empty):
         for name, stage in corpus_pipeline.STAGES:
