@@ -8,9 +8,10 @@ What any shard found frequent is a candidate, unless its counts show that it can
 a shard that did not find it frequent holds it less often than its share. All candidates are counted
 once more, by their words, over the whole corpus: those counts are exact.
 
-Locally frequent phrases reach the tasks as a bit map of their hashes, of a fixed size. A hash that
-two phrases share can only make a further candidate, never lose one. Texts are cut into words once:
-tasks write blocks of word numbers with the words themselves, and all counting reads blocks.
+Candidates reach the tasks as a bit map of their hashes, of a fixed size. A hash that two phrases
+share can only make a further candidate, never lose one. Texts are cut into words once: tasks write
+blocks of word numbers with the words themselves, and all counting reads blocks. Tasks pass counts
+on in packed runs: sorted, cut by ranges of the hash and compressed, a few bytes an entry.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ BITS = 27  # of the bit map's places: 16 MB
 BLOCK_WORDS = 500_000
 OPEN_BLOCKS, OPEN_LANGS = 4, 1024  # that a task holds at once
 SLICE = 1 << 21  # bytes cut into words at once
-TALLIED, TALLIED_TEXTS = 500_000, 100_000  # entries a task holds before it passes them on
+TALLIED, TALLIED_TEXTS = 2_000_000, 300_000  # entries a task holds before it passes them on
+HASH_BITS = 48
+BUCKET_WORDS = 1_000_000  # words of the corpus for each range of hashes
 
 LOWER = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9
@@ -163,6 +166,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h & np.uint64(2**HASH_BITS - 1)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then their next ones, ...: what is small packs well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _packed(numbers: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising numbers, as steps, and their counts."""
+    steps = np.diff(numbers, prepend=numbers[:1])
+    steps[:1] = numbers[:1]
+    return _squeezed(_planes(steps) + _planes(counts))
+
+
+def _squeezed(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(raw, 1)
+
+
+def _loose(payload: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(payload)
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    halves = np.frombuffer(_loose(payload), np.uint8).reshape(2, 8, -1)
+    steps, counts = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in halves)
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of all parts, each number once, rising."""
+    numbers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(numbers)
+    numbers, counts = numbers[order], counts[order]
+    first = np.flatnonzero(np.diff(numbers, prepend=~numbers[:1]))
+    return numbers[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+
+
 class _Bits:
     """A bit map of hashes, a place for each value of their last bits."""
 
@@ -191,29 +237,30 @@ def _place(bits: int) -> Column:
 
 
 class _Tally:
-    """Counts of hashes per language and shard, held up to a bound."""
+    """Counts of hashes per language and shard, held up to a bound and passed on in packed runs."""
 
-    def __init__(self, limit: int = TALLIED):
+    def __init__(self, buckets: int, limit: int = TALLIED):
         self.limit, self.parts, self.held = limit, defaultdict(list), 0
+        self.edges = np.array([(i << HASH_BITS) // buckets for i in range(1, buckets)], np.uint64)
 
     def add(self, key: tuple, hashes: np.ndarray, counts: np.ndarray | None = None):
         if counts is None:
-            hashes, counts = np.unique(hashes, return_counts=True)
-        self.parts[key].append((hashes, counts))
+            hashes, counts = np.unique(_short(hashes), return_counts=True)
+        self.parts[key].append((_short(hashes), counts))
         self.held += len(hashes)
         if self.held >= self.limit:
             yield from self.batches()
 
     def batches(self):
         for (lang, shard), parts in self.parts.items():
-            hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(parts) > 1:
-                hashes, at = np.unique(hashes, return_inverse=True)
-                counts = np.bincount(at, counts, len(hashes)).astype(np.int64)
+            hashes, counts = _summed(parts)
+            cuts = [0, *np.searchsorted(hashes, self.edges).tolist(), len(hashes)]
+            full = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+            runs = [_packed(hashes[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in full]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(hashes), pa.string()), pa.array(np.full(len(hashes), shard, np.int32)),
-                 pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))],
-                names=["lang", "shard", "h", "c"],
+                [pa.array([lang] * len(full), pa.string()), pa.array([shard] * len(full), pa.int32()),
+                 pa.array(full, pa.int32()), pa.array(runs, pa.binary())],
+                names=["lang", "shard", "bucket", "run"],
             )
         self.parts, self.held = defaultdict(list), 0
 
@@ -226,36 +273,56 @@ def _rows(batches):
             yield r["lang"], r["shard"], _Block(r["lang"], r["head"], r["words"], r["ids"])
 
 
-def _candidates(cut: DataFrame, count, support: int) -> DataFrame:
+def local_supports(cut: DataFrame, support: int) -> DataFrame:
+    """(lang, shard, most, elsewhere): the most places a phrase has in a shard that does not find it
+    frequent, and the sum of that over the language's shards. The local support of a shard is its
+    share of the language's."""
+    sizes = cut.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
+    totals = sizes.groupBy("lang").agg(F.sum("own").alias("all"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    shares = sizes.join(totals, "lang").withColumn("up", F.greatest(wide("own") * F.lit(support) - 1, F.lit(0))).select(
+        "lang", "shard", F.expr("up div greatest(all, 1)").alias("most")
+    )
+    # Written, so that joins know how small it is.
+    return stored(shares.join(shares.groupBy("lang").agg(F.sum("most").alias("elsewhere")), "lang"), "local-supports")
+
+
+def _candidates(cut: DataFrame, count, supports: DataFrame, support: int, buckets: int) -> DataFrame:
     """(lang, h) of the hashes, out of those that ``count`` yields, that are locally frequent in some
-    shard and may be frequent in all. The local support of a shard is its share of the language's."""
+    shard and may be frequent in all."""
 
     def run(batches):
-        tally = _Tally()
+        tally = _Tally(buckets)
         for lang, shard, block in _rows(batches):
             for found in count(block):
                 yield from tally.add((lang, shard), *found)
         yield from tally.batches()
 
-    sizes = cut.groupBy("lang", "shard").agg(F.sum("n").alias("own"))
-    totals = sizes.groupBy("lang").agg(F.sum("own").alias("all"))
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    # The most places a phrase has in a shard that does not find it frequent.
-    shares = sizes.join(totals, "lang").withColumn("up", F.greatest(wide("own") * F.lit(support) - 1, F.lit(0))).select(
-        "lang", "shard", F.expr("up div greatest(all, 1)").alias("most")
+    def union(table: pa.Table) -> pa.Table:
+        shards, local = defaultdict(list), []
+        for shard, most, payload in zip(*(table.column(c).to_pylist() for c in ("shard", "most", "run")), strict=True):
+            shards[shard, most].append(_unpacked(payload))
+        while shards:
+            (_, most), parts = shards.popitem()
+            hashes, counts = _summed(parts)
+            frequent = counts > most
+            local.append((hashes[frequent], counts[frequent] - most))
+        hashes, more = _summed(local)
+        found = hashes[more + table.column("elsewhere")[0].as_py() >= support]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()),
+                         "h": pa.array(found.astype(np.int64))})
+
+    runs = cut.select("lang", "shard", "head", "words", "ids").mapInArrow(
+        run, "lang string, shard int, bucket int, run binary"
     )
-    rest = shares.groupBy("lang").agg(F.sum("most").alias("elsewhere"))
-    counted = cut.select("lang", "shard", "head", "words", "ids").mapInArrow(
-        run, "lang string, shard int, h bigint, c bigint"
-    ).groupBy("lang", "shard", "h").agg(F.sum("c").alias("c"))
-    local = counted.join(shares, ["lang", "shard"]).where("c > most")
-    union = local.groupBy("lang", "h").agg(F.sum(F.col("c") - F.col("most")).alias("more"))
-    return union.join(rest, "lang").where(F.col("more") + F.col("elsewhere") >= support).select("lang", "h")
+    return runs.join(supports, ["lang", "shard"]).groupBy("lang", "bucket").applyInArrow(union, "lang string, h bigint")
 
 
-def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS) -> np.ndarray:
+def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS, buckets: int = 1) -> np.ndarray:
     """A bit map of the phrases, of one word to four, that are candidates."""
     sc = cut.sparkSession.sparkContext
+    supports = local_supports(cut, support)
+    found_by = lambda count: _candidates(cut, count, supports, support, buckets)
 
     def words(block):
         held = np.bincount(block.ids[block.head :], minlength=len(block.words))
@@ -263,7 +330,7 @@ def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS) -> np.n
         there = np.flatnonzero(held)
         yield _mixed(block.word_hash[there] ^ block.seed), held[there]
 
-    one = stored(_candidates(cut, words, support), "frequent-words")
+    one = stored(found_by(words), "frequent-words")
     known_words = sc.broadcast(bit_map(one.select(_place(bits)), bits))
 
     def pairs(block):
@@ -271,7 +338,7 @@ def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS) -> np.n
         fits = (block.ids > 0) & _Bits(bits, known_words.value).has(one)
         yield (two[block.counted(fits[:-1] & fits[1:], 2)],)
 
-    two = stored(_candidates(cut, pairs, support), "frequent-pairs")
+    two = stored(found_by(pairs), "frequent-pairs")
     known_pairs = sc.broadcast(bit_map(two.select(_place(bits)), bits))
 
     def longer(block):
@@ -281,41 +348,69 @@ def candidates(cut: DataFrame, support: int = SUPPORT, bits: int = BITS) -> np.n
             fits = fits[:-1] & fits[1:]  # all pairs inside are candidates
             yield (hashes[k - 1][block.counted(fits, k)],)
 
-    more = stored(_candidates(cut, longer, support), "frequent-longer")
+    more = stored(found_by(longer), "frequent-longer")
     known_words.unpersist()
     known_pairs.unpersist()
     return bit_map(one.unionByName(two).unionByName(more).select(_place(bits)), bits)
 
 
-def counts(cut: DataFrame, found: np.ndarray, bits: int = BITS) -> DataFrame:
-    """(lang, k, phrase, f): exact counts of all candidates over the whole corpus."""
+def counts(cut: DataFrame, found: np.ndarray, support: int = SUPPORT, bits: int = BITS, buckets: int = 1) -> DataFrame:
+    """(lang, k, phrase, f): the candidates that have the support, counted by their words over the
+    whole corpus."""
     shared = cut.sparkSession.sparkContext.broadcast(found)
-    schema = "lang string, k int, phrase string, c bigint"
 
     def run(batches):
-        known, tally = _Bits(bits, shared.value), defaultdict(int)
+        import xxhash
+
+        known, tally, held = _Bits(bits, shared.value), defaultdict(lambda: defaultdict(int)), 0
 
         def passed_on():
-            by = list(tally.items())
+            for lang, by in tally.items():
+                runs = defaultdict(list)
+                for phrase, c in by.items():
+                    runs[xxhash.xxh64_intdigest(phrase) % buckets].append((phrase, c))
+                made = []
+                for run in runs.values():
+                    run.sort()
+                    texts = b"\n".join([p for p, _ in run])
+                    made.append(_squeezed(len(run).to_bytes(8, "little") + _planes(np.array([c for _, c in run])) + texts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(made), pa.string()), pa.array(list(runs), pa.int32()), pa.array(made, pa.binary())],
+                    names=["lang", "bucket", "run"],
+                )
             tally.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0][0] for x in by], pa.string()), pa.array([x[0][1] for x in by], pa.int32()),
-                 pa.array([x[0][2] for x in by], pa.binary()).cast(pa.string()), pa.array([x[1] for x in by], pa.int64())],
-                names=["lang", "k", "phrase", "c"],
-            )
 
         for lang, _, block in _rows(batches):
-            for k, places, held in _phrases(block, known):
+            by = tally[lang]
+            held -= len(by)
+            for k, places, counted in _phrases(block, known):
                 numbers = [block.ids[places + j].tolist() for j in range(k)]
-                for c, *phrase in zip(held.tolist(), *numbers, strict=True):
-                    tally[lang, k, b" ".join([block.words[i] for i in phrase])] += c
-                if len(tally) >= TALLIED_TEXTS:
-                    yield passed_on()
-        if tally:
-            yield passed_on()
-
-    counted = cut.select("lang", "shard", "head", "words", "ids").mapInArrow(run, schema)
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+                for c, *phrase in zip(counted.tolist(), *numbers, strict=True):
+                    by[b" ".join([block.words[i] for i in phrase])] += c
+            held += len(by)
+            if held >= TALLIED_TEXTS:
+                yield from passed_on()
+                held = 0
+        yield from passed_on()
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = defaultdict(int)
+        for payload in table.column("run"):
+            raw = _loose(payload.as_py())
+            n = int.from_bytes(raw[:8], "little")
+            held = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, -1).T).view("<u8").ravel()
+            for phrase, c in zip(raw[8 + 8 * n :].split(b"\n"), held.tolist(), strict=True):
+                total[phrase] += c
+        rows = [(p.count(b" ") + 1, p, f) for p, f in total.items() if f >= support]
+        return pa.table({
+            "lang": pa.array([table.column("lang")[0].as_py()] * len(rows), pa.string()),
+            "k": pa.array([r[0] for r in rows], pa.int32()),
+            "phrase": pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
+            "f": pa.array([r[2] for r in rows], pa.int64()),
+        })
+
+    runs = cut.select("lang", "shard", "head", "words", "ids").mapInArrow(run, "lang string, bucket int, run binary")
+    return runs.groupBy("lang", "bucket").applyInArrow(merge, "lang string, k int, phrase string, f bigint")
 
 
 def _phrases(block: _Block, known: _Bits):
@@ -338,7 +433,7 @@ def _phrases(block: _Block, known: _Bits):
 
 def collocations(
     docs: DataFrame, support: int = SUPPORT, per_lang: int = PER_LANG, shards: int = SHARDS,
-    bits: int = BITS, block_words: int = BLOCK_WORDS,
+    bits: int = BITS, block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS,
 ) -> DataFrame:
     """The ``per_lang`` best phrases of two to four words of each language.
 
@@ -350,9 +445,11 @@ def collocations(
     each time; other columns are ignored; an empty table gives an empty result."""
     # Few blocks to a file, as a task holds all those of its files at once.
     cut = stored(blocks(docs, shards, block_words), "blocks", "zstd", maxRecordsPerFile=8)
-    found = candidates(cut, support, bits)
-    all_counts = stored(counts(cut, found, bits).where(F.col("f") >= support), "phrases")
-    return ranked(all_counts, cut.groupBy("lang").agg(F.sum("n").alias("n")), per_lang)
+    sizes = stored(cut.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    buckets = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // bucket_words))
+    found = candidates(cut, support, bits, buckets)
+    all_counts = stored(counts(cut, found, support, bits, buckets), "phrases")
+    return ranked(all_counts, sizes, per_lang)
 
 
 def ranked(counted: DataFrame, sizes: DataFrame, per_lang: int) -> DataFrame:

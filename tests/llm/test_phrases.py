@@ -82,6 +82,9 @@ def test_small_blocks_and_crowded_bit_maps(spark, monkeypatch):
     assert result(df, support=4, block_words=50) == want
     assert result(df.repartition(7), support=4, bits=4) == want
     assert result(df, support=4, shards=1) == want
+    assert result(df.repartition(3), support=4, bucket_words=100) == want
+    monkeypatch.setattr(phrases, "TALLIED_TEXTS", 10)
+    assert result(df, support=4, block_words=300) == want
     cutter = phrases._Cutter(20)
     monkeypatch.setattr(phrases, "SLICE", 16)
     got, all_words = [], " ".join(f"w{i % 7}," * (i % 5 == 0) + f"w{i % 11} " for i in range(100))
@@ -111,3 +114,15 @@ def test_sql_twin(spark):
     assert rel.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     got = phrases.op12_phrases(spark, "/root/testdata/sf0.001")
     assert {tuple(r) for r in got.collect()} == set(rel.fetchall())
+
+
+def test_runs_come_back():
+    random = np.random.default_rng(9)
+    for n in (1, 2, 1000):
+        numbers = np.unique(random.integers(0, 2**48, n).astype(np.uint64))
+        counts = random.integers(1, 2**40, len(numbers))
+        got = phrases._unpacked(phrases._packed(numbers, counts))
+        assert (got[0] == numbers).all() and (got[1] == counts).all()
+    parts = [(np.array([1, 5, 9], np.uint64), np.array([1, 1, 2])), (np.array([0, 5], np.uint64), np.array([7, 3]))]
+    numbers, counts = phrases._summed(parts)
+    assert numbers.tolist() == [0, 1, 5, 9] and counts.tolist() == [7, 1, 4, 2]
