@@ -137,6 +137,11 @@ def verdict(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
+def unblocked(policy: Policy = DEFAULT_POLICY) -> Column:
+    """True where nothing rules the benefit out."""
+    return F.expr(f"NOT {_any(findings(policy), BLOCKERS)}")
+
+
 def usable(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The verdict with blocked rows hidden, which is the default everywhere.
 
@@ -144,7 +149,7 @@ def usable(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     for the many rows they remove.
     """
     found = findings(policy)
-    return pairs.where(f"NOT {_any(found, BLOCKERS)}").withColumns(
+    return pairs.where(unblocked(policy)).withColumns(
         {
             "status": F.expr(
                 f"CASE WHEN {_any(found, REQUIREMENTS)} THEN 'conditional' ELSE 'eligible' END"

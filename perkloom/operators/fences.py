@@ -77,31 +77,107 @@ def notify_decision(
     )
 
 
-def visit_step(rows: pd.DataFrame, state: list | None) -> tuple[list, list | None]:
-    """Walk enter/exit events. State: [entered_ms or None, notified_ms or None].
+def visit(
+    kind: str, at_ms: int, quiet: bool, matches: int, entered: int | None, notified: int | None
+) -> tuple[str | None, int | None, int | None]:
+    """One enter or exit: its decision (none for an exit) and when the user entered and was notified.
 
     Entering again while inside keeps the clock; leaving clears it but keeps the
     time of the last notification, so the cooldown survives.
     """
+    if kind == "exit":
+        return None, None, notified
+    entered = at_ms if entered is None else entered
+    decision = decide(at_ms, quiet, matches, entered, notified)
+    return decision, entered, at_ms if decision == NOTIFY else notified
+
+
+def visit_step(rows: pd.DataFrame, state: list | None) -> tuple[list, list | None]:
+    """Walk enter/exit events. State: [entered_ms or None, notified_ms or None]."""
     entered, notified = state or (None, None)
     out = []
     for kind, at_ms, quiet, matches in zip(
         rows["kind"].tolist(), rows["at_ms"].tolist(), rows["quiet"].tolist(),
         rows["match_count"].tolist(),
     ):
-        if kind == "exit":
-            entered = None
-            out.append(None)
-            continue
-        if entered is None:
-            entered = at_ms
-        decision = decide(at_ms, quiet, matches, entered, notified)
-        if decision == NOTIFY:
-            notified = at_ms
+        decision, entered, notified = visit(kind, at_ms, quiet, matches, entered, notified)
         out.append(decision)
     return out, [entered, notified]
 
 
+class VisitSummary:
+    """Visits of a piece of one (user, fence) history as a function of when the user had entered
+    and been notified before it.
+
+    Up to its first exit a piece goes by the given entry, and what could be notified there by the
+    time alone; after it everything is known but the cooldown. A notification at one place leads to
+    the same last one whatever came before, so the function is a list of places where the first
+    notification can fall, with the last one each leads to. Neighbours that lead to the same are
+    one, and places beyond any entry and cooldown that can be given are left out.
+    """
+
+    def __init__(self):
+        self.start = self.first = self.entered = None
+        self.left = False  # there was an exit
+        self.head: list[int] = []
+        self.tail: list[int] = []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        for kind, at_ms, quiet, matches in zip(
+            rows["kind"].tolist(), rows["at_ms"].tolist(), rows["quiet"].tolist(), rows["match_count"].tolist()
+        ):
+            self.start = at_ms if self.start is None else self.start
+            if kind == "exit":
+                self.left, self.entered = True, None
+                continue
+            self.entered = at_ms if self.entered is None else self.entered
+            if not self.left and self.first is None:
+                self.first = at_ms
+            if matches > 0 and not quiet:
+                if not self.left:
+                    self.head.append(at_ms)
+                elif at_ms - self.entered >= V.MIN_DWELL_MS:
+                    self.tail.append(at_ms)
+
+    def done(self) -> list:
+        times = self.head + self.tail
+        last_from, j = list(times), len(times)
+        for i in range(len(times) - 1, -1, -1):
+            while j > i + 1 and times[j - 1] - times[i] >= V.COOLDOWN_MS:
+                j -= 1
+            if j < len(times) and times[j] - times[i] >= V.COOLDOWN_MS:
+                last_from[i] = last_from[j]
+        bound = max(self.start + V.COOLDOWN_MS, (self.first or self.start) + V.MIN_DWELL_MS)
+        n = len(self.head)
+        return [
+            self.left, self.first, self.entered,
+            _leads(self.head, last_from[:n], bound), _leads(self.tail, last_from[n:], bound),
+        ]
+
+    @staticmethod
+    def follow(summary: list, state: list | None) -> list:
+        left, first, inside, head, tail = summary
+        entered, notified = state or (None, None)
+        entered = first if entered is None else entered
+        rested = -math.inf if notified is None else notified + V.COOLDOWN_MS
+        stayed = math.inf if entered is None else max(rested, entered + V.MIN_DWELL_MS)
+        ends = [end for at, end in head if at >= stayed][:1] or [end for at, end in tail if at >= rested][:1]
+        return [inside if left else entered, ends[0] if ends else notified]
+
+
+def _leads(times: list[int], ends: list[int], bound: int) -> list[list[int]]:
+    """(last time, end) of neighbours with equal end, up to the first time at ``bound`` or later."""
+    out: list[list[int]] = []
+    for at, end in zip(times, ends):
+        if out and out[-1][1] == end:
+            out[-1][0] = at
+        elif out and out[-1][0] >= bound:
+            break
+        else:
+            out.append([at, end])
+    return out
+
+
 def with_clock(events: DataFrame) -> DataFrame:
     """``at_ms`` and ``quiet``, computed once outside the walk."""
     return events.withColumns(
@@ -116,7 +192,7 @@ def visit_decisions(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Enter events with ``decision``, per (user, fence) in time order."""
     walked = ordered_fold(
         with_clock(events), ["user_id", "fence_id"], ["ts", "event_id"], visit_step,
-        StructField("decision", StringType()), pieces,
+        StructField("decision", StringType()), pieces, VisitSummary,
     )
     return walked.where("kind = 'enter'")
 

@@ -5,9 +5,13 @@ express. Rows are range-partitioned on (keys, order), so partitions are balanced
 even when one key holds most of the rows: a long key is cut into consecutive
 pieces, and a partition is walked as a stream with constant memory.
 
-A piece in the middle of a key needs the state its predecessor ended with. Every
-piece is first walked from a fresh start. Then, in rounds, the first piece of each key
-that started from another state than its predecessor ended with is walked again; all
+A piece in the middle of a key needs the state its predecessor ended with. Where a decision
+can be summed up, a piece is first read as a function from the state it is given to the state
+it leaves, with few break points; the driver composes these along a key, and the second
+reading decides. Two readings, however long a history is.
+
+Other decisions are walked from a fresh start first. Then, in rounds, the first piece of each
+key that started from another state than its predecessor ended with is walked again; all
 pieces before it are final, so no piece is walked a third time and the work is linear.
 Where a history forgets, the pieces after it hold at once. The driver sees one small row
 per piece.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +36,20 @@ PIECE_ROWS = 500_000
 Step = Callable[[pd.DataFrame, list | None], tuple[list, list | None]]
 
 
+class Summary(Protocol):
+    """What a piece of a key's history does to the state, whatever state it is given."""
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Take in the next rows."""
+
+    def done(self) -> list:
+        """The summary, of values that JSON can hold."""
+
+    @staticmethod
+    def follow(summary: list, state: list | None) -> list | None:
+        """The state after the piece."""
+
+
 def _runs(batch: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
     """Consecutive rows of the same key within one Arrow batch."""
     for _, run in batch.groupby((batch["_key"] != batch["_key"].shift()).cumsum(), sort=False):
@@ -61,8 +80,10 @@ def ordered_fold(
     step: Step,
     output: StructField,
     pieces: int | None = None,
+    summary: type[Summary] | None = None,
 ) -> DataFrame:
-    """``df`` plus one column computed by ``step`` along each key's history."""
+    """``df`` plus one column computed by ``step`` along each key's history. With ``summary`` the
+    state at the start of every piece is found in one reading."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = pieces or max(
@@ -97,10 +118,39 @@ def ordered_fold(
         ).collect()  # one row per piece
         return {r.chunk: (r.first, r.last, json.loads(r.state)) for r in rows}
 
-    known = ends({}, None)
-    ids = sorted(known)
+    def sums() -> dict:
+        def scan(batches):
+            first = last = chunk = state = None
+            made = summary()
+            for batch in batches:
+                if not len(batch):
+                    continue
+                chunk = int(batch["_chunk"].iloc[0])
+                for key, rows in _runs(batch):
+                    first = first or key
+                    if key == first:
+                        made.add(rows)
+                    else:  # a key that starts here is simply walked
+                        state = step(rows, state if key == last else None)[1]
+                    last = key
+            if chunk is not None:
+                yield pd.DataFrame({
+                    "chunk": [chunk], "first": [first], "last": [last],
+                    "state": [json.dumps(made.done() if first == last else state)],
+                })
+
+        rows = chunks.mapInPandas(scan, "chunk int, first string, last string, state string").collect()  # one per piece
+        return {r.chunk: (r.first, r.last, json.loads(r.state)) for r in rows}
+
     incoming: dict[int, list | None] = {}
-    while True:
+    if summary is not None:
+        before, state = None, None
+        for chunk, (first, last, found) in sorted(sums().items()):
+            incoming[chunk] = state = state if before == first else None
+            state, before = summary.follow(found, state) if first == last else found, last
+    known = ends({}, None) if summary is None else {}
+    ids = sorted(known)
+    while ids:
         stale, unsure = {}, None
         for before, here in zip(ids, ids[1:]):
             first, last, _ = known[here]

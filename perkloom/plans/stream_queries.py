@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perkloom.functions.timefn import utc_instant
-from perkloom.operators import fences
 from perkloom.plans import benefit_queries, place_queries
 from perkloom.plans.domain import Domain
 from perkloom.plans.fixture_views import duckdb_cte
 from perkloom.streaming import kpi, visits
-from perkloom.streaming.run import drain, staged
+from perkloom.streaming.run import drain
 
 
 def _events(spark, sf_dir):
@@ -33,21 +32,19 @@ def _fence_events(spark, sf_dir):
 
 
 def notify_stream(spark, sf_dir):
-    decided = drain(visits.visit_decisions(_fence_events(spark, sf_dir)), "update")
+    decided = drain(visits.visit_decisions(_fence_events(spark, sf_dir)), "append")
     return decided.select("event_id", "user_id", "fence_id", "decision")
 
 
 def enter_stream(spark, sf_dir):
     """Enter events of a stream, decided by what the place offers the user at that time."""
     d = Domain(spark, sf_dir)
-    places = place_queries.places_of(d)
-
-    def with_counts(batch):
-        matches = fences.enter_matches(batch, places, d.owned, d.muted, d.benefits)
-        return fences.with_match_counts(batch, matches)
-
-    events = staged(_fence_events(spark, sf_dir).drop("match_count"), with_counts)
-    return drain(visits.visit_decisions(events), "update").select("event_id", "user_id", "fence_id", "decision")
+    events = visits.with_matches(
+        _fence_events(spark, sf_dir).drop("match_count"), place_queries.places_of(d), d.owned, d.muted, d.benefits
+    )
+    return drain(visits.visit_decisions(events), "append").select(
+        "event_id", "user_id", "fence_id", "match_count", "decision"
+    )
 
 
 def notification_log(spark, sf_dir):
@@ -59,7 +56,7 @@ def notification_log(spark, sf_dir):
     places = d.venues.select(F.col("id").alias("fence_id"))
     able = visits.eligible_events(_fence_events(spark, sf_dir), places, profiles)
     sent = visits.notification_events(visits.visit_decisions(able))
-    return drain(sent, "update").select("event_id", "user_id", "kind")
+    return drain(sent, "append").select("event_id", "user_id", "kind")
 
 
 def kpi_stream(spark, sf_dir):
@@ -84,7 +81,7 @@ QUERIES = {f.__name__: f for f in (notify_stream, enter_stream, notification_log
 _WALK = place_queries.ORACLE["notify_fold"]
 ORACLE = {
     "notify_stream": _WALK,
-    "enter_stream": place_queries.ORACLE["enter_decisions"].replace("e.match_count, decision", "decision"),
+    "enter_stream": place_queries.ORACLE["enter_decisions"],
     "notification_log": _WALK.replace(
         "WITH RECURSIVE ",
         "WITH RECURSIVE " + duckdb_cte(["fx_program", "fx_owned"]) + ",\n" + benefit_queries._OWNED + ",\n",

@@ -1,43 +1,40 @@
-"""Draining a stream into a table."""
+"""Streams into tables: queries that run on, and draining what is there."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from perkloom.operators.ingest import last_per
 from perkloom.session import ensure_checkpoint_dir, keep_track
 
 
-def staged(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stream of what ``prepare`` makes of each micro-batch.
+def run_to_table(stream: DataFrame, folder: str, output_mode: str = "append", **trigger) -> StreamingQuery:
+    """Start a query that writes to ``folder``/out and keeps its progress in ``folder``/state.
 
-    What a batch query can say and a stream cannot, such as joins that first count their keys,
-    runs on the micro-batch; its rows are written to a folder of the batch's number and read on
-    from there as a stream. A batch that is run again replaces its own rows."""
-    spark = stream.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
-    keep_track(root)
-    schemas = []
+    A micro-batch is written to a folder of its own number, so one that is run again replaces its
+    own rows; read the result with ``results``. Started again on the same folder it goes on where
+    it ended. ``trigger``: as of a stream writer, such as processingTime or availableNow."""
+
+    # So that the folder can be read before the first micro-batch, and if none comes.
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/out/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        ready = prepare(batch)
-        schemas.append(ready.schema)
-        ready.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True).foreachBatch(write).start()
+    return (
+        stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/state")
+        .trigger(**trigger).foreachBatch(write).start()
     )
-    query.awaitTermination()
-    if not schemas:  # nothing has come; the columns are those of an empty batch
-        empty = prepare(spark.createDataFrame([], stream.schema))
-        schemas.append(empty.schema)
-        empty.write.parquet(f"{root}/out/batch=0")
-    return spark.readStream.schema(schemas[0].add("batch", IntegerType())).parquet(f"{root}/out").drop("batch")
+
+
+def results(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What a query of ``run_to_table`` has written so far, with the number of its ``batch``."""
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(numbered).parquet(f"{folder}/out")
 
 
 def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -51,23 +48,8 @@ def drain(stream: DataFrame, output_mode: str, keys: list[str] | None = None) ->
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     keep_track(root)
-    batches = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batches.append(number)
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
-    query = (
-        stream.writeStream.outputMode(output_mode)
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
-    if not batches:  # nothing has come
-        return spark.createDataFrame([], stream.schema)
-    rows = spark.read.parquet(f"{root}/out")
+    run_to_table(stream, root, output_mode, availableNow=True).awaitTermination()
+    rows = results(spark, root, stream.schema)
     if keys is None:
         return rows.drop("batch")
     return last_per(rows, keys, "batch").drop("batch")

@@ -1,30 +1,41 @@
-"""Fence events as a stream: one small state per (user, fence).
-
-The decision code is the batch walk's; only where the state lives differs. A state
-is two times, so it is small however long a history grows, and a crowded fence is
-many keys because the user is part of the key.
+"""Fence events as a stream that runs on: one small state per (user, fence).
+
+The decision code is the batch walk's; only where the state lives differs. Events wait in the
+state, in the order of their own time, until the watermark says that none before them is still to
+come; then an event-time timer decides them. So late events fall into place, however micro-batches
+were cut, and a batch that is run again changes nothing. A key holds what its lateness allows, in
+pieces of an hour, of which one is in memory at a time; a crowded fence is many keys because the
+user is part of the key.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from perkloom.operators.fences import NOTIFY, visit_step, with_clock
+from perkloom.operators import conditions
+from perkloom.operators.conditions import DEFAULT_POLICY, Policy
+from perkloom.operators.fences import NOTIFY, visit, with_clock
+from perkloom.operators.rank import catalog_side, publishable
 from perkloom.session import ROCKSDB, STATE_STORE_KEY
 
-STATE = StructType([StructField("entered", LongType()), StructField("notified", LongType())])
+PIECE_MS = 3_600_000
+NOTED = 1_000  # events noted before they go to the state
+STATE = StructType([StructField(name, LongType()) for name in ("entered", "notified", "last")])
+PIECE = StructType([StructField("piece", LongType())])
+WAITING = StructType([StructField("events", StringType())])
 OUTPUT = StructType(
     [
         StructField("event_id", LongType()),
         StructField("user_id", LongType()),
         StructField("fence_id", StringType()),
         StructField("at_ms", LongType()),
+        StructField("match_count", LongType()),
         StructField("decision", StringType()),
     ]
 )
@@ -35,46 +46,134 @@ def _whole(value) -> int | None:
 
 
 class VisitProcessor(StatefulProcessor):
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visit = handle.getValueState("visit", STATE, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch's rows of one key arrive unordered.
-        batch = pd.concat(rows).sort_values(["at_ms", "event_id"])
+        self.handle = handle
+        self.visit = handle.getValueState("visit", STATE)
+        self.waiting = handle.getMapState("waiting", PIECE, WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Note events by the piece of time they are in; nothing is decided yet."""
+        noted: dict[int, dict] = {}
+        n = 0
+        for r in rows:
+            events = noted.setdefault(r.at_ms // PIECE_MS, {})
+            # An event read twice, and its matches with it, counts once: both are divided.
+            kind, at_ms, quiet, times, matches = events.get(str(r.event_id), (r.kind, r.at_ms, r.quiet, 0, 0))
+            events[str(r.event_id)] = (kind, at_ms, quiet, times + 1 - r.is_match, matches + r.match_count)
+            n += 1
+            if n % NOTED == 0:
+                self._keep(noted)
+                noted = {}
+        self._keep(noted)
+        return iter(())
+
+    def _keep(self, noted: dict[int, dict]) -> None:
+        for piece, events in noted.items():
+            held = self._held(piece)
+            for event_id, (kind, at_ms, quiet, times, matches) in events.items():
+                before = held.get(event_id, (kind, at_ms, quiet, 0, 0))
+                held[event_id] = (kind, at_ms, quiet, before[3] + times, before[4] + matches)
+            self._wait(piece, held)
+
+    def _held(self, piece: int) -> dict:
+        found = self.waiting.getValue((piece,)) if self.waiting.containsKey((piece,)) else None
+        return json.loads(found[0]) if found is not None else {}
+
+    def _wait(self, piece: int, events: dict) -> None:
+        self.waiting.updateValue((piece,), (json.dumps(events),))
+        # A timer goes off when the watermark has passed it; events at the watermark are complete.
+        self.handle.registerTimer(min(e[1] for e in events.values()) - 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, mark = expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs()
         stored = self.visit.get() if self.visit.exists() else None
-        state = [_whole(stored[0]), _whole(stored[1])] if stored is not None else None
-        out, state = visit_step(batch, state)
-        self.visit.update((state[0], state[1]))
-        decided = batch.assign(decision=out)[lambda b: b["kind"] == "enter"]
-        yield decided[OUTPUT.names]
+        entered, notified, last = (None, None, None) if stored is None else map(_whole, stored)
+        held = self._held(at // PIECE_MS)
+        ready = sorted((e[1], int(i), *e) for i, e in held.items() if e[1] <= mark)
+        if not ready:
+            if last is not None and last + self.forget_ms <= at:
+                self.visit.clear()
+            return
+        out = []
+        for at_ms, event_id, kind, _, quiet, times, matches in ready:
+            count = matches // max(1, times)
+            decision, entered, notified = visit(kind, at_ms, quiet, count, entered, notified)
+            if decision is not None:
+                out.append(Row(event_id=event_id, user_id=key[0], fence_id=key[1], at_ms=at_ms,
+                               match_count=count, decision=decision))
+        last = ready[-1][0]
+        self.visit.update((entered, notified, last))
+        self.handle.registerTimer(last + self.forget_ms - 1)
+        rest = {i: e for i, e in held.items() if e[1] > mark}
+        if rest:
+            self._wait(at // PIECE_MS, rest)
+        else:
+            self.waiting.removeKey((at // PIECE_MS,))
+        yield from out
 
     def close(self) -> None:
         pass
 
 
-def visit_decisions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming (or batch) enter events with their ``decision``.
+FORGET_MS = 7 * 24 * 3_600_000  # more than any stay and cooldown
+
 
-    ``ttl_ms``: forget a visit that long after its last event, for streams that run on (some days
-    are more than any stay and cooldown). Expiry goes by the clock of the machine and keeps a
-    stream asking for batches, so one that only drains what is there does without.
+def visit_decisions(events: DataFrame, lateness: str = "0 seconds", forget_ms: int = FORGET_MS) -> DataFrame:
+    """Streaming enter events with their ``match_count`` and ``decision``, in the order of their time.
 
-    ``events``: event_id, user_id, fence_id, kind, ts, match_count, already limited
-    to known places and to users with notifications on and a program declared.
+    ``events``: event_id, user_id, fence_id, kind, ts, match_count, already limited to known
+    places and to users with notifications on and a program declared; several rows of an event, as
+    ``with_matches`` makes them, are added up. An event is decided once no event before it can
+    come any more: ``lateness`` is how far events may arrive out of order, and what comes later
+    still is left out. A visit is forgotten ``forget_ms`` after its last event.
     """
     spark = events.sparkSession
     spark.conf.set(STATE_STORE_KEY, ROCKSDB)
-    clocked = with_clock(events).select(
-        "event_id", "user_id", "fence_id", "kind", "at_ms", "quiet", "match_count"
+    if "is_match" not in events.columns:
+        events = events.withColumn("is_match", F.lit(0))
+    clocked = with_clock(events.withWatermark("ts", lateness)).select(
+        "event_id", "user_id", "fence_id", "kind", "ts", "at_ms", "quiet",
+        F.col("match_count").cast("bigint").alias("match_count"), F.col("is_match").cast(IntegerType()).alias("is_match"),
+    )
+    return clocked.groupBy("user_id", "fence_id").transformWithState(
+        statefulProcessor=VisitProcessor(forget_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+    )
+
+
+def with_matches(
+    events: DataFrame, places: DataFrame, owned: DataFrame, muted: DataFrame, benefits: DataFrame,
+    policy: Policy = DEFAULT_POLICY,
+) -> DataFrame:
+    """One row per event, and one more (``is_match``, ``match_count`` 1) per benefit that a user who
+    enters can use at the place at that moment, whatever the channel.
+
+    Joins with tables that stand still and nothing else, so it is part of a running query: each
+    event meets itself as it is and, on entering, once more with the shops of the place, the
+    user's programs and their offers.
+
+    ``places``: (fence_id, merchant_id); ``events``: event_id, user_id, fence_id, kind, ts."""
+    asks = F.when(F.col("kind") == "enter", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = events.withColumn("is_match", F.explode(asks)).withColumn(
+        "_place", F.when(F.col("is_match") == 1, F.col("fence_id"))
+    )
+    shops = places.select(F.col("fence_id").alias("_place"), "merchant_id").distinct()
+    held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
+    silent = muted.groupBy("user_id").agg(F.collect_set("benefit_id").alias("_muted"))
+    rows = rows.join(shops, "_place", "left").join(held.join(silent, "user_id", "left"), "user_id", "left").withColumn(
+        "program_id", F.explode_outer(F.when(F.col("merchant_id").isNotNull(), F.col("_held")))
+    )
+    offers = catalog_side(publishable(benefits, policy)).withColumns(
+        {"owned": F.lit(True), "muted": F.lit(False), "channel": F.lit(None).cast("string"),
+         "cart_amount": F.lit(None).cast("double")}
     )
-    return clocked.groupBy("user_id", "fence_id").transformWithStateInPandas(
-        statefulProcessor=VisitProcessor(ttl_ms),
-        outputStructType=OUTPUT,
-        outputMode="Update",
-        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    met = rows.join(offers, ["merchant_id", "program_id"], "left").withColumn("now", F.col("ts"))
+    is_muted = F.coalesce(F.array_contains("_muted", F.col("benefit_id")), F.lit(False))
+    usable = F.col("benefit_id").isNotNull() & ~is_muted & conditions.unblocked(policy)
+    return met.where((F.col("is_match") == 0) | usable).select(
+        "event_id", "user_id", "fence_id", "kind", "ts", F.col("is_match").alias("match_count"), "is_match"
     )
 
 
