@@ -144,6 +144,41 @@ def test_thinning_keeps_the_best_pairs(spark, seed, limit):
         assert [frozenset((r.first_id, r.second_id)) for r in got] == expect
 
 
+@pytest.mark.parametrize("seed, limit", [(11, 1), (12, 2), (13, 4)])
+def test_many_prices_of_a_program_do_not_all_pair(spark, seed, limit):
+    """Every offer at a price of its own, with caps, at carts and without one."""
+    rnd = random.Random(seed)
+    rows = []
+    for seq in range(1, 140):
+        cap = rnd.choice([None, float(rnd.randrange(5, 60)), float(rnd.randrange(5, 60))])
+        rows.append(
+            offer(
+                seq, rnd.choice("pqr"), at="s1", value=round(rnd.uniform(1, 100), rnd.choice([0, 2, 5])),
+                type=rnd.choice(["percent", "cashback"]), conditions={
+                    "stacks_with_club": rnd.choice([True, None]), "max_discount": cap,
+                    "min_spend": rnd.choice([None, None, 20.0, 400.0]),
+                },
+            )
+        )
+    for cart in (None, 100.0, 433.33):
+        evaluated = conditions.usable(pairs(spark, rows, cart=cart))
+        ranked = [r.benefit_id for r in rank.rank(evaluated).orderBy("position").collect()]
+        got = combos.best_combos(evaluated, limit).orderBy("position").collect()
+        assert [frozenset((r.first_id, r.second_id)) for r in got] == _brute(rows, ranked, cart or 250.0, limit)
+
+
+def test_thinning_leaves_steps_of_rate_and_cap(spark):
+    rows = [offer(s, "p", at="s1", value=float(s) / 4, type="percent") for s in range(1, 400)]
+    rows += [
+        offer(s, "q", at="s1", value=float(s) / 8, type="percent", conditions={"max_discount": float(s % 50 + 1)})
+        for s in range(400, 800)
+    ]
+    evaluated = conditions.usable(pairs(spark, rows, cart=100.0))
+    left = combos._thin(combos._combinable(evaluated), 3, "merchant_id").groupBy("program_id").count().collect()
+    counts = {r.program_id: r["count"] for r in left}
+    assert counts["p"] == 3 and counts["q"] <= 3 * 50 / 2
+
+
 def test_candidates_are_the_same_with_every_merchant_split(spark):
     rnd = random.Random(5)
     rows = [
