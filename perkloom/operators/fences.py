@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField
 from perkloom.functions import fixed_values as V
 from perkloom.functions import money, timefn
 from perkloom.operators import rank
-from perkloom.operators.fold import ordered_fold
+from perkloom.operators.fold import UNKNOWN, ordered_fold
 from perkloom.session import written
 
 NOTIFY = "notify"
@@ -36,12 +36,66 @@ def refresh_step(rows: pd.DataFrame, origin: list | None) -> tuple[list, list |
     return out, origin
 
 
+class RefreshSummary:
+    """Re-picks of a piece of a user's positions as a function of where fences were last chosen.
+
+    From a place that is near the first position, the next re-pick falls within the first rows, up
+    to one twice as far away as asked: that one is far enough from any such place. Each of these rows
+    is followed as if fences were chosen there; those that come together go on as one. A piece that
+    stays around its first position changes nothing. Where the first rows are too many (someone
+    who wanders about), the summary cannot tell.
+    """
+
+    FOLLOWED = 32
+
+    def __init__(self):
+        self.rows: list[tuple[float, float]] = []  # where the next re-pick can fall
+        self.ends: list[tuple[tuple[float, float], list[int]]] = []  # last re-pick, for which of the rows
+        self.reach = 0.0  # of all positions, from the first one
+        self.open, self.crowded = True, False
+
+    def add(self, rows: pd.DataFrame) -> None:
+        for here in zip(rows["lat"].tolist(), rows["lng"].tolist()):
+            away = _meters(*self.rows[0], *here) if self.rows else 0.0
+            self.reach = max(self.reach, away)
+            moved = [e for e in self.ends if _meters(*e[0], *here) >= V.FENCE_REFRESH_M]
+            come = [i for _, own in moved for i in own]
+            if self.open:
+                come.append(len(self.rows))
+                self.rows.append(here)
+                self.open = away < 2 * V.FENCE_REFRESH_M + 1
+            if come:
+                self.ends = [e for e in self.ends if e not in moved] + [(here, come)]
+            if self.open and len(self.rows) > self.FOLLOWED:
+                self.open, self.crowded = False, True
+                self.rows = self.rows[:1]
+                self.ends = [(at, [0]) for at, own in self.ends if 0 in own]
+
+    def done(self) -> list:
+        end = {i: at for at, own in self.ends for i in own}
+        return [self.reach, self.crowded, [[*row, *end[i]] for i, row in enumerate(self.rows)]]
+
+    @staticmethod
+    def follow(summary: list, state: list | None) -> list | None:
+        reach, crowded, rows = summary
+        if state is None:
+            return rows[0][2:]
+        away = _meters(*state, *rows[0][:2])
+        if away >= V.FENCE_REFRESH_M:
+            return rows[0][2:]
+        if away + reach < V.FENCE_REFRESH_M - 1:
+            return state
+        if crowded:
+            return UNKNOWN
+        return next((r[2:] for r in rows if _meters(*state, *r[:2]) >= V.FENCE_REFRESH_M), state)
+
+
 def fence_refreshes(positions: DataFrame, pieces: int | None = None) -> DataFrame:
     """Positions with a ``refresh`` flag, per user in time order."""
     known = positions.where("lat IS NOT NULL AND lng IS NOT NULL")
     return ordered_fold(
         known, ["user_id"], ["ts", "pos_id"], refresh_step,
-        StructField("refresh", BooleanType()), pieces,
+        StructField("refresh", BooleanType()), RefreshSummary, pieces,
     )
 
 
@@ -192,7 +246,7 @@ def visit_decisions(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Enter events with ``decision``, per (user, fence) in time order."""
     walked = ordered_fold(
         with_clock(events), ["user_id", "fence_id"], ["ts", "event_id"], visit_step,
-        StructField("decision", StringType()), pieces, VisitSummary,
+        StructField("decision", StringType()), VisitSummary, pieces,
     )
     return walked.where("kind = 'enter'")
 

@@ -5,16 +5,11 @@ express. Rows are range-partitioned on (keys, order), so partitions are balanced
 even when one key holds most of the rows: a long key is cut into consecutive
 pieces, and a partition is walked as a stream with constant memory.
 
-A piece in the middle of a key needs the state its predecessor ended with. Where a decision
-can be summed up, a piece is first read as a function from the state it is given to the state
-it leaves, with few break points; the driver composes these along a key, and the second
-reading decides. Two readings, however long a history is.
-
-Other decisions are walked from a fresh start first. Then, in rounds, the first piece of each
-key that started from another state than its predecessor ended with is walked again; all
-pieces before it are final, so no piece is walked a third time and the work is linear.
-Where a history forgets, the pieces after it hold at once. The driver sees one small row
-per piece.
+A piece in the middle of a key needs the state its predecessor ended with. So pieces are read
+twice. The first reading sums each one up as a function from the state it is given to the
+state it leaves; the driver, which sees one small row per piece, composes these along a key. The
+second reading decides. Where a summary cannot tell, the piece is walked with the state that
+is known by then, the first such piece of every key at once.
 """
 
 from __future__ import annotations
@@ -47,7 +42,10 @@ class Summary(Protocol):
 
     @staticmethod
     def follow(summary: list, state: list | None) -> list | None:
-        """The state after the piece."""
+        """The state after the piece, or ``UNKNOWN``."""
+
+
+UNKNOWN = object()
 
 
 def _runs(batch: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
@@ -79,11 +77,10 @@ def ordered_fold(
     order: list[str],
     step: Step,
     output: StructField,
+    summary: type[Summary],
     pieces: int | None = None,
-    summary: type[Summary] | None = None,
 ) -> DataFrame:
-    """``df`` plus one column computed by ``step`` along each key's history. With ``summary`` the
-    state at the start of every piece is found in one reading."""
+    """``df`` plus one column computed by ``step`` along each key's history."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = pieces or max(
@@ -100,23 +97,16 @@ def ordered_fold(
         .checkpoint()
     )
 
-    def ends(incoming: dict, only: set | None) -> dict:
+    def ends(incoming: dict, only: set) -> dict:
         def scan(batches):
-            first = last = None
             chunk, state = None, None
-            for chunk, key, _, _, state in _walk(batches, step, incoming):
-                first, last = first or key, key
-                if only is not None and chunk not in only:
+            for chunk, _, _, _, state in _walk(batches, step, incoming):
+                if chunk not in only:
                     return
             if chunk is not None:
-                yield pd.DataFrame(
-                    {"chunk": [chunk], "first": [first], "last": [last], "state": [json.dumps(state)]}
-                )
+                yield pd.DataFrame({"chunk": [chunk], "state": [json.dumps(state)]})
 
-        rows = chunks.mapInPandas(
-            scan, "chunk int, first string, last string, state string"
-        ).collect()  # one row per piece
-        return {r.chunk: (r.first, r.last, json.loads(r.state)) for r in rows}
+        return {r.chunk: json.loads(r.state) for r in chunks.mapInPandas(scan, "chunk int, state string").collect()}
 
     def sums() -> dict:
         def scan(batches):
@@ -142,30 +132,27 @@ def ordered_fold(
         rows = chunks.mapInPandas(scan, "chunk int, first string, last string, state string").collect()  # one per piece
         return {r.chunk: (r.first, r.last, json.loads(r.state)) for r in rows}
 
-    incoming: dict[int, list | None] = {}
-    if summary is not None:
-        before, state = None, None
-        for chunk, (first, last, found) in sorted(sums().items()):
-            incoming[chunk] = state = state if before == first else None
-            state, before = summary.follow(found, state) if first == last else found, last
-    known = ends({}, None) if summary is None else {}
-    ids = sorted(known)
-    while ids:
-        stale, unsure = {}, None
-        for before, here in zip(ids, ids[1:]):
-            first, last, _ = known[here]
-            if known[before][1] != first:
+    incoming, walked, found = {}, {}, sorted(sums().items())
+    while True:
+        unsure, at, state = set(), None, None
+        for chunk, (first, last, left) in found:
+            state = state if at == first else None
+            at = last
+            if state is UNKNOWN:  # waits for a piece before it
+                state = left if first != last else UNKNOWN
                 continue
-            state = known[before][2]
-            if first == last and first != unsure and state != incoming.get(here):
-                stale[here] = state
-                unsure = first  # what follows in this key waits
-            elif first != last:
-                incoming[here] = state  # only its first rows depend on it
-        if not stale:
+            incoming[chunk] = state
+            if first != last:
+                state = left
+            elif chunk in walked:
+                state = walked[chunk]
+            else:
+                state = summary.follow(left, state)
+                if state is UNKNOWN:
+                    unsure.add(chunk)
+        if not unsure:
             break
-        incoming.update(stale)
-        known.update(ends(incoming, set(stale)))
+        walked.update(ends(incoming, unsure))
 
     def decide(batches):
         for _, _, rows, out, _ in _walk(batches, step, incoming):

@@ -86,7 +86,8 @@ def publish(generated: DataFrame, queue: DataFrame, shipped: DataFrame) -> DataF
     """Every row of the three tables with what publishing does to it (``action``).
 
     A queued id is blocked and, if shipped before, withdrawn; other generated rows
-    replace the shipped ones. One aggregation over the tagged union, so no table is
+    replace the shipped ones; of rows that repeat an id the last one counts (by ``seq``, or by
+    content where there is none). One aggregation over the tagged union, so no table is
     joined and a repeated id costs one row per task. Nothing generated is an error: it would
     pass a failed run for a catalog that did not change.
     """
@@ -103,9 +104,15 @@ def publish(generated: DataFrame, queue: DataFrame, shipped: DataFrame) -> DataF
         .unionByName(tag(shipped, none, row, False))
         .unionByName(tag(queue, none, none, True))
     )
+    in_order = "seq" in generated.columns
+
+    def place(side: str) -> Column:
+        own = F.struct(F.col(side)["seq"] if in_order else F.lit(0), F.xxhash64(F.to_json(side)))
+        return F.when(F.col(side).isNotNull(), own)
+
     one = tagged.groupBy("id").agg(
-        F.any_value("new", ignoreNulls=True).alias("new"),
-        F.any_value("old", ignoreNulls=True).alias("old"),
+        F.max_by("new", place("new")).alias("new"),
+        F.max_by("old", place("old")).alias("old"),
         F.max("q").alias("q"),
     )
     has_new, has_old = F.col("new").isNotNull(), F.col("old").isNotNull()

@@ -160,7 +160,7 @@ def kpi_target(spark, sf_dir):
 
 def recent_events(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    return kpi.recent_events(d.interactions, 50).select("user_id", "event_id", "kind")
+    return kpi.recent_events(d.interactions).select("user_id", "event_id", "kind")
 
 
 def candidate_export(spark, sf_dir):
@@ -475,7 +475,7 @@ FROM best WHERE pos <= 2""",
     "recent_events": _with(
         duckdb_cte(["fx_interaction"]),
         select="""SELECT user_id, event_id, kind FROM fx_interaction
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50""",
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 500""",
     ),
     "candidate_export": _with(
         _CART_CTES, duckdb_cte(["fx_merchant"]), _OWNED, at_merchant(False), EVAL, RANKED,

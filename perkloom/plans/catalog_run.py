@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from perkloom.functions import fixed_values as V
@@ -18,6 +18,7 @@ class Run:
     queue: DataFrame
     quarantine: DataFrame
     outcomes: DataFrame  # what ``ingest.run_report`` counts
+    observed: dict[str, Observation]  # figures of the stages, taken while they were written
 
 
 def ingest_offers(
@@ -28,32 +29,46 @@ def ingest_offers(
     now: Column,
     threshold: float = V.MIN_CONFIDENCE,
     order: str = "line_no",
+    calls: DataFrame | None = None,
 ) -> Run:
     """Validate, identify, gate and merge.
 
     Offers a human approved with these very terms skip the gate and only refresh
-    their date; everything else is published or queued by confidence.
+    their date; everything else is published or queued by confidence. ``calls``: what reading the
+    pages took, a row per page (program_id, input_tokens, output_tokens); it goes into the report.
     """
     valid, quarantine = ingest.split_valid(extracted)
-    # Used by several outputs each: written where a stage ends, not planned again.
-    rows = written(ingest.to_benefits(valid, merchants, now), "rows")
+    observed = {name: Observation(name) for name in ("extracted", "to_gate", "published")}
+    count = F.count(F.lit(1)).alias("rows")
+    # Used by several outputs each: written where a stage ends, not planned again. What is
+    # written is counted on its way.
+    rows = written(
+        ingest.to_benefits(valid, merchants, now).observe(
+            observed["extracted"], count, F.sum("confidence_score").alias("confidence")), "rows",
+    )
     stored = written(stored, "stored")
     approved, to_gate = ingest.split_approved(rows, stored)
-    to_gate = written(to_gate, "to-gate")
+    to_gate = written(to_gate.observe(observed["to_gate"], count), "to-gate")
     sure, unsure = ingest.gate(to_gate, threshold)
-    benefits = written(ingest.merge_benefits(stored, approved.unionByName(sure), order), "benefits")
+    benefits = written(
+        ingest.merge_benefits(stored, approved.unionByName(sure), order).observe(observed["published"], count), "benefits"
+    )
+    tokens = ("input_tokens", "output_tokens")
     named = lambda df, kind: df.select(
         "program_id", F.lit(kind).alias("kind"),
-        F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
+        *[(F.col(t) if kind == "scraped" else F.lit(0)).cast("bigint").alias(t) for t in tokens],
     )
     outcomes = (
         named(rows, "extracted").unionByName(named(approved, "published")).unionByName(named(sure, "published"))
         .unionByName(named(unsure, "queued")).unionByName(named(quarantine, "failed"))
     )
+    if calls is not None:
+        outcomes = outcomes.unionByName(named(calls, "scraped"))
     reviewed = unsure.withColumnRenamed("confidence_reason", "reason")
     return Run(
         benefits=benefits,
         queue=ingest.merge_queue(queue, reviewed, to_gate, benefits, order),
         quarantine=quarantine,
         outcomes=outcomes,
+        observed=observed,
     )

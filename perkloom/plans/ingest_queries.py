@@ -122,15 +122,20 @@ def _ingest(d: Domain):
     rows = written(_rows(d), "rows")
     stored = _stored(d, rows).drop("line_no", "confidence_reason")
     queue = ingest.last_per(rows.where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
+    # A page is read in one call; what that takes goes by its length.
+    calls = d.table("documents").select(
+        F.col("source").alias("program_id"), F.expr("n_chars div 4 + 200").alias("input_tokens"),
+        F.expr("n_chars % 90 + 10").alias("output_tokens"),
+    )
     return ingest_offers(
         d.extracted, d.merchants, stored,
-        queue.withColumnRenamed("confidence_reason", "reason"), _now(),
+        queue.withColumnRenamed("confidence_reason", "reason"), _now(), calls=calls,
     )
 
 
 def ingest_report(spark, sf_dir):
-    """What a run did with the offers of each program."""
-    return ingest.run_report(_ingest(Domain(spark, sf_dir)).outcomes).drop("scraped", "input_tokens", "output_tokens")
+    """What a run did with the offers of each program, and what reading them took."""
+    return ingest.run_report(_ingest(Domain(spark, sf_dir)).outcomes)
 
 
 def catalog_run(spark, sf_dir):
@@ -488,10 +493,13 @@ gated AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.flag AND
   WHERE NOT (type IN ('percent', 'cashback') AND value > 100) AND confidence_score <= 1
     AND raw_text_summary <> ''),
 kinds AS (SELECT r.program_id, CASE WHEN g.line_no IS NULL THEN 'failed' WHEN outcome = 'review' THEN 'queued'
-    ELSE 'published' END AS kind FROM rows r LEFT JOIN gated g USING (line_no))""",
-        select="""SELECT program_id, count(*) FILTER (kind <> 'failed') AS extracted,
+    ELSE 'published' END AS kind, 0 AS tin, 0 AS tout FROM rows r LEFT JOIN gated g USING (line_no)
+  UNION ALL SELECT source, 'scraped', n_chars // 4 + 200, n_chars % 90 + 10 FROM documents)""",
+        select="""SELECT program_id, count(*) FILTER (kind = 'scraped') AS scraped,
+  count(*) FILTER (kind IN ('published', 'queued')) AS extracted,
   count(*) FILTER (kind = 'published') AS published, count(*) FILTER (kind = 'queued') AS queued,
-  count(*) FILTER (kind = 'failed') AS failed FROM kinds GROUP BY ROLLUP (program_id)""",
+  count(*) FILTER (kind = 'failed') AS failed, CAST(sum(tin) AS BIGINT) AS input_tokens,
+  CAST(sum(tout) AS BIGINT) AS output_tokens FROM kinds GROUP BY ROLLUP (program_id)""",
     ),
     "catalog_run": _with(
         _ROWS,

@@ -65,13 +65,13 @@ def benefits_at_venue(spark, sf_dir):
 def venue_counts(spark, sf_dir):
     d = Domain(spark, sf_dir)
     usable = rank.candidates(d.contexts, d.owned, d.benefits, muted=d.muted)
-    return geo.venue_counts(usable, _at_venues(d), ["user_id"])
+    return geo.venue_counts(usable, geo.venue_merchants(d.venues, d.venue_members, d.branches), ["user_id"])
 
 
 def nearest_fences(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return nearest.nearest_fences(
-        d.positions, d.venues, d.merchants, d.branches, "pos_id", limit=5
+        d.positions, d.venues, d.merchants, d.branches, "pos_id"
     ).select("pos_id", "fence_id", "radius_m", _m(), "position")
 
 
@@ -393,7 +393,7 @@ FROM vm JOIN fx_benefit b USING (merchant_id)""",
 FROM ev JOIN vm USING (merchant_id) WHERE status <> 'blocked' GROUP BY ALL""",
     ),
     "nearest_fences": _with(
-        _GEO, _SITES, _nearest("fx_position", "pos_id", 5),
+        _GEO, _SITES, _nearest("fx_position", "pos_id", 20),
         select=f"SELECT pos_id, fence_id, radius_m, {_D}, position FROM nf",
     ),
     "fences_to_monitor": _with(

@@ -14,7 +14,7 @@ from perkloom.plans.domain import Domain
 from perkloom.plans.fixture_views import duckdb_cte
 from perkloom.schemas import BENEFIT
 from perkloom.session import ensure_checkpoint_dir, keep_track
-from perkloom.sources import catalog, collected, store
+from perkloom.sources import catalog, collected, commits, store
 
 
 def _folder(spark) -> str:
@@ -110,28 +110,27 @@ def collected_lines(spark, sf_dir):
         .when(F.col("line_no") % 11 == 7, F.lit('{"offer_url":"https://offers.example/x"}'))
         .otherwise(line)
     )
-    # One file, so that its lines have an order.
-    records.orderBy("line_no").coalesce(1).select(broken.alias("value")).write.text(f"{folder}/deals")
-    got = collected.read_collected(spark, f"{folder}/deals")
+    # Sorted parts: their numbers and the places in them give the order of the lines.
+    records.orderBy("line_no").select(broken.alias("value")).write.text(f"{folder}/deals")
+    got = collected.read_collected(spark, f"{folder}/deals", parts=True)
     return got.select("offer_url", "content_hash", F.length("terms_text").alias("chars"))
 
 
 def extraction_files(spark, sf_dir):
-    """Extraction results of each document source, as one JSON object a file part."""
+    """Extraction results of each document source, as JSON lines of up to fifty offers."""
     d, folder = Domain(spark, sf_dir), _folder(spark)
     offers = d.extracted.select(
         "program_id", "line_no",
         F.struct("merchant_name", "type", "value", "source_url", "valid_from", "valid_until",
                  "confidence_score", "confidence_reason", "conditions").alias("offer"),
     )
-    results = offers.groupBy("program_id").agg(
+    results = offers.groupBy("program_id", F.expr("line_no div 50").alias("slice")).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "offer"))).alias("rows")
     ).select(
         F.col("program_id").alias("page_summary"), F.transform("rows", lambda r: r["offer"]).alias("benefits")
     )
-    results.repartition(results.count() or 1, "page_summary").write.option(
-        "maxRecordsPerFile", 1).json(f"{folder}/results")
-    got = collected.read_extraction(spark, f"{folder}/results")
+    results.write.json(f"{folder}/results")
+    got = collected.read_extraction(spark, f"{folder}/results", lines=True)
     return got.groupBy("merchant_name", "type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"),
         F.count("valid_until").alias("dated"),
@@ -160,6 +159,26 @@ def table_versions(spark, sf_dir):
     return store.read_table(spark, root, BENEFIT).select("id", "value")
 
 
+def joint_commit(spark, sf_dir):
+    """Catalog and queue committed together; a writer who read an older commit changes nothing."""
+    d, root = Domain(spark, sf_dir), f"{_folder(spark)}/catalog"
+    rows = d.benefits.select("id", "value", "seq")
+    start = commits.latest(spark, root)
+    first = commits.commit(spark, root, start, {"benefits": rows.where("seq % 2 = 0"), "queue": rows.where("seq % 2 = 1")})
+    live, left = (commits.read(spark, root, first, t, rows.schema) for t in ("benefits", "queue"))
+    good = F.col("seq") % 3 == 0
+    second = commits.commit(spark, root, first, {"benefits": live.unionByName(left.where(good)), "queue": left.where(~good)})
+    try:
+        commits.commit(spark, root, first, {"queue": left.limit(0)})
+    except commits.ConflictError:
+        last = commits.latest(spark, root)
+        if last != second:
+            raise AssertionError("a refused commit was seen") from None
+        named = [commits.read(spark, root, last, t, rows.schema).withColumn("place", F.lit(t)) for t in ("benefits", "queue")]
+        return named[0].unionByName(named[1]).select("id", "value", "place")
+    raise AssertionError("a commit from an old one was accepted")
+
+
 def list_overwrite(spark, sf_dir):
     """Lists crawled twice; a crawl cut short and an empty one replace nothing."""
     d, root = Domain(spark, sf_dir), f"{_folder(spark)}/lists"
@@ -196,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_load, catalog_faults, date_faults, collected_lines, extraction_files, program_sources,
-        table_versions, list_overwrite, review_file, event_log,
+        table_versions, joint_commit, list_overwrite, review_file, event_log,
     )
 }
 
@@ -251,6 +270,11 @@ FROM col WHERE line_no % 11 NOT IN (3, 5, 7) AND terms_text <> '' GROUP BY ALL""
         duckdb_cte(["fx_benefit"]),
         select="SELECT id, CASE WHEN seq % 2 = 0 THEN value + 1 ELSE value END AS value FROM fx_benefit",
     ),
+    "joint_commit": _with(
+        duckdb_cte(["fx_benefit"]),
+        select="""SELECT id, value, CASE WHEN seq % 2 = 0 OR seq % 3 = 0 THEN 'benefits' ELSE 'queue' END AS place
+FROM fx_benefit""",
+    ),
     "list_overwrite": """WITH r AS (SELECT source AS list, CAST(regexp_extract(source, '[0-9]+$') AS INT) AS n,
   'https://offers.example/' || CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END AS VARCHAR)
     AS offer_url, doc_id AS line_no FROM documents),

@@ -13,22 +13,26 @@ from perkloom.schemas import COLLECTED, EXTRACTION_RESULT
 _BAD = "_bad"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ``line_no``, which orders them within a file, and ``list``, the
+def read_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """Lines with ``line_no``, which orders them within a list, and ``list``, the
     file's name without its ending.
 
     Files are split as usual: the split's offset and the position in the split
-    together give the order, so no file is read whole by one task.
+    together give the order, so no file is read whole by one task. With ``parts`` a list is a
+    folder of numbered parts, as a sorted table is written, and the part comes first in the order.
     """
     meta = F.col("_metadata")
+    part = F.regexp_extract(meta.file_name, r"^part-(\d+)", 1).cast("int")
+    folder = F.regexp_extract(meta.file_path, "([^/]+)/[^/]+$", 1)
     return (
         spark.read.text(path)
+        .withColumn("_part", part if parts else F.lit(0))
         .withColumn("_start", meta.file_block_start)
-        .withColumn("list", F.regexp_replace(meta.file_name, r"\.[^.]*$", ""))
+        .withColumn("list", folder if parts else F.regexp_replace(meta.file_name, r"\.[^.]*$", ""))
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         # Offsets and row positions both grow along the file.
-        .withColumn("line_no", F.struct("_start", "_row"))
-        .drop("_start", "_row")
+        .withColumn("line_no", F.struct("_part", "_start", "_row"))
+        .drop("_part", "_start", "_row")
     )
 
 
@@ -48,9 +52,9 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_collected(spark: SparkSession, path: str) -> DataFrame:
-    """One record per address of a file: the last line wins."""
-    return last_per(parse_records(read_lines(spark, path)), ["list", "offer_url"], "line_no")
+def read_collected(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """One record per address of a list: the last line wins."""
+    return last_per(parse_records(read_lines(spark, path, parts)), ["list", "offer_url"], "line_no")
 
 
 def dedupe_collected(records: DataFrame, order: str = "line_no") -> DataFrame:
@@ -99,9 +103,10 @@ def from_listing(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_extraction(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction result files, one row per offer."""
-    files = spark.read.schema(EXTRACTION_RESULT).option("mode", "FAILFAST").json(path, multiLine=True)
+def read_extraction(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Extraction results, one row per offer: a result a file, or with ``lines`` a result a line,
+    where files are split."""
+    files = spark.read.schema(EXTRACTION_RESULT).option("mode", "FAILFAST").json(path, multiLine=not lines)
     return files.select(
         F.col("_metadata.file_name").alias("file"), F.posexplode("benefits").alias("seq", "b")
     ).select("file", "seq", "b.*")

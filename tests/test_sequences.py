@@ -140,22 +140,62 @@ def test_null_keys_do_not_touch_the_others(spark):
     assert {user for user, _ in got.values()} == {None, 1}
 
 
-def test_a_steady_mover_is_walked_at_most_twice(spark, monkeypatch):
-    """Every accepted origin depends on the one before, through all pieces."""
-    rows = [(i, 1, START + timedelta(minutes=i), 32.0 + i * 0.019, 34.8) for i in range(2_000)]
+def _jobs_of(spark, monkeypatch, rows, pieces):
+    """Which rows re-pick, and how many readings that took."""
     df = spark.createDataFrame(rows, "pos_id bigint, user_id bigint, ts timestamp, lat double, lng double")
-    walked = spark.sparkContext.accumulator(0)
+    readings = []
+    real = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: readings.append(1) or real(self, *a, **k))
+    got = {r.pos_id: r.refresh for r in fences.fence_refreshes(df, pieces).collect()}
+    monkeypatch.undo()
+    out, _ = refresh_step(df.toPandas().sort_values(["ts", "pos_id"]), None)
+    assert got == dict(enumerate(out))
+    return sum(out), len(readings)
 
-    def counted(rows, state):
-        walked.add(len(rows))
-        return refresh_step(rows, state)
 
-    monkeypatch.setattr(fences, "refresh_step", counted)
-    got = {r.pos_id: r.refresh for r in fences.fence_refreshes(df, 16).collect()}
-    out, _ = refresh_step(df.toPandas().sort_values("ts"), None)
-    assert got == dict(enumerate(out))
-    # once from a fresh start, at most once more, and once for the answer
-    assert walked.value <= 3 * len(rows) + 16 * 2_000
+def test_a_steady_mover_is_read_twice(spark, monkeypatch):
+    """Every accepted origin depends on the one before, through all pieces."""
+    rows = [(i, 1, START + timedelta(minutes=i), 32.0 + i * 0.019, 34.8) for i in range(1_500)]
+    accepted, readings = _jobs_of(spark, monkeypatch, rows, 64)
+    assert accepted > 300 and readings == 2
+
+
+def test_someone_who_stays_is_read_twice(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, 1, START + timedelta(minutes=i), 32.0 + rnd.uniform(-1e-3, 1e-3), 34.8) for i in range(1_500)]
+    accepted, readings = _jobs_of(spark, monkeypatch, rows, 64)
+    assert accepted == 1 and readings == 2
+
+
+def test_someone_who_wanders_is_walked_where_summaries_cannot_tell(spark, monkeypatch):
+    rnd = random.Random(10)
+    rows = [(i, 1, START + timedelta(minutes=i), 32.0 + rnd.uniform(-0.04, 0.04), 34.8) for i in range(600)]
+    accepted, readings = _jobs_of(spark, monkeypatch, rows, 8)
+    assert accepted > 20 and readings <= 2 + 8
+
+
+def test_summaries_of_moves_compose():
+    import pandas as pd
+
+    for seed in range(12):
+        rnd = random.Random(seed)
+        lat, lng, rows = 32.0, 34.8, []
+        for _ in range(500):
+            far = rnd.choice([1e-4, 1e-3, 0.02, 0.02, 0.3])
+            lat, lng = lat + rnd.uniform(-far, far), lng + rnd.uniform(-far, far)
+            rows.append((lat, lng))
+        pdf = pd.DataFrame(rows, columns=["lat", "lng"])
+        cuts = [0, *sorted(rnd.sample(range(1, 500), 15)), 500]
+        state, told = None, 0
+        for a, b in zip(cuts, cuts[1:]):
+            made = fences.RefreshSummary()
+            made.add(pdf.iloc[a:b])
+            got = fences.RefreshSummary.follow(made.done(), state)
+            _, state = refresh_step(pdf.iloc[a:b], state)
+            if got is not fences.UNKNOWN:
+                told += 1
+                assert list(got) == list(state)
+        assert told > 5
 
 
 def test_a_stream_without_input_is_an_empty_table(spark, tmp_path):
