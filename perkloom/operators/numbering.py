@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from perkloom.session import ensure_checkpoint_dir
 
+PIECE_ROWS = 1_000_000
+
 
 def row_numbers(
     df: DataFrame, keys: list[str], order: list[str], name: str = "n", pieces: int | None = None
@@ -14,11 +16,12 @@ def row_numbers(
     """Adds 1-based ``name`` within ``keys`` along ``order``.
 
     Rows are range-partitioned on (keys, order): a long group spans consecutive
-    pieces, is numbered inside each, and shifted by the sizes of the pieces before.
+    pieces, is numbered inside each, and shifted by the sizes of the pieces before. There is a
+    piece for every ``PIECE_ROWS`` rows at least.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIECE_ROWS))
     # Written out once: piece numbers must be the same in both uses below.
     cut = (
         df.repartitionByRange(n, *keys, *order)

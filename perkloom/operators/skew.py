@@ -114,8 +114,8 @@ def skew_join(
     return salted_left.join(salted_right, [*on, "_row", "_col"]).drop("_row", "_col")
 
 
-# Rows without a key match nothing; they only need to be apart from each other.
-NULL_WAYS = 1024
+# Rows without a key match nothing; they only need to be apart from each other, each on its own.
+NULL_WAYS = 2**31 - 1
 
 
 def skew_lookup(
