@@ -1,11 +1,11 @@
 """Document fingerprints by winnowing.
 
-A text is read as units of up to four code points without white space, counted from the
-start of each run of such characters. Every k units in a row have a polynomial hash; from
-every w hashes in a row the smallest is kept, the rightmost on ties, with its position. Two
-texts that share a passage of k + w - 1 units, from the start of a run on, share a kept hash.
+A text is read as its code points without white space. Every k of them in a row have a
+polynomial hash; from every w hashes in a row the smallest is kept, the rightmost on ties, with
+its position. Two texts that share a passage of k + w - 1 code points, wherever it stands in
+them, share a kept hash.
 
-Hashes of k units are built from two of k/2, which gives all of them in log2(k) passes over
+Hashes of k code points are built from two of k/2, which gives all of them in log2(k) passes over
 the array, and so are the minima of w. Main path: DataFrame functions only.
 """
 
@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 from perkloom.llm.common import documents, whole_text
 
-UNIT = r"[^\x20\x09-\x0D]{1,4}"
-K, W = 8, 8  # powers of two
+SPACES = " \t\n\x0b\x0c\r"
+K, W = 16, 16  # powers of two
 PRIME = 2_147_483_647
 BASE = 1_000_003
 POSITIONS = 4_294_967_296
 
 
+def bare(text: Column) -> Column:
+    """A text without its white space."""
+    return F.translate(text, SPACES, "")
+
+
 def _pairs(column: str, step: int, combine: str) -> Column:
     """Each element with the one ``step`` further on."""
     return F.expr(
@@ -40,12 +45,12 @@ def _padded(column: str, least: int, value: str) -> Column:
 
 
 def kept_hashes(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
-    """Adds ``out``: the kept (hash, position) of ``text`` as hash * 2^32 + (2^32 - 1 - position),
-    in the order of the windows. A text of fewer than k units is one hash of all of them; one
-    without units keeps none."""
+    """Adds ``out``: the kept (hash, position) of ``text``, which has no white space, as
+    hash * 2^32 + (2^32 - 1 - position), in the order of the windows. A text of fewer than k code
+    points is one hash of all of them; an empty one keeps none."""
     df = df.withColumn(out, F.expr(
-        f"transform(regexp_extract_all({text}, '{UNIT.replace(chr(92), chr(92) * 2)}', 0), "
-        f"u -> pmod(xxhash64(u), {PRIME}L))"
+        f"if({text} = '', cast(array() as array<bigint>), "
+        f"transform(split({text}, ''), c -> pmod(xxhash64(c), {PRIME}L)))"
     ))
     df = df.withColumn(out, _padded(out, k, "0L"))
     step = 1
@@ -85,12 +90,49 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
 
 
+def with_fingerprints(texts: DataFrame) -> DataFrame:
+    """Adds ``bare``, ``kept``, ``hashes`` and ``fingerprint`` of the whole ``text``."""
+    return kept_hashes(texts.withColumn("bare", bare(F.col("text"))), "bare", "kept").withColumn(
+        "hashes", hash_set("kept")
+    ).withColumn("fingerprint", fingerprint("kept"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, kept, hashes, fingerprint) of every whole text; null is empty."""
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return kept_hashes(texts, "text", "kept").withColumn("hashes", hash_set("kept")).withColumn(
-        "fingerprint", fingerprint("kept")
-    )
+    """(doc_id, text, bare, kept, hashes, fingerprint) of every whole text; null is empty."""
+    return with_fingerprints(docs.select("doc_id", whole_text().alias("text")))
+
+
+def stitched(rows: DataFrame, whole: str, cut: str, kept: str, next_kept: str, out: str,
+             k: int = K, w: int = W) -> DataFrame:
+    """Adds ``out``: what ``kept_hashes`` keeps of ``whole``, whose first ``cut`` code points begin
+    one text and whose rest begins another, given what is kept of those two.
+
+    A hash is kept by a window that holds it. Where all windows that hold a hash lie in one of
+    the two texts, the decision is taken over from there; only the windows across the seam and
+    at the end are read again, some k + 2w code points each."""
+    at = f"({POSITIONS - 1} - (x % {POSITIONS}))"
+    n = f"length({whole})"
+    before = f"({cut} - {k + w - 1})"  # hashes up to here have all their windows in the first text
+    after = f"({cut} + {w - 1})"  # from here on, in the second
+    upto = f"({n} - {k + w - 1})"
+    second = f"({upto} >= {after})"  # whether any hash has all its windows in the second
+    seam = f"greatest(0, {before} - {w - 2})"
+    end = f"({upto} - {w - 2})"
+    rows = rows.withColumn("_seam", F.expr(
+        f"substring({whole}, {seam} + 1, if({second}, {cut} + {2 * w + k - 3}, {n}) - {seam})"
+    )).withColumn("_end", F.expr(f"if({second}, substring({whole}, {end} + 1), '')"))
+    rows = kept_hashes(kept_hashes(rows, "_seam", "_seam_kept", k, w), "_end", "_end_kept", k, w)
+
+    def moved(column: str, by: str) -> str:
+        return f"transform({column}, x -> x - {by})"
+
+    none = "cast(array() as array<bigint>)"
+    return rows.withColumn(out, F.expr(
+        f"concat(filter({kept}, x -> {at} <= {before}), "
+        f"filter({moved('_seam_kept', seam)}, x -> {at} > {before} and (not {second} or {at} < {after})), "
+        f"if({second}, filter({moved(next_kept, cut)}, x -> {at} between {after} and {upto}), {none}), "
+        f"if({second}, filter({moved('_end_kept', end)}, x -> {at} > {upto}), {none}))"
+    )).drop("_seam", "_end", "_seam_kept", "_end_kept")
 
 
 class Ranges:
@@ -133,24 +175,44 @@ class Ranges:
         return F.element_at(F.lit(self.before), F.col(place) + 1)
 
 
-def with_next(rows: DataFrame, ranges: Ranges, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, ranges: Ranges, columns: list[str], add=lambda df: df) -> DataFrame:
     """Adds struct ``next`` with ``columns`` of the row after, by descending doc_id (null ids
     last), then text; the last row is followed by the first.
 
     One window per range; the row that starts a range is also laid at the end of the range
-    before, so texts are shuffled once."""
+    before, so texts are shuffled once. ``add`` adds columns once rows are at their place, so
+    that those are not shuffled."""
     ranged = rows.withColumn("_range", ranges.place())
     own = F.struct(F.col("_range").alias("at"), F.lit(False).alias("guest"))
     ahead = F.struct(ranges.range_before("_range").alias("at"), F.lit(True).alias("guest"))
     laid = ranged.withColumn(
         "_seat", F.explode(F.when(ranges.start_here("_range"), F.array(own, ahead)).otherwise(F.array(own)))
-    )
-    inside = Window.partitionBy("_seat.at").orderBy(
-        "_seat.guest", F.col("doc_id").desc_nulls_last(), "text"
-    )
+    ).select(*rows.columns, F.col("_seat.at").alias("_at"), F.col("_seat.guest").alias("_guest"))
+    inside = Window.partitionBy("_at").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "text")
     return (
-        laid.withColumn("next", F.lead(F.struct(*columns)).over(inside))
-        .where(~F.col("_seat.guest")).drop("_range", "_seat")
+        add(laid.repartition("_at")).withColumn("next", F.lead(F.struct(*columns)).over(inside))
+        .where(~F.col("_guest")).drop("_at", "_guest")
+    )
+
+
+def edited(docs: DataFrame) -> DataFrame:
+    """Every whole text with its edited text, what is kept of both and the next one's hashes.
+
+    What is kept of the edited text is put together from its two texts (``stitched``)."""
+    ranges = Ranges(docs.select("doc_id"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    linked = with_next(texts, ranges, ["text", "kept", "hashes"], with_fingerprints)
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    mine = F.substring("text", F.lit(1), n - third)
+    both = linked.select(
+        "doc_id", "kept", "hashes", "fingerprint", n.cast("bigint").alias("n_chars"),
+        F.col("next.kept").alias("next_kept"), F.col("next.hashes").alias("next_hashes"),
+        F.concat(mine, F.substring("next.text", F.lit(1), third)).alias("edited"),
+        F.length(bare(mine)).alias("cut"),
+    ).withColumn("edited_bare", bare(F.col("edited")))
+    return stitched(both, "edited_bare", "cut", "kept", "next_kept", "edited_kept").withColumn(
+        "edited_hashes", hash_set("edited_kept")
     )
 
 
@@ -162,29 +224,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     the next smaller doc_id, and for the last the first. Returns one row per input row:
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited``, ``near_next`` and ``n_kept`` (hashes kept). Null
-    texts are empty; texts without units have an empty fingerprint, and two of those are
-    alike (1.0). Rows with null or equal ids follow each other by text. An empty table gives
+    texts are empty; texts without anything but white space have an empty fingerprint, and two of
+    those are alike (1.0). Very long texts are read whole, as arrays of their code points. Rows
+    with null or equal ids follow each other by text. An empty table gives
     an empty result; other columns, also of the same names, are not read."""
-    ranges = Ranges(docs.select("doc_id"))
-    rows = fingerprints(docs.select("doc_id", "text")).select(
-        "doc_id", "text", "hashes", "fingerprint", F.size("kept").alias("n_kept")
-    )
-    linked = with_next(rows, ranges, ["text", "hashes"])
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = linked.select(
-        "doc_id", "hashes", "fingerprint", F.col("next.hashes").alias("next_hashes"),
-        "n_kept", n.cast("bigint").alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third))
-        .alias("edited"),
-    )
-    edited = kept_hashes(edited, "edited", "edited_kept").withColumn("edited_hashes", hash_set("edited_kept"))
-    return edited.select(
+    return edited(docs).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", fingerprint("edited_kept").alias("edited_fingerprint"),
         likeness("hashes", "edited_hashes").alias("near_edited"),
         likeness("hashes", "next_hashes").alias("near_next"),
-        "n_kept",
+        F.size("kept").alias("n_kept"),
     )
 
 

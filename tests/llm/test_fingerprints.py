@@ -14,9 +14,8 @@ from llm_helpers import rows_by_id
 from perkloom.llm import components, simhash, winnowing
 
 
-def plain_winnow(spark, text, k=winnowing.K, w=winnowing.W):
-    units = re.findall(winnowing.UNIT, text)
-    digits = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
+def plain_winnow(text, k=winnowing.K, w=winnowing.W):
+    digits = [xxhash.xxh64_intdigest(c.encode(), 42) for c in re.sub("[\x20\x09-\x0d]", "", text)]
     digits = [(d - 2**64 if d >= 2**63 else d) % winnowing.PRIME for d in digits]
     if not digits:
         return []
@@ -37,21 +36,51 @@ def plain_winnow(spark, text, k=winnowing.K, w=winnowing.W):
     return kept
 
 
-def test_kept_hashes_are_window_minima_rightmost_on_ties(spark, make):
-    texts = ["", "abc", "a b c d e f g", "aaaa " * 60, "the quick brown fox jumps over the lazy dog " * 5, "é漢 " * 30]
-    got = winnowing.kept_hashes(make(texts).select("doc_id", "text"), "text", "kept").withColumn(
-        "at", winnowing.positions("kept")
-    )
+def unpacked(kept):
+    return [(x // winnowing.POSITIONS, winnowing.POSITIONS - 1 - x % winnowing.POSITIONS) for x in kept]
+
+
+def test_kept_hashes_are_window_minima_rightmost_on_ties(make):
+    texts = ["", " \t\n", "abc", "a b c d e f g", "aaaa " * 60, "the quick brown fox jumps over the lazy dog " * 5,
+             "é漢😀 " * 30, "x" * 15, "x" * 16, "ab" * 16]
+    got = winnowing.fingerprints(make(texts)).withColumn("at", winnowing.positions("kept"))
     for r in got.collect():
-        hashes = [x // winnowing.POSITIONS for x in r["kept"]]
-        assert list(zip(hashes, r["at"], strict=True)) == plain_winnow(spark, r["text"])
+        want = plain_winnow(r["text"])
+        assert unpacked(r["kept"]) == want and r["at"] == [p for _, p in want]
+
+
+def test_edited_texts_keep_what_their_whole_text_keeps(make):
+    random = np.random.default_rng(3)
+    lengths = [0, 1, 2, 5, 14, 15, 16, 17, 29, 30, 31, 32, 33, 44, 45, 46, 47, 48, 60, 61, 62, 63, 64, 90, 150, 400]
+    texts = []
+    for letters in ("ab ", "abcdefghij é漢😀", "a"):
+        for n in random.permutation(lengths * 3):
+            texts.append("".join(random.choice(list(letters), int(n))))
+    rows = winnowing.edited(make(texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert unpacked(r["kept"]) == plain_winnow(texts[r["doc_id"]])
+        assert unpacked(r["edited_kept"]) == plain_winnow(r["edited"])
+
+
+def test_one_character_more_leaves_unbroken_runs_alike(make):
+    random = np.random.default_rng(5)
+    chinese = "".join(chr(0x4E00 + int(i)) for i in random.integers(0, 20_000, 4_000))
+    url = "https://host.example/" + "".join(random.choice(list("abcdef0123456789-/"), 4_000))
+    spaced = " ".join("".join(random.choice(list("abcdefgh"), 6)) for _ in range(600))
+    texts = [t for whole in (chinese, url, spaced) for t in (whole[:10] + "x" + whole[10:], whole)]
+    near = {r["doc_id"]: r["near_next"] for r in winnowing.edited_likeness(make(texts)).collect()}
+    assert near[1] > 0.9 and near[3] > 0.9 and near[5] > 0.9
+    assert near[2] < 0.1 and near[4] < 0.1
 
 
 def test_shared_passage_is_found(make):
-    passage = " ".join(f"pass{i}" for i in range(winnowing.K + winnowing.W))  # two units a word
-    docs = make([f"alpha beta {passage} gamma", f"other words before {passage} and after"])
-    a, b = (set(r["hashes"]) for r in winnowing.fingerprints(docs).collect())
-    assert a & b
+    random = np.random.default_rng(7)
+    for _ in range(5):
+        passage = "".join(random.choice(list("abcdefgh"), winnowing.K + winnowing.W - 1))
+        docs = make([f"alphabeta{passage}gamma", f"other words before {passage[:9]} {passage[9:]}andafter"])
+        a, b = (set(r["hashes"]) for r in winnowing.fingerprints(docs).collect())
+        assert a & b
 
 
 def plain_op1(docs):
