@@ -1,12 +1,12 @@
 """Document fingerprints by winnowing.
 
 A text is read as its code points without white space. Every k of them in a row have a
-polynomial hash; from every w hashes in a row the smallest is kept, the rightmost on ties, with
+hash; from every w hashes in a row the smallest is kept, the rightmost on ties, with
 its position. Two texts that share a passage of k + w - 1 code points, wherever it stands in
 them, share a kept hash.
 
-Hashes of k code points are built from two of k/2, which gives all of them in log2(k) passes over
-the array, and so are the minima of w. Main path: DataFrame functions only.
+Code points are laid out four bytes each, so the k-gram at any place is a slice of bytes: all
+hashes of a text take one pass, and all minima two. Main path: DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from perkloom.llm.common import documents, whole_text
 
 SPACES = " \t\n\x0b\x0c\r"
-K, W = 16, 16  # powers of two
+K, W = 16, 16  # W is a power of four
 PRIME = 2_147_483_647
-BASE = 1_000_003
 POSITIONS = 4_294_967_296
 
 
@@ -28,44 +27,28 @@ def bare(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def _pairs(column: str, step: int, combine: str) -> Column:
-    """Each element with the one ``step`` further on."""
-    return F.expr(
-        f"zip_with(slice({column}, 1, greatest(size({column}) - {step}, 0)), "
-        f"slice({column}, {step + 1}, size({column})), {combine})"
-    )
-
-
-def _padded(column: str, least: int, value: str) -> Column:
-    """At least ``least`` elements, unless there are none."""
-    return F.expr(
-        f"if(size({column}) between 1 and {least - 1}, "
-        f"concat({column}, array_repeat({value}, {least} - size({column}))), {column})"
-    )
-
-
 def kept_hashes(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Adds ``out``: the kept (hash, position) of ``text``, which has no white space, as
     hash * 2^32 + (2^32 - 1 - position), in the order of the windows. A text of fewer than k code
     points is one hash of all of them; an empty one keeps none."""
-    df = df.withColumn(out, F.expr(
-        f"if({text} = '', cast(array() as array<bigint>), "
-        f"transform(split({text}, ''), c -> pmod(xxhash64(c), {PRIME}L)))"
+    # The bytes are a variable of the outer lambda: read from the row they would be copied each time.
+    df = df.withColumn("_grams", F.expr(
+        f"if({text} = '', cast(array() as array<bigint>), transform(array(encode({text}, 'UTF-32')), p -> "
+        f"transform(sequence(0, greatest(cast(octet_length(p) div 4 as int) - {k}, 0)), i -> "
+        f"pmod(xxhash64(substring(p, 4 * i + 1, {4 * k})), {PRIME}L) * {POSITIONS}L "
+        f"+ ({POSITIONS - 1}L - i)))[0])"
     ))
-    df = df.withColumn(out, _padded(out, k, "0L"))
-    step = 1
-    while step < k:
-        shift = pow(BASE, step, PRIME)
-        df = df.withColumn(out, _pairs(out, step, f"(a, b) -> (a * {shift}L + b) % {PRIME}L"))
-        step *= 2
     df = df.withColumn(out, F.expr(
-        f"transform({out}, (h, i) -> h * {POSITIONS}L + ({POSITIONS - 1}L - i))"
-    ))
-    df = df.withColumn(out, _padded(out, w, "cast(null as bigint)"))
+        f"if(size(_grams) between 1 and {w - 1}, "
+        f"concat(_grams, array_repeat(cast(null as bigint), {w} - size(_grams))), _grams)"
+    )).drop("_grams")
     step = 1
-    while step < w:
-        df = df.withColumn(out, _pairs(out, step, "(a, b) -> least(a, b)"))
-        step *= 2
+    while step < w:  # minima of four neighbours that are minima of a quarter of the window
+        df = df.withColumn(out, F.expr(
+            f"transform(slice({out}, 1, greatest(size({out}) - {3 * step}, 0)), (x, i) -> "
+            f"least(x, get({out}, i + {step}), get({out}, i + {2 * step}), get({out}, i + {3 * step})))"
+        ))
+        step *= 4
     return df.withColumn(out, F.array_distinct(out))
 
 
@@ -111,28 +94,27 @@ def stitched(rows: DataFrame, whole: str, cut: str, kept: str, next_kept: str, o
     the two texts, the decision is taken over from there; only the windows across the seam and
     at the end are read again, some k + 2w code points each."""
     at = f"({POSITIONS - 1} - (x % {POSITIONS}))"
-    n = f"length({whole})"
-    before = f"({cut} - {k + w - 1})"  # hashes up to here have all their windows in the first text
-    after = f"({cut} + {w - 1})"  # from here on, in the second
-    upto = f"({n} - {k + w - 1})"
-    second = f"({upto} >= {after})"  # whether any hash has all its windows in the second
-    seam = f"greatest(0, {before} - {w - 2})"
-    end = f"({upto} - {w - 2})"
-    rows = rows.withColumn("_seam", F.expr(
-        f"substring({whole}, {seam} + 1, if({second}, {cut} + {2 * w + k - 3}, {n}) - {seam})"
-    )).withColumn("_end", F.expr(f"if({second}, substring({whole}, {end} + 1), '')"))
+    # Hashes up to _before have all their windows in the first text; from _after to _upto, if
+    # there are any, in the second.
+    rows = rows.withColumn("_n", F.length(whole)).withColumns({
+        "_before": F.col(cut) - (k + w - 1), "_after": F.col(cut) + (w - 1), "_upto": F.col("_n") - (k + w - 1),
+    }).withColumns({
+        "_second": F.col("_upto") >= F.col("_after"),
+        "_from": F.greatest(F.lit(0), F.col("_before") - (w - 2)), "_end_from": F.col("_upto") - (w - 2),
+    })
+    rows = rows.withColumns({
+        "_seam": F.expr(f"substring({whole}, _from + 1, if(_second, {cut} + {2 * w + k - 3}, _n) - _from)"),
+        "_end": F.expr(f"if(_second, substring({whole}, _end_from + 1), '')"),
+    })
     rows = kept_hashes(kept_hashes(rows, "_seam", "_seam_kept", k, w), "_end", "_end_kept", k, w)
-
-    def moved(column: str, by: str) -> str:
-        return f"transform({column}, x -> x - {by})"
-
     none = "cast(array() as array<bigint>)"
     return rows.withColumn(out, F.expr(
-        f"concat(filter({kept}, x -> {at} <= {before}), "
-        f"filter({moved('_seam_kept', seam)}, x -> {at} > {before} and (not {second} or {at} < {after})), "
-        f"if({second}, filter({moved(next_kept, cut)}, x -> {at} between {after} and {upto}), {none}), "
-        f"if({second}, filter({moved('_end_kept', end)}, x -> {at} > {upto}), {none}))"
-    )).drop("_seam", "_end", "_seam_kept", "_end_kept")
+        f"concat(filter({kept}, x -> {at} <= _before), "
+        f"filter(transform(_seam_kept, x -> x - _from), x -> {at} > _before and (not _second or {at} < _after)), "
+        f"if(_second, filter(transform({next_kept}, x -> x - {cut}), x -> {at} between _after and _upto), {none}), "
+        f"if(_second, filter(transform(_end_kept, x -> x - _end_from), x -> {at} > _upto), {none}))"
+    )).drop("_n", "_before", "_after", "_upto", "_second", "_from", "_end_from",
+            "_seam", "_end", "_seam_kept", "_end_kept")
 
 
 class Ranges:

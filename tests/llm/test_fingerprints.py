@@ -15,17 +15,13 @@ from perkloom.llm import components, simhash, winnowing
 
 
 def plain_winnow(text, k=winnowing.K, w=winnowing.W):
-    digits = [xxhash.xxh64_intdigest(c.encode(), 42) for c in re.sub("[\x20\x09-\x0d]", "", text)]
-    digits = [(d - 2**64 if d >= 2**63 else d) % winnowing.PRIME for d in digits]
-    if not digits:
-        return []
-    padded = digits + [0] * (k - 1) if len(digits) < k else digits
+    points = re.sub("[\x20\x09-\x0d]", "", text)
     grams = []
-    for i in range(max(1, len(digits) - k + 1)):
-        h = 0
-        for d in padded[i : i + k]:
-            h = (h * winnowing.BASE + d) % winnowing.PRIME
-        grams.append(h)
+    for i in range(max(1, len(points) - k + 1) if points else 0):
+        h = xxhash.xxh64_intdigest(points[i : i + k].encode("utf-32-be"), 42)
+        grams.append((h - 2**64 if h >= 2**63 else h) % winnowing.PRIME)
+    if not grams:
+        return []
     kept = []
     for i in range(max(1, len(grams) - w + 1)):
         window = list(enumerate(grams))[i : i + w]
