@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from perkloom.functions import fixed_values as V
 from perkloom.functions import spherefn
 from perkloom.operators.skew import hot_splits, skew_join
+from perkloom.operators.spots import SPOTS, at_points, places_of, standing
 from perkloom.session import ensure_checkpoint_dir
 
 BASE_SIDE_M = 64.0
@@ -159,31 +160,33 @@ def nearest_fences(
 ) -> DataFrame:
     """The ``limit`` nearest fences per position: one per venue and one per
     merchant, at its nearest branch. Ties: venues first, then catalog order."""
-    known = _base(positions.where("lat IS NOT NULL AND lng IS NOT NULL"), "b")
+    stood = standing(positions, position_id)
+    known = _base(places_of(stood), "b")
     cells = known.select("bx", "by", "bz").distinct()
     short_list = candidate_sites(
         cells, _base(fence_sites(venues, merchants, branches), "b"), limit
     )
-    placed = known.select(position_id, "lat", "lng", _cube("b", 0).alias("cell"))
+    placed = known.select(SPOTS, "lat", "lng", _cube("b", 0).alias("cell"))
     crowded = hot_splits(placed, None, ["cell"], **bounds)
     pairs = skew_join(
-        placed, short_list, ["cell"], [position_id], ["fence_id", "branch_no"], crowded
+        placed, short_list, ["cell"], [SPOTS], ["fence_id", "branch_no"], crowded
     ).withColumn(
         "distance_m",
         spherefn.haversine_m(F.col("lat"), F.col("lng"), F.col("s_lat"), F.col("s_lng")),
     )
-    one_each = pairs.groupBy(position_id, "fence_id").agg(
+    one_each = pairs.groupBy(SPOTS, "fence_id").agg(
         F.min(
             F.struct("distance_m", "branch_no", "kind", "seq", "name", "s_lat", "s_lng", "radius_m")
         ).alias("at")
     )
-    order = Window.partitionBy(position_id).orderBy("distance_m", "kind", "seq")
-    return (
-        one_each.select(position_id, "fence_id", "at.*")
+    order = Window.partitionBy(SPOTS).orderBy("distance_m", "kind", "seq")
+    picked = (
+        one_each.select(SPOTS, "fence_id", "at.*")
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= limit)
         .withColumnsRenamed({"s_lat": "fence_lat", "s_lng": "fence_lng"})
     )
+    return at_points(stood, picked, position_id, **bounds)
 
 
 def fences_to_monitor(
