@@ -66,6 +66,36 @@ def test_equally_near_merchants_follow_the_catalog(spark):
     assert [r.merchant_id for r in near.orderBy("position").collect()] == ["z_first", "a_second", "unlisted"]
 
 
+@pytest.mark.parametrize("bounds", [{}, {"piece_rows": 3}])
+def test_a_crowd_at_one_spot_is_answered_once(spark, monkeypatch, bounds):
+    asked = []
+    for module, name in ((geo, "_in_reach"), (nearest, "_base")):
+        def noted(df, *rest, inner=getattr(module, name), **more):
+            asked.append(df.count())
+            return inner(df, *rest, **more)
+
+        monkeypatch.setattr(module, name, noted)
+    crowd = [(f"p{i}", *HERE) for i in range(30)] + [("p0", 31.2, 35.1), ("lost", None, None)]
+    at = points(spark, crowd)
+    b = branches(spark, [("here", 0, *HERE), ("far", 0, 31.2, 35.1)])
+    catalog = spark.createDataFrame([("here", "Here", 1), ("far", "Far", 2)], "id string, name string, seq int")
+    benefits = spark.createDataFrame([("b2", "here"), ("b1", "here"), ("b3", "far")], "id string, merchant_id string")
+    near = geo.merchants_near(at, b, catalog, 100.0, "pos_id", **bounds).collect()
+    assert sorted((r.pos_id, r.merchant_id, r.position) for r in near) == sorted(
+        [(f"p{i}", "here", 1) for i in range(30)] + [("p0", "far", 2)]
+    )
+    listed = geo.benefits_near(at, b, benefits, "pos_id", **bounds).collect()
+    assert len(listed) == 61
+    counted = geo.benefit_counts_near(at, b, benefits, "pos_id", **bounds).collect()
+    assert sorted((r.pos_id, r.n, r.first_id) for r in counted) == sorted(
+        (f"p{i}", 3 if i == 0 else 2, "b1") for i in range(30)
+    )
+    fences = nearest.nearest_fences(at, venues(spark, []), catalog, b, "pos_id", 1, **bounds).collect()
+    assert sorted({(r.pos_id, r.distance_m) for r in fences}) == sorted((f"p{i}", 0.0) for i in range(30))
+    # Three questions about branches in reach, positions and sites of fences: of places, not of points.
+    assert len(asked) == 5 and max(asked) == 3
+
+
 @pytest.mark.parametrize("seed, bounds", [(1, {}), (2, {"piece_rows": 3})])
 def test_within_equals_brute_force_anywhere_on_the_globe(spark, seed, bounds):
     rnd = random.Random(seed)
