@@ -160,6 +160,15 @@ def usable(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     )
 
 
+def placed(pairs: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """``readiness`` and ``saving`` of pairs that nothing blocks, which no time changes."""
+    found = findings(policy)
+    return pairs.withColumns({
+        "readiness": F.expr(f"CASE WHEN {_any(found, ACTIONS)} THEN 1 ELSE 0 END"),
+        "saving": _figures(found)["saving"],
+    })
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "\\'") + "'"
 

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from perkloom.operators import conditions
 from perkloom.operators.conditions import DEFAULT_POLICY, Policy
 from perkloom.operators.fences import NOTIFY, visit, with_clock
-from perkloom.operators.rank import catalog_side, publishable
+from perkloom.operators.openings import match_rows
 from perkloom.session import ROCKSDB, STATE_STORE_KEY
 
 PIECE_MS = 3_600_000
@@ -147,34 +146,11 @@ def with_matches(
     events: DataFrame, places: DataFrame, owned: DataFrame, muted: DataFrame, benefits: DataFrame,
     policy: Policy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """One row per event, and one more (``is_match``, ``match_count`` 1) per benefit that a user who
-    enters can use at the place at that moment, whatever the channel.
-
-    Joins with tables that stand still and nothing else, so it is part of a running query: each
-    event meets itself as it is and, on entering, once more with the shops of the place, the
-    user's programs and their offers.
+    """``openings.match_rows`` as part of a running query: rows of an event whose ``match_count``
+    add up, the event itself among them (``is_match`` 0).
 
     ``places``: (fence_id, merchant_id); ``events``: event_id, user_id, fence_id, kind, ts."""
-    asks = F.when(F.col("kind") == "enter", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = events.withColumn("is_match", F.explode(asks)).withColumn(
-        "_place", F.when(F.col("is_match") == 1, F.col("fence_id"))
-    )
-    shops = places.select(F.col("fence_id").alias("_place"), "merchant_id").distinct()
-    held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
-    silent = muted.groupBy("user_id").agg(F.collect_set("benefit_id").alias("_muted"))
-    rows = rows.join(shops, "_place", "left").join(held.join(silent, "user_id", "left"), "user_id", "left").withColumn(
-        "program_id", F.explode_outer(F.when(F.col("merchant_id").isNotNull(), F.col("_held")))
-    )
-    offers = catalog_side(publishable(benefits, policy)).withColumns(
-        {"owned": F.lit(True), "muted": F.lit(False), "channel": F.lit(None).cast("string"),
-         "cart_amount": F.lit(None).cast("double")}
-    )
-    met = rows.join(offers, ["merchant_id", "program_id"], "left").withColumn("now", F.col("ts"))
-    is_muted = F.coalesce(F.array_contains("_muted", F.col("benefit_id")), F.lit(False))
-    usable = F.col("benefit_id").isNotNull() & ~is_muted & conditions.unblocked(policy)
-    return met.where((F.col("is_match") == 0) | usable).select(
-        "event_id", "user_id", "fence_id", "kind", "ts", F.col("is_match").alias("match_count"), "is_match"
-    )
+    return match_rows(events, places, owned, muted, benefits, policy)
 
 
 def eligible_events(
