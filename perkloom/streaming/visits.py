@@ -4,8 +4,10 @@ The decision code is the batch walk's; only where the state lives differs. Event
 state, in the order of their own time, until the watermark says that none before them is still to
 come; then an event-time timer decides them. So late events fall into place, however micro-batches
 were cut, and a batch that is run again changes nothing. A key holds what its lateness allows, in
-pieces of an hour, of which one is in memory at a time; a crowded fence is many keys because the
-user is part of the key.
+pieces of time of which one is in memory at a time: a piece is four weeks, a day where those hold more
+than ``PIECE_EVENTS``, an hour where the day does. So an ordinary key costs a few calls to the state, not some
+per event, and a key that is busy has an hour in memory at most; a crowded fence is many keys because
+the user is part of the key.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from perkloom.operators.fences import NOTIFY, visit, with_clock
 from perkloom.operators.openings import match_rows
 from perkloom.session import ROCKSDB, STATE_STORE_KEY
 
-PIECE_MS = 3_600_000
+PIECES_MS = (28 * 24 * 3_600_000, 24 * 3_600_000, 3_600_000)
+PIECE_EVENTS = 1_000  # in a piece that could be cut
+CUT = "cut"  # stands for the events of a piece that are in smaller ones
 NOTED = 1_000  # events noted before they go to the state
 STATE = StructType([StructField(name, LongType()) for name in ("entered", "notified", "last")])
-PIECE = StructType([StructField("piece", LongType())])
+PIECE = StructType([StructField("size_ms", LongType()), StructField("piece", LongType())])
 WAITING = StructType([StructField("events", StringType())])
 OUTPUT = StructType(
     [
@@ -55,13 +59,12 @@ class VisitProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         """Note events by the piece of time they are in; nothing is decided yet."""
-        noted: dict[int, dict] = {}
+        noted: dict[str, tuple] = {}
         n = 0
         for r in rows:
-            events = noted.setdefault(r.at_ms // PIECE_MS, {})
             # An event read twice, and its matches with it, counts once: both are divided.
-            kind, at_ms, quiet, times, matches = events.get(str(r.event_id), (r.kind, r.at_ms, r.quiet, 0, 0))
-            events[str(r.event_id)] = (kind, at_ms, quiet, times + 1 - r.is_match, matches + r.match_count)
+            kind, at_ms, quiet, times, matches = noted.get(str(r.event_id), (r.kind, r.at_ms, r.quiet, 0, 0))
+            noted[str(r.event_id)] = (kind, at_ms, quiet, times + 1 - r.is_match, matches + r.match_count)
             n += 1
             if n % NOTED == 0:
                 self._keep(noted)
@@ -69,28 +72,45 @@ class VisitProcessor(StatefulProcessor):
         self._keep(noted)
         return iter(())
 
-    def _keep(self, noted: dict[int, dict]) -> None:
-        for piece, events in noted.items():
-            held = self._held(piece)
+    def _keep(self, noted: dict[str, tuple], sizes: tuple = PIECES_MS) -> None:
+        pieces: dict[int, dict] = {}
+        for event_id, event in noted.items():
+            pieces.setdefault(event[1] // sizes[0], {})[event_id] = event
+        for piece, events in pieces.items():
+            held = self._held(sizes[0], piece)
+            if held == CUT:
+                self._keep(events, sizes[1:])
+                continue
             for event_id, (kind, at_ms, quiet, times, matches) in events.items():
                 before = held.get(event_id, (kind, at_ms, quiet, 0, 0))
                 held[event_id] = (kind, at_ms, quiet, before[3] + times, before[4] + matches)
-            self._wait(piece, held)
-
-    def _held(self, piece: int) -> dict:
-        found = self.waiting.getValue((piece,)) if self.waiting.containsKey((piece,)) else None
+            if len(held) > PIECE_EVENTS and sizes[1:]:
+                self.waiting.updateValue((sizes[0], piece), (json.dumps(CUT),))
+                self._keep(held, sizes[1:])
+            else:
+                self._wait((sizes[0], piece), held)
+
+    def _held(self, size: int, piece: int) -> dict | str:
+        found = self.waiting.getValue((size, piece))
         return json.loads(found[0]) if found is not None else {}
 
-    def _wait(self, piece: int, events: dict) -> None:
-        self.waiting.updateValue((piece,), (json.dumps(events),))
+    def _piece_at(self, at_ms: int) -> tuple[tuple[int, int], dict]:
+        for size in PIECES_MS:
+            held = self._held(size, at_ms // size)
+            if held and held != CUT:
+                return (size, at_ms // size), held
+        return (size, at_ms // size), {}
+
+    def _wait(self, piece: tuple[int, int], events: dict) -> None:
+        self.waiting.updateValue(piece, (json.dumps(events),))
         # A timer goes off when the watermark has passed it; events at the watermark are complete.
         self.handle.registerTimer(min(e[1] for e in events.values()) - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at, mark = expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs()
-        stored = self.visit.get() if self.visit.exists() else None
+        stored = self.visit.get()
         entered, notified, last = (None, None, None) if stored is None else map(_whole, stored)
-        held = self._held(at // PIECE_MS)
+        piece, held = self._piece_at(at)
         ready = sorted((e[1], int(i), *e) for i, e in held.items() if e[1] <= mark)
         if not ready:
             if last is not None and last + self.forget_ms <= at:
@@ -98,19 +118,23 @@ class VisitProcessor(StatefulProcessor):
             return
         out = []
         for at_ms, event_id, kind, _, quiet, times, matches in ready:
-            count = matches // max(1, times)
+            if last is not None and at_ms - last > self.forget_ms:
+                entered = notified = None
+            last, count = at_ms, matches // max(1, times)
             decision, entered, notified = visit(kind, at_ms, quiet, count, entered, notified)
             if decision is not None:
                 out.append(Row(event_id=event_id, user_id=key[0], fence_id=key[1], at_ms=at_ms,
                                match_count=count, decision=decision))
-        last = ready[-1][0]
         self.visit.update((entered, notified, last))
         self.handle.registerTimer(last + self.forget_ms - 1)
         rest = {i: e for i, e in held.items() if e[1] > mark}
         if rest:
-            self._wait(at // PIECE_MS, rest)
+            self._wait(piece, rest)
         else:
-            self.waiting.removeKey((at // PIECE_MS,))
+            self.waiting.removeKey(piece)
+        for size in PIECES_MS:  # nothing more can come to a piece that is over, cut or not
+            if size > piece[0] and (at // size + 1) * size <= mark:
+                self.waiting.removeKey((size, at // size))
         yield from out
 
     def close(self) -> None:

@@ -117,6 +117,97 @@ def test_visits_are_forgotten(spark, tmp_path):
         assert dict(told(spark, folder, stream))[3] == want
 
 
+class Calls:
+    """A processor's handle and state that count the calls to them."""
+
+    def __init__(self):
+        self.n, self.map, self.value, self.timers = 0, {}, None, set()
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            def get(self):
+                outer.n += 1
+                return outer.value
+
+            def exists(self):
+                outer.n += 1
+                return outer.value is not None
+
+            def update(self, value):
+                outer.n += 1
+                outer.value = value
+
+            def clear(self):
+                outer.n += 1
+                outer.value = None
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        outer = self
+
+        class Map:
+            def getValue(self, k):
+                outer.n += 1
+                return outer.map.get(k)
+
+            def containsKey(self, k):
+                outer.n += 1
+                return k in outer.map
+
+            def updateValue(self, k, v):
+                outer.n += 1
+                outer.map[k] = v
+
+            def removeKey(self, k):
+                outer.n += 1
+                outer.map.pop(k, None)
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+
+def decided(n, minutes, forget_ms=visits.FORGET_MS):
+    """Events of one key, noted and decided at once: what was told and the calls to the state."""
+    from types import SimpleNamespace
+
+    calls, start = Calls(), int(START.timestamp() * 1000)
+    made = visits.VisitProcessor(forget_ms)
+    made.init(calls)
+    rows = [SimpleNamespace(event_id=i, kind="enter", at_ms=start + i * minutes * 60_000, quiet=False, is_match=0, match_count=1)
+            for i in range(n)]
+    list(made.handleInputRows((1, "v"), iter(rows), None))
+    largest = max(len(v[0]) for v in calls.map.values())
+    mark = SimpleNamespace(getCurrentWatermarkInMs=lambda: rows[-1].at_ms + 100 * 24 * 3_600_000)
+    told = []
+    while calls.timers:
+        at = min(calls.timers)
+        calls.timers.remove(at)
+        told += made.handleExpiredTimer((1, "v"), mark, SimpleNamespace(getExpiryTimeInMs=lambda: at))
+    assert not calls.map and calls.value is None
+    return [(r.event_id, r.decision) for r in told], calls.n, largest
+
+
+def test_a_key_calls_the_state_less_than_once_per_event():
+    told, calls, _ = decided(70, 600)
+    assert [i for i, _ in told] == list(range(70)) and calls < 70
+
+
+def test_a_busy_key_is_cut_into_smaller_pieces():
+    told, _, largest = decided(12_000, 1)
+    assert [i for i, _ in told] == list(range(12_000)) and largest < 100 * visits.PIECE_EVENTS
+
+
+def test_a_visit_is_forgotten_within_a_piece():
+    told, _, _ = decided(3, 3 * 24 * 60, forget_ms=2 * 24 * 3_600_000)
+    assert [d for _, d in told] == ["dwell_too_short"] * 3
+
+
 def test_matches_of_a_stream_are_those_of_the_batch(spark, sf_dir):
     d = Domain(spark, sf_dir)
     events, places = d.fence_events.drop("match_count"), place_queries.places_of(d)
