@@ -16,14 +16,17 @@ COMBOS_LISTED = 10
 
 def _viewed_pairs(d: Domain) -> DataFrame:
     """Every benefit opened from a cart, with ownership and mute flags."""
-    pairs = d.viewed.join(d.contexts.withColumnRenamed("merchant_id", "ctx_merchant"), "ctx_id").join(
-        rank.catalog_side(d.benefits), "benefit_id"
-    )
-    held = d.owned.withColumn("owned", F.lit(True))
-    marked = pairs.join(held, ["user_id", "program_id"], "left").withColumn(
-        "owned", F.coalesce("owned", F.lit(False))
+    # What a user holds and has muted comes with the cart, so pairs are not shuffled for it.
+    held = d.owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
+    silent = d.muted.groupBy("user_id").agg(F.collect_set("benefit_id").alias("_muted"))
+    carts = d.contexts.withColumnRenamed("merchant_id", "ctx_merchant").join(
+        held.join(silent, "user_id", "full"), "user_id", "left"
     )
-    return rank.mark_muted(marked, d.muted)
+    pairs = d.viewed.join(carts, "ctx_id").join(rank.catalog_side(d.benefits), "benefit_id")
+    return pairs.withColumns({
+        "owned": F.coalesce(F.array_contains("_held", F.col("program_id")), F.lit(False)),
+        "muted": F.coalesce(F.array_contains("_muted", F.col("benefit_id")), F.lit(False)),
+    }).drop("_held", "_muted")
 
 
 def _codes(column: str):
