@@ -14,6 +14,12 @@ TOP_PER_CART = 3
 COMBOS_LISTED = 10
 
 
+def _opened_catalog(d: Domain) -> DataFrame:
+    """The catalog, sorted to meet the benefits opened: it is made of a few short rows, so its size is
+    taken for far too small before it runs and every task would be sent the whole of it."""
+    return rank.catalog_side(d.benefits).hint("merge")
+
+
 def _viewed_pairs(d: Domain) -> DataFrame:
     """Every benefit opened from a cart, with ownership and mute flags."""
     # What a user holds and has muted comes with the cart, so pairs are not shuffled for it.
@@ -22,7 +28,7 @@ def _viewed_pairs(d: Domain) -> DataFrame:
     carts = d.contexts.withColumnRenamed("merchant_id", "ctx_merchant").join(
         held.join(silent, "user_id", "full"), "user_id", "left"
     )
-    pairs = d.viewed.join(carts, "ctx_id").join(rank.catalog_side(d.benefits), "benefit_id")
+    pairs = d.viewed.join(carts, "ctx_id").join(_opened_catalog(d), "benefit_id")
     return pairs.withColumns({
         "owned": F.coalesce(F.array_contains("_held", F.col("program_id")), F.lit(False)),
         "muted": F.coalesce(F.array_contains("_muted", F.col("benefit_id")), F.lit(False)),
@@ -63,9 +69,7 @@ def condition_lines(spark, sf_dir):
 
 def saving_estimate(spark, sf_dir):
     d = Domain(spark, sf_dir)
-    pairs = d.viewed.join(d.contexts.drop("merchant_id"), "ctx_id").join(
-        rank.catalog_side(d.benefits), "benefit_id"
-    )
+    pairs = d.viewed.join(d.contexts.drop("merchant_id"), "ctx_id").join(_opened_catalog(d), "benefit_id")
     type_, value, cart = F.col("type"), F.col("value"), F.col("cart_amount")
     spend, cap = F.col("conditions.min_spend"), F.col("conditions.max_discount")
     return pairs.select(
