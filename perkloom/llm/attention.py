@@ -7,6 +7,8 @@ to the hidden rows; the next subword is told in two steps, its class and its pla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WINDOW = 32  # subwords read at once
@@ -98,10 +100,16 @@ class Attention:
         q, k, v, a, pre = self._hidden(x, training=True)
         h = np.maximum(pre, 0)[keep]
         place = self.place[y[keep]]
-        part, member = place // CLASSES, place % CLASSES
+        part = place // CLASSES
+        order = np.argsort(part.astype(np.uint8), kind="stable")  # rows of a class stand together
+        h, part, member = h[order], part[order], place[order] % CLASSES
+        edges = np.searchsorted(part, np.arange(CLASSES + 1))
+        spans = [(c, edges[c], edges[c + 1]) for c in np.flatnonzero(np.diff(edges))]
         rows = np.arange(len(h))
         outer = _softmax(h @ p["class"] + p["class0"])
-        inner = _softmax(np.einsum("nh,nhm->nm", h, p["member"][part]) + p["member0"][part])
+        inner = np.empty((len(h), CLASSES), h.dtype)
+        for c, i, j in spans:
+            inner[i:j] = _softmax(h[i:j] @ p["member"][c] + p["member0"][c])
         loss = -np.log(outer[rows, part] * inner[rows, member]).mean()
         outer[rows, part] -= 1
         inner[rows, member] -= 1
@@ -109,40 +117,87 @@ class Attention:
         inner /= n
         g = {key: np.zeros_like(value) for key, value in p.items()}
         g["class"], g["class0"] = h.T @ outer, outer.sum(0)
-        for c in np.unique(part):
-            own = part == c
-            g["member"][c], g["member0"][c] = h[own].T @ inner[own], inner[own].sum(0)
-        back = outer @ p["class"].T + np.einsum("nm,nhm->nh", inner, p["member"][part])
+        back = outer @ p["class"].T
+        for c, i, j in spans:
+            g["member"][c], g["member0"][c] = h[i:j].T @ inner[i:j], inner[i:j].sum(0)
+            back[i:j] += inner[i:j] @ p["member"][c].T
+        back *= h > 0
+        told = np.empty_like(back)
+        told[order] = back
         up = np.zeros_like(pre)
-        up[keep] = back * (h > 0)
-        now = x[:, 1:]
-        np.add.at(g["now"], now, up)
-        np.add.at(g["before"], x[:, :-1], up)
-        np.add.at(g["value"], now, a.transpose(0, 2, 1) @ up)
+        up[keep] = told
         da = up @ v.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(2, keepdims=True))
-        np.add.at(g["query"], now, ds @ k)
-        np.add.at(g["key"], now, ds.transpose(0, 2, 1) @ q)
         g["near"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), WINDOW).astype(np.float32)
+        # What each place of a window adds to the rows of its subword, added up subword by subword.
+        adds = {"before": up, "now": up, "value": a.transpose(0, 2, 1) @ up, "query": ds @ k,
+                "key": ds.transpose(0, 2, 1) @ q}
+        wide = np.zeros((*x.shape, sum(d.shape[2] for d in adds.values())), pre.dtype)
+        at, columns = 0, {}
+        for name, d in adds.items():
+            columns[name] = slice(at, at := at + d.shape[2])
+            wide[:, slice(0, -1) if name == "before" else slice(1, None), columns[name]] = d
+        flat = x.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        found = flat[order]
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        sums = np.add.reduceat(wide.reshape(len(flat), -1)[order], first)
+        for name, column in columns.items():
+            g[name][found[first]] = sums[:, column]
         return loss, g
 
-    def train(self, tokens: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 7) -> None:
-        """Adam over random windows of one long sequence; the rate falls to nothing."""
-        random = np.random.default_rng(seed)
+    def set_weights(self, flat: np.ndarray) -> None:
+        """All weights from one row of numbers, in the order of ``p``."""
+        edges = np.cumsum([w.size for w in self.p.values()])[:-1]
+        for (key, w), part in zip(self.p.items(), np.split(flat, edges), strict=True):
+            self.p[key] = part.reshape(w.shape).copy()
+
+    def _update(self, batches, pace) -> None:
+        """Adam; ``pace`` gives the rate of a step, counted from 1."""
         m = {key: np.zeros_like(value) for key, value in self.p.items()}
         v = {key: np.zeros_like(value) for key, value in self.p.items()}
-        if len(tokens) < WINDOW + 2:
-            return
-        keep = np.ones((batch, WINDOW), bool)
-        for t in range(1, steps + 1):
-            at = random.integers(0, len(tokens) - WINDOW - 1, batch)[:, None] + np.arange(WINDOW + 2)
-            rows = tokens[at]
-            _, g = self._gradients(rows[:, :-1], rows[:, 2:], keep)
-            pace = rate * min(1, t / 100) * (1 - t / (steps + 1))
+        for t, (x, y, keep) in enumerate(batches, 1):
+            _, g = self._gradients(x, y, keep)
             for key, d in g.items():
                 m[key] = 0.9 * m[key] + 0.1 * d
                 v[key] = 0.99 * v[key] + 0.01 * d * d
-                self.p[key] -= pace * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.99**t)) + 1e-8)
+                self.p[key] -= pace(t) * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.99**t)) + 1e-8)
+
+    def train(self, tokens: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 7) -> None:
+        """Random windows of one long sequence; the rate falls to nothing."""
+        random = np.random.default_rng(seed)
+        if len(tokens) < WINDOW + 2:
+            return
+        keep = np.ones((batch, WINDOW), bool)
+
+        def batches():
+            for _ in range(steps):
+                at = random.integers(0, len(tokens) - WINDOW - 1, batch)[:, None] + np.arange(WINDOW + 2)
+                rows = tokens[at]
+                yield rows[:, :-1], rows[:, 2:], keep
+
+        self._update(batches(), lambda t: rate * min(1, t / 100) * (1 - t / (steps + 1)))
+
+    def learn(self, sequences: Iterator[np.ndarray], end: int, rate: float, batch: int = 256, seed: int = 7) -> int:
+        """One pass over all sequences, each of which ends with ``end``: every subword is told once, in windows that
+        follow one another. Those of a sequence come in random order. Gives the number of subwords told."""
+        random = np.random.default_rng(seed)
+        told = 0
+
+        def batches():
+            nonlocal told
+            for tokens in sequences:
+                n, windows = len(tokens), -(-len(tokens) // WINDOW)
+                told += n
+                padded = np.concatenate([[end, end], tokens, np.full(windows * WINDOW - n, end)])
+                first = random.permutation(windows)[:, None] * WINDOW
+                for i in range(0, windows, batch):
+                    at = first[i : i + batch]
+                    rows = padded[at + np.arange(WINDOW + 2)]
+                    yield rows[:, :-1], rows[:, 2:], at + np.arange(WINDOW) < n
+
+        self._update(batches(), lambda t: rate * min(1, t / 20))
+        return told
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
