@@ -9,6 +9,8 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,35 +66,65 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value worked out once however often it is used: functions over arrays
+    are not searched for common parts, and steps that use their input twice would double at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _numeric_entities(text: Column, pattern: str, base: int) -> Column:
     """Replace each distinct reference; the ampersand last, so that no reference
     formed by a replacement is read again."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
     def number(entity: Column) -> Column:
         digits = F.regexp_replace(entity, "[&#xX;]", "")
         short = F.length(F.regexp_replace(digits, "^0+", "")) <= 7
         return F.when(short, F.conv(digits, base, 10).cast("bigint"))
 
-    valid = F.filter(
-        found,
-        lambda e: (number(e) <= 0x10FFFF) & ~number(e).between(0xD800, 0xDFFF),
-    )
-    ordered = F.concat(
-        F.filter(valid, lambda e: number(e) != 38), F.filter(valid, lambda e: number(e) == 38)
-    )
-    return F.aggregate(
-        ordered, text, lambda acc, e: F.replace(acc, e, _code_point(number(e)))
-    )
+    def read(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        valid = F.filter(
+            found,
+            lambda e: (number(e) <= 0x10FFFF) & ~number(e).between(0xD800, 0xDFFF),
+        )
+        ordered = F.sort_array(F.transform(
+            valid, lambda e, i: F.struct((number(e) == 38).alias("last"), i.alias("at"), e.alias("entity"))
+        ))
+        replaced = F.aggregate(
+            ordered, text,
+            lambda acc, e: F.replace(acc, e["entity"], _code_point(number(e["entity"]))),
+        )
+        return F.when(F.contains(text, F.lit("&#")), replaced).otherwise(text)
+
+    return _once(text, read)
+
+
+def _named_entities(text: Column, names: list[str]) -> Column:
+    """Replace each distinct reference; none of ``names`` stands for nothing or the ampersand, so
+    no reference is formed, and their order is free."""
+    marks = F.create_map(*[F.lit(x) for n in names for x in (f"&{n};", V.NAMED_ENTITIES[n])])
+
+    def read(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"&(?i:{'|'.join(names)});"), F.lit(0))
+        replaced = F.aggregate(
+            F.array_distinct(found), text, lambda acc, e: F.replace(acc, e, marks[F.lower(e)])
+        )
+        return F.when(F.contains(text, F.lit("&")), replaced).otherwise(text)
+
+    return _once(text, read)
 
 
 def decode_entities(text: Column) -> Column:
     """Hexadecimal, then decimal, then the named references; others stay."""
-    out = _numeric_entities(text, "(?i)&#x[0-9a-f]+;", 16)
+    out = _numeric_entities(text, "&#[xX][0-9a-fA-F]+;", 16)
     out = _numeric_entities(out, "&#[0-9]+;", 10)
     names = [n for n in V.NAMED_ENTITIES if n != "amp"] + ["amp"]
-    for name in names:
-        out = F.regexp_replace(out, f"(?i)&{name};", F.lit(V.NAMED_ENTITIES[name]))
+    # Where one stands for nothing or the ampersand, what it leaves may form others: those keep their turn.
+    for alone, group in groupby(names, lambda n: n if V.NAMED_ENTITIES[n] in ("", "&") else None):
+        if alone is None:
+            out = _named_entities(out, list(group))
+        else:
+            out = F.regexp_replace(out, f"&(?i:{alone});", F.lit(V.NAMED_ENTITIES[alone]))
     return out
 
 
