@@ -139,18 +139,27 @@ def gate(candidates: DataFrame, threshold: float = V.MIN_CONFIDENCE) -> tuple[Da
 
 
 def terms() -> Column:
-    """The wording a human approves, comparable with null equal to absent."""
-    return F.to_json(F.struct("conditions", "value", "type"))
+    """A mark of the wording a human approves, comparable with null equal to absent: as long as a
+    hash, however long the wording, so that comparing does not carry the wording about once more."""
+    return F.sha2(F.to_json(F.struct("conditions", "value", "type")), 256)
+
+
+def mark_approved(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds ``_approved``: already approved with the same terms."""
+    approved = stored.where("reviewed_by_human").select("id", terms().alias("_terms")).distinct()
+    same = candidates.withColumn("_terms", terms())
+    marked = same.join(approved.withColumn("_approved", F.lit(True)), ["id", "_terms"], "left")
+    return marked.withColumn("_approved", F.col("_approved").isNotNull()).drop("_terms")
+
+
+def split_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(already approved with the same terms, to be gated)."""
+    return marked.where("_approved").drop("_approved"), marked.where("NOT _approved").drop("_approved")
 
 
 def split_approved(candidates: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(already approved with the same terms, to be gated)."""
-    approved = stored.where("reviewed_by_human").select("id", terms().alias("_terms"))
-    same = candidates.withColumn("_terms", terms())
-    return (
-        same.join(approved, ["id", "_terms"], "left_semi").drop("_terms"),
-        same.join(approved, ["id", "_terms"], "left_anti").drop("_terms"),
-    )
+    return split_marked(mark_approved(candidates, stored))
 
 
 # --- merge ----------------------------------------------------------------------

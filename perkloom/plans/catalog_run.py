@@ -41,14 +41,14 @@ def ingest_offers(
     observed = {name: Observation(name) for name in ("extracted", "to_gate", "published")}
     count = F.count(F.lit(1)).alias("rows")
     # Used by several outputs each: written where a stage ends, not planned again. What is
-    # written is counted on its way.
+    # written is counted on its way. Rows are written once, with the mark that splits them.
+    stored = written(stored, "stored")
+    marked = ingest.mark_approved(ingest.to_benefits(valid, merchants, now), stored)
     rows = written(
-        ingest.to_benefits(valid, merchants, now).observe(
-            observed["extracted"], count, F.sum("confidence_score").alias("confidence")), "rows",
+        marked.observe(observed["extracted"], count, F.sum("confidence_score").alias("confidence"))
+        .observe(observed["to_gate"], F.count_if(~F.col("_approved")).alias("rows")), "rows",
     )
-    stored = written(stored, "stored")
-    approved, to_gate = ingest.split_approved(rows, stored)
-    to_gate = written(to_gate.observe(observed["to_gate"], count), "to-gate")
+    approved, to_gate = ingest.split_marked(rows)
     sure, unsure = ingest.gate(to_gate, threshold)
     benefits = written(
         ingest.merge_benefits(stored, approved.unionByName(sure), order).observe(observed["published"], count), "benefits"

@@ -119,7 +119,8 @@ def confidence_gate(spark, sf_dir):
 
 
 def _ingest(d: Domain):
-    rows = written(_rows(d), "rows")
+    # What an earlier run left is made of these lines only.
+    rows = written(_rows(d).where("line_no % 4 = 0 OR line_no % 9 = 0"), "rows")
     stored = _stored(d, rows).drop("line_no", "confidence_reason")
     queue = ingest.last_per(rows.where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
     # A page is read in one call; what that takes goes by its length.
