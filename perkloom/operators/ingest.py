@@ -25,29 +25,42 @@ def spread_by(df: DataFrame, preferred: str) -> list[str]:
 
 
 # --- identity -----------------------------------------------------------------
-def resolve_merchants(rows: DataFrame, merchants: DataFrame, **bounds) -> DataFrame:
-    """``merchant_id`` by normalised name (the first merchant of a name wins), or
-    ``unmapped_<slug>``."""
-    by_name = merchants.groupBy(text.name_key(F.col("name")).alias("_key")).agg(
+NAMES_SENT = 100_000  # merchant names that rows meet where they are; more are dealt out with the rows
+
+
+def merchant_names(merchants: DataFrame) -> DataFrame:
+    """The merchant of each normalised name, the first one of a name."""
+    return merchants.groupBy(text.name_key(F.col("name")).alias("_key")).agg(
         F.min_by(F.col("id"), F.col("seq")).alias("_known")
     )
+
+
+def resolve_merchants(
+    rows: DataFrame, merchants: DataFrame, names: DataFrame | None = None, **bounds
+) -> DataFrame:
+    """``merchant_id`` by normalised name (the first merchant of a name wins), or
+    ``unmapped_<slug>``. ``names``: ``merchant_names`` as a written table. Its size is known before the join is
+    planned, so rows with all their wording need not be dealt out by name to meet a few names."""
     unmapped = F.concat(F.lit(V.UNMAPPED_PREFIX), text.slug(F.col("merchant_name")))
     keyed = rows.withColumn("_key", text.name_key(F.col("merchant_name")))
-    return (
-        skew_lookup(keyed, by_name, ["_key"], spread_by(rows, "line_no"), **bounds)
-        .withColumn("merchant_id", F.coalesce("_known", unmapped))
-        .drop("_key", "_known")
-    )
+    if names is not None and names.count() <= NAMES_SENT:
+        found = keyed.join(names, "_key", "left")
+    else:
+        by_name = merchant_names(merchants) if names is None else names
+        found = skew_lookup(keyed, by_name, ["_key"], spread_by(rows, "line_no"), **bounds)
+    return found.withColumn("merchant_id", F.coalesce("_known", unmapped)).drop("_key", "_known")
 
 
-def to_benefits(extracted: DataFrame, merchants: DataFrame, now: Column) -> DataFrame:
+def to_benefits(
+    extracted: DataFrame, merchants: DataFrame, now: Column, names: DataFrame | None = None
+) -> DataFrame:
     """Catalog rows from extracted offers.
 
     ``extracted`` carries ``program_id`` and optionally ``run_url``, the address of
     the run, which a per-offer ``source_url`` overrides. Approval is never taken
-    from an extraction.
+    from an extraction. ``names`` as in ``resolve_merchants``.
     """
-    resolved = resolve_merchants(extracted, merchants)
+    resolved = resolve_merchants(extracted, merchants, names)
     run_url = F.col("run_url") if "run_url" in extracted.columns else F.lit(None)
     return resolved.withColumns(
         {

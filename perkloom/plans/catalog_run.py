@@ -43,7 +43,8 @@ def ingest_offers(
     # Used by several outputs each: written where a stage ends, not planned again. What is
     # written is counted on its way. Rows are written once, with the mark that splits them.
     stored = written(stored, "stored")
-    marked = ingest.mark_approved(ingest.to_benefits(valid, merchants, now), stored)
+    names = written(ingest.merchant_names(merchants), "merchant-names")
+    marked = ingest.mark_approved(ingest.to_benefits(valid, merchants, now, names), stored)
     rows = written(
         marked.observe(observed["extracted"], count, F.sum("confidence_score").alias("confidence"))
         .observe(observed["to_gate"], F.count_if(~F.col("_approved")).alias("rows")), "rows",

@@ -80,8 +80,8 @@ def expand_cached(spark, sf_dir):
 
 
 # --- identity and gate ------------------------------------------------------------
-def _rows(d: Domain) -> DataFrame:
-    return ingest.to_benefits(d.extracted, d.merchants, _now())
+def _rows(d: Domain, names: DataFrame | None = None) -> DataFrame:
+    return ingest.to_benefits(d.extracted, d.merchants, _now(), names)
 
 
 def quarantine(spark, sf_dir):
@@ -120,7 +120,8 @@ def confidence_gate(spark, sf_dir):
 
 def _ingest(d: Domain):
     # What an earlier run left is made of these lines only.
-    rows = written(_rows(d).where("line_no % 4 = 0 OR line_no % 9 = 0"), "rows")
+    names = written(ingest.merchant_names(d.merchants), "merchant-names")
+    rows = written(_rows(d, names).where("line_no % 4 = 0 OR line_no % 9 = 0"), "rows")
     stored = _stored(d, rows).drop("line_no", "confidence_reason")
     queue = ingest.last_per(rows.where("line_no % 9 = 0"), ["id"], "line_no").drop("line_no")
     # A page is read in one call; what that takes goes by its length.

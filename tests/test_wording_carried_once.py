@@ -8,6 +8,7 @@ from tests.helpers import benefit, catalog
 from tests.test_catalog_life import NOW, merchants, offer, offers
 from perkloom.operators import ingest
 from perkloom.plans import catalog_run
+from perkloom.session import written
 
 
 def test_terms_are_as_long_as_a_mark(spark):
@@ -33,5 +34,18 @@ def test_offers_are_written_once(spark, monkeypatch):
     base = ingest.to_benefits(offers(spark), merchants(spark), F.lit(NOW)).drop("line_no")
     queue = base.withColumnRenamed("confidence_reason", "reason")
     run = catalog_run.ingest_offers(rows, merchants(spark), base.drop("confidence_reason"), queue, F.lit(NOW))
-    assert sorted(made) == ["benefits", "rows", "stored"]
+    assert sorted(made) == ["benefits", "merchant-names", "rows", "stored"]
     assert (run.observed["extracted"].get["rows"], run.observed["to_gate"].get["rows"]) == (3, 3)
+
+
+def test_offers_stay_where_they_are_to_find_few_merchants(spark, monkeypatch):
+    rows = offers(
+        spark, offer(1), offer(2, merchant_name=" C-UPS"), offer(3, merchant_name="none"), offer(4, merchant_name=None)
+    )
+    names = written(ingest.merchant_names(merchants(spark)), "merchant-names")
+    sent = ingest.resolve_merchants(rows, merchants(spark), names)
+    found = lambda df: {r.line_no: r.merchant_id for r in df.collect()}
+    assert found(sent) == found(ingest.resolve_merchants(rows, merchants(spark)))
+    assert "hashpartitioning" not in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "NAMES_SENT", 1)
+    assert found(ingest.resolve_merchants(rows, merchants(spark), names)) == found(sent)
