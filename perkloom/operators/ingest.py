@@ -157,11 +157,16 @@ def terms() -> Column:
     return F.sha2(F.to_json(F.struct("conditions", "value", "type")), 256)
 
 
-def mark_approved(candidates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds ``_approved``: already approved with the same terms."""
-    approved = stored.where("reviewed_by_human").select("id", terms().alias("_terms")).distinct()
-    same = candidates.withColumn("_terms", terms())
-    marked = same.join(approved.withColumn("_approved", F.lit(True)), ["id", "_terms"], "left")
+def approved_terms(stored: DataFrame) -> DataFrame:
+    """(id, _terms, _approved) of what a human approved."""
+    found = stored.where("reviewed_by_human").select("id", terms().alias("_terms"))
+    return found.distinct().withColumn("_approved", F.lit(True))
+
+
+def mark_approved(candidates: DataFrame, approved: DataFrame) -> DataFrame:
+    """Adds ``_approved``: already approved with the same terms. ``approved``: of ``approved_terms``;
+    where that is a written table its size is known, and candidates stay where they are to meet a small one."""
+    marked = candidates.withColumn("_terms", terms()).join(approved, ["id", "_terms"], "left")
     return marked.withColumn("_approved", F.col("_approved").isNotNull()).drop("_terms")
 
 
@@ -172,7 +177,7 @@ def split_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_approved(candidates: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(already approved with the same terms, to be gated)."""
-    return split_marked(mark_approved(candidates, stored))
+    return split_marked(mark_approved(candidates, approved_terms(stored)))
 
 
 # --- merge ----------------------------------------------------------------------

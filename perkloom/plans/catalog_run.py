@@ -44,7 +44,8 @@ def ingest_offers(
     # written is counted on its way. Rows are written once, with the mark that splits them.
     stored = written(stored, "stored")
     names = written(ingest.merchant_names(merchants), "merchant-names")
-    marked = ingest.mark_approved(ingest.to_benefits(valid, merchants, now, names), stored)
+    known = written(ingest.approved_terms(stored), "approved")
+    marked = ingest.mark_approved(ingest.to_benefits(valid, merchants, now, names), known)
     rows = written(
         marked.observe(observed["extracted"], count, F.sum("confidence_score").alias("confidence"))
         .observe(observed["to_gate"], F.count_if(~F.col("_approved")).alias("rows")), "rows",

@@ -34,7 +34,7 @@ def test_offers_are_written_once(spark, monkeypatch):
     base = ingest.to_benefits(offers(spark), merchants(spark), F.lit(NOW)).drop("line_no")
     queue = base.withColumnRenamed("confidence_reason", "reason")
     run = catalog_run.ingest_offers(rows, merchants(spark), base.drop("confidence_reason"), queue, F.lit(NOW))
-    assert sorted(made) == ["benefits", "merchant-names", "rows", "stored"]
+    assert sorted(made) == ["approved", "benefits", "merchant-names", "rows", "stored"]
     assert (run.observed["extracted"].get["rows"], run.observed["to_gate"].get["rows"]) == (3, 3)
 
 
