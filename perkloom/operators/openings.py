@@ -10,6 +10,8 @@ Both grow with the offers and with the events, not with their product.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def _offers(places: DataFrame, benefits: DataFrame, policy: Policy) -> DataFrame
     dated = catalog_side(publishable(benefits, policy)).where("last_verified_at IS NOT NULL").withColumns(
         {"from_us": F.unix_micros("valid_from"), "until_us": F.least(stale, F.unix_micros("valid_until") + 1)}
     )
-    lasting = dated.where("from_us IS NULL OR from_us < until_us")
+    # Opened benefits are misjudged before running: a catalog that does not fit would be sent whole.
+    lasting = dated.where("from_us IS NULL OR from_us < until_us").hint("merge")
     return lasting.join(places.select("fence_id", "merchant_id").distinct(), "merchant_id")
 
 
@@ -51,13 +54,20 @@ def usable_steps(places: DataFrame, benefits: DataFrame, policy: Policy = DEFAUL
 
     Each of ``steps`` is valid_hours, from_us (null: ever since), until_us (not included) and n. What
     has been so ever since is filed by weekday, all else by day."""
+    return _steps(_timed_offers(places, benefits, policy), policy)
+
+
+def _timed_offers(places: DataFrame, benefits: DataFrame, policy: Policy) -> DataFrame:
+    return _offers(places, benefits, policy).select(
+        "fence_id", "program_id", "benefit_id", "conditions.valid_days", "conditions.valid_hours", "from_us", "until_us")
+
+
+def _steps(offers: DataFrame, policy: Policy) -> DataFrame:
     kind = ["fence_id", "program_id", "valid_days", "valid_hours"]
-    changes = _offers(places, benefits, policy).select(
-        "fence_id", "program_id", "conditions.valid_days", "conditions.valid_hours", F.explode(F.array(
-            F.struct(F.col("from_us").alias("at"), F.lit(1).alias("change")),
-            F.struct(F.col("until_us").alias("at"), F.lit(-1).alias("change")),
-        )).alias("_c"),
-    ).select(*kind, "_c.at", "_c.change").groupBy(*kind, "at").agg(F.sum("change").alias("change"))
+    changes = offers.select(*kind, F.explode(F.array(
+        F.struct(F.col("from_us").alias("at"), F.lit(1).alias("change")),
+        F.struct(F.col("until_us").alias("at"), F.lit(-1).alias("change")),
+    )).alias("_c")).select(*kind, "_c.at", "_c.change").groupBy(*kind, "at").agg(F.sum("change").alias("change"))
     along = Window.partitionBy(*kind).orderBy(F.col("at").asc_nulls_first())
     steps = changes.select(
         *kind, F.col("at").alias("from_us"), F.lead("at").over(along).alias("until_us"), F.sum("change").over(along).alias("n")
@@ -76,6 +86,23 @@ def usable_steps(places: DataFrame, benefits: DataFrame, policy: Policy = DEFAUL
     return added.groupBy(*key).agg(F.collect_list(F.struct(*step, "n")).alias("steps"))
 
 
+def match_tables(
+    places: DataFrame, owned: DataFrame, muted: DataFrame, benefits: DataFrame, policy: Policy = DEFAULT_POLICY,
+    kept: Callable[[DataFrame, str], DataFrame] = lambda table, name: table,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What events are matched with: programs of a user, muted offers of a user at a place, ``usable_steps``.
+    ``kept`` may write a table that several steps use, or that events meet."""
+    offers, owned = kept(_timed_offers(places, benefits, policy), "enter-offers"), kept(owned, "enter-owned")
+    held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
+    silent = (
+        offers.join(muted.select("user_id", "benefit_id").distinct(), "benefit_id")
+        .join(owned.select("user_id", "program_id").distinct(), ["user_id", "program_id"], "left_semi")
+        .groupBy("user_id", "fence_id").agg(F.collect_list(F.struct(
+            "valid_days", "valid_hours", "from_us", "until_us")).alias("_silent"))
+    )
+    return kept(held, "enter-held"), kept(silent, "enter-silent"), kept(_steps(offers, policy), "enter-steps")
+
+
 def match_rows(
     events: DataFrame, places: DataFrame, owned: DataFrame, muted: DataFrame, benefits: DataFrame,
     policy: Policy = DEFAULT_POLICY,
@@ -84,15 +111,15 @@ def match_rows(
     the place at that moment, whatever the channel: one per event (``is_match`` 0) that takes off the
     muted ones, and one more (``is_match`` 1) per program that has some.
 
-    ``places``: (fence_id, merchant_id); ``events``: event_id, user_id, fence_id, kind, ts. They may be
-    a stream: they meet standing tables by joins and nothing else."""
-    held = owned.groupBy("user_id").agg(F.collect_set("program_id").alias("_held"))
-    silent = (
-        _offers(places, benefits, policy).join(muted.select("user_id", "benefit_id").distinct(), "benefit_id")
-        .join(owned.select("user_id", "program_id").distinct(), ["user_id", "program_id"], "left_semi")
-        .groupBy("user_id", "fence_id").agg(F.collect_list(F.struct(
-            "conditions.valid_days", "conditions.valid_hours", "from_us", "until_us")).alias("_silent"))
-    )
+    ``places``: (fence_id, merchant_id); ``events``: event_id, user_id, fence_id, kind, ts."""
+    return matched(events, *match_tables(places, owned, muted, benefits, policy), policy)
+
+
+def matched(
+    events: DataFrame, held: DataFrame, silent: DataFrame, steps: DataFrame, policy: Policy = DEFAULT_POLICY
+) -> DataFrame:
+    """``match_rows`` from the tables of ``match_tables``. Events may be a stream: they meet
+    standing tables by joins and nothing else."""
     on_entering = events.withColumns({
         "_day": _day(F.unix_micros("ts"), policy), "_user": F.when(F.col("kind") == "enter", F.col("user_id")),
     })
@@ -106,7 +133,7 @@ def match_rows(
     rows = known.withColumn("_ask", F.explode(F.concat(itself, F.coalesce(asks, F.slice(itself, 1, 0))))).withColumns(
         {"program_id": F.col("_ask.program_id"), "filed": F.col("_ask.filed"), "now": F.col("ts")}
     ).withColumn("is_match", F.col("filed").isNotNull().cast("int"))
-    met = rows.join(usable_steps(places, benefits, policy), ["fence_id", "program_id", "filed"], "left")
+    met = rows.join(steps, ["fence_id", "program_id", "filed"], "left")
     # The lambda's variable stands for the offer's conditions, which the checks read.
     found = conditions.findings(policy)
     then = "(conditions.from_us IS NULL OR conditions.from_us <= unix_micros(now)) AND unix_micros(now) < conditions.until_us"

@@ -22,8 +22,8 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from perkloom.operators.conditions import DEFAULT_POLICY, Policy
 from perkloom.operators.fences import NOTIFY, visit, with_clock
-from perkloom.operators.openings import match_rows
-from perkloom.session import ROCKSDB, STATE_STORE_KEY
+from perkloom.operators.openings import match_tables, matched
+from perkloom.session import ROCKSDB, STATE_STORE_KEY, written
 
 PIECES_MS = (28 * 24 * 3_600_000, 24 * 3_600_000, 3_600_000)
 PIECE_EVENTS = 1_000  # in a piece that could be cut
@@ -173,8 +173,13 @@ def with_matches(
     """``openings.match_rows`` as part of a running query: rows of an event whose ``match_count``
     add up, the event itself among them (``is_match`` 0).
 
+    What events are matched with is written once, in small steps: a micro-batch is planned anew, on the
+    driver and without sizes measured on the way, so its plan holds only the joins with those tables, and
+    none is sent whole. ``session.release`` removes them, so not before the query has ended.
+
     ``places``: (fence_id, merchant_id); ``events``: event_id, user_id, fence_id, kind, ts."""
-    return match_rows(events, places, owned, muted, benefits, policy)
+    kept = lambda table, name: written(table, name).hint("merge")
+    return matched(events, *match_tables(places, owned, muted, benefits, policy, kept), policy)
 
 
 def eligible_events(

@@ -54,6 +54,14 @@ def test_rows_do_not_grow_with_the_offers(spark):
     assert few == many
 
 
+def test_the_catalog_is_not_sent_whole(spark, tmp_path):
+    _, places, _, _, offers = tables(spark, 1)
+    offers.write.parquet(f"{tmp_path}/offers")  # a size is known, however small
+    offers = spark.read.parquet(f"{tmp_path}/offers")
+    plan = openings.usable_steps(places, offers)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_the_best_are_kept(spark, seed):
     events, *rest = tables(spark, seed, 30)

@@ -218,6 +218,15 @@ def test_matches_of_a_stream_are_those_of_the_batch(spark, sf_dir):
     assert got == want and any(want.values())
 
 
+def test_a_micro_batch_plans_joins_with_written_tables_and_sends_none(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    events = d.fence_events.drop("match_count")
+    rows = visits.with_matches(events, place_queries.places_of(d), d.owned, d.muted, d.benefits)
+    run = rows._jdf.queryExecution()
+    assert "Aggregate" not in run.optimizedPlan().toString()
+    assert "Broadcast" not in run.executedPlan().toString() and "SortMergeJoin" in run.executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_summaries_of_pieces_compose(spark, seed):
     """A history cut anywhere gives the states of the whole walk."""
