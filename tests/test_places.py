@@ -49,6 +49,23 @@ def test_merchants_near(spark):
     assert near(100.0) == ["chain"]
 
 
+def test_points_of_a_spot_are_told_a_merchant_together(spark):
+    b = branches(spark, [(m, 0, 30.5 + i * 1e-4, 34.9) for i, m in enumerate("abcd")])
+    catalog = spark.createDataFrame([(m, i) for i, m in enumerate("abcd")], "id string, seq int")
+    ids = [None, *(f"p{i:04}" for i in range(1299))]
+    at = points(spark, [(i, *HERE) for i in ids] + [("p0000", *HERE), ("else", 10.0, 10.0)])
+    sent = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = geo.merchants_near(at, b, catalog, 1_000.0, "pos_id", piece_rows=600).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    assert got[0].asDict().keys() == {"pos_id", "merchant_id", "distance_m", "position"}
+    want = [(i or "", m, n) for i in ids for n, m in enumerate("abcd", 1)]
+    assert sorted((r.pos_id or "", r.merchant_id, r.position) for r in got) == sorted(want)
+    assert sum(x.merchant_id != y.merchant_id for x, y in zip(got, got[1:])) < 50
+
+
 def test_benefits_of_the_shops_around(spark):
     b = branches(spark, [("here", 0, *HERE), ("here", 1, *HERE), ("far", 0, 31.2, 35.1)])
     benefits = spark.createDataFrame(
